@@ -81,10 +81,9 @@ def assign_catalog_shards(
         .agg(F.count(F.lit(1)).alias("n"))
     )
     top = cells.select(F.max("stars").alias("top")).scalar()
-    per_stars = cells.groupBy("stars").agg(F.sum("n").alias("n"))
-    by_stars = _leaves(
-        per_stars, [], "stars", F.lit(min_stars).cast("bigint"), top, max_shard_size
-    )
+    per_stars = cells.groupBy("stars").agg(F.sum("n").alias("n")).withColumn("_top", top)
+    lowest = F.lit(min_stars).cast("bigint")
+    by_stars = _leaves(per_stars, [], "stars", lowest, F.col("_top"), max_shard_size)
     small = by_stars.where(F.col("size") <= max_shard_size)
     large = by_stars.where(F.col("size") > max_shard_size).select("stars")
     by_day = _leaves(

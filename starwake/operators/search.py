@@ -98,6 +98,10 @@ def _hits(term: Column) -> Column:
     )
 
 
+def _of_kind(kind: str) -> Column:
+    return F.filter("hits", lambda hit: hit.getField("kind") == kind)
+
+
 def with_lexical_score(pool: DataFrame, query: str) -> DataFrame:
     """Score of the words of the query; adds ``hits``, a list of (term, kind).
 
@@ -121,8 +125,7 @@ def with_lexical_score(pool: DataFrame, query: str) -> DataFrame:
 
     points = F.lit(0.0)
     for kind in HIT_KINDS:
-        same = F.filter("hits", lambda hit, kind=kind: hit.getField("kind") == kind)
-        points = points + F.size(same) * HIT_POINTS[kind]
+        points = points + F.size(_of_kind(kind)) * HIT_POINTS[kind]
     lowered_name = F.lower("repo_full_name")
     lowered_description = F.lower(tx.text_or_empty(F.col("description")))
     points = points + F.when(F.contains(lowered_name, F.lit(phrase)), 4.0).otherwise(0.0)
@@ -156,17 +159,15 @@ def with_semantic_score(
     pool: DataFrame, vectors: DataFrame, query_vector: Column, key: str = "repo_id"
 ) -> DataFrame:
     """Similarity of repository vectors (``key``, ``embedding``) to the query's vector."""
-    similarity = scores.semantic(F.col("embedding"), query_vector)
-    scored = vectors.select(key, similarity.alias("semantic_score"))
+    similarity = scores.semantic(F.col("embedding"), F.col("_query"))
+    scored = vectors.withColumn("_query", query_vector).select(
+        key, similarity.alias("semantic_score")
+    )
     return pool.join(scored, key, "left")
 
 
 def matched_terms(kind: str | None = None) -> Column:
-    kept = (
-        F.col("hits")
-        if kind is None
-        else F.filter("hits", lambda hit: hit.getField("kind") == kind)
-    )
+    kept = F.col("hits") if kind is None else _of_kind(kind)
     return F.array_sort(F.transform(kept, lambda hit: hit.getField("term")))
 
 

@@ -7,7 +7,7 @@ in the metadata, so that joins have rows without a partner on both sides.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starwake.functions.classify import classify
@@ -136,6 +136,45 @@ class Testbed:
             F.to_date("ts").alias("event_date"),
         )
 
+    def raw_events(self) -> DataFrame:
+        """Events as they arrive: text times, and faults in rows with a small ``value``."""
+        faulty = self.table("events", EVENTS_SCHEMA).select(
+            F.col("event_id").cast("string").alias("event_id"), F.col("value").alias("_value")
+        )
+        value = F.floor("_value")
+        zone = F.when(F.col("event_id").cast("bigint") % 2 == 1, "+00:00").otherwise("Z")
+        text = F.concat(F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), zone)
+
+        def spoiled(fault: int, name: str, bad: Column, good: Column | None = None) -> Column:
+            kept = F.col(name) if good is None else good
+            return F.when(value == fault, bad).otherwise(kept)
+
+        return (
+            self.events()
+            .join(faulty, "event_id")
+            .select(
+                spoiled(7, "event_id", F.lit("")).alias("event_id"),
+                spoiled(3, "event_type", F.lower("event_type")).alias("event_type"),
+                spoiled(2, "actor_id", F.lit(0)).cast("bigint").alias("actor_id"),
+                spoiled(0, "actor_login", F.lit("  ")).alias("actor_login"),
+                spoiled(1, "repo_id", F.lit(0)).cast("bigint").alias("repo_id"),
+                spoiled(5, "repo_name", F.split_part("repo_name", F.lit("/"), F.lit(2))).alias(
+                    "repo_name"
+                ),
+                spoiled(4, "created_at", F.lit("not a time"), text).alias("created_at"),
+                spoiled(6, "repo_stargazers_count", F.lit(-1))
+                .cast("bigint")
+                .alias("repo_stargazers_count"),
+                "repo_topics",
+                "repo_description",
+                "repo_primary_language",
+                "payload_json",
+                "repo_readme_text",
+                "repo_issues_json",
+                value.alias("fault"),
+            )
+        )
+
     def metadata(self) -> DataFrame:
         """Two versions of every synced repository."""
         synced = self.repos().where(F.col("p_brand") != UNSYNCED_BRAND)
@@ -316,5 +355,18 @@ meta AS (
 star_counts AS (
   SELECT event_date, repo_name, CAST(count(*) AS BIGINT) AS star_count
   FROM gh WHERE event_type = 'WatchEvent' GROUP BY ALL
+),
+raw_gh AS (
+  SELECT CASE WHEN fault = 7 THEN '' ELSE event_id END AS event_id,
+         CASE WHEN fault = 3 THEN lower(event_type) ELSE event_type END AS event_type,
+         CASE WHEN fault = 2 THEN 0 ELSE actor_id END AS actor_id,
+         CASE WHEN fault = 0 THEN '  ' ELSE actor_login END AS actor_login,
+         CASE WHEN fault = 1 THEN 0 ELSE repo_id END AS repo_id,
+         CASE WHEN fault = 5 THEN split_part(repo_name, '/', 2) ELSE repo_name END AS repo_name,
+         CASE WHEN fault = 4 THEN NULL ELSE created_at END AS created_at,
+         CASE WHEN fault = 6 THEN -1 ELSE repo_stargazers_count END AS repo_stargazers_count,
+         fault
+  FROM (SELECT gh.*, CAST(floor(e.value) AS BIGINT) AS fault
+        FROM gh JOIN events e ON gh.event_id = CAST(e.event_id AS VARCHAR))
 )
 """
