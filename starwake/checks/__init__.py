@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from starwake.testbed import SQL_TABLES, Testbed
+from starwake.session import use_utc
+from starwake.testbed import SQL_TABLES, Testbed, testbed
 
 
 @dataclass(frozen=True)
@@ -18,7 +19,9 @@ class Check:
     sql: str | None
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        return flat(self.build(Testbed(spark, sf_dir)))
+        bed = testbed(spark, sf_dir)
+        use_utc(spark)
+        return flat(self.build(bed))
 
 
 CHECKS: dict[str, Check] = {}

@@ -139,16 +139,15 @@ def derive_event_date(t: Testbed) -> DataFrame:
 
 def _wire(t: Testbed) -> DataFrame:
     """Raw events as messages; two faults break the message itself."""
-    fields = [
-        name for name in WIRE_EVENT.fieldNames() if name in t.raw_events().columns
-    ]
+    raw = t.raw_events()
+    fields = [name for name in WIRE_EVENT.fieldNames() if name in raw.columns]
     message = F.to_json(F.struct(*fields))
     broken = (
         F.when(F.col("fault") == 8, F.expr("substring(m, 1, length(m) - 5)"))
         .when(F.col("fault") == 9, None)
         .otherwise(F.col("m"))
     )
-    return t.raw_events().withColumn("m", message).select(
+    return raw.withColumn("m", message).select(
         F.col("repo_id").cast("string").alias("key"), broken.alias("value")
     )
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from starwake.operators.clean import (
     with_search_document,
 )
 from starwake.operators.ranking import top_k
-from starwake.vocab import RELATED_REASONS, SEARCH_DOCUMENT_CHARS, SEARCH_REASONS
+from starwake.vocab import QUERY_TERM, RELATED_REASONS, SEARCH_DOCUMENT_CHARS, SEARCH_REASONS
 
 HIT_KINDS = ["name", "topic", "language", "category", "description"]
 HIT_POINTS = {"name": 3.0, "topic": 2.5, "language": 2.25, "category": 2.25, "description": 1.5}
@@ -98,43 +100,34 @@ def _hits(term: Column) -> Column:
     )
 
 
-def _of_kind(kind: str) -> Column:
-    return F.filter("hits", lambda hit: hit.getField("kind") == kind)
+def _terms(query: str) -> list[str]:
+    return list(dict.fromkeys(re.findall(QUERY_TERM, _check_query(query))))
 
 
 def with_lexical_score(pool: DataFrame, query: str) -> DataFrame:
-    """Score of the words of the query; adds ``hits``, a list of (term, kind).
-
-    The few terms are unrolled into columns, so the whole score stays inside generated code.
-    """
-    import re
-
-    from starwake.vocab import QUERY_TERM
+    """Score of the words of the query; ``_kinds`` keeps where each term was found."""
+    phrase, terms = _check_query(query), _terms(query)
+    words = F.split(F.lit(" ".join(terms)), " ") if terms else tx.empty_list()
+    rows = pool.withColumns(
+        {"_kinds": F.transform(words, _hits), "_document": F.lower(_limited_document())}
+    )
 
-    phrase = _check_query(query)
-    terms = list(dict.fromkeys(re.findall(QUERY_TERM, phrase)))
-    kinds = [_hits(F.lit(term)) for term in terms]
-    pairs = [
-        F.struct(F.lit(term).alias("term"), kind.alias("kind"))
-        for term, kind in zip(terms, kinds, strict=True)
-    ]
-    empty = F.array().cast("array<struct<term:string,kind:string>>")
-    found = F.filter(F.array(*pairs), lambda hit: hit.getField("kind").isNotNull())
-    rows = pool.withColumn("hits", found if pairs else empty)
-    rows = rows.withColumn("_document", F.lower(_limited_document()))
-
-    points = F.lit(0.0)
-    for kind in HIT_KINDS:
-        points = points + F.size(_of_kind(kind)) * HIT_POINTS[kind]
-    lowered_name = F.lower("repo_full_name")
-    lowered_description = F.lower(tx.text_or_empty(F.col("description")))
-    points = points + F.when(F.contains(lowered_name, F.lit(phrase)), 4.0).otherwise(0.0)
-    points = points + F.when(F.contains(lowered_description, F.lit(phrase)), 2.5).otherwise(0.0)
-    if terms:
-        everywhere = F.lit(True)
-        for term in terms:
-            everywhere = everywhere & F.contains("_document", F.lit(term))
-        points = points + F.when(everywhere, min(3.0, 0.75 * len(terms))).otherwise(0.0)
+    def points_of(kind: Column) -> Column:
+        value = F.lit(0.0)
+        for name in reversed(HIT_KINDS):
+            value = F.when(kind == name, HIT_POINTS[name]).otherwise(value)
+        return value
+
+    found = F.aggregate("_kinds", F.lit(0.0), lambda total, kind: total + points_of(kind))
+    document = F.col("_document")
+    everywhere = F.forall(words, lambda term: F.contains(document, term)) & F.lit(bool(terms))
+    description = F.lower(tx.text_or_empty(F.col("description")))
+    points = (
+        found
+        + F.when(F.contains(F.lower("repo_full_name"), F.lit(phrase)), 4.0).otherwise(0.0)
+        + F.when(F.contains(description, F.lit(phrase)), 2.5).otherwise(0.0)
+        + F.when(everywhere, min(3.0, 0.75 * len(terms))).otherwise(0.0)
+    )
     best = 4.0 + 3.0 * max(1, len(terms)) + 3.0
     return rows.withColumns(
         {
@@ -166,27 +159,39 @@ def with_semantic_score(
     return pool.join(scored, key, "left")
 
 
-def matched_terms(kind: str | None = None) -> Column:
-    kept = F.col("hits") if kind is None else _of_kind(kind)
-    return F.array_sort(F.transform(kept, lambda hit: hit.getField("term")))
+def _matched(terms: list[str], kind: str | None = None) -> Column:
+    """Terms found at all, or found in one kind of place, sorted."""
+    words = F.split(F.lit(" ".join(terms)), " ") if terms else tx.empty_list()
+    slots = F.arrays_zip(words.alias("term"), F.col("_kinds").alias("kind"))
+    hit = F.filter(
+        slots,
+        lambda slot: slot.getField("kind").isNotNull()
+        if kind is None
+        else slot.getField("kind") == kind,
+    )
+    return F.array_sort(F.transform(hit, lambda slot: slot.getField("term")))
 
 
-def search_reasons(days: int) -> Column:
-    """Up to four reasons for a result."""
+def with_reasons(results: DataFrame, query: str, days: int) -> DataFrame:
+    """Matched terms and up to four reasons, for the rows that are shown."""
+    terms = _terms(query)
+    found = results.withColumns(
+        {f"_{kind}_terms": _matched(terms, kind) for kind in HIT_KINDS}
+        | {"matched_terms": _matched(terms)}
+    )
 
     def listing(kind: str) -> Column:
-        terms = matched_terms(kind)
-        return F.when(
-            F.size(terms) > 0, F.format_string(SEARCH_REASONS[kind], F.array_join(terms, ", "))
-        )
+        hits = F.col(f"_{kind}_terms")
+        line = F.format_string(SEARCH_REASONS[kind], F.array_join(hits, ", "))
+        return F.when(F.size(hits) > 0, line)
 
     def naming(kind: str, column: str) -> Column:
-        return F.when(
-            F.size(matched_terms(kind)) > 0, F.format_string(SEARCH_REASONS[kind], F.col(column))
-        )
+        line = F.format_string(SEARCH_REASONS[kind], F.col(column))
+        return F.when(F.size(f"_{kind}_terms") > 0, line)
 
-    phrase_only = (F.size("hits") == 0) & F.col("phrase_in_document")
+    phrase_only = (F.size("matched_terms") == 0) & F.col("phrase_in_document")
     stars, recent = F.col("stargazers_count"), F.col("star_count_in_window")
+    pace = F.format_string(SEARCH_REASONS["momentum"], tx.grouped(recent), F.lit(days))
     reasons = tx.non_null(
         listing("name"),
         listing("topic"),
@@ -195,14 +200,13 @@ def search_reasons(days: int) -> Column:
         listing("description"),
         F.when(phrase_only, SEARCH_REASONS["phrase"]),
         F.when(F.col("semantic_score") >= 0.68, SEARCH_REASONS["semantic"]),
-        F.when(
-            recent > 0,
-            F.format_string(SEARCH_REASONS["momentum"], tx.grouped(recent), F.lit(days)),
-        ).when(
+        F.when(recent > 0, pace).when(
             stars >= 20_000, F.format_string(SEARCH_REASONS["established"], tx.grouped(stars))
         ),
     )
-    return F.slice(reasons, 1, 4)
+    return found.withColumn("why_matched", F.slice(reasons, 1, 4)).drop(
+        *[f"_{kind}_terms" for kind in HIT_KINDS], "_kinds", "phrase_in_document"
+    )
 
 
 def search_repos(
@@ -234,15 +238,13 @@ def search_repos(
         mixed = scores.rounded(words * 0.4 + meaning * 0.45 + popular * 0.15, 4)
         mode, score = "hybrid", F.when(meaning.isNull(), by_words).otherwise(mixed)
         wanted = (words > 0) | F.coalesce(meaning >= 0.58, F.lit(False))
-    results = scored.where(wanted).withColumns(
-        {
-            "score": score,
-            "retrieval_mode": F.lit(mode),
-            "matched_terms": matched_terms(),
-            "why_matched": search_reasons(days),
-        }
+    results = scored.withColumns(
+        {"score": score, "retrieval_mode": F.lit(mode), "_wanted": wanted}
     )
+    # Wanted rows sort first and the rest is dropped after the limit: the same rows as filtering
+    # first, but the filter does not copy the whole score expression below every projection.
     order = [
+        F.desc("_wanted"),
         F.desc("score"),
         F.desc("lexical_score"),
         F.desc(F.coalesce("semantic_score", F.lit(0.0))),
@@ -250,7 +252,8 @@ def search_repos(
         F.desc("stargazers_count"),
         F.asc("repo_full_name"),
     ]
-    return top_k(results.drop("hits", "phrase_in_document"), order, limit)
+    best = top_k(results, order, limit).where("_wanted").drop("_wanted")
+    return with_reasons(best, query, days)
 
 
 # --------------------------------------------------------------------------- related repositories

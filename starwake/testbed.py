@@ -7,6 +7,8 @@ in the metadata, so that joins have rows without a partner on both sides.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,6 +70,7 @@ class Testbed:
 
     # ----------------------------------------------------------------- repositories
 
+    @lru_cache
     def repos(self) -> DataFrame:
         part = self.table("part", PART_SCHEMA)
         kind = F.col("p_type")
@@ -101,6 +104,7 @@ class Testbed:
             .alias("description"),
         )
 
+    @lru_cache
     def events(self) -> DataFrame:
         """Archive-shaped events, with the directory columns."""
         raw = self.table("events", EVENTS_SCHEMA)
@@ -136,6 +140,7 @@ class Testbed:
             F.to_date("ts").alias("event_date"),
         )
 
+    @lru_cache
     def raw_events(self) -> DataFrame:
         """Events as they arrive: text times, and faults in rows with a small ``value``."""
         faulty = self.table("events", EVENTS_SCHEMA).select(
@@ -175,6 +180,7 @@ class Testbed:
             )
         )
 
+    @lru_cache
     def metadata(self) -> DataFrame:
         """Two versions of every synced repository."""
         synced = self.repos().where(F.col("p_brand") != UNSYNCED_BRAND)
@@ -243,25 +249,29 @@ class Testbed:
         }
         return versions.select(*[values[name].alias(name) for name in METADATA_COLUMNS])
 
+    @lru_cache
     def history(self) -> DataFrame:
         return event_to_history(self.events()).unionByName(
             metadata_to_history(self.metadata(), "sync_repo_metadata")
         )
 
+    @lru_cache
     def star_counts(self) -> DataFrame:
         return ru.daily_star_counts(self.events())
 
-    def name_of(self, repo_id: int):
-        """Join key of a repository, as a scalar column."""
-        key = self.repos().where(F.col("repo_id") == repo_id).select("key_name")
-        return key.scalar()
-
+    @lru_cache
     def lookup_name(self, repo_id: int) -> str:
         """Join key of a repository: a request parameter, so one name is fetched."""
         return self.repos().where(F.col("repo_id") == repo_id).first()["key_name"]
 
 
 
+@lru_cache(maxsize=8)
+def testbed(spark: SparkSession, sf_dir: str) -> Testbed:
+    """Plans of the test tables are built once per session; no data is kept."""
+    return Testbed(spark, sf_dir)
+
+
 # --------------------------------------------------------------------------- the same in SQL
 
 
