@@ -350,9 +350,8 @@ def _market(t: Testbed):
 def question_evidence(t: Testbed) -> DataFrame:
     market = qs.market_evidence("which repos are trending", *_market(t))
     found = se.search_repos(_pool(t, min_stars=500), "red widget toolkit", limit=5)
-    brief = ins.repo_brief(
-        ins.repo_brief_context(t.metadata(), t.events(), AS_OF), AS_OF
-    ).where(F.lower("repo_full_name") == t.lookup_name(43))
+    context = ins.repo_brief_context(t.metadata(), t.events(), AS_OF)
+    brief = ins.repo_brief(ins.of_repo(context, t.lookup_name(43)), AS_OF)
     return qs.question_evidence(market, found, brief)
 
 
@@ -361,9 +360,8 @@ def answer_template(t: Testbed) -> DataFrame:
     """The four kinds of answers."""
     parts = _market(t)
     found = se.search_repos(_pool(t, min_stars=500), "red widget toolkit", limit=5)
-    brief = ins.repo_brief(
-        ins.repo_brief_context(t.metadata(), t.events(), AS_OF), AS_OF
-    ).where(F.lower("repo_full_name") == t.lookup_name(43))
+    context = ins.repo_brief_context(t.metadata(), t.events(), AS_OF)
+    brief = ins.repo_brief(ins.of_repo(context, t.lookup_name(43)), AS_OF)
     answers = {
         "topics": qs.answer_template("hot topics?", *parts),
         "categories": qs.answer_template("best category?", *parts),

@@ -10,7 +10,6 @@ from starwake.functions import text as tx
 from starwake.functions.times import Moment, in_window, moment
 from starwake.operators import rollups as ru
 from starwake.operators.clean import with_effective_category
-from starwake.operators.reports import daily_activity
 from starwake.vocab import COMPARE_TEXTS, REPO_BRIEF_TEXTS
 
 
@@ -82,13 +81,17 @@ def repo_brief_context(
 ) -> DataFrame:
     """Metadata, window numbers, dominant activity and star rates of every repository.
 
-    All aggregates are hashed on the same key as the metadata, so the joins reuse that
-    partitioning.
+    Types and days come from one small count per (repository, type, day). All aggregates end up
+    hashed on the key of the metadata, so the joins reuse that partitioning.
     """
     recent = ru.keyed(events).where(in_window(F.col("created_at"), as_of, days))
     metrics = ru.market_repo_metrics(events, as_of, days)
+    cells = recent.groupBy(
+        "repo_key", "event_type", F.to_date("created_at").alias("event_date")
+    ).agg(ru.count_rows().alias("event_count"))
     types = (
-        activity_by_type(events, as_of, days)
+        cells.groupBy("repo_key", "event_type")
+        .agg(F.sum("event_count").alias("event_count"))
         .groupBy("repo_key")
         .agg(
             F.min_by(
@@ -97,7 +100,9 @@ def repo_brief_context(
             ).alias("dominant")
         )
     )
-    rates = half_window_star_rates(daily_activity(recent))
+    stars = F.sum(F.when(ru.is_star(), F.col("event_count")).otherwise(0))
+    daily = cells.groupBy("repo_key", "event_date").agg(stars.alias("star_count"))
+    rates = half_window_star_rates(daily)
     zero = F.lit(0)
     return (
         with_effective_category(ru.latest_metadata(metadata))
@@ -120,6 +125,11 @@ def repo_brief_context(
     )
 
 
+def of_repo(context: DataFrame, repo_name: str) -> DataFrame:
+    """One repository; the filter on the key reaches the scans below the joins."""
+    return context.where(F.col("repo_key") == repo_name.lower())
+
+
 def trend_verdict(
     stars: Column, total_events: Column, recent_rate: Column, prior_rate: Column
 ) -> Column:

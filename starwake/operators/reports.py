@@ -19,7 +19,7 @@ from starwake.functions.times import (
     week_start,
 )
 from starwake.operators import rollups as ru
-from starwake.operators.clean import prefer_categorised, with_effective_category
+from starwake.operators.clean import with_effective_category
 from starwake.operators.ranking import top_k, top_k_ranked
 from starwake.schemas import METADATA_COLUMNS, REPO_ROW
 from starwake.vocab import OTHER
@@ -95,11 +95,21 @@ def _category_cut(
     order: list[Column],
     limit: int,
 ) -> DataFrame:
-    """Classify before the limit, so that nothing has to be fetched in excess."""
+    """Classify before the limit, so that nothing has to be fetched in excess.
+
+    Hiding Other unless it is alone needs no second pass: real categories sort first, so if there
+    is one at all it is among the rows that are left.
+    """
     classified = _in_category(with_effective_category(rows), category)
-    if category is None and hide_other:
-        classified = prefer_categorised(classified)
-    return top_k(classified, order, limit)
+    if category is not None or not hide_other:
+        return top_k(classified, order, limit)
+    known = F.col("category") != OTHER
+    first = top_k(classified, [F.desc(known), *order], limit)
+    return (
+        first.withColumn("_any", F.max(known).over(Window.partitionBy()))
+        .where(known | ~F.col("_any"))
+        .drop("_any")
+    )
 
 
 def top_repos_left(

@@ -290,7 +290,8 @@ def related_repos(
         else F.col("repo_id") == repo_id
     )
     source = catalogue.where(wanted)
-    recent = ru.window_star_metrics(events, as_of, days).drop("latest_event_at")
+    of_source = ru.keyed(events).where(wanted)
+    recent = ru.window_star_metrics(of_source, as_of, days).drop("latest_event_at")
     source = (
         source.join(recent, "repo_key", "left")
         .agg(

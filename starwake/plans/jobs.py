@@ -11,7 +11,12 @@ from pyspark.sql import functions as F
 from starwake.functions.times import Moment, day
 from starwake.operators import rollups as ru
 from starwake.operators.catalog import repo_summary_report
-from starwake.operators.clean import event_to_history, map_repo_metadata, normalise_event_defaults
+from starwake.operators.clean import (
+    event_to_history,
+    map_repo_metadata,
+    normalise_event_defaults,
+    with_repo_key,
+)
 from starwake.sources import archive as ar
 from starwake.sources import tables
 from starwake.sources.files import delete_directory, exists, file_listing
@@ -89,12 +94,12 @@ def backfill_events(
     if rows.isEmpty():
         raise JobError("no partition lies in the given range of dates")
     seen = Observation()
-    normal = normalise_event_defaults(rows).observe(seen, F.count(F.lit(1)).alias("rows"))
     month = F.date_format("created_at", "yyyyMM")
+    sorting = ["event_month", "repo_id", "created_at"]
+    normal = with_repo_key(normalise_event_defaults(rows)).withColumn("event_month", month)
+    arranged = normal.repartitionByRange(*sorting).sortWithinPartitions(*sorting)
     (
-        normal.withColumn("event_month", month)
-        .repartitionByRange("event_month", "repo_id", "created_at")
-        .sortWithinPartitions("event_month", "repo_id", "created_at")
+        arranged.observe(seen, F.count(F.lit(1)).alias("rows"))
         .write.mode("overwrite")
         .partitionBy("event_month")
         .parquet(table)

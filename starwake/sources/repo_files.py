@@ -18,9 +18,8 @@ def read_repo_json(spark: SparkSession, path: str) -> DataFrame:
     Summary files lie in the same folder and are left out.
     """
     files = (
-        spark.read.option("wholetext", "true")
-        .option("pathGlobFilter", "*.json")
-        .text(path)
+        spark.read.option("pathGlobFilter", "*.json")
+        .text(path, wholetext=True)
         .withColumn("file_name", F.col("_metadata.file_name"))
         .where(~F.contains("file_name", F.lit("summary")))
     )
