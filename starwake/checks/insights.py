@@ -75,6 +75,15 @@ def market_category_movers(t: Testbed) -> DataFrame:
     return mk.market_category_movers(t.metadata(), t.events(), AS_OF)
 
 
+@check(
+    "share_of_window_stars",
+    CATEGORIES + "SELECT category, share_of_window_stars FROM categories",
+)
+def share_of_window_stars(t: Testbed) -> DataFrame:
+    movers = mk.market_category_movers(t.metadata(), t.events(), AS_OF)
+    return movers.select("category", "share_of_window_stars")
+
+
 @check(
     "market_category_movers_raw",
     f""", m AS ({MARKET})
@@ -117,6 +126,31 @@ def breakout_concentration(t: Testbed) -> DataFrame:
     return mk.breakout_concentration(mk.market_breakouts(t.metadata(), t.events(), AS_OF))
 
 
+@check(
+    "market_brief_context",
+    BREAKOUTS
+    + CATEGORIES
+    + TOPICS
+    + """SELECT 'breakout' AS part, repo_full_name AS name, star_count_in_window AS stars
+           FROM breakouts
+         UNION ALL SELECT 'category', category, total_stars_in_window FROM categories
+         UNION ALL SELECT 'topic', topic, star_count_in_window FROM topics""",
+)
+def market_brief_context(t: Testbed) -> DataFrame:
+    breakouts, categories, topics = mk.market_brief_context(t.metadata(), t.events(), AS_OF)
+
+    def part(rows: DataFrame, name: str, label: str, stars: str) -> DataFrame:
+        return rows.select(
+            F.lit(name).alias("part"), F.col(label).alias("name"), F.col(stars).alias("stars")
+        )
+
+    return (
+        part(breakouts, "breakout", "repo_full_name", "star_count_in_window")
+        .unionByName(part(categories, "category", "category", "total_stars_in_window"))
+        .unionByName(part(topics, "topic", "topic", "star_count_in_window"))
+    )
+
+
 @check(
     "market_brief",
     BREAKOUTS

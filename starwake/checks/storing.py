@@ -9,13 +9,15 @@ from starwake.checks import check
 from starwake.checks.cleaning import HISTORY_NAMES, HISTORY_SQL, SOME_EVENT_COLUMNS
 from starwake.checks.sql import STAR
 from starwake.operators import clean as cl
+from starwake.operators import rollups as ru
 from starwake.plans import jobs
-from starwake.schemas import EVENT_COLUMNS
+from starwake.schemas import EVENT_COLUMNS, METADATA_COLUMNS, REPO_FILE
 from starwake.session import fresh_path
 from starwake.sources import archive as ar
 from starwake.sources import tables
+from starwake.sources.repo_files import good_files, parse_repo_files
 from starwake.streaming import ingest, supervise
-from starwake.testbed import AS_OF, EVENTS_SCHEMA, Testbed
+from starwake.testbed import AS_OF, EVENTS_SCHEMA, Testbed, sql_classify
 
 ARCHIVE_COLUMNS = [*EVENT_COLUMNS[:12], "event_date"]
 
@@ -191,8 +193,83 @@ def write_catalog_snapshot(t: Testbed) -> DataFrame:
     return t.spark.read.schema(schema).json(f"{latest}/repos")
 
 
-@check("progress_of_stream")
-def progress_of_stream(t: Testbed) -> DataFrame:
+def _landed_repos(t: Testbed) -> DataFrame:
+    """The newest metadata as landed JSON texts; the rows of one small size are cut short."""
+    iso = "yyyy-MM-dd'T'HH:mm:ss'Z'"
+    names = {
+        "id": F.col("repo_id"),
+        "full_name": F.col("repo_full_name"),
+        "name": F.col("repo_name"),
+        "size": F.col("size_kb"),
+        "created_at": F.date_format("github_created_at", iso),
+        "updated_at": F.date_format("github_updated_at", iso),
+        "pushed_at": F.date_format("github_pushed_at", iso),
+        "language": F.col("primary_language"),
+        "fetched_at": F.date_format("fetched_at", iso),
+        "refreshed_at": F.date_format("refreshed_at", iso),
+        "owner": F.struct(F.col("owner_login").alias("login"), F.col("owner_id").alias("id")),
+        "license": F.struct(F.col("license_key").alias("key"), F.col("license_name").alias("name")),
+    }
+    plain = [name for name in REPO_FILE.fieldNames() if name in METADATA_COLUMNS]
+    text = F.to_json(
+        F.struct(
+            *[value.alias(name) for name, value in names.items()],
+            *[F.col(name) for name in plain if name not in names],
+        )
+    )
+    latest = ru.latest_full_metadata(t.metadata())
+    # Open issues carry the part's size in the test tables.
+    broken = F.when(F.col("open_issues_count") == 7, F.substring_index(text, ",", 3)).otherwise(text)
+    return parse_repo_files(
+        latest.select(F.col("repo_id").cast("string").alias("file_name"), broken.alias("value"))
+    )
+
+
+@check(
+    "read_repo_json",
+    """SELECT CAST(repo_id AS VARCHAR) AS file_name,
+              CASE WHEN open_issues_count = 7 THEN 'not JSON' END AS parse_error FROM meta""",
+)
+def read_repo_json(t: Testbed) -> DataFrame:
+    return _landed_repos(t).select("file_name", "parse_error")
+
+
+@check(
+    "map_repo_metadata",
+    f"""SELECT repo_id, repo_full_name, repo_name, stargazers_count, forks_count, open_issues_count,
+          network_count, primary_language, array_to_string(topics, ',') AS topics, description,
+          {sql_classify("topics", "description")} AS category, owner_login,
+          'MIT License' AS license_name, 'public' AS visibility, 'main' AS default_branch,
+          true AS has_issues, true AS allow_forking, github_created_at, github_pushed_at,
+          refreshed_at FROM meta WHERE open_issues_count <> 7""",
+)
+def map_repo_metadata(t: Testbed) -> DataFrame:
+    return cl.map_repo_metadata(good_files(_landed_repos(t)), AS_OF).select(
+        "repo_id",
+        "repo_full_name",
+        "repo_name",
+        "stargazers_count",
+        "forks_count",
+        "open_issues_count",
+        "network_count",
+        "primary_language",
+        "topics",
+        "description",
+        "category",
+        "owner_login",
+        "license_name",
+        "visibility",
+        "default_branch",
+        "has_issues",
+        "allow_forking",
+        "github_created_at",
+        "github_pushed_at",
+        "refreshed_at",
+    )
+
+
+@check("stream_progress")
+def stream_progress(t: Testbed) -> DataFrame:
     """Rows, seconds and lag of the ingest, as a table."""
     import time
 
@@ -257,6 +334,23 @@ def stream_history_view(t: Testbed) -> DataFrame:
     return history.select("snapshot_key", "repo_full_name", "stargazers_count", "snapshot_at")
 
 
+@check(
+    "stream_dual_sink",
+    """SELECT 'archive' AS sink, count(*) AS rows FROM gh
+       UNION ALL SELECT 'events', count(*) FROM gh UNION ALL SELECT 'history', count(*) FROM gh""",
+)
+def stream_dual_sink(t: Testbed) -> DataFrame:
+    """Both sinks of one stream end with the same rows."""
+    base = _ingest(t)
+    report = None
+    for sink in ("archive", "events", "history"):
+        row = t.spark.read.parquet(f"{base}/{sink}").agg(
+            F.lit(sink).alias("sink"), F.count(F.lit(1)).alias("rows")
+        )
+        report = row if report is None else report.unionByName(row)
+    return report
+
+
 @check(
     "stream_dedup_events",
     "SELECT event_id, 1::BIGINT AS copies FROM gh",

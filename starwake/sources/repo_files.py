@@ -23,6 +23,11 @@ def read_repo_json(spark: SparkSession, path: str) -> DataFrame:
         .withColumn("file_name", F.col("_metadata.file_name"))
         .where(~F.contains("file_name", F.lit("summary")))
     )
+    return parse_repo_files(files)
+
+
+def parse_repo_files(files: DataFrame) -> DataFrame:
+    """(``file_name``, ``value``) texts to repository fields and ``parse_error``."""
     options = {"columnNameOfCorruptRecord": "_corrupt", "mode": "PERMISSIVE"}
     parsed = files.select(
         "file_name",
