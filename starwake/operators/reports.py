@@ -20,6 +20,7 @@ from starwake.functions.times import (
 )
 from starwake.operators import rollups as ru
 from starwake.operators.clean import with_effective_category
+from starwake.operators.joins import spread_left_join
 from starwake.operators.ranking import top_k, top_k_ranked
 from starwake.schemas import METADATA_COLUMNS, REPO_ROW
 from starwake.vocab import OTHER
@@ -519,16 +520,22 @@ def repos_to_enrich(
     return active.join(known, "repo_key", "left_anti")
 
 
-def enrich_events(events: DataFrame, metadata: DataFrame) -> DataFrame:
+def enrich_events(events: DataFrame, metadata: DataFrame, spread: bool = True) -> DataFrame:
     """Give every event the current metadata of its repository.
 
     ``metadata_missing`` marks events whose repository is unknown; they are kept. Names without a
-    slash are not looked up.
+    slash are not looked up. ``spread`` shares a busy repository out over several tasks; a stream,
+    whose micro-batches are small, joins directly.
     """
     fields = ["stargazers_count", "primary_language", "topics", "description"]
     known = ru.latest_metadata(metadata, fields).withColumn("_known", F.lit(True))
     lookup = F.when(F.contains("repo_name", F.lit("/")), tx.repo_key(F.col("repo_name")))
-    joined = events.drop("repo_key").withColumn("repo_key", lookup).join(known, "repo_key", "left")
+    looked_up = events.drop("repo_key").withColumn("repo_key", lookup)
+    joined = (
+        spread_left_join(looked_up, known, "repo_key", "event_id")
+        if spread
+        else looked_up.join(known, "repo_key", "left")
+    )
     return joined.select(
         *[
             name

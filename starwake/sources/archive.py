@@ -98,7 +98,10 @@ def _time_types(batches):
     for batch in batches:
         kinds = []
         for path in batch["path"]:
-            system, inner = pafs.FileSystem.from_uri(path.replace("file:/", "file:///", 1))
+            uri = path.replace("s3a://", "s3://", 1)
+            if uri.startswith("file:/") and not uri.startswith("file://"):
+                uri = uri.replace("file:/", "file:///", 1)
+            system, inner = pafs.FileSystem.from_uri(uri)
             with system.open_input_file(inner) as handle:
                 kind = parquet.read_schema(handle).field("created_at").type
             kinds.append("string" if pat.is_string(kind) or pat.is_large_string(kind) else "time")

@@ -113,7 +113,7 @@ def hourly_counts(events: DataFrame) -> DataFrame:
 
 def enrich_stream(events: DataFrame, metadata: DataFrame) -> DataFrame:
     """Stream-static join: the metadata is read again in every micro-batch."""
-    return enrich_events(events, metadata)
+    return enrich_events(events, metadata, spread=False)
 
 
 # --------------------------------------------------------------------------- sinks

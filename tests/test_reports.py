@@ -7,6 +7,7 @@ from starwake.operators import panels
 from starwake.operators import ranking
 from starwake.operators import reports as rp
 from starwake.operators import rollups as ru
+from starwake.operators.joins import spread_left_join
 from starwake.plans.dashboard import Dashboard
 from starwake.schemas import HEADLINES
 
@@ -224,3 +225,39 @@ def test_one_repository_with_most_events(spark):
     got = {r["repo_key"]: r for r in ru.market_repo_metrics(seen, AS_OF, 7).collect()}
     assert got["hot/repo"]["star_count_in_window"] == 6667
     assert got["hot/repo"]["unique_actors_in_window"] == 1000
+
+
+def test_a_hot_key_is_shared_out(spark):
+    facts = spark.range(9000).select(
+        F.col("id").cast("string").alias("event_id"),
+        F.when(F.col("id") % 3 == 0, "hot")
+        .when(F.col("id") % 900 == 1, F.lit(None))
+        .otherwise(F.concat(F.lit("k"), F.col("id") % 300))
+        .alias("key"),
+    )
+    names = facts.select("key").where("key <> 'k1'").distinct()
+    dimension = names.withColumn("value", F.concat(F.lit("v-"), "key"))
+    plain = facts.join(dimension, "key", "left")
+    spread = spread_left_join(facts, dimension, "key", "event_id")
+    columns = ["event_id", "key", "value"]
+    assert spread.count() == 9000
+    assert spread.select(columns).exceptAll(plain.select(columns)).isEmpty()
+    # Without these two settings the small test would be broadcast or put into one task again.
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        tasks = (
+            spread_left_join(facts, dimension, "key", "event_id")
+            .where("key = 'hot'")
+            .select(F.spark_partition_id().alias("p"))
+            .distinct()
+            .count()
+        )
+    finally:
+        for name in settings:
+            spark.conf.unset(name)
+    assert tasks > 1
