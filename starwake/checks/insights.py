@@ -17,7 +17,7 @@ from starwake.testbed import AS_OF, Testbed
 
 ORDER = "star_count_in_window DESC, total_events_in_window DESC, stargazers_count DESC, repo_full_name"
 MOMENTUM = (
-    "round_even(CAST(star_count_in_window AS DOUBLE) / greatest(stargazers_count, 1), 4) "
+    "CAST(round_even(CAST(CAST(star_count_in_window AS DOUBLE) / greatest(stargazers_count, 1) AS DECIMAL(38, 18)), 4) AS DOUBLE) "
     "AS momentum_score"
 )
 BREAKOUTS = f"""
@@ -40,7 +40,7 @@ def market_breakouts(t: Testbed) -> DataFrame:
     + f""", m AS ({MARKET})
     SELECT r.* REPLACE (array_to_string(topics, ',') AS topics), total_events_in_window,
            unique_actors_in_window,
-           round_even(CAST(r.star_count_in_window AS DOUBLE) / greatest(stargazers_count, 1), 4)
+           CAST(round_even(CAST(CAST(r.star_count_in_window AS DOUBLE) / greatest(stargazers_count, 1) AS DECIMAL(38, 18)), 4) AS DOUBLE)
              AS momentum_score
     FROM r JOIN m ON m.repo_key = r.repo_full_name
     ORDER BY r.star_count_in_window DESC, total_events_in_window DESC, stargazers_count DESC,
@@ -61,8 +61,8 @@ per_category AS (
          max(star_count_in_window) AS leader_stars_in_window
   FROM meta JOIN m2 USING (repo_key) GROUP BY category),
 categories AS (
-  SELECT *, round_even(CAST(total_stars_in_window AS DOUBLE)
-                       / greatest((SELECT sum(total_stars_in_window) FROM per_category), 1), 4)
+  SELECT *, CAST(round_even(CAST(CAST(total_stars_in_window AS DOUBLE)
+                       / greatest((SELECT sum(total_stars_in_window) FROM per_category), 1) AS DECIMAL(38, 18)), 4) AS DOUBLE)
               AS share_of_window_stars
   FROM per_category
   ORDER BY total_stars_in_window DESC, total_events_in_window DESC, active_repo_count DESC, category
@@ -117,7 +117,7 @@ def market_topic_shifts(t: Testbed) -> DataFrame:
     "breakout_concentration",
     BREAKOUTS
     + """SELECT CAST(sum(star_count_in_window) AS BIGINT) AS total_breakout_stars,
-                round_even(CAST(max(star_count_in_window) AS DOUBLE) / sum(star_count_in_window), 4)
+                CAST(round_even(CAST(CAST(max(star_count_in_window) AS DOUBLE) / sum(star_count_in_window) AS DECIMAL(38, 18)), 4) AS DOUBLE)
                   AS top_share,
                 max(star_count_in_window) >= 0.5 * sum(star_count_in_window) AS is_concentrated
          FROM breakouts""",
@@ -239,8 +239,8 @@ rates AS (
 @check(
     "half_window_star_rates",
     RATES
-    + """SELECT repo_key, round_even(recent_star_rate, 6) AS recent_star_rate,
-                round_even(prior_star_rate, 6) AS prior_star_rate FROM rates""",
+    + """SELECT repo_key, CAST(round_even(CAST(recent_star_rate AS DECIMAL(38, 18)), 6) AS DOUBLE) AS recent_star_rate,
+                CAST(round_even(CAST(prior_star_rate AS DECIMAL(38, 18)), 6) AS DOUBLE) AS prior_star_rate FROM rates""",
 )
 def half_window_star_rates(t: Testbed) -> DataFrame:
     recent = t.events().where(in_window(F.col("created_at"), AS_OF, 30))

@@ -192,10 +192,10 @@ def trending_archive(t: Testbed) -> DataFrame:
 
 
 RATIOS = """
-  round_even(CAST(star_count_in_window AS DOUBLE)
-             / greatest(stargazers_count - star_count_in_window, 1) * 100, 2)
+  CAST(round_even(CAST(CAST(star_count_in_window AS DOUBLE)
+             / greatest(stargazers_count - star_count_in_window, 1) * 100 AS DECIMAL(38, 18)), 2) AS DOUBLE)
     AS weekly_percent_gain,
-  round_even(CAST(star_count_in_window AS DOUBLE) / greatest(previous_star_count_in_window, 1), 4)
+  CAST(round_even(CAST(CAST(star_count_in_window AS DOUBLE) / greatest(previous_star_count_in_window, 1) AS DECIMAL(38, 18)), 4) AS DOUBLE)
     AS window_over_window_ratio
 """
 MOVER_ROWS = f"""

@@ -101,10 +101,10 @@ SCORED = (
     + CASE WHEN {ALL_TERMS} THEN least(3.0::DOUBLE, 0.75::DOUBLE * {len(TERMS)}) ELSE 0::DOUBLE END
     AS points FROM pool),
 scored AS (
-  SELECT *, round_even(least(points / (4.0::DOUBLE + 3.0 * {len(TERMS)} + 3.0), 1.0), 4)
+  SELECT *, CAST(round_even(CAST(least(points / (4.0::DOUBLE + 3.0 * {len(TERMS)} + 3.0), 1.0) AS DECIMAL(38, 18)), 4) AS DOUBLE)
               AS lexical_score,
-         round_even(0.6::DOUBLE * least(ln(1.0::DOUBLE + stargazers_count) / 12, 1)
-                    + 0.4::DOUBLE * least(ln(1.0::DOUBLE + star_count_in_window) / 8, 1), 4)
+         CAST(round_even(CAST(0.6::DOUBLE * least(ln(1.0::DOUBLE + stargazers_count) / 12, 1)
+                    + 0.4::DOUBLE * least(ln(1.0::DOUBLE + star_count_in_window) / 8, 1) AS DECIMAL(38, 18)), 4) AS DOUBLE)
               AS popularity_score FROM points)
 """
 )
@@ -127,7 +127,7 @@ SEMANTIC = f"""
 , pairs AS (SELECT vec_id, embedding AS a,
                    (SELECT embedding FROM embeddings WHERE vec_id = 0) AS b FROM embeddings),
 semantic AS (SELECT vec_id, vec_id + 1 AS repo_id,
-                    round_even(greatest(0, least(({DOT} / ({NORM_A} * {NORM_B}) + 1) / 2, 1)), 4)
+                    CAST(round_even(CAST(greatest(0, least(({DOT} / ({NORM_A} * {NORM_B}) + 1) / 2, 1)) AS DECIMAL(38, 18)), 4) AS DOUBLE)
                       AS semantic_score FROM pairs)
 """
 
@@ -152,7 +152,7 @@ FOUND = "repo_id, repo_full_name, category, star_count_in_window, lexical_score,
     "search_repos",
     SCORED
     + f"""SELECT {FOUND}, 'lexical' AS retrieval_mode,
-                 round_even(lexical_score * 0.75::DOUBLE + popularity_score * 0.25::DOUBLE, 4)
+                 CAST(round_even(CAST(lexical_score * 0.75::DOUBLE + popularity_score * 0.25::DOUBLE AS DECIMAL(38, 18)), 4) AS DOUBLE)
                    AS score
           FROM scored WHERE lexical_score > 0
           ORDER BY score DESC, lexical_score DESC, star_count_in_window DESC,
@@ -170,9 +170,9 @@ def search_repos(t: Testbed) -> DataFrame:
     + f""", mixed AS (
       SELECT scored.*, semantic_score,
              CASE WHEN semantic_score IS NULL
-               THEN round_even(lexical_score * 0.75::DOUBLE + popularity_score * 0.25::DOUBLE, 4)
-               ELSE round_even(lexical_score * 0.4::DOUBLE + semantic_score * 0.45::DOUBLE
-                               + popularity_score * 0.15::DOUBLE, 4) END AS score
+               THEN CAST(round_even(CAST(lexical_score * 0.75::DOUBLE + popularity_score * 0.25::DOUBLE AS DECIMAL(38, 18)), 4) AS DOUBLE)
+               ELSE CAST(round_even(CAST(lexical_score * 0.4::DOUBLE + semantic_score * 0.45::DOUBLE
+                               + popularity_score * 0.15::DOUBLE AS DECIMAL(38, 18)), 4) AS DOUBLE) END AS score
       FROM scored LEFT JOIN semantic USING (repo_id))
     SELECT {FOUND}, semantic_score, 'hybrid' AS retrieval_mode, score FROM mixed
     WHERE lexical_score > 0 OR semantic_score >= 0.58
@@ -214,13 +214,13 @@ words AS (
   FROM pool p, source s),
 parts AS (
   SELECT *, list_sort(list_intersect(st, pt)) AS shared_topics,
-    round_even(CAST(least(source_stars, stargazers_count) AS DOUBLE)
-               / greatest(source_stars, stargazers_count, 1), 4) AS scale,
-    round_even(CAST(least(greatest(source_window, 1), greatest(star_count_in_window, 1)) AS DOUBLE)
-               / greatest(source_window, star_count_in_window, 1), 4) AS pace,
+    CAST(round_even(CAST(CAST(least(source_stars, stargazers_count) AS DOUBLE)
+               / greatest(source_stars, stargazers_count, 1) AS DECIMAL(38, 18)), 4) AS DOUBLE) AS scale,
+    CAST(round_even(CAST(CAST(least(greatest(source_window, 1), greatest(star_count_in_window, 1)) AS DOUBLE)
+               / greatest(source_window, star_count_in_window, 1) AS DECIMAL(38, 18)), 4) AS DOUBLE) AS pace,
     CASE WHEN len(sw) = 0 OR len(pw) = 0 THEN 0.0::DOUBLE
-         ELSE round_even(CAST(len(list_intersect(sw, pw)) AS DOUBLE)
-                         / len(list_distinct(list_concat(sw, pw))), 4) END AS overlap
+         ELSE CAST(round_even(CAST(CAST(len(list_intersect(sw, pw)) AS DOUBLE)
+                         / len(list_distinct(list_concat(sw, pw))) AS DECIMAL(38, 18)), 4) AS DOUBLE) END AS overlap
   FROM words)
 """
 )
@@ -235,13 +235,13 @@ def _related(t: Testbed, limit: int = 20) -> DataFrame:
 @check(
     "related_repos",
     RELATED
-    + """, s AS (SELECT *, round_even(
+    + """, s AS (SELECT *, CAST(round_even(CAST(
              CASE WHEN len(st) = 0 THEN 0.0::DOUBLE
                   ELSE CAST(len(shared_topics) AS DOUBLE) / len(st) END * 0.4::DOUBLE
              + CASE WHEN category = source_category THEN 1.0::DOUBLE ELSE 0::DOUBLE END * 0.2::DOUBLE
              + CASE WHEN primary_language <> '' AND primary_language = source_language
                     THEN 1.0::DOUBLE ELSE 0::DOUBLE END * 0.1::DOUBLE
-             + scale * 0.15::DOUBLE + pace * 0.1::DOUBLE + overlap * 0.05::DOUBLE, 4)
+             + scale * 0.15::DOUBLE + pace * 0.1::DOUBLE + overlap * 0.05::DOUBLE AS DECIMAL(38, 18)), 4) AS DOUBLE)
              AS similarity_score FROM parts)
     SELECT repo_id, repo_full_name, category, stargazers_count, star_count_in_window,
            array_to_string(shared_topics, ',') AS shared_topics, similarity_score FROM s

@@ -1,4 +1,8 @@
-"""Pieces of SQL that several checks share."""
+"""Pieces of SQL that several checks share.
+
+Rounding is done on decimals: rounding a DOUBLE multiplies it first, which can turn a value just
+below or above a tie into one.
+"""
 
 from starwake.testbed import AS_OF, sql_classify
 
