@@ -176,7 +176,7 @@ def category_repo_counts(t: Testbed) -> DataFrame:
 
 @check(
     "table_health",
-    """SELECT 'github_data' AS "check", count(*) AS row_count, 'ok' AS status FROM gh
+    """SELECT 'events' AS "check", count(*) AS row_count, 'ok' AS status FROM gh
        UNION ALL SELECT 'repo_metadata', count(*), 'ok' FROM meta_versions
        UNION ALL SELECT 'repo_metadata_history', (SELECT count(*) FROM gh)
                         + (SELECT count(*) FROM meta_versions), 'ok'
@@ -186,7 +186,7 @@ def category_repo_counts(t: Testbed) -> DataFrame:
 def table_health(t: Testbed) -> DataFrame:
     return pa.table_health(
         {
-            "github_data": t.events(),
+            "events": t.events(),
             "repo_metadata": t.metadata(),
             "repo_metadata_history": t.history(),
             "repo_star_counts": t.star_counts(),
