@@ -34,8 +34,12 @@ def classify(topics: Column, description: Column) -> Column:
     A word list is one constant (split when the plan is made), which keeps plans that classify
     small.
     """
+    return classify_lowered(topics, F.lower(text_or_empty(description)))
+
+
+def classify_lowered(topics: Column, lowered: Column) -> Column:
+    """The same for a text that is in lower case already; long texts are lowered only once."""
     clean = F.transform(list_or_empty(topics), lambda topic: strip(F.lower(topic)))
-    lowered = F.lower(text_or_empty(description))
     by_topic = [
         (F.arrays_overlap(clean, F.split(F.lit(",".join(words)), ",")), name)
         for name, words in CATEGORY_TOPICS.items()
@@ -84,5 +88,6 @@ def signal_text(
     return F.concat_ws(" ", *[F.nullif(part, F.lit("")) for part in parts])
 
 
-def ai_signal(topics: Column, text: Column) -> Column:
-    return (classify(topics, text) != OTHER) | contains_any(F.lower(text), AI_SIGNAL_WORDS)
+def ai_signal(category: Column, lowered: Column) -> Column:
+    """A real category, or any of the listed words in the (lower-case) text."""
+    return (category != OTHER) | contains_any(lowered, AI_SIGNAL_WORDS)

@@ -125,13 +125,11 @@ def ai_signal(events: DataFrame, readme_chars: int | None = README_CHARS) -> Dat
     text = cat.signal_text(
         F.col("repo_description"), F.col("repo_readme_text"), titles, readme_chars
     )
-    labelled = events.withColumn("signal_text", text)
-    return labelled.withColumns(
-        {
-            "signal_category": cat.classify(F.col("repo_topics"), F.col("signal_text")),
-            "ai_signal": cat.ai_signal(F.col("repo_topics"), F.col("signal_text")),
-        }
-    ).drop("signal_text")
+    labelled = events.withColumn("_text", F.lower(text)).withColumn(
+        "signal_category", cat.classify_lowered(F.col("repo_topics"), F.col("_text"))
+    )
+    signal = cat.ai_signal(F.col("signal_category"), F.col("_text"))
+    return labelled.withColumn("ai_signal", signal).drop("_text")
 
 
 def to_wire_event(events: DataFrame) -> DataFrame:
