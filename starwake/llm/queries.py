@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starwake.llm import lines, mixing
+from starwake.llm import lines, mixing, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -98,3 +98,18 @@ SELECT q.doc_id, CAST(q.size AS BIGINT) AS size, q.source_size, q.target,
     CAST(coalesce(n, 0) * q.size AS BIGINT) AS taken
 FROM queued q LEFT JOIN counted c ON q.doc_id = c.doc_id
 """
+
+
+@query
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = toxicity.fit(docs, table(spark, folder, "labels"))
+    worst = F.array_max(F.transform("sentences", lambda s: F.struct(s["score"], -s["start"])))
+    return toxicity.score_documents(docs, model).select(
+        "doc_id",
+        toxicity.held_out().alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"),
+        F.size("sentences").alias("n_offending"),
+        (-worst["col2"]).alias("worst_start"),
+    )
