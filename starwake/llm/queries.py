@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starwake.llm import lines, mixing, toxicity
+from starwake.llm import html_text, licenses, lines, mixing, secrets, token_files, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -113,3 +113,33 @@ def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
         F.size("sentences").alias("n_offending"),
         (-worst["col2"]).alias("worst_start"),
     )
+
+
+@query
+def op6_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = licenses.scan_licenses(table(spark, folder, "documents"))
+    return found.drop("places", "choices")
+
+
+@query
+def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.scan_secrets(table(spark, folder, "documents"))
+
+
+@query
+def op8_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract_main_text(table(spark, folder, "pages"))
+
+
+def vocabulary(name: str) -> str:
+    """A public tokenizer's file; the same path holds on every executor."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query
+def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    digest = token_files.token_digest(docs, vocabulary("word_bpe_49k.json"))
+    return digest.select("doc_id", "start", "n_tokens", "ids_crc32")
