@@ -7,7 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starwake.llm import html_text, licenses, lines, mixing, secrets, token_files, toxicity
+from starwake.llm import (
+    decontaminate,
+    html_text,
+    licenses,
+    lines,
+    mixing,
+    secrets,
+    token_files,
+    toxicity,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -143,3 +152,9 @@ def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     digest = token_files.token_digest(docs, vocabulary("word_bpe_49k.json"))
     return digest.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query
+def op4_benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    docs, items = table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    return decontaminate.find_leaks(docs, items).drop("_tag")
