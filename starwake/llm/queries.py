@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starwake.llm import (
+    ann,
     decontaminate,
     html_text,
     licenses,
@@ -158,3 +159,8 @@ def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
 def op4_benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
     docs, items = table(spark, folder, "documents"), table(spark, folder, "benchmark")
     return decontaminate.find_leaks(docs, items).drop("_tag")
+
+
+@query
+def op1_nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return ann.search(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
