@@ -11,6 +11,7 @@ from starwake.llm import (
     ann,
     decontaminate,
     html_text,
+    jaccard,
     licenses,
     lines,
     mixing,
@@ -164,3 +165,8 @@ def op4_benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op1_nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return ann.search(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query
+def op5_similar_documents(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.similar_documents(table(spark, folder, "documents"))
