@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from starwake.llm import (
     ann,
     decontaminate,
@@ -19,6 +20,7 @@ from starwake.llm import (
     token_files,
     toxicity,
 )
+from starwake.llm.tables import table, vocabulary
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,10 +36,6 @@ def query(run: Query) -> Query:
     return run
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
-
-
 @query
 def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     kept = lines.drop_common_lines(table(spark, folder, "documents"))
@@ -142,13 +140,6 @@ def op8_html_text(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.extract_main_text(table(spark, folder, "pages"))
 
 
-def vocabulary(name: str) -> str:
-    """A public tokenizer's file; the same path holds on every executor."""
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 @query
 def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
@@ -170,3 +161,12 @@ def op1_nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op5_similar_documents(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.similar_documents(table(spark, folder, "documents"))
+
+
+@query
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus_pipeline.run(spark, folder)
+
+
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
