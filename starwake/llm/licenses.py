@@ -132,7 +132,7 @@ def scan(text: bytes, automaton: ahocorasick.Automaton) -> dict:
         if phrase == TAG:
             tagged = True
             continue
-        start = line.count(" ", 0, end - len(phrase))
+        start = line.count(" ", 0, end - len(phrase) - 1)
         if phrase in BASE_PHRASES:
             row["n_base"] += 1
             starts.append(start)
