@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starwake.session import cut_lineage
+from starwake.llm.stored import stored
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -15,11 +15,9 @@ def connected(edges: DataFrame) -> DataFrame:
     then its label's label, so that chains shrink by doubling. Labels are stored after each round;
     minima combine on the map side, so nodes with very many links do not gather.
     """
-    both = cut_lineage(
-        edges.select("_a", "_b").union(edges.select(F.col("_b"), F.col("_a"))).distinct()
-    )
-    labels = both.groupBy(F.col("_a").alias("_node")).agg(F.min("_b").alias("_least"))
-    labels = cut_lineage(labels.select("_node", F.least("_node", "_least").alias("_comp")))
+    both = stored(edges.select("_a", "_b").union(edges.select(F.col("_b"), F.col("_a"))).distinct())
+    first = both.groupBy(F.col("_a").alias("_node")).agg(F.min("_b").alias("_least"))
+    labels = stored(first.select("_node", F.least("_node", "_least").alias("_comp")))
     while True:
         heard = (
             both.join(labels, F.col("_b") == F.col("_node"))
@@ -29,18 +27,13 @@ def connected(edges: DataFrame) -> DataFrame:
         met = labels.join(heard, F.col("_node") == F.col("_a")).select(
             "_node", "_comp", F.least("_comp", "_heard").alias("_low")
         )
-        # Whatever a component's node has heard holds for the node that names the component.
-        told = met.groupBy(F.col("_comp").alias("_name")).agg(F.min("_low").alias("_told"))
-        hooked = met.join(told, F.col("_comp") == F.col("_name")).select(
-            "_node", F.col("_comp").alias("_was"), F.least("_low", "_told").alias("_next")
-        )
-        hooked = cut_lineage(hooked)
-        named = hooked.select(F.col("_node").alias("_name"), F.col("_next").alias("_jump"))
-        jumped = cut_lineage(
-            hooked.join(named, F.col("_next") == F.col("_name"), "left").select(
-                "_node", "_was", F.least("_next", F.coalesce("_jump", "_next")).alias("_comp")
-            )
-        )
-        labels = jumped.select("_node", "_comp")
-        if jumped.where(F.col("_was") != F.col("_comp")).isEmpty():
+        # What a component's nodes have heard holds for all of them.
+        told = stored(met.groupBy(F.col("_comp").alias("_name")).agg(F.min("_low").alias("_told")))
+        if told.where(F.col("_name") != F.col("_told")).isEmpty():
             return labels
+        jump = told.select(F.col("_name").alias("_via"), F.col("_told").alias("_jump"))
+        labels = stored(
+            labels.join(told, F.col("_comp") == F.col("_name"))
+            .join(jump, F.col("_told") == F.col("_via"), "left")
+            .select("_node", F.least("_told", F.coalesce("_jump", "_told")).alias("_comp"))
+        )

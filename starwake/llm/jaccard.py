@@ -23,15 +23,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from starwake.llm import packed
+from starwake.llm.columns import plain, plain_name, restored
 from starwake.llm.components import connected
 from starwake.llm.packed import U64, mixed
-from starwake.session import cut_lineage
+from starwake.llm.stored import stored
 
 SHINGLE = 5
 #: Links need 100 * shared >= PERCENT * united.
 PERCENT = 80
 #: Tokens that a bucket of token hashes holds, about.
 BUCKET_TOKENS = 2_000_000
+#: From the second round on, the sets of a list of this length at most are all compared, which ends it.
+FEW = 16
 #: Tokens that a task gathers before it sends them to their buckets.
 CHUNK_TOKENS = 1_000_000
 
@@ -337,16 +340,22 @@ def _shared_counts(pairs: DataFrame, ordered: DataFrame) -> DataFrame:
 
 
 def _outside(members: DataFrame, ordered: DataFrame) -> DataFrame:
-    """Entries of the next lists: sets under their tokens outside the leader, as far as the prefix
-    filter asks: a link needs ``need - shared with the leader`` of them."""
+    """Entries of the next lists: sets under their tokens outside the leader.
+
+    A partner is no smaller than the leader, so a link needs PERCENT / (100 + PERCENT) of both sizes
+    in shared tokens, of which the set can share no more inside the leader than it shares with the
+    leader. The rest has to come from outside, which sets the length of the prefix, rarest first.
+    """
 
     def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             tokens = []
-            for n, one, other in zip(batch["_n"], batch["_shared"], batch["_lead_shared"]):
+            for n, lead_n, one, other in zip(
+                batch["_n"], batch["_lead_n"], batch["_shared"], batch["_lead_shared"]
+            ):
                 own, lead = np.frombuffer(one, dtype=U64), np.frombuffer(other, dtype=U64)
                 out = own[~np.isin(own, lead, assume_unique=True)]
-                need = max(1, -(-n * PERCENT // 100) - (len(own) - len(out)))
+                need = max(1, -(-(n + lead_n) * PERCENT // (100 + PERCENT)) - (len(own) - len(out)))
                 tokens.append(out[: max(0, len(out) - need + 1)].view(np.int64))
             sizes = [len(out) for out in tokens]
             yield pd.DataFrame(
@@ -361,7 +370,7 @@ def _outside(members: DataFrame, ordered: DataFrame) -> DataFrame:
             )
 
     chosen = _with_sets(members, ordered).select(
-        "_next", "_rep", "_band", "_n", "_shared", "_lead_shared"
+        "_next", "_rep", "_band", "_n", "_shared", "_lead_n", "_lead_shared"
     )
     return chosen.mapInPandas(listed, _LIST_SCHEMA)
 
@@ -370,23 +379,28 @@ def _links(ordered: DataFrame) -> DataFrame:
     """Links (``_a``, ``_b``) that join all sets which any chain of links joins.
 
     Each round compares the sets of a list with its smallest and with the one of the smallest id,
-    takes components, and carries on only lists whose sets are still in several components.
+    takes components, and carries on only lists whose sets are still in several components. Lists
+    that have become short are compared whole.
     """
-    lists = cut_lineage(_first_lists(ordered))
-    edges: DataFrame | None = None
+    lists, few = stored(_first_lists(ordered)), 0
+    edges = _no_edges(ordered)
+    comps = edges.select(F.col("_a").alias("_node"), F.col("_b").alias("_comp"))
     while True:
-        leads = (
-            lists.groupBy(*_LIST)
+        leads = stored(
+            _with_components(lists, comps)
+            .groupBy(*_LIST)
             .agg(
-                F.count(F.lit(1)).alias("_of"),
                 F.min(F.struct("_n", "_rep", "_most")).alias("_small"),
                 F.min(F.struct("_rep", "_n", "_most")).alias("_early"),
+                F.min("_comp").alias("_low"),
+                F.max("_comp").alias("_high"),
+                F.count(F.lit(1)).alias("_of"),
             )
-            .where(F.col("_of") > 1)
+            .where(F.col("_low") != F.col("_high"))
+            .select(*_LIST, "_small", "_early", (F.col("_of") <= few).alias("_few"))
         )
-        leads = cut_lineage(leads)
         if leads.isEmpty():
-            return edges if edges is not None else _no_edges(ordered)
+            return edges
         entries = lists.join(leads, _LIST)
         both = F.explode(F.array("_small", F.struct("_early._n", "_early._rep", "_early._most")))
         pairs = (
@@ -394,14 +408,18 @@ def _links(ordered: DataFrame) -> DataFrame:
             .where(F.col("_rep") != F.col("_with._rep"))
             .where(_may_link(F.col("_n"), F.col("_most"), F.col("_with._n"), F.col("_with._most")))
             .select("_rep", F.col("_with._rep").alias("_lead"))
-            .distinct()
         )
+        short = entries.where("_few").select(*_LIST, "_rep", "_n")
+        other = short.select(*_LIST, F.col("_rep").alias("_lead"), F.col("_n").alias("_lead_n"))
+        every = short.join(other, _LIST).where(
+            (F.col("_lead") < F.col("_rep"))
+            & _may_link(F.col("_n"), F.lit(_NO_LIMIT), F.col("_lead_n"), F.lit(_NO_LIMIT))
+        )
+        pairs = pairs.union(every.select("_rep", "_lead")).distinct()
         found = _shared_counts(pairs, ordered).select(F.col("_rep").alias("_a"), F.col("_lead").alias("_b"))
-        edges = cut_lineage(found if edges is None else edges.union(found))
+        edges = stored(edges.union(found))
         comps = connected(edges)
-        named = entries.join(comps, F.col("_rep") == F.col("_node"), "left").select(
-            *_LIST, "_rep", "_n", "_small", F.coalesce("_comp", "_rep").alias("_comp")
-        )
+        named = _with_components(entries.where(~F.col("_few")), comps)
         mixed_lists = (
             named.groupBy(*_LIST)
             .agg(F.min("_comp").alias("_low"), F.max("_comp").alias("_high"))
@@ -419,7 +437,13 @@ def _links(ordered: DataFrame) -> DataFrame:
             )
             .distinct()
         )
-        lists = cut_lineage(_outside(members, ordered))
+        lists = stored(_outside(members, ordered))
+        few = FEW
+
+
+def _with_components(entries: DataFrame, comps: DataFrame) -> DataFrame:
+    met = entries.join(comps, F.col("_rep") == F.col("_node"), "left")
+    return met.withColumn("_comp", F.coalesce("_comp", "_rep")).drop("_node")
 
 
 def _may_link(n: Column, most: Column, lead_n: Column, lead_most: Column) -> Column:
@@ -445,10 +469,10 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     documents that share most of their shingles with others are shuffled.
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_text"))
-    measured = cut_lineage(_measure(rows))
+    measured = stored(_measure(rows))
     sized = measured.where(F.col("_n") > 0).where(F.col("_id").isNotNull())
     alike = ["_p1", "_p2", "_n"]
-    classes = cut_lineage(sized.groupBy(*alike).agg(F.min("_id").alias("_rep")))
+    classes = stored(sized.groupBy(*alike).agg(F.min("_id").alias("_rep")))
     total = classes.agg(F.sum("_n").alias("n")).first()["n"] or 0
     everything = measured.agg(F.sum("_n").alias("n")).first()["n"] or 0
     links = _class_links(rows, classes, int(everything), int(total))
@@ -473,8 +497,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def _class_links(rows: DataFrame, classes: DataFrame, everything: int, total: int) -> DataFrame:
-    sharing = cut_lineage(_sharing_sets(rows, -(-everything // BUCKET_TOKENS) or 1))
-    chosen = cut_lineage(classes.join(sharing, "_p1").select("_rep", "_p1", "_n"))
+    sharing = stored(_sharing_sets(rows, -(-everything // BUCKET_TOKENS) or 1))
+    chosen = stored(classes.join(sharing, "_p1").select("_rep", "_p1", "_n"))
     kept = chosen.agg(F.sum("_n").alias("n")).first()["n"] or 0
 
     def gathered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -490,7 +514,7 @@ def _class_links(rows: DataFrame, classes: DataFrame, everything: int, total: in
 
     texts = rows.join(chosen.select(F.col("_rep").alias("_id"), "_p1"), "_id")
     sets = texts.mapInPandas(gathered, "_rep bigint, _tokens binary")
-    ordered = cut_lineage(_ordered_sets(sets, -(-int(kept) // BUCKET_TOKENS) or 1))
+    ordered = stored(_ordered_sets(sets, -(-int(kept) // BUCKET_TOKENS) or 1))
     return _links(ordered)
 
 
@@ -502,4 +526,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     found = similar_documents(docs, id_col, text_col)
     gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone.distinct(), F.col(id_col) == F.col("_gone"), "left_anti")
+    same = F.col(plain_name(docs, id_col)) == F.col("_gone")
+    return restored(plain(docs).join(gone.distinct(), same, "left_anti"), docs)
