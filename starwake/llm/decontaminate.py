@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from starwake.llm.columns import plain, plain_name, restored
 from starwake.llm.text import ascii_lower
 
 SHINGLE = 5
@@ -128,9 +129,10 @@ def find_leaks(
         .withColumn("_width", F.least(F.lit(SHINGLE), F.col("_size")))
     )
     widths = [row["_width"] for row in targets.select("_width").distinct().collect()]  # 5 at most
-    texts = docs.select(
-        F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("_tag"), _words(text_col).alias("_words")
+    rows = docs.select(
+        F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("_tag"), F.col(text_col).alias("_text")
     )
+    texts = rows.select("doc_id", "_tag", _words("_text").alias("_words"))
     windows = None
     for width in sorted(widths):
         hashes = _shingle_hashes(F.col("_words"), width)
@@ -161,9 +163,11 @@ def find_leaks(
         .agg(F.collect_list(F.struct("start", "_size")).alias("_windows"))
         .withColumnsRenamed({"doc_id": "_doc", "_tag": "_tag_of"})
     )
-    met = texts.join(of_doc, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_tag") == F.col("_tag_of")))
+    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_tag") == F.col("_tag_of"))
+    met = rows.join(of_doc, same)  # texts are moved whole and split afterwards, words would be larger
     cut = (
-        met.select("doc_id", "_tag", "_words", F.explode("_windows").alias("_window"))
+        met.select("doc_id", "_tag", _words("_text").alias("_words"), "_windows")
+        .select("doc_id", "_tag", "_words", F.explode("_windows").alias("_window"))
         .select(
             "doc_id",
             "_tag",
@@ -235,5 +239,6 @@ def drop_leaks(
     """The documents in which no item was found, with all their columns."""
     found = find_leaks(docs, items, id_col, text_col, **options)
     leaked = found.select(F.col("doc_id").alias("_leaked"), F.col("_tag").alias("_leaked_tag")).distinct()
-    same = F.col(id_col).eqNullSafe(F.col("_leaked")) & (F.xxhash64(text_col) == F.col("_leaked_tag"))
-    return docs.join(leaked, same, "left_anti")
+    own_id, own_text = plain_name(docs, id_col), plain_name(docs, text_col)
+    same = F.col(own_id).eqNullSafe(F.col("_leaked")) & (F.xxhash64(own_text) == F.col("_leaked_tag"))
+    return restored(plain(docs).join(leaked, same, "left_anti"), docs)

@@ -26,7 +26,7 @@ from starwake.llm import packed
 from starwake.llm.columns import plain, plain_name, restored
 from starwake.llm.components import connected
 from starwake.llm.packed import U64, mixed
-from starwake.llm.stored import stored
+from starwake.llm.stored import small_batches, stored
 
 SHINGLE = 5
 #: Links need 100 * shared >= PERCENT * united.
@@ -469,21 +469,25 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     documents that share most of their shingles with others are shuffled.
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_text"))
-    measured = stored(_measure(rows))
-    sized = measured.where(F.col("_n") > 0).where(F.col("_id").isNotNull())
     alike = ["_p1", "_p2", "_n"]
-    classes = stored(sized.groupBy(*alike).agg(F.min("_id").alias("_rep")))
-    total = classes.agg(F.sum("_n").alias("n")).first()["n"] or 0
-    everything = measured.agg(F.sum("_n").alias("n")).first()["n"] or 0
-    links = _class_links(rows, classes, int(everything), int(total))
-    own = sized.join(classes, alike).select("_id", "_rep")
-    twice = (
-        own.groupBy("_id")
-        .agg(F.min("_rep").alias("_low"), F.max("_rep").alias("_high"), F.collect_set("_rep").alias("_all"))
-        .where(F.col("_low") != F.col("_high"))
-        .select(F.col("_low").alias("_a"), F.explode("_all").alias("_b"))
-    )
-    comps = connected(links.union(twice))
+    with small_batches(docs.sparkSession):
+        measured = stored(_measure(rows))
+        sized = measured.where(F.col("_n") > 0).where(F.col("_id").isNotNull())
+        classes = stored(sized.groupBy(*alike).agg(F.min("_id").alias("_rep")))
+        total = measured.agg(F.sum("_n").alias("n")).first()["n"] or 0
+        links = _class_links(rows, classes, int(total))
+        twice = (
+            sized.join(classes, alike)
+            .groupBy("_id")
+            .agg(
+                F.min("_rep").alias("_low"),
+                F.max("_rep").alias("_high"),
+                F.collect_set("_rep").alias("_all"),
+            )
+            .where(F.col("_low") != F.col("_high"))
+            .select(F.col("_low").alias("_a"), F.explode("_all").alias("_b"))
+        )
+        comps = connected(links.union(twice))
     placed = (
         measured.join(classes, alike, "left")
         .join(comps, F.col("_rep") == F.col("_node"), "left")
@@ -496,8 +500,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     )
 
 
-def _class_links(rows: DataFrame, classes: DataFrame, everything: int, total: int) -> DataFrame:
-    sharing = stored(_sharing_sets(rows, -(-everything // BUCKET_TOKENS) or 1))
+def _class_links(rows: DataFrame, classes: DataFrame, total: int) -> DataFrame:
+    sharing = stored(_sharing_sets(rows, -(-total // BUCKET_TOKENS) or 1))
     chosen = stored(classes.join(sharing, "_p1").select("_rep", "_p1", "_n"))
     kept = chosen.agg(F.sum("_n").alias("n")).first()["n"] or 0
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from starwake.llm.columns import plain, plain_name
 from starwake.llm.text import ascii_lower, stripped
 from starwake.session import cut_lineage
 
@@ -42,9 +43,11 @@ def drop_common_lines(
     sends one row per task; in the join such a line is split by Spark's skew handling, which needs
     the counted side to be stored, hence the checkpoint.
     """
-    keys = F.transform(F.split(ascii_lower(_text(text_col)), "\n", -1), stripped)
-    lines = docs.select(
-        F.col(id_col).alias("_id"), F.xxhash64(_text(text_col)).alias("_tag"), keys.alias("_keys")
+    rows = plain(docs)
+    own_id, own_text = plain_name(docs, id_col), plain_name(docs, text_col)
+    keys = F.transform(F.split(ascii_lower(_text(own_text)), "\n", -1), stripped)
+    lines = rows.select(
+        F.col(own_id).alias("_id"), F.xxhash64(_text(own_text)).alias("_tag"), keys.alias("_keys")
     )
     long_enough = F.char_length("_key") >= min_chars
     common = cut_lineage(
@@ -65,19 +68,18 @@ def drop_common_lines(
         .groupBy("_id", "_tag")
         .agg(F.collect_set("_at").alias("_gone"))
     )
-    tagged = docs.withColumn("_tag_of_row", F.xxhash64(_text(text_col)))
-    same = F.col(id_col).eqNullSafe(dropped["_id"]) & (F.col("_tag_of_row") == dropped["_tag"])
-    split = F.split(_text(text_col), "\n", -1)
-    places = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("_gone"))
-    kept = F.array_join(F.transform(places, lambda at: F.get(split, at)), "\n")
-    return tagged.join(dropped, same, "left").select(
+    same = F.col(own_id).eqNullSafe(F.col("_id")) & (F.xxhash64(_text(own_text)) == F.col("_tag"))
+    # A column of its own, or each line would split the text anew.
+    met = rows.join(dropped, same, "left").withColumn("_split", F.split(_text(own_text), "\n", -1))
+    places = F.array_except(F.sequence(F.lit(0), F.size("_split") - 1), F.col("_gone"))
+    kept = F.array_join(F.transform(places, lambda at: F.get("_split", at)), "\n")
+    text = F.when(F.col("_gone").isNull(), _text(own_text)).otherwise(kept)
+    return met.select(
         *[
-            F.when(F.col("_gone").isNull(), _text(text_col)).otherwise(kept).alias(text_col)
-            if name == text_col
-            else docs[name]
+            (text if name == text_col else F.col(plain_name(docs, name))).alias(name)
             for name in docs.columns
             if name not in ("n_lines", "n_dropped")
         ],
-        F.size(split).cast("bigint").alias("n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("bigint").alias("n_dropped"),
+        F.size("_split").cast("bigint").alias("n_lines"),
+        F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("bigint").alias("n_dropped"),
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from starwake.llm.columns import plain, plain_name, restored
 from starwake.llm.text import n_words
 from starwake.session import cut_lineage
 
@@ -191,21 +192,22 @@ def mix_documents(
         F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "_tag", "copies"
     )
     plan = plan.groupBy(*same).agg(F.sort_array(F.collect_list("copies"), asc=False).alias("_copies"))
-    rows = docs.withColumns(
+    own = [plain_name(docs, name) for name in (id_col, source_col, text_col)]
+    rows = plain(docs).withColumns(
         {
-            "_id_of_row": F.col(id_col),
-            "_source_of_row": F.col(source_col),
-            "_tag_of_row": F.xxhash64(text_col),
+            "_id_of_row": F.col(own[0]),
+            "_source_of_row": F.col(own[1]),
+            "_tag_of_row": F.xxhash64(own[2]),
         }
     )
     of_row = [f"{name}_of_row" for name in same]
     nth = F.row_number().over(Window.partitionBy(*of_row).orderBy(F.lit(0)))
-    match = [F.col(f"{name}_of_row").eqNullSafe(plan[name]) for name in same]
-    return (
+    match = [F.col(f"{name}_of_row").eqNullSafe(F.col(name)) for name in same]
+    taken = (
         rows.withColumn("_nth", nth)
         .join(plan, match[0] & match[1] & match[2])
         .withColumn("_take", F.get("_copies", F.col("_nth") - 1))
         .where(F.col("_take").isNotNull())
         .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_take"))))
-        .select(*[rows[name] for name in docs.columns])
     )
+    return restored(taken, docs)

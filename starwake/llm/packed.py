@@ -51,7 +51,7 @@ def _powers(log_size: int) -> tuple[np.ndarray, np.ndarray]:
     return pair[0], pair[1]
 
 
-def slices(texts: Sequence[bytes], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def slices(texts: Sequence[bytes], most: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about ``most`` bytes, or of one longer text, to bound memory."""
     begin, held = 0, 0
     for at, text in enumerate(texts):

@@ -23,8 +23,8 @@ from starwake.session import fresh_path
 END_ID = 1
 #: Code points of text that a shard holds, about.
 SHARD_CHARS = 8_000_000
-#: Encoded words that a task remembers before it starts anew.
-REMEMBERED = 400_000
+#: Encoded words that a Python worker remembers before it starts anew.
+REMEMBERED = 500_000
 
 SHARD_SCHEMA = (
     "shard bigint, part bigint, n_docs bigint, n_tokens bigint, width int, ids binary, "
@@ -37,7 +37,8 @@ class WordEncoder:
 
     White space separates tokens of this kind of vocabulary and is dropped, so a text's ids are
     those of its words in order. A word that is new is split once more where letters are followed by
-    full stops or commas only, which is where its pre-tokenizer splits too.
+    full stops or commas only, which is where its pre-tokenizer splits too. Words of letters are
+    encoded many at a time: each ends with the one token that carries the end mark.
     """
 
     def __init__(self, path: str, width: str) -> None:
@@ -45,29 +46,66 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.width = width
+        self.width = np.dtype(width)
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        mark = self.tokenizer.model.end_of_word_suffix
+        if mark:
+            self.last[[at for token, at in vocabulary.items() if token.endswith(mark)]] = True
         self.known: dict[str, bytes] = {"": b""}
 
     def _encode(self, words: list[str]) -> None:
-        for word, found in zip(words, self.tokenizer.encode_batch(words, add_special_tokens=False)):
-            self.known[word] = np.array(found.ids, dtype=self.width).tobytes()
+        found = self.tokenizer.encode_batch(words, add_special_tokens=False)
+        for word, one in zip(words, found):
+            self.known[word] = np.array(one.ids, dtype=self.width).tobytes()
+
+    def _encode_letters(self, words: list[str]) -> None:
+        parts = [words[low : low + 100] for low in range(0, len(words), 100)]
+        lines = [" ".join(part) for part in parts]
+        for part, found in zip(parts, self.tokenizer.encode_batch(lines, add_special_tokens=False)):
+            ids = np.array(found.ids, dtype=np.int64)
+            ends = np.flatnonzero(self.last[ids]) + 1 if len(ids) else ids
+            if len(ends) != len(part) or ends[-1] != len(ids):
+                self._encode(part)
+                continue
+            raw, size = ids.astype(self.width).tobytes(), self.width.itemsize
+            bounds = [0, *(ends * size).tolist()]
+            for word, begin, end in zip(part, bounds, bounds[1:]):
+                self.known[word] = raw[begin:end]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > REMEMBERED:
             self.known = {"": b""}
+        known = self.known
         parts = [text.replace("\n", " ").split(" ") for text in texts]
-        new = set().union(*parts).difference(self.known)
-        split = {}
-        for word in new:
+        split, letters, others = {}, set(), set()
+        for word in set().union(*parts).difference(known):
             core = word.rstrip(".,")
-            if core.isascii() and core.isalpha():
-                split[word] = (core.lower(), word[len(core) :])
-        whole = new.difference(split)
-        whole.update(piece for pair in split.values() for piece in pair if piece not in self.known)
-        self._encode(list(whole))
+            if not core.isalpha():
+                others.add(word)
+                continue
+            tail = word[len(core) :]
+            core = core.lower() if core.isascii() else core
+            split[word] = (core, tail)
+            if core not in known:
+                letters.add(core)
+            if tail not in known:
+                others.add(tail)
+        self._encode(list(others))
+        self._encode_letters(list(letters))
         for word, (core, tail) in split.items():
-            self.known[word] = self.known[core] + self.known[tail]
-        return [b"".join(map(self.known.__getitem__, words)) for words in parts]
+            known[word] = known[core] + known[tail]
+        return [b"".join(map(known.__getitem__, words)) for words in parts]
+
+
+def _encoder(path: str, width: str) -> WordEncoder:
+    """The encoder of this Python worker, which Spark uses for many tasks: words stay remembered."""
+    import tokenizers
+
+    kept = vars(tokenizers).setdefault("_starwake_encoders", {})
+    if (path, width) not in kept:
+        kept[path, width] = WordEncoder(path, width)
+    return kept[path, width]
 
 
 # Minimal perfect hashing -----------------------------------------------------------------------
@@ -185,7 +223,7 @@ def encode_documents(
 
     @F.pandas_udf("binary")
     def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = WordEncoder(tokenizer_path, f"<u{width}")
+        encoder = _encoder(tokenizer_path, f"<u{width}")
         end = np.array([end_id], dtype=f"<u{width}").tobytes()
         for texts in batches:
             ids: list[bytes] = []

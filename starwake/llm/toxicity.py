@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from starwake.llm import packed
 
 #: Bounds of the sample that is fitted: documents with label 0 and 1, and words in all of them.
-MAX_DOCS = (5_000, 2_000)
-MAX_WORDS = 3_500_000
+MAX_DOCS = (3_600, 1_400)
+MAX_WORDS = 2_500_000
 #: Words are hashed to 2^BITS weights.
 BITS = 18
 #: Besides the word itself, its first bytes of these lengths are features, for endings and compounds.
@@ -190,13 +190,17 @@ def train(
     doc_of_sentence = np.repeat(np.arange(len(per_doc)), per_doc)
     sentence_of = np.repeat(np.repeat(np.arange(len(length), dtype=np.int32), length), PARTS)
     flat = feature.ravel()
-    in_doc = np.unique(doc_of_sentence[sentence_of].astype(np.int64) << BITS | flat)
-    frequent = np.bincount(in_doc & ((1 << BITS) - 1), minlength=1 << BITS) >= MIN_DOCS
+    bound = np.append(np.concatenate([[0], np.cumsum(length)])[doc], len(feature))
+    docs_with = np.zeros(1 << BITS, dtype=np.int32)
+    for low, high in zip(bound[:-1], bound[1:]):
+        docs_with[np.unique(feature[low:high])] += 1
+    frequent = docs_with >= MIN_DOCS
     frequent[0] = False
     kept = frequent[flat]
     sentence_of = sentence_of[kept]
     names = np.flatnonzero(frequent)
     column = (np.cumsum(frequent, dtype=np.int32) - 1)[flat[kept]]
+    del flat, kept
     weights, bias = np.zeros(len(names)), -6.0
     moment, square = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
     positive = label > 0
