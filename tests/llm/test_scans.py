@@ -41,7 +41,7 @@ def test_licenses_against_brute_force(spark):
             (min(hits)[0], max(hits)[0]) if hits else (None, None)
         )
         assert r.base_labels == ",".join(sorted({label for _, label in hits}))
-        assert set(r.base_labels.split(",")) <= set(r.labels.split(","))
+        assert {label for _, label in hits} <= set(r.labels.split(","))
         assert 0 <= r.score <= 1
     assert by_id[8].labels == "apache,apache-2.0"
     assert by_id[3].score == 0 and by_id[6].choices == []
