@@ -285,7 +285,7 @@ def ai_signal(t: Testbed) -> DataFrame:
         F.col("text").alias("repo_readme_text"),
         F.lit("[]").alias("repo_issues_json"),
     )
-    return cl.ai_signal(docs, readme_chars=None).select("doc_id", "signal_category", "ai_signal")
+    return cl.ai_signal(docs).select("doc_id", "signal_category", "ai_signal")
 
 
 HISTORY_SQL = """

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from starwake.checks import check
 from starwake.checks.rolling import HISTORY, MOVERS
 from starwake.checks.sql import (
+    EFFECTIVE,
     NEWEST_STARS,
     NOW,
     STAR,
@@ -49,10 +50,10 @@ def top_repos(t: Testbed) -> DataFrame:
     "top_repos_category",
     METRICS
     + f"""SELECT {meta_row(PUSHED)}, star_count_in_window FROM meta JOIN metrics USING (repo_key)
-          WHERE category = 'LLM' ORDER BY {RECENT} LIMIT 20""",
+          WHERE {EFFECTIVE} = 'Agent' ORDER BY {RECENT} LIMIT 20""",
 )
 def top_repos_category(t: Testbed) -> DataFrame:
-    return rp.top_repos(t.metadata(), t.events(), AS_OF, category="LLM")
+    return rp.top_repos(t.metadata(), t.events(), AS_OF, category="Agent")
 
 
 @check(
@@ -442,9 +443,9 @@ def headline_totals(t: Testbed) -> DataFrame:
 
 @check(
     "repos_to_enrich",
-    f""", active AS (SELECT repo_key, count(*) AS event_count FROM gh WHERE {window(30)}
-                     GROUP BY 1 ORDER BY event_count DESC, repo_key LIMIT 100)
-    SELECT * FROM active WHERE repo_key NOT IN (SELECT repo_key FROM meta)""",
+    f""", active AS (SELECT repo_key, count(*) AS event_count FROM gh WHERE {window(30)} GROUP BY 1)
+    SELECT * FROM active WHERE repo_key NOT IN (SELECT repo_key FROM meta)
+    ORDER BY event_count DESC, repo_key LIMIT 100""",
 )
 def repos_to_enrich(t: Testbed) -> DataFrame:
     return rp.repos_to_enrich(t.events(), t.metadata(), AS_OF)

@@ -54,6 +54,17 @@ def search_candidates(t: Testbed) -> DataFrame:
     return se.search_candidates(_pool(t, min_stars=1000), 40)
 
 
+@check(
+    "search_category",
+    POOL
+    + """SELECT * EXCLUDE (topic_list) FROM pool WHERE category = 'Agent'
+         ORDER BY star_count_in_window DESC, stargazers_count DESC, github_pushed_at DESC,
+                  repo_full_name LIMIT 40""",
+)
+def search_category(t: Testbed) -> DataFrame:
+    return se.search_candidates(_pool(t, category="Agent"), 40)
+
+
 @check(
     "search_candidates_raw",
     rollup("r", "repo_stargazers_count >= 1000", star=f"{STAR} AND {window(30)}")

@@ -17,7 +17,7 @@ from starwake.sources import archive as ar
 from starwake.sources import tables
 from starwake.sources.repo_files import good_files, parse_repo_files
 from starwake.streaming import ingest, supervise
-from starwake.testbed import AS_OF, EVENTS_SCHEMA, Testbed, sql_classify
+from starwake.testbed import AS_OF, Testbed, sql_classify
 
 ARCHIVE_COLUMNS = [*EVENT_COLUMNS[:12], "event_date"]
 
@@ -356,47 +356,59 @@ def stream_dual_sink(t: Testbed) -> DataFrame:
     "SELECT event_id, 1::BIGINT AS copies FROM gh",
 )
 def stream_dedup_events(t: Testbed) -> DataFrame:
-    records = ingest.text_source(t.spark, _landed(t))
-    base = fresh_path(t.spark, "dedup")
-    events = ingest.dedup_events(ingest.clean_stream(records)).select("event_id", "created_at")
-    query = ingest.start_parquet_sink(
-        events, f"{base}/out", f"{base}/checkpoint", "dedup", once=True
-    )
-    supervise.finish([query])
-    rows = t.spark.read.parquet(f"{base}/out")
+    rows = t.spark.read.parquet(f"{_ingest(t)}/events")
     return rows.groupBy("event_id").agg(F.count(F.lit(1)).alias("copies"))
 
 
-def _event_stream(t: Testbed) -> DataFrame:
-    """The test table itself as a stream."""
-    raw = t.spark.readStream.schema(EVENTS_SCHEMA).parquet(f"{t.dir}/events*.parquet")
-    return raw.select(
-        F.col("event_id").cast("string").alias("event_id"),
-        "event_type",
-        F.col("user_id").cast("string").alias("repo_name"),
-        F.col("ts").alias("created_at"),
-    )
+def _out_of_order(t: Testbed) -> str:
+    """An ingest in micro-batches of one file: the latest third of the days first, each file with
+    copies of rows from another one, and lines that are no events."""
+    base, landed = fresh_path(t.spark, "late"), fresh_path(t.spark, "landed")
+    events = t.events()
+    third = F.pmod(F.dayofyear("created_at"), F.lit(3))
+    for part in (2, 0, 1):
+        mine = events.where(third == part)
+        again = events.where((third == (part + 1) % 3) & (F.hour("created_at") == 3))
+        lines = cl.to_wire_event(mine.unionByName(again)).select("value").coalesce(1)
+        lines.write.mode("append").text(landed)
+    broken = t.spark.createDataFrame([("{broken",), ("",)], "value string").coalesce(1)
+    broken.write.mode("append").text(landed)
+    records = ingest.text_source(t.spark, landed, max_files=1)
+    supervise.finish(ingest.start_ingest(records, base, once=True))
+    return base
+
+
+@check(
+    "stream_late_events",
+    """SELECT sink, event_id FROM gh, (VALUES ('archive'), ('events'), ('history')) AS sinks(sink)""",
+)
+def stream_late_events(t: Testbed) -> DataFrame:
+    """Every event once in every table, though most days come after later ones."""
+    base = _out_of_order(t)
+    report = None
+    for sink, key in (("archive", "event_id"), ("events", "event_id"), ("history", "snapshot_key")):
+        rows = t.spark.read.parquet(f"{base}/{sink}").select(
+            F.lit(sink).alias("sink"), F.col(key).alias("event_id")
+        )
+        report = rows if report is None else report.unionByName(rows)
+    return report
+
+
+@check("stream_quarantine", "SELECT 'undecodable' AS reason, 2::BIGINT AS rows")
+def stream_quarantine(t: Testbed) -> DataFrame:
+    rows = t.spark.read.parquet(f"{_out_of_order(t)}/quarantine")
+    return rows.groupBy("reason").agg(F.count(F.lit(1)).alias("rows"))
 
 
 @check(
     "stream_hourly_counts",
-    """SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS window_start,
-              CAST(date_trunc('hour', ts) AS TIMESTAMP) + INTERVAL 1 HOUR AS window_end,
-              CAST(user_id AS VARCHAR) AS repo_name, event_type, count(*) AS event_count
-       FROM events
-       WHERE CAST(date_trunc('hour', ts) AS TIMESTAMP) + INTERVAL 1 HOUR
-             <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE
-       GROUP BY ALL""",
+    """SELECT CAST(date_trunc('hour', created_at) AS TIMESTAMP) AS window_start,
+              CAST(date_trunc('hour', created_at) AS TIMESTAMP) + INTERVAL 1 HOUR AS window_end,
+              repo_name, event_type, count(*) AS event_count
+       FROM gh GROUP BY ALL""",
 )
 def stream_hourly_counts(t: Testbed) -> DataFrame:
-    """Closed windows only: the last hours stay open behind the watermark."""
-    base = fresh_path(t.spark, "hourly")
-    stream = _event_stream(t).withWatermark("created_at", ingest.WATERMARK)
-    query = ingest.start_parquet_sink(
-        ingest.hourly_counts(stream), f"{base}/out", f"{base}/checkpoint", "hourly", once=True
-    )
-    supervise.finish([query])
-    return t.spark.read.parquet(f"{base}/out")
+    return ingest.read_hourly_counts(t.spark, _out_of_order(t))
 
 
 @check(

@@ -12,10 +12,8 @@ from starwake.vocab import (
     AI_SIGNAL_WORDS,
     CATEGORY_PHRASES,
     CATEGORY_TOPICS,
-    ISSUE_TITLES,
     LOOSE_CATEGORY_WORDS,
     OTHER,
-    README_CHARS,
 )
 
 
@@ -71,9 +69,10 @@ def signal_text(
     description: Column,
     readme: Column,
     issue_titles: Column,
-    readme_chars: int | None = README_CHARS,
+    readme_chars: int | None = None,
+    max_titles: int | None = None,
 ) -> Column:
-    """Description, README and the first issue titles as one text."""
+    """Description, README and issue titles as one text; limits cut the latter two."""
     readme_part = strip(text_or_empty(readme))
     if readme_chars is not None:
         readme_part = F.substring(readme_part, 1, readme_chars)
@@ -83,7 +82,7 @@ def signal_text(
     parts = [
         strip(text_or_empty(description)),
         readme_part,
-        F.array_join(F.slice(titles, 1, ISSUE_TITLES), " "),
+        F.array_join(titles if max_titles is None else F.slice(titles, 1, max_titles), " "),
     ]
     return F.concat_ws(" ", *[F.nullif(part, F.lit("")) for part in parts])
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from starwake.vocab import HOST_URL, QUERY_TERM, SEARCH_DOCUMENT_CHARS
+from starwake.vocab import HOST_URL, QUERY_TERM
 
 BLANKS = " \t\n\r\f\x0b"
 
@@ -92,7 +92,7 @@ def search_document(
     category: Column,
     topics: Column,
     description: Column,
-    max_chars: int | None = SEARCH_DOCUMENT_CHARS,
+    max_chars: int | None = None,
 ) -> Column:
     """The text a search looks at: the non-empty parts joined by blanks."""
     parts = [full_name, name, owner, language, category, F.array_join(topics, " "), description]

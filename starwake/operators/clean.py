@@ -9,7 +9,7 @@ from starwake.functions import classify as cat
 from starwake.functions import text as tx
 from starwake.functions.times import Moment, day, moment, parse_iso
 from starwake.schemas import EVENT_COLUMNS, EVENT_TABLE, HISTORY_COLUMNS, METADATA_COLUMNS
-from starwake.vocab import KNOWN_EVENT_TYPES, MAX_REPO_ID, README_CHARS
+from starwake.vocab import KNOWN_EVENT_TYPES, MAX_REPO_ID
 
 # --------------------------------------------------------------------------- raw events
 
@@ -115,15 +115,20 @@ def derive_event_date(events: DataFrame) -> DataFrame:
     return events.withColumn("event_date", F.to_date("created_at"))
 
 
-def ai_signal(events: DataFrame, readme_chars: int | None = README_CHARS) -> DataFrame:
-    """Category and AI signal of the text around a repository. A label, never a filter."""
+def ai_signal(
+    events: DataFrame, readme_chars: int | None = None, max_titles: int | None = None
+) -> DataFrame:
+    """Category and AI signal of the text around a repository. A label, never a filter.
+
+    The whole README and all issue titles are looked at unless a limit is given.
+    """
     titles = (
         F.col("issue_titles")
         if "issue_titles" in events.columns
         else F.from_json("repo_issues_json", "array<struct<title:string>>").getField("title")
     )
     text = cat.signal_text(
-        F.col("repo_description"), F.col("repo_readme_text"), titles, readme_chars
+        F.col("repo_description"), F.col("repo_readme_text"), titles, readme_chars, max_titles
     )
     labelled = events.withColumn("_text", F.lower(text)).withColumn(
         "signal_category", cat.classify_lowered(F.col("repo_topics"), F.col("_text"))

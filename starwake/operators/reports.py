@@ -37,6 +37,11 @@ def _in_category(repos: DataFrame, category: str | None) -> DataFrame:
     return repos if category is None else repos.where(F.col("category") == category)
 
 
+def may_be_in_category(repos: DataFrame, category: str | None) -> DataFrame:
+    """Rows that can have the category once a stored Other has been looked at again."""
+    return repos if category is None else repos.where(F.col("category").isin(category, OTHER))
+
+
 def _fresh_push(repos: DataFrame) -> DataFrame:
     """A push is at least as recent as the latest event seen."""
     return repos.withColumn(
@@ -56,7 +61,7 @@ def top_repos(
     category: str | None = None,
 ) -> DataFrame:
     """Repositories with metadata, by stars gained in the window."""
-    repos = _in_category(ru.latest_metadata(metadata), category)
+    repos = may_be_in_category(ru.latest_metadata(metadata), category)
     metrics = ru.window_star_metrics(events, as_of, days)
     joined = _fresh_push(repos.join(metrics, "repo_key")).select(*REPO_ROW, "star_count_in_window")
     classified = _in_category(with_effective_category(joined), category)
@@ -507,17 +512,16 @@ def headline_totals(summary: DataFrame) -> DataFrame:
 def repos_to_enrich(
     events: DataFrame, metadata: DataFrame, as_of: Moment, days: int = 30, limit: int = 100
 ) -> DataFrame:
-    """Most active repositories that have no metadata yet."""
-    active = top_k(
+    """The ``limit`` most active of the repositories that have no metadata yet."""
+    active = (
         ru.keyed(events)
         .where(in_window(F.col("created_at"), as_of, days))
         .groupBy("repo_key")
-        .agg(ru.count_rows().alias("event_count")),
-        [F.desc("event_count"), F.asc("repo_key")],
-        limit,
+        .agg(ru.count_rows().alias("event_count"))
     )
     known = metadata.select(tx.repo_key(F.col("repo_full_name")).alias("repo_key"))
-    return active.join(known, "repo_key", "left_anti")
+    unknown = active.join(known, "repo_key", "left_anti")
+    return top_k(unknown, [F.desc("event_count"), F.asc("repo_key")], limit)
 
 
 def enrich_events(events: DataFrame, metadata: DataFrame, spread: bool = True) -> DataFrame:

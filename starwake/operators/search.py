@@ -17,7 +17,8 @@ from starwake.operators.clean import (
     with_search_document,
 )
 from starwake.operators.ranking import top_k
-from starwake.vocab import QUERY_TERM, RELATED_REASONS, SEARCH_DOCUMENT_CHARS, SEARCH_REASONS
+from starwake.operators.reports import may_be_in_category
+from starwake.vocab import QUERY_TERM, RELATED_REASONS, SEARCH_REASONS
 
 HIT_KINDS = ["name", "topic", "language", "category", "description"]
 HIT_POINTS = {"name": 3.0, "topic": 2.5, "language": 2.25, "category": 2.25, "description": 1.5}
@@ -42,12 +43,14 @@ def search_pool(
     language: str | None = None,
 ) -> DataFrame:
     """Every repository a search may return, with its stored stars of the window."""
-    chosen = filter_catalog(ru.latest_metadata(metadata), min_stars, category, language)
+    chosen = filter_catalog(ru.latest_metadata(metadata), min_stars, None, language)
     stars = ru.sum_star_counts(star_counts, as_of, days)
     return (
-        chosen.join(stars, "repo_key", "left")
+        may_be_in_category(chosen, category)
+        .join(stars, "repo_key", "left")
         .withColumn("star_count_in_window", F.coalesce("star_count_in_window", F.lit(0)))
         .transform(with_effective_category)
+        .transform(lambda repos: filter_catalog(repos, category=category))
         .transform(with_search_document)
         .drop("repo_key")
     )
@@ -109,7 +112,7 @@ def with_lexical_score(pool: DataFrame, query: str) -> DataFrame:
     phrase, terms = _check_query(query), _terms(query)
     words = F.split(F.lit(" ".join(terms)), " ") if terms else tx.empty_list()
     rows = pool.withColumns(
-        {"_kinds": F.transform(words, _hits), "_document": F.lower(_limited_document())}
+        {"_kinds": F.transform(words, _hits), "_document": F.lower("search_document")}
     )
 
     def points_of(kind: Column) -> Column:
@@ -137,10 +140,6 @@ def with_lexical_score(pool: DataFrame, query: str) -> DataFrame:
     ).drop("_document")
 
 
-def _limited_document() -> Column:
-    return F.substring("search_document", 1, SEARCH_DOCUMENT_CHARS)
-
-
 def with_popularity(pool: DataFrame) -> DataFrame:
     return pool.withColumn(
         "popularity_score",

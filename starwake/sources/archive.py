@@ -25,7 +25,7 @@ def read_archive(spark: SparkSession, base: str) -> DataFrame:
     """All partitions; filters on the two directory columns prune directories."""
     if not has_partitions(spark, base):
         return spark.createDataFrame([], ARCHIVE)
-    return spark.read.schema(ARCHIVE).parquet(base)
+    return spark.read.schema(ARCHIVE).parquet(base).select(*ARCHIVE.names)
 
 
 def read_archive_range(
@@ -54,7 +54,8 @@ def arranged(events: DataFrame) -> DataFrame:
     return events.repartitionByRange(count, *SORTING).sortWithinPartitions(*SORTING)
 
 
-def _as_archive(events: DataFrame) -> DataFrame:
+def in_archive_form(events: DataFrame) -> DataFrame:
+    """The columns of the archive, null where an event lacks one."""
     have = set(events.columns)
     if "event_date" not in have:
         events = events.withColumn("event_date", F.to_date("created_at"))
@@ -71,7 +72,7 @@ def append_archive(events: DataFrame, base: str) -> int:
     """Append events to their partitions; returns the number of rows written."""
     seen = Observation()
     # Counted behind the shuffle: finding the ranges reads the rows once more before it.
-    rows = arranged(_as_archive(events)).observe(seen, F.count(F.lit(1)).alias("rows"))
+    rows = arranged(in_archive_form(events)).observe(seen, F.count(F.lit(1)).alias("rows"))
     rows.write.mode("append").partitionBy("event_date", "event_type").parquet(base)
     return seen.get["rows"]
 

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from starwake.functions.times import parse_iso
 from starwake.operators.clean import (
+    check_events,
     event_to_history,
     normalise_event_defaults,
     valid_events,
@@ -17,8 +18,8 @@ from starwake.operators.clean import (
 )
 from starwake.operators.reports import enrich_events
 from starwake.schemas import WIRE_EVENT
+from starwake.sources.archive import has_partitions, in_archive_form
 
-WATERMARK = "10 minutes"
 TRIGGER = "60 seconds"
 MAX_OFFSETS = 50_000
 FETCH_BYTES = 52_428_800
@@ -27,21 +28,26 @@ FETCH_BYTES = 52_428_800
 # --------------------------------------------------------------------------- sources
 
 
-def kafka_source_options(servers: str, topic: str) -> dict[str, str]:
+def kafka_source_options(
+    servers: str, topic: str, max_offsets: int = MAX_OFFSETS, fail_on_data_loss: bool = True
+) -> dict[str, str]:
+    """``max_offsets`` only paces the stream. Offsets that the broker has dropped are an error
+    unless ``fail_on_data_loss`` is turned off."""
     return {
         "kafka.bootstrap.servers": servers,
         "subscribe": topic,
         "startingOffsets": "latest",
-        "maxOffsetsPerTrigger": str(MAX_OFFSETS),
-        "failOnDataLoss": "false",
+        "maxOffsetsPerTrigger": str(max_offsets),
+        "failOnDataLoss": str(fail_on_data_loss).lower(),
         "kafka.fetch.max.bytes": str(FETCH_BYTES),
         "kafka.max.partition.fetch.bytes": str(FETCH_BYTES),
     }
 
 
-def kafka_source(spark: SparkSession, servers: str, topic: str) -> DataFrame:
+def kafka_source(spark: SparkSession, servers: str, topic: str, **options) -> DataFrame:
     """(key, value) text records of a topic. Needs the Kafka connector on the class path."""
-    raw = spark.readStream.format("kafka").options(**kafka_source_options(servers, topic)).load()
+    chosen = kafka_source_options(servers, topic, **options)
+    raw = spark.readStream.format("kafka").options(**chosen).load()
     return raw.select(F.col("key").cast("string"), F.col("value").cast("string"))
 
 
@@ -84,20 +90,27 @@ def undecodable(records: DataFrame) -> DataFrame:
 
 
 def clean_stream(records: DataFrame) -> DataFrame:
-    """Valid events with the watermark that all stateful steps share."""
-    events = valid_events(decode_events(records))
-    return events.withColumn("event_date", F.to_date("created_at")).withWatermark(
-        "created_at", WATERMARK
-    )
+    """Valid events with their date. No watermark: rows that come late stay."""
+    return valid_events(decode_events(records)).withColumn("event_date", F.to_date("created_at"))
+
+
+def quarantine(records: DataFrame) -> DataFrame:
+    """Records that are not stored as events, with the reason: ``undecodable`` or the field that
+    fails."""
+    broken = undecodable(records).select(F.lit("undecodable").alias("reason"), "value")
+    judged = check_events(decode_events(records)).where(F.col("reject_reason").isNotNull())
+    whole = F.to_json(F.struct(*[name for name in judged.columns if name != "reject_reason"]))
+    return broken.unionByName(judged.select(F.col("reject_reason").alias("reason"), whole.alias("value")))
 
 
-def dedup_events(events: DataFrame) -> DataFrame:
-    """One row per event id, as long as the watermark can tell."""
-    return events.dropDuplicatesWithinWatermark(["event_id"])
+def dedup_events(events: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """One row per event id and date, without those in ``known(event_id, event_date)``."""
+    once = events.dropDuplicates(["event_date", "event_id"])
+    return once if known is None else once.join(known, ["event_date", "event_id"], "left_anti")
 
 
 def hourly_counts(events: DataFrame) -> DataFrame:
-    """Events per tumbling hour, repository and type. A window is emitted once it is closed."""
+    """Events per hour, repository and type."""
     return (
         events.groupBy(F.window("created_at", "1 hour").alias("w"), "repo_name", "event_type")
         .agg(F.count(F.lit(1)).alias("event_count"))
@@ -111,6 +124,15 @@ def hourly_counts(events: DataFrame) -> DataFrame:
     )
 
 
+def read_hourly_counts(spark: SparkSession, base: str) -> DataFrame:
+    """The counts of an ingest so far: every batch has stored its part, open hours and late rows
+    included."""
+    parts = spark.read.parquet(f"{base}/hours")
+    return parts.groupBy("window_start", "window_end", "repo_name", "event_type").agg(
+        F.sum("event_count").alias("event_count")
+    )
+
+
 def enrich_stream(events: DataFrame, metadata: DataFrame) -> DataFrame:
     """Stream-static join: the metadata is read again in every micro-batch."""
     return enrich_events(events, metadata, spread=False)
@@ -146,66 +168,61 @@ def start_parquet_sink(
     return _trigger(writer, once).start()
 
 
-def start_archive_sink(
-    events: DataFrame, path: str, checkpoint: str, once: bool = False
-) -> StreamingQuery:
-    return start_parquet_sink(
-        events, path, checkpoint, "archive", ["event_date", "event_type"], once
-    )
+def _known_events(spark: SparkSession, path: str, dates: list, own: str) -> DataFrame | None:
+    """Ids already stored under the given dates, by other batches than the one at hand."""
+    if not has_partitions(spark, path):
+        return None
+    stored = spark.read.parquet(path).where(F.col("event_date").isin(dates) & (F.col("batch") != own))
+    return stored.select("event_id", "event_date")
 
 
-def write_event_batch(path: str, history_path: str | None = None) -> Callable[[DataFrame, int], None]:
-    """A micro-batch into the events table and, from the same rows, into the history.
+def write_event_batch(base: str) -> Callable[[DataFrame, int], None]:
+    """A micro-batch of records into events, archive, history, hourly counts and quarantine.
 
-    Each batch owns a ``batch_id`` folder that a repeated batch overwrites, so a retry after a
-    failure does not duplicate rows. All rows are written by the executors.
+    An event is new if its id is neither twice in the batch nor stored under its date, however late
+    it comes; only the dates of the batch are looked at. All rows of a batch carry a ``batch``
+    directory named by the query's id, which a checkpoint keeps, and the batch's number: a batch that
+    is repeated replaces itself, and a new checkpoint never replaces older rows. The dates of one
+    batch are the only values that reach the driver.
     """
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        rows = with_repo_key(normalise_event_defaults(batch))
-        if history_path is None:
-            rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
-            return
-        kept = rows.persist()
+    def put(rows: DataFrame, table: str, own: str, *directories: str) -> None:
+        (
+            rows.withColumn("batch", F.lit(own))
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy(*directories, "batch")
+            .parquet(f"{base}/{table}")
+        )
+
+    def write(records: DataFrame, batch_id: int) -> None:
+        spark = records.sparkSession
+        run = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "batch"
+        own = f"{run}-{batch_id}"
+        records = records.persist()
+        valid = clean_stream(records)
+        dates = [row["event_date"] for row in valid.select("event_date").distinct().collect()]
+        fresh = dedup_events(valid, _known_events(spark, f"{base}/events", dates, own)).persist()
         try:
-            kept.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
-            event_to_history(kept).write.mode("overwrite").parquet(
-                f"{history_path}/batch_id={batch_id}"
-            )
+            put(in_archive_form(fresh), "archive", own, "event_date", "event_type")
+            rows = with_repo_key(normalise_event_defaults(fresh))
+            put(event_to_history(rows), "history", own)
+            put(hourly_counts(fresh), "hours", own)
+            put(quarantine(records), "quarantine", own)
+            dated = rows.withColumn("event_date", F.to_date("created_at"))
+            put(dated, "events", own, "event_date")
         finally:
-            kept.unpersist()
+            fresh.unpersist()
+            records.unpersist()
 
     return write
 
 
-def start_table_sink(
-    events: DataFrame,
-    path: str,
-    checkpoint: str,
-    history_path: str | None = None,
-    once: bool = False,
-) -> StreamingQuery:
+def start_ingest(records: DataFrame, base: str, once: bool = False) -> list[StreamingQuery]:
+    """One stream of records into all tables below ``base``."""
     writer = (
-        events.writeStream.outputMode("append")
-        .queryName("events_table")
-        .option("checkpointLocation", checkpoint)
-        .foreachBatch(write_event_batch(path, history_path))
+        records.writeStream.queryName("ingest")
+        .option("checkpointLocation", f"{base}/_checkpoints/ingest")
+        .foreachBatch(write_event_batch(base))
     )
-    return _trigger(writer, once).start()
-
-
-def start_ingest(
-    records: DataFrame, base: str, once: bool = False
-) -> list[StreamingQuery]:
-    """Both sinks of one parsed stream, each with its own checkpoint."""
-    events = dedup_events(clean_stream(records))
-    return [
-        start_archive_sink(events, f"{base}/archive", f"{base}/_checkpoints/archive", once),
-        start_table_sink(
-            events,
-            f"{base}/events",
-            f"{base}/_checkpoints/events",
-            f"{base}/history",
-            once,
-        ),
-    ]
+    return [_trigger(writer, once).start()]

@@ -77,9 +77,6 @@ AI_SIGNAL_WORDS = [
     "large language model", "language model", "agent", "rag", "embedding", "vector database",
     "multimodal", "diffusion", "stable diffusion", "computer vision", "speech recognition",
 ]
-README_CHARS = 2000
-ISSUE_TITLES = 10
-SEARCH_DOCUMENT_CHARS = 1600
 
 # Patterns of the question reader.
 REPO_MENTION = "[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+"

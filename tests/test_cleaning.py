@@ -153,16 +153,18 @@ def test_loose_categories_look_inside_words(spark):
     assert all(row[0] == row[1] for row in df.select("want", loose).collect())
 
 
-def test_signal_text_limits_readme_and_titles(spark):
+def test_signal_text_is_whole_unless_limits_are_given(spark):
     titles = F.array(*[F.lit(f"t{i}") for i in range(12)])
     readme = F.repeat(F.lit("x"), 3000)
     row = one(
         spark,
-        cat.signal_text(F.lit(" d "), readme, titles).alias("short"),
-        cat.signal_text(F.lit(None), readme, F.lit(None), None).alias("whole"),
+        cat.signal_text(F.lit(" d "), readme, titles, 2000, 2).alias("short"),
+        cat.signal_text(F.lit(None), readme, F.lit(None)).alias("whole"),
+        cat.signal_text(F.lit(None), F.lit(None), titles).alias("titles"),
     )
-    assert row["short"] == "d " + "x" * 2000 + " t0 t1 t2 t3 t4 t5 t6 t7 t8 t9"
+    assert row["short"] == "d " + "x" * 2000 + " t0 t1"
     assert len(row["whole"]) == 3000
+    assert row["titles"].endswith("t10 t11")
 
 
 def test_names_without_a_slash(spark):

@@ -73,6 +73,25 @@ def test_metadata_without_events_and_events_without_metadata(spark):
     assert flags == {"x/events-only": True, "x/both": False}
 
 
+def test_known_repositories_leave_room_for_unknown_ones(spark):
+    seen = events(spark, [{"repo_name": "x/known"}] * 3 + [{"repo_name": "x/new"}])
+    known = metadata(spark, [{"repo_full_name": "x/known"}])
+    assert [r["repo_key"] for r in rp.repos_to_enrich(seen, known, AS_OF, limit=1).collect()] == ["x/new"]
+
+
+def test_a_stored_other_can_be_in_a_category(spark):
+    seen = events(spark, [{"repo_name": "x/stored"}, {"repo_name": "x/other"}])
+    known = metadata(
+        spark,
+        [
+            {"repo_full_name": "x/stored", "category": "Agent"},
+            {"repo_full_name": "x/other", "category": "Other", "topics": ["agentic"]},
+        ],
+    )
+    listed = rp.top_repos(known, seen, AS_OF, category="Agent").collect()
+    assert sorted(r["repo_full_name"] for r in listed) == ["x/other", "x/stored"]
+
+
 def test_equal_counts_are_ordered_by_name(spark):
     seen = events(spark, [{"repo_name": "b/b"}, {"repo_name": "a/a"}])
     rows = rp.top_repos_from_events(seen, AS_OF).collect()

@@ -181,3 +181,11 @@ def test_candidates_list_each_shard_once_in_order(spark):
     assert len(row) == 1
     assert row[0]["source_shards"] == ["s2", "s1"]
     assert (row[0]["html_url"], row[0]["stargazers_count"]) == ("u3", 7)
+
+
+def test_a_word_far_into_the_document_counts(spark):
+    row = ("x/y", "y", "x", "Python", ["a"], "LLM", 10, 1)
+    names = "repo_full_name string, repo_name string, owner_login string, primary_language string, topics array<string>, category string, stargazers_count bigint, star_count_in_window bigint"
+    df = spark.createDataFrame([row], names).selectExpr("*", "repeat('filler ', 400) || 'needle' AS description")
+    got = se.with_lexical_score(with_search_document(df), "filler needle").first()
+    assert got["phrase_in_document"]

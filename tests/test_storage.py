@@ -234,31 +234,50 @@ def test_ingest_restarts_and_keeps_each_event_once(spark, tmp_path):
 
 
 def test_a_repeated_batch_replaces_itself(spark, tmp_path):
-    write = ingest.write_event_batch(str(tmp_path / "events"), str(tmp_path / "history"))
+    folder, base = tmp_path / "in", str(tmp_path / "out")
+    folder.mkdir()
+    wire(spark, [{"event_id": "a"}, {"event_id": "b"}], folder, "1.txt", "{broken")
+    records = spark.read.text(str(folder)).selectExpr("CAST(NULL AS STRING) AS key", "value")
+    write = ingest.write_event_batch(base)
     for _ in range(2):
-        write(events(spark, [{}, {}]), 7)
-    assert spark.read.parquet(str(tmp_path / "events")).count() == 2
-    assert spark.read.parquet(str(tmp_path / "history")).count() == 2
+        write(records, 7)
+    for table, rows in (("events", 2), ("archive", 2), ("history", 2), ("quarantine", 1)):
+        assert spark.read.parquet(f"{base}/{table}").count() == rows, table
+
+
+def test_a_new_checkpoint_keeps_old_batches(spark, tmp_path):
+    base = str(tmp_path / "out")
+    for at in (1, 2):
+        folder = tmp_path / f"in{at}"
+        folder.mkdir()
+        wire(spark, [{"event_id": f"e{at}"}, {"event_id": "both"}], folder, "1.txt")
+        query = (
+            ingest.text_source(spark, str(folder))
+            .writeStream.foreachBatch(ingest.write_event_batch(base))
+            .option("checkpointLocation", str(tmp_path / f"c{at}"))
+            .trigger(availableNow=True)
+            .start()
+        )
+        supervise.finish([query])
+    kept = spark.read.parquet(f"{base}/events").select("event_id").collect()
+    assert sorted(row[0] for row in kept) == ["both", "e1", "e2"]
 
 
-def test_rows_behind_the_watermark_are_left_out_of_hourly_counts(spark, tmp_path):
-    folder = tmp_path / "in"
+def test_late_rows_are_stored_and_counted(spark, tmp_path):
+    folder, base = tmp_path / "in", str(tmp_path / "out")
     folder.mkdir()
-    wire(spark, [{"created_at": "2024-01-30T10:30:00"}], folder, "1.txt")
-    wire(spark, [{"created_at": "2024-01-30T13:30:00"}], folder, "2.txt")
-    # A late row is judged by the watermark of the batch before, so one more batch lies between.
-    wire(spark, [{"created_at": "2024-01-30T13:35:00"}], folder, "3.txt")
-    wire(spark, [{"created_at": "2024-01-30T10:40:00"}], folder, "4.txt")
-    base = tmp_path / "out"
-    rows = ingest.hourly_counts(
-        ingest.clean_stream(ingest.text_source(spark, str(folder), max_files=1))
-    )
-    query = ingest.start_parquet_sink(rows, str(base / "t"), str(base / "c"), "hours", once=True)
-    supervise.finish([query])
-    got = spark.read.parquet(str(base / "t")).select(
+    times = ["2024-01-30T10:30:00", "2024-01-30T13:30:00", "2024-01-30T13:35:00", "2024-01-30T10:40:00"]
+    for at, time in enumerate(times):
+        wire(spark, [{"event_id": f"e{at}", "created_at": time}], folder, f"{at + 1}.txt")
+    wire(spark, [{"event_id": "e0", "created_at": times[0]}, {"event_id": "bad", "actor_id": 0}], folder, "5.txt")
+    run_ingest(spark, folder, base)
+    got = ingest.read_hourly_counts(spark, base).select(
         F.col("window_start").cast("string"), "event_count"
     )
-    assert [tuple(r) for r in got.collect()] == [("2024-01-30 10:00:00", 1)]
+    assert sorted(map(tuple, got.collect())) == [("2024-01-30 10:00:00", 2), ("2024-01-30 13:00:00", 2)]
+    assert ar.read_archive(spark, f"{base}/archive").count() == 4
+    reasons = spark.read.parquet(f"{base}/quarantine").select("reason").collect()
+    assert [row[0] for row in reasons] == ["actor_id"]
 
 
 def test_a_failing_sink_ends_the_ingest(spark, tmp_path):
@@ -294,5 +313,7 @@ def test_lag_is_summed_over_partitions():
 def test_connector_options():
     options = ingest.kafka_source_options("host:9092", "events")
     assert options["maxOffsetsPerTrigger"] == "50000"
-    assert options["startingOffsets"] == "latest" and options["failOnDataLoss"] == "false"
+    assert options["startingOffsets"] == "latest" and options["failOnDataLoss"] == "true"
+    paced = ingest.kafka_source_options("host:9092", "events", max_offsets=7, fail_on_data_loss=False)
+    assert paced["maxOffsetsPerTrigger"] == "7" and paced["failOnDataLoss"] == "false"
     assert tables.kafka_options("host:9092", "events")["kafka.acks"] == "all"
