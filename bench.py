@@ -17,6 +17,10 @@ from starwake.session import local_session
 HEADLINES = [
     "top_repos",
     "top_repos_raw",
+    "shock_movers_raw",
+    "metadata_from_events",
+    "enrich_events",
+    "backfill_events",
     "repo_rollup_archive",
     "trending_week",
     "shock_movers",
