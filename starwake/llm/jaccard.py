@@ -33,8 +33,10 @@ SHINGLE = 5
 PERCENT = 80
 #: Tokens that a bucket of token hashes holds, about.
 BUCKET_TOKENS = 2_000_000
-#: From the second round on, the sets of a list of this length at most are all compared, which ends it.
+#: From the second round on, the sets of a list of this length at most are all compared with those of
+#: other components, which ends it. The length grows with the rounds, as lists become few.
 FEW = 16
+MOST_FEW = 256
 #: Tokens that a task gathers before it sends them to their buckets.
 CHUNK_TOKENS = 1_000_000
 
@@ -386,12 +388,12 @@ def _links(ordered: DataFrame) -> DataFrame:
     edges = _no_edges(ordered)
     comps = edges.select(F.col("_a").alias("_node"), F.col("_b").alias("_comp"))
     while True:
+        placed = _with_components(lists, comps)
         leads = stored(
-            _with_components(lists, comps)
-            .groupBy(*_LIST)
+            placed.groupBy(*_LIST)
             .agg(
-                F.min(F.struct("_n", "_rep", "_most")).alias("_small"),
-                F.min(F.struct("_rep", "_n", "_most")).alias("_early"),
+                F.min(F.struct("_n", "_rep", "_most", "_comp")).alias("_small"),
+                F.min(F.struct("_rep", "_n", "_most", "_comp")).alias("_early"),
                 F.min("_comp").alias("_low"),
                 F.max("_comp").alias("_high"),
                 F.count(F.lit(1)).alias("_of"),
@@ -401,25 +403,33 @@ def _links(ordered: DataFrame) -> DataFrame:
         )
         if leads.isEmpty():
             return edges
-        entries = lists.join(leads, _LIST)
-        both = F.explode(F.array("_small", F.struct("_early._n", "_early._rep", "_early._most")))
+        entries = placed.join(leads, _LIST)
+        early = F.struct("_early._n", "_early._rep", "_early._most", "_early._comp")
         pairs = (
-            entries.select("_rep", "_n", "_most", both.alias("_with"))
-            .where(F.col("_rep") != F.col("_with._rep"))
+            entries.select("_rep", "_n", "_most", "_comp", F.explode(F.array("_small", early)).alias("_with"))
+            .where(F.col("_comp") != F.col("_with._comp"))
             .where(_may_link(F.col("_n"), F.col("_most"), F.col("_with._n"), F.col("_with._most")))
             .select("_rep", F.col("_with._rep").alias("_lead"))
         )
-        short = entries.where("_few").select(*_LIST, "_rep", "_n")
-        other = short.select(*_LIST, F.col("_rep").alias("_lead"), F.col("_n").alias("_lead_n"))
-        every = short.join(other, _LIST).where(
-            (F.col("_lead") < F.col("_rep"))
-            & _may_link(F.col("_n"), F.lit(_NO_LIMIT), F.col("_lead_n"), F.lit(_NO_LIMIT))
-        )
-        pairs = pairs.union(every.select("_rep", "_lead")).distinct()
+        if few:
+            short = entries.where("_few").select(*_LIST, "_rep", "_n", "_comp")
+            other = short.select(
+                *_LIST,
+                F.col("_rep").alias("_lead"),
+                F.col("_n").alias("_lead_n"),
+                F.col("_comp").alias("_lead_comp"),
+            )
+            every = short.join(other, _LIST).where(
+                (F.col("_lead") < F.col("_rep"))
+                & (F.col("_lead_comp") != F.col("_comp"))
+                & _may_link(F.col("_n"), F.lit(_NO_LIMIT), F.col("_lead_n"), F.lit(_NO_LIMIT))
+            )
+            pairs = pairs.union(every.select("_rep", "_lead"))
+        pairs = pairs.distinct()
         found = _shared_counts(pairs, ordered).select(F.col("_rep").alias("_a"), F.col("_lead").alias("_b"))
         edges = stored(edges.union(found))
         comps = connected(edges)
-        named = _with_components(entries.where(~F.col("_few")), comps)
+        named = _with_components(entries.where(~F.col("_few")).drop("_comp"), comps)
         mixed_lists = (
             named.groupBy(*_LIST)
             .agg(F.min("_comp").alias("_low"), F.max("_comp").alias("_high"))
@@ -438,7 +448,7 @@ def _links(ordered: DataFrame) -> DataFrame:
             .distinct()
         )
         lists = stored(_outside(members, ordered))
-        few = FEW
+        few = min(MOST_FEW, max(FEW, 4 * few))
 
 
 def _with_components(entries: DataFrame, comps: DataFrame) -> DataFrame:
