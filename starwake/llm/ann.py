@@ -18,7 +18,7 @@ WIDTH = 2.0
 #: Buckets that a query visits in each table, its own included.
 PROBES = 75
 #: Vectors that a group of buckets holds, about; a fuller one is split.
-GROUP_ROWS = 8_000
+GROUP_ROWS = 32_000
 #: Groups of buckets in each table at most, the bound of the broadcast of their counts.
 GROUPS = 4_096
 SEED = 20_240_229

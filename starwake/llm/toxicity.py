@@ -159,8 +159,9 @@ def fit(
         .agg(F.max(F.struct("_words", "feature", "length")).alias("_row"))
         .withColumn("_so_far", F.sum("_row._words").over(ordered))
         .where(F.col("_so_far") <= max_words)
-        .select("_label", "_row.feature", "_row.length")
+        .select("_id", "_label", "_row.feature", "_row.length")
         .toPandas()
+        .sort_values("_id")  # the same sample gives the same model to the last bit
     )
     if frame.empty:
         return ToxicityModel(np.zeros(1 << BITS, dtype=np.float32), -8.0)
