@@ -137,7 +137,6 @@ def daily_stars_all_repos(events: DataFrame) -> DataFrame:
     return (
         events.groupBy(F.to_date("created_at").alias("event_date"), "repo_name")
         .agg(ru.star_count().alias("stars"))
-        .orderBy("event_date", "repo_name")
     )
 
 

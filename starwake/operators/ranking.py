@@ -55,12 +55,7 @@ def rank_all(df: DataFrame, order: list[Column], rank: str = "rank") -> DataFram
 def first_non_empty(*sources: DataFrame) -> DataFrame:
     """The first source that has a row, in the order given.
 
-    Sources are top-k reports, so keeping one while looking at it is cheap; later sources are not
-    read at all when an earlier one answers.
+    Sources are top-k reports; whether one has a row is asked once, and later sources are not read at
+    all when an earlier one answers. Nothing is kept in memory.
     """
-    for source in sources[:-1]:
-        kept = source.persist()
-        if not kept.isEmpty():
-            return kept
-        kept.unpersist()
-    return sources[-1]
+    return next((source for source in sources[:-1] if not source.isEmpty()), sources[-1])

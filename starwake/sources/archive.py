@@ -50,8 +50,7 @@ def arranged(events: DataFrame) -> DataFrame:
     Ranges are cut on the whole sort key, so a busy date, type or repository is spread over many
     files, and every file covers a narrow range of repositories and times for later skipping.
     """
-    count = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return events.repartitionByRange(count, *SORTING).sortWithinPartitions(*SORTING)
+    return events.repartitionByRange(*SORTING).sortWithinPartitions(*SORTING)
 
 
 def in_archive_form(events: DataFrame) -> DataFrame:

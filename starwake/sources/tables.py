@@ -45,15 +45,16 @@ def write_next(df: DataFrame, base: str) -> str:
 def save_event_batch(events: DataFrame, path: str) -> None:
     """Append to the events table. A failed task is tried again by Spark, not by this code."""
     rows = with_repo_key(normalise_event_defaults(events))
-    rows.withColumn("event_month", F.date_format("created_at", "yyyyMM")).write.mode(
-        "append"
-    ).partitionBy("event_month").parquet(path)
+    rows = rows.withColumn("event_month", F.date_format("created_at", "yyyyMM"))
+    arranged = rows.repartitionByRange("event_month", "repo_id", "created_at")
+    arranged.write.mode("append").partitionBy("event_month").parquet(path)
 
 
 def write_star_counts(counts: DataFrame, path: str) -> None:
     """Replace the dates that are in ``counts``: running a day again does not count it twice."""
     (
-        counts.write.mode("overwrite")
+        counts.repartitionByRange("event_date", "repo_name")
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("event_date")
         .parquet(path)
@@ -92,9 +93,12 @@ def read_history(spark: SparkSession, path: str) -> DataFrame:
 def jdbc_append(
     df: DataFrame, url: str, table: str, writers: int = 4, batch_size: int = 10_000, **options: str
 ) -> None:
-    """Append over JDBC with a bounded number of connections. The driver jar comes from outside."""
+    """Append over JDBC with a bounded number of connections. The driver jar comes from outside.
+
+    Rows are dealt to the writers by a shuffle, so that the work before it keeps all its tasks.
+    """
     (
-        df.coalesce(writers)
+        df.repartition(writers)
         .write.format("jdbc")
         .options(url=url, dbtable=table, batchsize=str(batch_size), **options)
         .mode("append")

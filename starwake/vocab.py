@@ -102,7 +102,6 @@ ANSWER_TEXTS = {
     "evidence_line": "- %s: %s (%s)",
     "search_title": "Cac repo khop nhat voi cau hoi cua ban:",
     "search_line": "%d. %s: score %.2f, +%d stars.",
-    "no_answer": "Xin loi, minh chua the tra loi cau hoi nay ngay luc nay.",
 }
 FOLLOW_UPS = {
     "instant": [
