@@ -36,7 +36,7 @@ BUCKET_TOKENS = 2_000_000
 #: From the second round on, the sets of a list of this length at most are all compared with those of
 #: other components, which ends it. The length grows with the rounds, as lists become few.
 FEW = 16
-MOST_FEW = 256
+MOST_FEW = 4_096
 #: Tokens that a task gathers before it sends them to their buckets.
 CHUNK_TOKENS = 1_000_000
 
@@ -426,9 +426,12 @@ def _links(ordered: DataFrame) -> DataFrame:
             )
             pairs = pairs.union(every.select("_rep", "_lead"))
         pairs = pairs.distinct()
-        found = _shared_counts(pairs, ordered).select(F.col("_rep").alias("_a"), F.col("_lead").alias("_b"))
-        edges = stored(edges.union(found))
-        comps = connected(edges)
+        found = stored(
+            _shared_counts(pairs, ordered).select(F.col("_rep").alias("_a"), F.col("_lead").alias("_b"))
+        )
+        if not found.isEmpty():
+            edges = stored(edges.union(found))
+            comps = connected(edges)
         named = _with_components(entries.where(~F.col("_few")).drop("_comp"), comps)
         mixed_lists = (
             named.groupBy(*_LIST)
