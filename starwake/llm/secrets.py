@@ -41,6 +41,16 @@ word write xxxxxxxx yaml your_api_key your_password your_secret your_token chang
 abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ
 """
 
+# Prose in front of every context, so that the cost of a word's letters is known in short contexts too.
+PROSE = b"""The quick response of the service depends on where the request was made and how many people were waiting
+for their answers at that time. Every account has an owner, who may change its settings, write to the public
+lists, or ask the people of the help desk for another key. When nothing is known about a user, the system keeps
+the last valid value and explains in a short message what should be done before the next attempt. Most questions
+about responsibilities, organizations, international agreements and environmental development are answered under
+their own headings; just a few have been left for further consideration. We could not judge whether all examples
+would work without changes, though they compiled and passed their tests on several machines during the summer.
+"""
+
 #: Words that make the strings near them worth looking at.
 SENSITIVE = re.compile(
     rb"password|passwd|passphrase|pwd|secret|token|api[_-]?key|credential|bearer|authorization|"
@@ -51,8 +61,11 @@ CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=-]{16,}")
 CANDIDATE_BYTE = re.compile(rb"[A-Za-z0-9+/_=-]")
 #: Bytes around a sensitive word in which strings are looked at, and context given to the model.
 REACH = 120
-#: Marginal compressed bytes a character from which a string counts as incompressible.
-NOVELTY = 0.62
+#: Marginal compressed bytes a character from which a string counts as incompressible: words and
+#: identifiers cost up to 0.85, random strings of both cases and digits 0.85 to 1.5.
+NOVELTY = 0.86
+#: The same for strings with digits among letters, as hexadecimal ones of fewer than 32 digits.
+NOVELTY_DIGITS = 0.62
 
 _QUICK = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 
@@ -68,14 +81,16 @@ class Novelty:
         )
 
     def rate(self, candidate: bytes, context: bytes) -> float:
+        if candidate.isupper():
+            candidate = candidate.lower()  # capitals alone are no news
+        context = PROSE + context
         alone = len(self.packer.compress(context))
         return (len(self.packer.compress(context + candidate)) - alone) / len(candidate)
 
 
-def _looks_random(text: bytes) -> bool:
-    """Digits among letters; words of any language are left out."""
+def _limit(text: bytes) -> float:
     digits = sum(48 <= byte < 58 for byte in text)
-    return digits >= 3 and digits < len(text)
+    return NOVELTY_DIGITS if 3 <= digits < len(text) else NOVELTY
 
 
 def base_spans(text: bytes) -> list[tuple[int, int, str]]:
@@ -104,10 +119,10 @@ def novel_spans(text: bytes, base: list[tuple[int, int, str]], novelty: Novelty)
             if found.end() == high:  # goes on beyond the reach
                 end = CANDIDATE.match(text, start).end()
             seen = max(seen, end)
-            if any(start < b and a < end for a, b, _ in base) or not _looks_random(text[start:end]):
+            if any(start < b and a < end for a, b, _ in base):
                 continue
             context = text[max(0, start - REACH) : start] + text[end : end + REACH]
-            if novelty.rate(text[start:end], context) >= NOVELTY:
+            if novelty.rate(text[start:end], context) >= _limit(text[start:end]):
                 spans.append((start, end, "novel"))
     return spans
 
@@ -146,9 +161,11 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Secrets in every row: counts of the fixed patterns, a digest of their spans, and all spans.
 
     ``spans`` lists kind:start:end in code points, end exclusive, by start and then kind. Besides
-    the fixed patterns, strings of 16 characters or more with digits among letters near a sensitive
-    word are ``novel`` if appending them to the text around costs at least ``NOVELTY`` compressed
-    bytes a character, with a dictionary of code words given to the compressor.
+    the fixed patterns, strings of 16 characters or more near a sensitive word are ``novel`` if
+    appending them to the text around costs at least ``NOVELTY`` compressed bytes a character
+    (``NOVELTY_DIGITS`` with three digits or more among other characters), with a dictionary of code
+    words given to the compressor. Random strings of letters of one case cost little more than words,
+    so most of them are not told apart.
 
     A null or empty text has no findings. Repeated rows are scanned each; other columns are not
     returned. An empty table gives an empty result.

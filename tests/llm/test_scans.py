@@ -1,7 +1,9 @@
 """Licence and secret scans and main text: findings that are fixed by their definitions."""
 
 import hashlib
+import random
 import re
+import string
 
 import pytest
 
@@ -113,6 +115,26 @@ def test_secrets_against_brute_force(spark):
     assert by_id[7].spans == "novel:22:44" and by_id[8].spans == ""
 
 
+def test_random_strings_with_few_digits():
+    rng, novelty = random.Random(4), secrets.Novelty()
+    letters = string.ascii_letters + string.digits
+
+    def spans(text):
+        return secrets.scan(text.encode(), novelty)["spans"]
+
+    key = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"
+    assert spans(f"aws_secret_access_key = {key}\n") == f"novel:24:{24 + len(key)}"
+    for size in (16, 20, 24):
+        found = [spans(f"the token is {''.join(rng.choices(letters, k=size))} here") != "" for _ in range(300)]
+        assert sum(found) / len(found) >= 0.99
+    for word in (
+        "internationalization counterrevolutionary electroencephalograph getAuthenticationToken "
+        "AWS_SECRET_ACCESS_KEY TOKEN_EXPIRATION_SECONDS UsernamePasswordAuthenticationToken "
+        "/home/user/projects/settings donaudampfschifffahrtsgesellschaft ================"
+    ).split():
+        assert spans(f"bearer {word}") == spans(f"the password of the {word} is not known") == ""
+
+
 def test_masks(spark):
     got = result(secrets.mask_secrets(documents(spark, SECRETS)))
     assert got[7].text == "Authorization: Bearer [SECRET]" and got[4].text is None
