@@ -22,7 +22,7 @@ BLOCKS = frozenset(
     "option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template svg math iframe object canvas textarea select button".split())
+RAW = frozenset("noscript template svg math iframe object canvas select button".split())
 FURNITURE = frozenset("nav footer aside form menu dialog title head".split())
 ARTICLE = frozenset(["article", "main"])
 #: Words in class, id or role that mark menus, notices, adverts, sidebars and reader comments.
@@ -35,15 +35,27 @@ MARKS = frozenset(
     "search skip".split()
 )
 
-_COMMENT = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[|\]\]>|<[!?][^>]*>", re.S)
-_RAW = re.compile(
-    r"<(script|style|noscript|template|svg|math|iframe|object|canvas|textarea|select|button)\b"
-    r"(?:\"[^\"]*\"|'[^']*'|[^'\">])*>(?:.*?</\1\s*>|.*\Z)",
+#: Marks of reader comments: such an element can be most of a page.
+COMMENTS = frozenset("comment comments commentlist disqus respond replies reply".split())
+#: A name with one of these says what a page has or lacks, not what the element is.
+NEGATED = frozenset("has no not with without hide".split())
+#: Words of the article itself: with one of these a header or a wrapper is part of it.
+CONTENT = frozenset("article page post entry content main story section body".split())
+WRAPPED = frozenset("header wrap wrapper container layout".split())
+#: Share of the page's unlinked text from which an element with a mark is a wrapper of the page.
+SHARE = 0.5
+
+_ATTRIBUTES = r"(?:\"[^\"]*\"|'[^']*'|[^'\">])*"
+# From left to right, so that a comment in a script and a script in a comment are only what they are in.
+_CUT = re.compile(
+    rf"(?P<raw><(script|style|textarea)(?=[\s/>]){_ATTRIBUTES}>(?:.*?</\2(?=[\s/>])[^>]*>|.*\Z))"
+    rf"|<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[|\]\]>|<[!?][^>]*>"
+    rf"|(?P<tag></?[A-Za-z]{_ATTRIBUTES}>)",
     re.S | re.I,
 )
-_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>")
-_NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_TAG = re.compile(rf"<(/?)([A-Za-z][^\s/>]*)({_ATTRIBUTES})>")
+_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
+_NONE = re.compile(r"display\s*:\s*none", re.I)
 _WORD = re.compile(r"[a-z]+")
 
 
@@ -54,23 +66,92 @@ class Block:
     article: bool
 
 
-def _furniture(name: str, attributes: str, in_article: bool) -> bool:
-    if name in FURNITURE or name == "header" and not in_article:
+def _attributes(text: str) -> dict[str, str]:
+    """The attributes of a tag by lower-case name; of several with a name the first counts."""
+    out: dict[str, str] = {}
+    for found in _ATTRIBUTE.finditer(text):
+        out.setdefault(found[1].lower(), found[2] or found[3] or found[4] or "")
+    return out
+
+
+def _marks(attributes: dict[str, str]) -> set[str]:
+    """Words in class, id and role that mark an element as furniture."""
+    out: set[str] = set()
+    for name in ("class", "id", "role"):
+        for token in attributes.get(name, "").lower().split():
+            words = set(_WORD.findall(token))
+            if words & NEGATED or words & CONTENT and words & WRAPPED:
+                continue
+            out |= words & MARKS
+    return out
+
+
+class _Outline:
+    """What the closed elements of a page hold: articles, headings, and shares of the unlinked text."""
+
+    def __init__(self, page: str, tags: list[re.Match], closes: dict[int, int]) -> None:
+        self.names = [tag[2].lower() for tag in tags]
+        self.mains, self.headings, self.articles = [0], [0], [0]
+        self.unlinked = [0]  # before each tag
+        links, skipped, position = 0, -1, 0
+        for at, (tag, name) in enumerate(zip(tags, self.names)):
+            length = len(page[position : tag.start()].strip()) if links == 0 and at > skipped else 0
+            self.unlinked.append(self.unlinked[-1] + length)
+            position = tag.end()
+            opened = not tag[1] and at in closes
+            if name == "a":
+                links = max(0, links + (-1 if tag[1] else 1))
+            if opened and (name in RAW or name in FURNITURE and name != "form"):
+                skipped = max(skipped, closes[at])
+            own = opened and name == "article" and COMMENTS.isdisjoint(_marks(_attributes(tag[3])))
+            self.articles.append(self.articles[-1] + own)
+            self.mains.append(self.mains[-1] + (opened and name == "main"))
+            self.headings.append(self.headings[-1] + (opened and name == "h1"))
+        self.total = self.unlinked[-1] + len(page[position:].strip())
+
+    def inside(self, counts: list[int], low: int, high: int) -> int:
+        return counts[high] - counts[low + 1]
+
+    def share(self, low: int, high: int) -> float:
+        return (self.unlinked[high + 1] - self.unlinked[low + 1]) / max(1, self.total)
+
+
+def _furniture(tag: re.Match, at: int, end: int, articles: int, nested: int, outline: _Outline) -> bool:
+    """``articles``: open articles and mains; ``nested``: open articles."""
+    name = outline.names[at]
+    if name in RAW:
         return True
-    if not attributes or name in ("body", "html") or name in ARTICLE:
+    by_name = name in FURNITURE or name == "header" and not articles
+    if by_name and name in ("head", "title"):
+        return True
+    if name in ("body", "html") or name in ARTICLE or not by_name and not tag[3].strip():
+        return False
+    attributes = _attributes(tag[3])
+    hidden = (
+        "hidden" in attributes
+        or attributes.get("aria-hidden", "").strip().lower() == "true"
+        or bool(_NONE.search(attributes.get("style", "")))
+    )
+    marks = _marks(attributes)
+    if articles or re.fullmatch("h[1-6]", name):
+        marks.discard("header")
+    if not (by_name or hidden or marks):
+        return False
+    if outline.inside(outline.mains, at, end):
+        return False
+    strict = by_name and name not in ("form", "header")
+    if not strict and not nested and outline.inside(outline.articles, at, end):
         return False
-    if _HIDDEN.search(attributes):
+    if strict or hidden:
         return True
-    for found in _NAMED.finditer(attributes):
-        value = found[1] or found[2] or found[3] or ""
-        if not MARKS.isdisjoint(_WORD.findall(value.lower())):
-            return True
-    return False
+    if not marks.isdisjoint(COMMENTS):
+        return not outline.inside(outline.headings, at, end)
+    return outline.share(at, end) <= SHARE
 
 
 def find_blocks(page: str) -> list[Block]:
     """The page's blocks of text in order, without markup and without page furniture."""
-    page = _RAW.sub(" ", _COMMENT.sub("", page))
+    page = _CUT.sub(lambda found: found["tag"] or (" " if found["raw"] else ""), page)
     tags = list(_TAG.finditer(page))
     closes: dict[int, int] = {}
     waiting: dict[str, list[int]] = {}
@@ -83,9 +164,10 @@ def find_blocks(page: str) -> list[Block]:
                 waiting.setdefault(name, []).append(at)
         elif waiting.get(name):
             closes[waiting[name].pop()] = at
+    outline = _Outline(page, tags, closes)
     blocks: list[Block] = []
     parts: list[str] = []
-    linked, articles, links = 0, 0, 0
+    linked, articles, nested, links = 0, 0, 0, 0
 
     def flush() -> None:
         nonlocal parts, linked
@@ -104,12 +186,14 @@ def find_blocks(page: str) -> list[Block]:
         name, closing = tag[2].lower(), bool(tag[1])
         if name in BLOCKS:
             flush()
-        if not closing and at in closes and _furniture(name, tag[3], articles > 0):
+        if not closing and at in closes and _furniture(tag, at, closes[at], articles, nested, outline):
             flush()
             at = closes[at]
             tag = tags[at]
         elif name in ARTICLE and (closing or at in closes):
             articles = max(0, articles + (-1 if closing else 1))
+            if name == "article":
+                nested = max(0, nested + (-1 if closing else 1))
         elif name == "a":
             links = max(0, links + (-1 if closing else 1))
         position = tag.end()
@@ -170,7 +254,10 @@ def extract_main_text(
     Markup is stripped into blocks; character references are decoded, white space inside a block is
     one space, and blocks are joined by one space in page order. Menus, headers, footers, sidebars,
     forms, notices, adverts, comments of readers, scripts and styles are left out, by their elements
-    or by words in class, id and role; an element that is never closed is not taken for one of them.
+    or by words in class, id and role; an element that is never closed is not taken for one of them,
+    only script, style and textarea run to the end of the page. An element around an article or main
+    stays, and so does one that only a word marks with more than ``SHARE`` of the page's unlinked text
+    in it. Elements hidden by hidden, aria-hidden or style go.
     What is left goes through :func:`main_blocks`.
 
     A null or empty page has an empty text. Repeated rows are extracted each; other columns are not

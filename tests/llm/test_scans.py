@@ -165,6 +165,32 @@ def test_nothing_to_extract(page):
     assert html_text.extract_text(page) in ("", "<p")
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ('<article><p>A</p><svg class="i" /><p>B text</p></article>', "A B text"),
+        ("<article><p>A</p><math/><iframe src=x /><p>B</p></article>", "A B"),
+        ("<article><p>A</p><button>go<p>B</p><select><p>C</p></article>", "A go B C"),
+        ("<article><p>A</p><button>go</button><svg><text>x</text></svg><p>B</p></article>", "A B"),
+        ('<article><script>var s="<!--";</script><p>A</p></article>', "A"),
+        ("<article><!-- <script> --><p>A</p><style>x{}</style><p title='<!--'>B</p></article>", "A B"),
+        ('<div class="content-sidebar-wrap"><article>A</article></div>', "A"),
+        ('<div id="page" class="has-sidebar"><article>A</article></div>', "A"),
+        ('<div class="no-comments single"><article>A</article></div>', "A"),
+        ('<form class="search"><main><p>A</p></main></form>', "A"),
+        ('<main><div class="sidebar"><article>A</article></div></main>', "A"),
+        ('<article><div class="article-header"><h1>H</h1></div><p>A</p></article>', "H A"),
+        ('<h1 class="page-header">H</h1><p>' + "word " * 30 + "</p>", "H " + "word " * 29 + "word"),
+        ('<div class="layout sidebar"><p>' + "word " * 30 + "</p></div>", "word " * 29 + "word"),
+        ('<article><p title="the hidden cost">A</p><p hidden>B</p><p style="display: none">C</p></article>', "A"),
+        ('<article>A<div id="comments"><article class="comment">' + "b " * 99 + "</article></div></article>", "A"),
+        ('<article>A</article><div id="comments"><article class="comment">b</article></div>', "A"),
+    ],
+)
+def test_whole_article(page, text):
+    assert html_text.extract_text(page) == text
+
+
 def test_pages(spark):
     rows = [(1, "u", PAGE, "x"), (2, None, None, "x"), (3, "u", "", "x"), (1, "u", PAGE, "x"), (None, "u", "<article>a  b</article>", "x")]
     rows.append((4, "u", "<article>" + "<p>word</p>" * 50_000 + "</article>", "x"))
