@@ -20,6 +20,8 @@ from starwake.llm import packed
 #: Bounds of the sample that is fitted: documents with label 0 and 1, and words in all of them.
 MAX_DOCS = (3_600, 1_400)
 MAX_WORDS = 2_500_000
+#: Words of one document in the sample; of a longer one, whole sentences spread over it are taken.
+MAX_DOC_WORDS = 10_000
 #: Words are hashed to 2^BITS weights.
 BITS = 18
 #: Besides the word itself, its first bytes of these lengths are features, for endings and compounds.
@@ -83,6 +85,18 @@ def find_sentences(texts: list[bytes]) -> Sentences:
     )
 
 
+def _spread(length: np.ndarray, most: int) -> np.ndarray:
+    """Which sentences of a document are taken: all, or in an order of their own as many as have
+    ``most`` words together; a sentence of more words is none of them."""
+    if length.sum() <= most:
+        return np.ones(len(length), dtype=bool)
+    order = np.argsort(packed.mixed(np.arange(len(length), dtype=packed.U64)), kind="stable")
+    order = order[length[order] <= most]
+    taken = np.zeros(len(length), dtype=bool)
+    taken[order[np.cumsum(length[order], dtype=np.int64) <= most]] = True
+    return taken
+
+
 def _known(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
     """One label per document outside the held-out fold; of several the largest counts."""
     return (
@@ -93,7 +107,12 @@ def _known(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
 
 
 def _sample(
-    docs: DataFrame, known: DataFrame, id_col: str, text_col: str, max_docs: tuple[int, int]
+    docs: DataFrame,
+    known: DataFrame,
+    id_col: str,
+    text_col: str,
+    max_docs: tuple[int, int],
+    max_doc_words: int,
 ) -> DataFrame:
     """Features of the first labelled documents of either label in the order of their ids' hashes."""
     none, some = (
@@ -110,18 +129,19 @@ def _sample(
             for low, high in packed.slices(texts):
                 found = find_sentences(texts[low:high])
                 bound = np.append(found.sentence, len(found.feature))
+                feature, lengths = [], []
+                for a, b in zip(found.text[:-1], found.text[1:]):
+                    length = np.diff(bound[a : b + 1]).astype(np.int32)
+                    taken = _spread(length, max_doc_words)
+                    words = np.repeat(taken, length)
+                    feature.append(found.feature[bound[a] : bound[b]][words].tobytes())
+                    lengths.append(length[taken].tobytes())
                 yield pd.DataFrame(
                     {
                         "_id": batch["_id"].iloc[low:high].to_numpy(),
                         "_label": batch["_label"].iloc[low:high].to_numpy(),
-                        "feature": [
-                            found.feature[bound[a] : bound[b]].tobytes()
-                            for a, b in zip(found.text[:-1], found.text[1:])
-                        ],
-                        "length": [
-                            np.diff(bound[a : b + 1]).astype(np.int32).tobytes()
-                            for a, b in zip(found.text[:-1], found.text[1:])
-                        ],
+                        "feature": feature,
+                        "length": lengths,
                     }
                 )
 
@@ -137,18 +157,21 @@ def fit(
     label_col: str = "toxic",
     max_docs: tuple[int, int] = MAX_DOCS,
     max_words: int = MAX_WORDS,
+    max_doc_words: int = MAX_DOC_WORDS,
     rounds: int = 100,
 ) -> ToxicityModel:
     """Train on a bounded sample, on the driver.
 
     The sample is the first ``max_docs`` documents with label 0 and with label 1 in the order of
-    their ids' hashes, cut at ``max_words`` words; the share of either label over all known rows
+    their ids' hashes, cut at ``max_words`` words. No document takes more than ``max_doc_words`` of them,
+    so that long ones do not end the sample for all others; one of a single longer sentence is left
+    out. The share of either label over all known rows
     sets the weight of its documents. Rows of the held-out fold, null ids and null labels are never
     used; rows that repeat an id count once. Without labels every sentence scores close to 0.
     """
     known = _known(labels, id_col, label_col)
     share = known.agg(F.avg("_label").alias("share")).first()["share"]
-    sample = _sample(docs, known, id_col, text_col, max_docs)
+    sample = _sample(docs, known, id_col, text_col, max_docs, min(max_doc_words, max_words))
     ordered = Window.orderBy(F.xxhash64("_id"), "_id").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from starwake.llm import toxicity
 from tests.llm.corpus import documents, words
@@ -79,3 +80,22 @@ def test_same_sample_same_model(spark):
         table = spark.createDataFrame(labels, "doc_id bigint, toxic int").repartition(parts)
         models.append(toxicity.fit(documents(spark, rows).repartition(parts + 1), table, rounds=10))
     assert (models[0].weights == models[1].weights).all() and models[0].bias == models[1].bias
+
+
+def test_a_giant_document_does_not_end_the_sample(spark):
+    rows, labels = corpus(3, 900)
+    table = spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    learned = table.where(~toxicity.held_out())
+    first = learned.where("toxic = 0").orderBy(F.xxhash64("doc_id"), "doc_id").first().doc_id
+    rows[first] = (first, f"{rows[first][1]} " * 3_000)
+    model = toxicity.fit(documents(spark, rows), table, max_words=30_000)
+    got = toxicity.score_documents(documents(spark, rows), model).where(toxicity.held_out()).collect()
+    assert np.mean([(r.score >= 0.5) == dict(labels)[r.doc_id] for r in got]) > 0.97
+
+
+def test_sentences_of_a_long_document():
+    length = np.array([3, 50, 4, 5, 6, 2] * 50)
+    taken = toxicity._spread(length, 40)
+    assert 30 <= length[taken].sum() <= 40 and np.flatnonzero(taken).max() > 100
+    assert toxicity._spread(length, 10_000).all()
+    assert not toxicity._spread(np.array([41]), 40).any()
