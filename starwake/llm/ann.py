@@ -13,7 +13,7 @@ from starwake.llm.packed import U64, mixed
 
 TABLES = 4
 HASHES = 6
-#: Width of a hash's cells, as a multiple of the largest norm.
+#: Width of a hash's cells, as a multiple of the largest norm of a range.
 WIDTH = 2.0
 #: Buckets that a query visits in each table, its own included.
 PROBES = 75
@@ -21,6 +21,11 @@ PROBES = 75
 GROUP_ROWS = 32_000
 #: Groups of buckets in each table at most, the bound of the broadcast of their counts.
 GROUPS = 4_096
+#: Norms are counted in so many bins an octave, and a range of norms has RANGE_BINS of them.
+BINS = 16
+RANGE_BINS = 8
+#: Vectors of ranges with fewer rows than this are compared with every query.
+SCAN_ROWS = 1_000
 SEED = 20_240_229
 #: Scores that a task holds at once.
 _CELLS = 4_000_000
@@ -162,6 +167,38 @@ def _search_group(base: pd.DataFrame, asked: pd.DataFrame, k: int) -> pd.DataFra
     return pd.DataFrame({"query_id": names[query[kept]], "vec_id": ids[row[kept]], "score": score[kept]})
 
 
+class Ranges:
+    """Ranges of norms from the largest down, each with hashing of its own; vectors of small ranges
+    and of norms out of reach are class 0, which is scanned."""
+
+    def __init__(self, size: int, bins: list, tables: int, hashes: int, width: float, probes: int) -> None:
+        ranges: list[list] = []  # lowest bin, rows, largest norm
+        for one in sorted((one for one in bins if one["bin"] is not None), key=lambda one: -one["bin"]):
+            if not ranges or one["bin"] < ranges[-1][0]:
+                ranges.append([one["bin"] - RANGE_BINS + 1, 0, 0.0])
+            ranges[-1][1] += one["n"]
+            ranges[-1][2] = max(ranges[-1][2], one["norm"])
+        ranges.reverse()
+        large = [n >= SCAN_ROWS for _, n, _ in ranges]
+        self.lowest = np.array([low for low, _, _ in ranges])
+        self.named = np.where(large, np.cumsum(large), 0).astype(np.int64)
+        self.hashed = [
+            (Hashing(size, norm, tables, hashes, width, probes), min(GROUPS, -(-n // GROUP_ROWS)))
+            for (_, n, norm), is_large in zip(ranges, large)
+            if is_large
+        ]
+
+    def classes(self, rows: np.ndarray) -> np.ndarray:
+        with np.errstate(divide="ignore", over="ignore"):
+            bins = np.floor(np.log2(np.sqrt((rows**2).sum(axis=1))) * BINS)
+        out = np.zeros(len(rows), dtype=np.int64)
+        real = np.isfinite(bins)
+        if len(self.lowest):
+            at = np.searchsorted(self.lowest, bins[real], side="right") - 1
+            out[real] = self.named[np.maximum(at, 0)]
+        return out
+
+
 def usable(vector: Column) -> Column:
     """Vectors that are not null or zero and hold finite components only."""
     component = F.transform(vector, lambda one: one.cast("double"))
@@ -187,9 +224,10 @@ def search(
     its own neighbour. Ties go to the smaller id; copies of a row count once. Vectors that are null
     or zero, hold null or non-finite components, have a null id, or whose number of components is
     not the most frequent one (the larger on ties) take no part. A query with fewer candidates
-    found gets fewer rows; an empty table gives an empty result.
+    found is compared with every vector; an empty table gives an empty result.
 
-    Each table's buckets are dealt to groups; counts say into how many parts a group is split, so
+    Vectors are split into ranges of norms, as hashing needs norms that are about equal: each range
+    has its own largest norm, cell width and tables; small ranges are scanned. Each table's buckets are dealt to groups; counts say into how many parts a group is split, so
     that a bucket of many copies of a vector is shared out. A query goes to the groups of the
     buckets it visits, which are scored exactly in blocks; results of all tables are merged.
     """
@@ -199,9 +237,12 @@ def search(
         F.coalesce(is_query, F.lit(False)).alias("_asks"),
     )
     norm = F.sqrt(F.aggregate("_vector", F.lit(0.0), lambda total, one: total + one * one))
+    bin_of = F.when((norm > 0) & (norm < float("inf")), F.floor(F.log2(norm) * BINS).cast("int"))
     sizes = (
-        valid.groupBy(F.size("_vector").alias("size"))
+        valid.groupBy(F.size("_vector").alias("size"), bin_of.alias("bin"))
         .agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("norm"))
+        .groupBy("size")  # the bins of doubles are at most BINS * 2 098
+        .agg(F.sum("n").alias("n"), F.collect_list(F.struct("bin", "n", "norm")).alias("bins"))
         .orderBy(F.desc("n"), F.desc("size"))
         .first()
     )
@@ -210,45 +251,78 @@ def search(
             F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")
         ).limit(0)
     rows = valid.where(F.size("_vector") == sizes["size"])
-    hashing = Hashing(sizes["size"], sizes["norm"], tables, hashes, width, probes)
-    groups = min(GROUPS, -(-sizes["n"] // GROUP_ROWS))
+    ranges = Ranges(sizes["size"], sizes["bins"], tables, hashes, width, probes)
+
+    def scanned(data, names):
+        vectors = np.array([one.tobytes() for one in data], dtype=object)
+        return pd.DataFrame({"table": 0, "slice": 0, "vec_id": names, "bucket": 0, "vector": vectors})
 
     def placed(batches):
         for batch in batches:
             if batch.empty:
                 continue
-            data = np.stack(batch["_vector"].to_numpy()).astype(np.float64)
-            found = hashing.buckets(data)
-            yield pd.DataFrame(
-                {
-                    "table": np.tile(np.arange(tables), len(batch)),
-                    "slice": (found.view(U64) % U64(groups)).astype(np.int64).ravel(),
-                    "vec_id": np.repeat(batch["vec_id"].to_numpy(), tables),
-                    "bucket": found.ravel(),
-                    "vector": np.repeat(np.array([one.tobytes() for one in data], dtype=object), tables),
-                }
-            )
+            every = np.stack(batch["_vector"].to_numpy()).astype(np.float64)
+            names, of = batch["vec_id"].to_numpy(), ranges.classes(every)
+            yield scanned(every[of == 0], names[of == 0])
+            for at, (hashing, groups) in enumerate(ranges.hashed):
+                data = every[of == at + 1]
+                found = hashing.buckets(data)
+                yield pd.DataFrame(
+                    {
+                        "table": np.tile(np.arange(1, tables + 1) + at * tables, len(data)),
+                        "slice": (found.view(U64) % U64(groups)).astype(np.int64).ravel(),
+                        "vec_id": np.repeat(names[of == at + 1], tables),
+                        "bucket": found.ravel(),
+                        "vector": np.repeat(np.array([one.tobytes() for one in data], dtype=object), tables),
+                    }
+                )
+
+    def placed_once(batches):
+        for batch in batches:
+            if not batch.empty:
+                yield scanned(np.stack(batch["_vector"].to_numpy()).astype(np.float64), batch["vec_id"].to_numpy())
 
     def sent(batches):
         for batch in batches:
             if batch.empty:
                 continue
             data = np.stack(batch["_vector"].to_numpy()).astype(np.float64)
-            visited = hashing.probes(data)
-            out = []
-            for name, vector, by_table in zip(batch["vec_id"], data, visited):
-                for table, buckets in enumerate(by_table):
-                    part = (buckets.view(U64) % U64(groups)).astype(np.int64)
-                    for one in np.unique(part):
-                        out.append((table, int(one), name, buckets[part == one].tobytes(), vector.tobytes()))
+            zero = np.zeros(1, dtype=np.int64).tobytes()
+            out = [(0, 0, name, zero, vector.tobytes()) for name, vector in zip(batch["vec_id"], data)]
+            for at, (hashing, groups) in enumerate(ranges.hashed):
+                visited = hashing.probes(data)
+                for name, vector, by_table in zip(batch["vec_id"], data, visited):
+                    for table, buckets in enumerate(by_table, 1 + at * tables):
+                        part = (buckets.view(U64) % U64(groups)).astype(np.int64)
+                        for one in np.unique(part):
+                            out.append((table, int(one), name, buckets[part == one].tobytes(), vector.tobytes()))
             yield pd.DataFrame(out, columns=["table", "slice", "query_id", "buckets", "vector"])
 
-    base = rows.select("vec_id", "_vector").mapInPandas(
-        placed, "table int, slice bigint, vec_id bigint, bucket bigint, vector binary"
-    )
-    asked = rows.where("_asks").select("vec_id", "_vector").mapInPandas(
-        sent, "table int, slice bigint, query_id bigint, buckets binary, vector binary"
-    )
+    def sent_once(batches):
+        for batch in batches:
+            data = [np.asarray(one, dtype=np.float64).tobytes() for one in batch["_vector"]]
+            zero = np.zeros(1, dtype=np.int64).tobytes()
+            yield pd.DataFrame({"table": 0, "slice": 0, "query_id": batch["vec_id"], "buckets": zero, "vector": data})
+
+    place = "table int, slice bigint, vec_id bigint, bucket bigint, vector binary"
+    ask = "table int, slice bigint, query_id bigint, buckets binary, vector binary"
+    queries = rows.where("_asks").select("vec_id", "_vector")
+    base = rows.select("vec_id", "_vector").mapInPandas(placed, place)
+    result = _ranked_rows(_met(base, queries.mapInPandas(sent, ask), k), k)
+    if not ranges.hashed:
+        return result
+    result = result.checkpoint()
+    full = result.where(F.col("rank") == k).select(F.col("query_id").alias("_full"))
+    short = queries.join(full, F.col("vec_id") == F.col("_full"), "left_anti")
+    if sizes["n"] <= k or short.isEmpty():
+        return result
+    base = rows.select("vec_id", "_vector").mapInPandas(placed_once, place)
+    filled = _ranked_rows(_met(base, short.mapInPandas(sent_once, ask), k), k)
+    return result.join(full, F.col("query_id") == F.col("_full"), "left_semi").union(filled)
+
+
+def _met(base: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """The best candidates of every query in each part of a group."""
     counts = base.groupBy("table", "slice").agg(
         F.ceil(F.count(F.lit(1)) / GROUP_ROWS).cast("int").alias("_parts")
     )
@@ -257,13 +331,16 @@ def search(
     every = F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))
     asked = asked.join(F.broadcast(counts), ["table", "slice"]).withColumn("part", every).drop("_parts")
     key = ["table", "slice", "part"]
-    found = (
+    return (
         base.groupBy(*key)
         .cogroup(asked.groupBy(*key))
         .applyInPandas(
             lambda left, right: _search_group(left, right, k), "query_id bigint, vec_id bigint, score double"
         )
     )
+
+
+def _ranked_rows(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
         found.repartition("query_id")

@@ -63,3 +63,36 @@ def test_probes_are_different_and_in_order():
     assert len({tuple(row) for row in sets}) == len(sets) == 200
     assert not sets[0].any() and sets[1].tolist()[0] == 1
     assert not (sets[:, :6] & sets[:, :5:-1]).any()
+
+
+def spread_norms(factors):
+    rng = np.random.default_rng(5)
+    data = rng.standard_normal((6000, 64))
+    data *= (np.resize(factors, len(data)) / np.linalg.norm(data, axis=1))[:, None]
+    return data.astype(np.float32).astype(np.float64)
+
+
+def recall(spark, data):
+    got = search(spark, [(at, one.tolist()) for at, one in enumerate(data)])
+    scores = data[::20] @ data.T
+    scores[np.arange(len(scores)), np.arange(0, len(data), 20)] = -np.inf
+    best = np.argsort(-scores, axis=1)[:, :20]
+    assert all(len(got[20 * at]) == 20 for at in range(len(best)))
+    return np.mean([len({n for n, _ in got[20 * at]} & set(one.tolist())) / 20 for at, one in enumerate(best)])
+
+
+def test_recall_with_an_outlier(spark):
+    data = spread_norms([1.0])
+    data[777] *= 10
+    assert recall(spark, data) >= 0.96
+
+
+def test_recall_in_two_ranges_of_norms(spark):
+    assert recall(spark, spread_norms([1.0, 1.0, 0.3])) >= 0.93
+
+
+def test_queries_with_few_candidates_are_filled(spark):
+    data = spread_norms([1.0])
+    got = search(spark, [(at, one.tolist()) for at, one in enumerate(data)], tables=1, hashes=20, probes=1)
+    assert len(got) == 300 and all(len(found) == 20 for found in got.values())
+    assert got[0][0][1] == max(ann.inner_products(data[:1], data[1:])[0])
