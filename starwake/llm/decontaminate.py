@@ -10,10 +10,10 @@ from starwake.llm.text import ascii_lower
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: Fingerprints of 64 bits in blocks of 8: within RADIUS bits, some block differs in one bit at most.
+#: Fingerprints of 64 bits in blocks of 8: within RADIUS bits, some block differs in two bits at most.
 BITS = 64
 BLOCKS = 8
-RADIUS = 15
+RADIUS = 23
 #: Rows up to which tables made from the benchmark are broadcast; beyond, Spark joins by shuffling.
 BROADCAST_ROWS = 2_000_000
 
@@ -112,7 +112,7 @@ def find_leaks(
     words with an item of its size cannot be similar to it, so windows are laid where such a run
     stands at the same distance from both starts; one that would reach beyond the document is moved
     inside. Each gets a SimHash of its words. Fingerprints of equal window size meet in blocks: if two
-    of them differ in ``RADIUS`` bits or fewer, one of ``BLOCKS`` blocks differs in one bit at most,
+    of them differ in ``RADIUS`` bits or fewer, one of ``BLOCKS`` blocks differs in two bits at most,
     and the items are indexed under all such values, so no pair within the radius is missed. Pairs
     within it are verified by the exact weighted similarity of their word shingles.
 
@@ -175,14 +175,18 @@ def find_leaks(
             F.slice("_words", F.col("_window.start") + 1, F.col("_window._size")).alias("_words"),
         )
     )
-    flips = F.array(*[F.lit(0), *[F.lit(1 << bit) for bit in range(_BLOCK_BITS)]])
+    bits = [1 << bit for bit in range(_BLOCK_BITS)]
+    flips = F.array(*[F.lit(flip) for flip in sorted({0, *bits, *(a | b for a in bits for b in bits)})])
+    verified = targets.select(
+        F.xxhash64("_words").alias("_key"), _shingles(F.col("_words"), F.col("_width")).alias("_item_shingles")
+    ).dropDuplicates(["_key"])  # apart from the index, which has many rows an item
     index = (
         fingerprinted(targets)
         .select(
             "item_id",
             "_size",
             F.col("_print").alias("_item_print"),
-            _shingles(F.col("_words"), F.col("_width")).alias("_item_shingles"),
+            F.xxhash64("_words").alias("_key"),
             F.explode(_blocks(F.col("_print"))).alias("_block"),
         )
         .select("*", F.explode(flips).alias("_flip"))
@@ -190,7 +194,7 @@ def find_leaks(
             "item_id",
             "_size",
             "_item_print",
-            "_item_shingles",
+            "_key",
             "_block._at",
             F.col("_block._value").bitwiseXOR(F.col("_flip")).alias("_value"),
         )
@@ -207,6 +211,7 @@ def find_leaks(
     return (
         probes.join(_small(index), ["_size", "_at", "_value"])
         .where((F.bit_count(apart) <= RADIUS) & (first == F.col("_at")))
+        .join(_small(verified), "_key")
         .withColumn("_shingles", _shingles(F.col("_words"), F.least(F.lit(SHINGLE), F.col("_size"))))
         .withColumn("similarity", weighted_similarity(F.col("_shingles"), F.col("_item_shingles")))
         .where(F.col("similarity") >= similarity)

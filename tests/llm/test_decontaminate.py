@@ -65,6 +65,17 @@ def test_against_brute_force(spark):
     assert Counter(r.doc_id for r in kept.collect()) == Counter(d for d, _ in rows if d not in leaked)
 
 
+def test_similarity_just_at_the_limit(spark):
+    rng, items, rows = random.Random(8), [], []
+    for at in range(300):
+        own = [f"w{one}" for one in rng.sample(range(10**6), 104)]
+        items.append((at, " ".join(own)))
+        rows.append((at, " ".join(own[:-11] + [f"c{one}" for one in rng.sample(range(10**6), 11)])))
+    table = spark.createDataFrame(items, "item_id bigint, text string")
+    got = find_leaks(documents(spark, rows), table).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(at, at) for at in range(300)}
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id bigint, text string")
     some = spark.createDataFrame([(1, "an item of a few words")], "item_id bigint, text string")
