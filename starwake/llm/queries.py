@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from starwake.llm import (
     ann,
+    clustering,
     decontaminate,
+    fill_middle,
     html_text,
     jaccard,
     licenses,
@@ -19,6 +21,7 @@ from starwake.llm import (
     secrets,
     token_files,
     toxicity,
+    urls,
 )
 from starwake.llm.tables import table, vocabulary
 
@@ -163,6 +166,155 @@ def op5_similar_documents(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.similar_documents(table(spark, folder, "documents"))
 
 
+@query
+def op11_centroid_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    found = clustering.cluster_vectors(table(spark, folder, "embeddings"))
+    return found.select(
+        "vec_id",
+        "cluster",
+        "distance",
+        "cluster_inertia",
+        "inertia",
+        F.sha2("centroid", 256).alias("centroid_sha256"),
+    )
+
+
+def _clustering_sql(rounds: int = 3, count: int = 16) -> str:
+    """The rounds of the clustering, one after the other."""
+    apart = "CAST(list_sum(list_transform(list_zip(v.row, c.row), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS HUGEINT)"
+    steps = [
+        f"""kept AS MATERIALIZED (
+    SELECT vec_id, row_number() OVER () AS nth,
+        list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS HUGEINT)) AS row
+    FROM embeddings
+    WHERE len(embedding) = 64
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY sha256('1:' || coalesce(CAST(vec_id AS VARCHAR), ''))) - 1 AS no, row
+    FROM kept QUALIFY no < {count})"""
+    ]
+    for at in range(rounds + 1):
+        steps.append(
+            f"""a{at} AS MATERIALIZED (
+    SELECT nth, arg_min(no, (far, no)) AS no, min(far) AS far
+    FROM (SELECT v.nth, c.no, {apart} AS far FROM kept v, c{at} c) GROUP BY nth)"""
+        )
+        if at < rounds:
+            steps.append(
+                f"""m{at} AS MATERIALIZED (
+    SELECT no, list(mean ORDER BY pos) AS row
+    FROM (
+        SELECT no, pos, CAST((total - ((total % n) + n) % n) // n AS HUGEINT) AS mean
+        FROM (
+            SELECT no, pos, CAST(sum(x) AS HUGEINT) AS total, CAST(count(*) AS HUGEINT) AS n
+            FROM (SELECT no, unnest(row) AS x, generate_subscripts(row, 1) AS pos
+                FROM kept JOIN a{at} USING (nth))
+            GROUP BY no, pos))
+    GROUP BY no),
+c{at + 1} AS MATERIALIZED (
+    SELECT c.no, coalesce(m.row, c.row) AS row FROM c{at} c LEFT JOIN m{at} m ON c.no = m.no)"""
+            )
+    return f"""WITH {", ".join(steps)}
+SELECT vec_id, CAST(a.no AS INTEGER) AS "cluster", CAST(far AS BIGINT) AS distance,
+    CAST(sum(far) OVER (PARTITION BY a.no) AS BIGINT) AS cluster_inertia,
+    CAST(sum(far) OVER () AS BIGINT) AS inertia,
+    sha256(array_to_string(c.row, ',')) AS centroid_sha256
+FROM kept JOIN a{rounds} a USING (nth) JOIN c{rounds} c ON a.no = c.no
+"""
+
+
+ORACLE_SQL["op11_centroid_clusters"] = _clustering_sql()
+
+
+@query
+def op12_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    made = fill_middle.fill_in_middle(table(spark, folder, "documents"))
+    restored = fill_middle.restored_text(F.col("output"), F.col("form"))
+    return made.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+        F.sha2(restored.cast("binary"), 256).alias("restored_sha256"),
+    )
+
+
+_DRAWN = ", ".join(
+    f"CAST('0x' || substr(sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')), {1 + 8 * at}, 8) AS BIGINT) AS h{at + 1}"
+    for at in range(4)
+)
+
+ORACLE_SQL["op12_fill_in_middle"] = f"""
+WITH drawn AS (
+    SELECT doc_id, coalesce(text, '') AS text, {_DRAWN},
+        regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS units
+    FROM documents),
+ranked AS (
+    SELECT *, len(units) AS n, least(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS low,
+        greatest(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS high,
+        CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+            OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+    FROM drawn),
+parted AS (
+    SELECT *, coalesce(array_to_string(units[1:low], ''), '') AS prefix,
+        coalesce(array_to_string(units[low + 1:high], ''), '') AS middle,
+        coalesce(array_to_string(units[high + 1:], ''), '') AS suffix
+    FROM ranked)
+SELECT doc_id, n, form,
+    CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+    CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+    sha256(text) AS restored_sha256
+FROM parted
+"""
+
+#: Host, path and verdict of the rules that the query applies (fixed values).
+URL_RULES = [
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+]
+
+
+@query
+def op13_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    judged = urls.judge_urls(pages, urls.build_index(rules))
+    return judged.select(
+        F.col("c0").alias("page_id"),
+        F.col("_host").alias("host"),
+        F.col("_path").alias("path"),
+        F.col("_rule").alias("rule"),
+        F.col("_verdict").alias("verdict"),
+    )
+
+
+_RULES_SQL = ", ".join(f"('{host}', '{path}', '{verdict}')" for host, path, verdict in URL_RULES)
+
+ORACLE_SQL["op13_url_filter"] = f"""
+WITH rules(rule_host, rule_path, rule_verdict) AS (VALUES {_RULES_SQL}),
+parted AS (
+    SELECT row_number() OVER () AS nth, page_id,
+        translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), {UPPER}, lower({UPPER})) AS host,
+        regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
+    FROM pages),
+fitting AS (
+    SELECT nth, arg_max(rule_host || rule_path, (length(rule_host || rule_path), length(rule_host))) AS rule,
+        arg_max(rule_verdict, (length(rule_host || rule_path), length(rule_host))) AS verdict
+    FROM parted JOIN rules ON starts_with(path, rule_path)
+        AND (host = rule_host OR ends_with(host, '.' || rule_host))
+    GROUP BY nth)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
+FROM parted LEFT JOIN fitting USING (nth)
+"""
+
+
 @query
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)

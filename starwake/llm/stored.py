@@ -8,6 +8,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 from starwake.session import fresh_path
+from starwake.sources.files import delete_directory
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -20,6 +21,30 @@ def stored(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
+class Scratch:
+    """Tables stored for the length of a block. At its end all go but those that are kept."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.paths: list[str] = []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *raised: object) -> None:
+        for path in self.paths:
+            delete_directory(self.spark, path)
+
+    def kept(self, df: DataFrame) -> DataFrame:
+        """The same rows, stored for good: they are part of a result that is read later."""
+        return stored(df)
+
+    def stored(self, df: DataFrame) -> DataFrame:
+        path = fresh_path(self.spark, "stored")
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
 
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 1_000) -> Iterator[None]:
