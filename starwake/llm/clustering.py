@@ -25,6 +25,8 @@ SCALE = 64
 BLOCK = 16
 #: Planes that go into one 64-bit part of a sum of vectors.
 LIMB = 32
+#: Up to so many products, a pair of blocks is counted in one step: wide vectors are rare.
+FEW_CELLS = 1_024
 #: Vectors compared at once.
 ROWS = 16_384
 _LONGEST = (1 << 63) - 1
@@ -96,11 +98,16 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     out = np.zeros((len(a), len(b)), dtype=kind)
     for i0 in range(0, len(wa), BLOCK):
         for j0 in range(0, len(wb), BLOCK):
-            part = np.zeros(out.shape, dtype=np.int64)
-            for i in range(i0, min(i0 + BLOCK, len(wa))):
-                for j in range(j0, min(j0 + BLOCK, len(wb))):
-                    common = np.bitwise_count(a[:, i, None] & b[None, :, j])
-                    part += common.astype(np.int64) * (wa[i] * wb[j])
+            i1, j1 = min(i0 + BLOCK, len(wa)), min(j0 + BLOCK, len(wb))
+            if out.size <= FEW_CELLS:
+                common = np.bitwise_count(a[:, None, i0:i1, None] & b[None, :, None, j0:j1])
+                part = np.einsum("abij,i,j->ab", common.astype(np.int64), wa[i0:i1], wb[j0:j1])
+            else:
+                part = np.zeros(out.shape, dtype=np.int64)
+                for i in range(i0, i1):
+                    for j in range(j0, j1):
+                        common = np.bitwise_count(a[:, i, None] & b[None, :, j])
+                        part += common.astype(np.int64) * (wa[i] * wb[j])
             out += part.astype(kind) * (1 << (i0 + j0))
     return out
 
