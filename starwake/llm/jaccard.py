@@ -4,13 +4,15 @@ Two documents link when the Jaccard similarity of their sets is at least a thres
 inverted lists of the rare tokens at their front, as in any prefix filter. Two relations of sets
 spare most of the work:
 
-* Within a list, sets are cut into blocks by size, and each entry knows from its position how large a
-  partner may be; blocks and entries that cannot reach the threshold are skipped.
-* Within a list, the answers of all sets are derived from those of one, the smallest. A set that
-  links with it is answered: it belongs to the component. For two sets x, y at least as large as the
-  smallest B, if x does not link with B then x and y can only link by a token outside of B, because
-  |x & y & B| <= |x & B| is below what a link needs. So only what differs from B is indexed for the
-  next round, and a group of near copies costs about one comparison per copy, not all pairs.
+* Lists are cut into blocks by size. Each entry knows from its position how many tokens it can still
+  share and how many it needs; entries and whole lists that cannot reach the threshold with a set of
+  another component are skipped.
+* The answers of all sets of a list are derived from those of one leader. A set that links with it is
+  answered: it belongs to the component. For two sets x, y at least as large as the leader B, if x
+  does not link with B then x and y can only link by a token outside of B, because |x & y & B| <=
+  |x & B| is below what a link needs. So only what differs from B is indexed for the next round, and
+  a group of near copies costs about one comparison per copy, not all pairs. Lists led by sets of one
+  component share the smallest of them as leader, so a set is indexed anew once per component.
 """
 
 from __future__ import annotations
@@ -26,22 +28,23 @@ from starwake.llm import packed
 from starwake.llm.columns import plain, plain_name, restored
 from starwake.llm.components import connected
 from starwake.llm.packed import U64, mixed
-from starwake.llm.stored import small_batches, stored
+from starwake.llm.stored import Scratch, small_batches
 
 SHINGLE = 5
 #: Links need 100 * shared >= PERCENT * united.
 PERCENT = 80
 #: Tokens that a bucket of token hashes holds, about.
 BUCKET_TOKENS = 2_000_000
-#: From the second round on, the sets of a list of this length at most are all compared with those of
-#: other components, which ends it. The length grows with the rounds, as lists become few.
-FEW = 16
-MOST_FEW = 4_096
+#: Entries of lists that a task holds before it hands them on.
+FRAME_ENTRIES = 200_000
+#: Pairs between components per entry up to which a list's pairs are all compared.
+DIRECT = 8
+#: Times that the sets of a round's lists are compared with leaders, at most.
+STEPS = 4
 #: Tokens that a task gathers before it sends them to their buckets.
 CHUNK_TOKENS = 1_000_000
 
 _FACTORS = mixed(np.arange(1, 2 * SHINGLE + 1, dtype=np.uint64)) | U64(1)
-_NO_LIMIT = 1 << 60
 
 
 def shingle_sets(texts: list[bytes]) -> Iterator[np.ndarray]:
@@ -270,47 +273,65 @@ def _band(size: np.ndarray) -> np.ndarray:
     return np.floor(np.log(size) / np.log(100 / PERCENT) + 1e-9).astype(np.int64)
 
 
+_LIST_SCHEMA = "_scope bigint, _token bigint, _band bigint, _rep bigint, _n bigint, _need bigint, _left bigint, _before bigint"
+_LIST = ["_scope", "_token", "_band"]
+
+
+class _Entries:
+    """Entries of lists, gathered until there are enough for a frame."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple] = []
+        self.held = 0
+
+    def add(
+        self, scope: int, band: int, rep: int, n: int, need: int, tokens: np.ndarray, left: int, before: int
+    ) -> None:
+        """A set under some tokens; ``left`` can be shared from the first one on, ``before`` are rarer."""
+        self.parts.append((scope, band, rep, n, need, tokens, left, before))
+        self.held += len(tokens)
+
+    def frames(self, least: int = FRAME_ENTRIES) -> Iterator[pd.DataFrame]:
+        if not self.held or self.held < least:
+            return
+        counts = [len(part[5]) for part in self.parts]
+        columns = {
+            name: np.repeat(np.array([part[at] for part in self.parts], dtype=np.int64), counts)
+            for at, name in ((0, "_scope"), (1, "_band"), (2, "_rep"), (3, "_n"), (4, "_need"))
+        }
+        columns["_token"] = np.concatenate([part[5] for part in self.parts]).view(np.int64)
+        columns["_left"] = np.concatenate([part[6] - np.arange(len(part[5])) for part in self.parts])
+        columns["_before"] = np.concatenate([part[7] + np.arange(len(part[5])) for part in self.parts])
+        self.parts, self.held = [], 0
+        yield pd.DataFrame(columns)[_ENTRY]
+
+
+_ENTRY = [*_LIST, "_rep", "_n", "_need", "_left", "_before"]
+
+
 def _first_lists(ordered: DataFrame) -> DataFrame:
     """Entries of the first lists: a set under each shared token of its prefix.
 
-    The tokens that no other set has come first in the order and need no list. ``_most`` is the
-    largest partner for which this token can be the first they share: it leaves as many tokens
-    behind it as such a link needs.
+    The tokens that no other set has come first in the order and need no list. ``_need`` is how many
+    tokens the set shares with any set it links with, ``_left`` how many it has from this token on, and
+    ``_before`` how many rarer ones.
     """
 
     def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        entries = _Entries()
         for batch in batches:
-            names, tokens, sizes, most = [], [], [], []
-            for rep, n, k, raw in zip(batch["_rep"], batch["_n"], batch["_k"], batch["_shared"]):
-                prefix = n - -(-n * PERCENT // 100) + 1
-                places = np.arange(n - k, prefix)
-                shared = np.frombuffer(raw, dtype=U64)[: len(places)]
-                names.append(np.full(len(shared), rep, dtype=np.int64))
-                tokens.append(shared.view(np.int64))
-                sizes.append(np.full(len(shared), n, dtype=np.int64))
-                left = n - places[: len(shared)]
-                most.append(left * (100 + PERCENT) // PERCENT - n)
-            if not names:
-                continue
-            frame = pd.DataFrame(
-                {
-                    "_scope": 0,
-                    "_token": np.concatenate(tokens),
-                    "_rep": np.concatenate(names),
-                    "_n": np.concatenate(sizes),
-                    "_most": np.concatenate(most),
-                }
-            )
-            frame["_band"] = _band(frame["_n"].to_numpy())
-            yield pd.concat([frame, frame.assign(_band=frame["_band"] + 1)])
+            bands = _band(batch["_n"].to_numpy())
+            for rep, n, k, band, raw in zip(batch["_rep"], batch["_n"], batch["_k"], bands, batch["_shared"]):
+                need = -(-n * PERCENT // 100)
+                tokens = np.frombuffer(raw, dtype=U64)[: max(0, k - need + 1)]
+                entries.add(0, band, rep, n, need, tokens, k, n - k)
+                entries.add(0, band + 1, rep, n, need, tokens, k, n - k)
+                yield from entries.frames()
+        yield from entries.frames(0)
 
     return ordered.mapInPandas(listed, _LIST_SCHEMA)
 
 
-_LIST_SCHEMA = "_scope bigint, _token bigint, _rep bigint, _n bigint, _most bigint, _band bigint"
-_LIST = ["_scope", "_token", "_band"]
-
-
 def _with_sets(pairs: DataFrame, ordered: DataFrame) -> DataFrame:
     """Adds the sets of ``_rep`` and ``_lead``, for Python to compare."""
     own = ordered.select(F.col("_rep").alias("_r1"), F.col("_n"), F.col("_shared"))
@@ -325,8 +346,8 @@ def _with_sets(pairs: DataFrame, ordered: DataFrame) -> DataFrame:
     )
 
 
-def _shared_counts(pairs: DataFrame, ordered: DataFrame) -> DataFrame:
-    """The pairs that link."""
+def _linked(pairs: DataFrame, ordered: DataFrame) -> DataFrame:
+    """The pairs that link, as ``_a`` and ``_b``."""
 
     def linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -338,135 +359,168 @@ def _shared_counts(pairs: DataFrame, ordered: DataFrame) -> DataFrame:
             united = batch["_n"].to_numpy() + batch["_lead_n"].to_numpy() - shared
             yield batch.loc[100 * shared >= PERCENT * united, ["_rep", "_lead"]]
 
-    return _with_sets(pairs, ordered).mapInPandas(linked, "_rep bigint, _lead bigint")
+    found = _with_sets(pairs, ordered).mapInPandas(linked, "_rep bigint, _lead bigint")
+    return found.select(F.col("_rep").alias("_a"), F.col("_lead").alias("_b"))
 
 
 def _outside(members: DataFrame, ordered: DataFrame) -> DataFrame:
     """Entries of the next lists: sets under their tokens outside the leader.
 
-    A partner is no smaller than the leader, so a link needs PERCENT / (100 + PERCENT) of both sizes
-    in shared tokens, of which the set can share no more inside the leader than it shares with the
-    leader. The rest has to come from outside, which sets the length of the prefix, rarest first.
+    A partner is no smaller than the leader, nor than PERCENT of the set, so a link needs
+    PERCENT / (100 + PERCENT) of both sizes in shared tokens, of which the set can share no more
+    inside the leader than it shares with the leader. The rest has to come from outside: this is
+    ``_need``, and sets the length of the prefix, rarest first.
     """
 
     def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        entries = _Entries()
+        columns = ["_next", "_band", "_rep", "_n", "_lead_n", "_shared", "_lead_shared"]
         for batch in batches:
-            tokens = []
-            for n, lead_n, one, other in zip(
-                batch["_n"], batch["_lead_n"], batch["_shared"], batch["_lead_shared"]
-            ):
+            for scope, band, rep, n, lead_n, one, other in zip(*(batch[name] for name in columns)):
                 own, lead = np.frombuffer(one, dtype=U64), np.frombuffer(other, dtype=U64)
                 out = own[~np.isin(own, lead, assume_unique=True)]
-                need = max(1, -(-(n + lead_n) * PERCENT // (100 + PERCENT)) - (len(own) - len(out)))
-                tokens.append(out[: max(0, len(out) - need + 1)].view(np.int64))
-            sizes = [len(out) for out in tokens]
-            yield pd.DataFrame(
-                {
-                    "_scope": np.repeat(batch["_next"].to_numpy(), sizes),
-                    "_token": np.concatenate([np.zeros(0, dtype=np.int64), *tokens]),
-                    "_rep": np.repeat(batch["_rep"].to_numpy(), sizes),
-                    "_n": np.repeat(batch["_n"].to_numpy(), sizes),
-                    "_most": _NO_LIMIT,
-                    "_band": np.repeat(batch["_band"].to_numpy(), sizes),
-                }
-            )
+                partner = max(lead_n, -(-n * PERCENT // 100))
+                inside = len(own) - len(out)
+                need = max(1, -(-(n + partner) * PERCENT // (100 + PERCENT)) - inside)
+                entries.add(scope, band, rep, n, need, out[: max(0, len(out) - need + 1)], len(out), n - len(own))
+                yield from entries.frames()
+        yield from entries.frames(0)
+
+    return _with_sets(members, ordered).mapInPandas(listed, _LIST_SCHEMA)
+
+
+def _live(lists: DataFrame, comps: DataFrame) -> DataFrame:
+    """Entries that can still link with an entry of their list in another component, with ``_comp``.
 
-    chosen = _with_sets(members, ordered).select(
-        "_next", "_rep", "_band", "_n", "_shared", "_lead_n", "_lead_shared"
+    Of each list two numbers are enough: the most tokens left of any entry, and the most left of
+    those in other components than that one. An entry that needs more than the entries of other
+    components have left is skipped, and with it whole lists of one component.
+    """
+    met = lists.join(comps, F.col("_rep") == F.col("_node"), "left").drop("_node")
+    placed = met.withColumn("_comp", F.coalesce("_comp", "_rep"))
+    of_comp = placed.groupBy(*_LIST, "_comp").agg(F.max("_left").alias("_left"))
+    top = of_comp.groupBy(*_LIST).agg(F.max(F.struct("_left", "_comp")).alias("_top"))
+    second = (
+        of_comp.join(top, _LIST)
+        .where(F.col("_comp") != F.col("_top._comp"))
+        .groupBy(*_LIST)
+        .agg(F.first("_top").alias("_top"), F.max("_left").alias("_second"))
     )
-    return chosen.mapInPandas(listed, _LIST_SCHEMA)
+    others = F.when(F.col("_comp") == F.col("_top._comp"), F.col("_second")).otherwise(F.col("_top._left"))
+    return placed.join(second, _LIST).where(F.col("_need") <= others).select(*_ENTRY, "_comp")
 
 
-def _links(ordered: DataFrame) -> DataFrame:
-    """Links (``_a``, ``_b``) that join all sets which any chain of links joins.
+def _led(entries: DataFrame, direct: int) -> DataFrame:
+    """Entries with the leader and the centre of their list, with their sizes and components.
 
-    Each round compares the sets of a list with its smallest and with the one of the smallest id,
-    takes components, and carries on only lists whose sets are still in several components. Lists
-    that have become short are compared whole.
+    The smallest set of a list names a component; the leader is the smallest set which that
+    component has in any list of the scope and block. It is no larger than any set of the list and
+    serves all lists that the component leads. The centre is the set with the fewest tokens rarer
+    than that of the list: of edited copies the least edited one, which links with the most others.
+
+    ``_whole`` marks lists with at most ``direct`` times as many pairs between components as entries;
+    ``_big`` is the component with the most entries of a list.
     """
-    lists, few = stored(_first_lists(ordered)), 0
-    edges = _no_edges(ordered)
-    comps = edges.select(F.col("_a").alias("_node"), F.col("_b").alias("_comp"))
-    while True:
-        placed = _with_components(lists, comps)
-        leads = stored(
-            placed.groupBy(*_LIST)
-            .agg(
-                F.min(F.struct("_n", "_rep", "_most", "_comp")).alias("_small"),
-                F.min(F.struct("_rep", "_n", "_most", "_comp")).alias("_early"),
-                F.min("_comp").alias("_low"),
-                F.max("_comp").alias("_high"),
-                F.count(F.lit(1)).alias("_of"),
-            )
-            .where(F.col("_low") != F.col("_high"))
-            .select(*_LIST, "_small", "_early", (F.col("_of") <= few).alias("_few"))
-        )
-        if leads.isEmpty():
-            return edges
-        entries = placed.join(leads, _LIST)
-        early = F.struct("_early._n", "_early._rep", "_early._most", "_early._comp")
-        pairs = (
-            entries.select("_rep", "_n", "_most", "_comp", F.explode(F.array("_small", early)).alias("_with"))
-            .where(F.col("_comp") != F.col("_with._comp"))
-            .where(_may_link(F.col("_n"), F.col("_most"), F.col("_with._n"), F.col("_with._most")))
-            .select("_rep", F.col("_with._rep").alias("_lead"))
-        )
-        if few:
-            short = entries.where("_few").select(*_LIST, "_rep", "_n", "_comp")
-            other = short.select(
-                *_LIST,
-                F.col("_rep").alias("_lead"),
-                F.col("_n").alias("_lead_n"),
-                F.col("_comp").alias("_lead_comp"),
-            )
-            every = short.join(other, _LIST).where(
-                (F.col("_lead") < F.col("_rep"))
-                & (F.col("_lead_comp") != F.col("_comp"))
-                & _may_link(F.col("_n"), F.lit(_NO_LIMIT), F.col("_lead_n"), F.lit(_NO_LIMIT))
-            )
-            pairs = pairs.union(every.select("_rep", "_lead"))
-        pairs = pairs.distinct()
-        found = stored(
-            _shared_counts(pairs, ordered).select(F.col("_rep").alias("_a"), F.col("_lead").alias("_b"))
-        )
-        if not found.isEmpty():
-            edges = stored(edges.union(found))
-            comps = connected(edges)
-        named = _with_components(entries.where(~F.col("_few")).drop("_comp"), comps)
-        mixed_lists = (
-            named.groupBy(*_LIST)
-            .agg(F.min("_comp").alias("_low"), F.max("_comp").alias("_high"))
-            .where(F.col("_low") != F.col("_high"))
-            .select(*_LIST)
-        )
-        members = (
-            named.join(mixed_lists, _LIST)
-            .where(F.col("_rep") != F.col("_small._rep"))
-            .select(
-                F.xxhash64("_scope", "_band", F.col("_small._rep")).alias("_next"),
-                "_rep",
-                F.col("_small._rep").alias("_lead"),
-                "_band",
-            )
-            .distinct()
+    of_comp = entries.groupBy(*_LIST, "_comp").agg(
+        F.min(F.struct("_n", "_rep")).alias("_small"),
+        F.min(F.struct("_before", "_rep", "_n")).alias("_central"),
+        F.count(F.lit(1)).alias("_of"),
+    )
+    square = F.col("_of") * F.col("_of")
+    lists = of_comp.groupBy(*_LIST).agg(
+        F.min(F.struct("_small", "_comp")).alias("_first"),
+        F.min(F.struct("_central", "_comp")).alias("_middle"),
+        F.max(F.struct("_of", "_comp")).alias("_most"),
+        F.sum("_of").alias("_all"),
+        F.sum(square).alias("_squares"),
+    )
+    chosen = of_comp.groupBy("_scope", "_band", "_comp").agg(F.min("_small").alias("_chosen"))
+    between = (F.col("_all") * F.col("_all") - F.col("_squares")) / 2
+    leads = (
+        lists.withColumn("_comp", F.col("_first._comp"))
+        .join(chosen, ["_scope", "_band", "_comp"])
+        .select(
+            *_LIST,
+            F.col("_comp").alias("_lead_comp"),
+            F.col("_chosen._rep").alias("_lead"),
+            F.col("_chosen._n").alias("_lead_n"),
+            F.col("_middle._comp").alias("_centre_comp"),
+            F.col("_middle._central._rep").alias("_centre"),
+            F.col("_middle._central._n").alias("_centre_n"),
+            F.col("_most._comp").alias("_big"),
+            (between <= direct * F.col("_all")).alias("_whole"),
         )
-        lists = stored(_outside(members, ordered))
-        few = min(MOST_FEW, max(FEW, 4 * few))
+    )
+    return entries.join(leads, _LIST)
 
 
-def _with_components(entries: DataFrame, comps: DataFrame) -> DataFrame:
-    met = entries.join(comps, F.col("_rep") == F.col("_node"), "left")
-    return met.withColumn("_comp", F.coalesce("_comp", "_rep")).drop("_node")
+def _pairs_with(led: DataFrame, name: str) -> DataFrame:
+    """Pairs of entries with the leader or centre of their list, if it is in another component."""
+    n, other = F.col("_n"), F.col(f"{name}_n")
+    close = 100 * F.least(n, other) >= PERCENT * F.greatest(n, other)
+    return led.where((F.col("_comp") != F.col(f"{name}_comp")) & close).select(
+        "_rep", F.col(name).alias("_lead")
+    )
 
 
-def _may_link(n: Column, most: Column, lead_n: Column, lead_most: Column) -> Column:
-    """Sizes are close enough, and neither position rules the other out."""
-    close = (100 * lead_n >= PERCENT * n) & (100 * n >= PERCENT * lead_n)
-    return close & (n <= lead_most) & (lead_n <= most)
+def _pairs_between(whole: DataFrame) -> DataFrame:
+    """Pairs of entries of different components that can reach what both need.
 
+    One of each pair is not of the list's largest component, so the join looks at no more than four
+    times the pairs that the list has between components, which ``_whole`` bounds by its entries.
+    """
+    other = whole.select(
+        *_LIST,
+        F.col("_rep").alias("_other"),
+        F.col("_comp").alias("_other_comp"),
+        F.col("_need").alias("_other_need"),
+        F.col("_left").alias("_other_left"),
+    )
+    met = whole.where(F.col("_comp") != F.col("_big")).join(other, _LIST)
+    able = (F.col("_need") <= F.col("_other_left")) & (F.col("_other_need") <= F.col("_left"))
+    return met.where((F.col("_comp") != F.col("_other_comp")) & able).select(
+        F.greatest("_rep", "_other").alias("_rep"), F.least("_rep", "_other").alias("_lead")
+    )
+
+
+def _links(ordered: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links (``_a``, ``_b``) that join all sets which any chain of links joins.
 
-def _no_edges(ordered: DataFrame) -> DataFrame:
-    return ordered.select(F.col("_rep").alias("_a"), F.col("_rep").alias("_b")).limit(0)
+    Each round compares the sets of a list with its leader and centre and takes components, again as long as
+    these steps find links, as larger components share leaders. Then what differs from the leader
+    makes up the lists of the next round. A leader is no member of the scope it opens, so scopes
+    shrink and the rounds end. From the second step on, a list that has few pairs between components
+    for its length is done with once these pairs are compared.
+    """
+    lists, direct = scratch.stored(_first_lists(ordered)), 0
+    entries = lists.count()
+    edges = ordered.select(F.col("_rep").alias("_a"), F.col("_rep").alias("_b")).limit(0)
+    comps = edges.select(F.col("_a").alias("_node"), F.col("_b").alias("_comp"))
+    while True:
+        for _ in range(STEPS):
+            live = scratch.stored(_live(lists, comps))
+            left = live.count()
+            if not left:
+                return edges
+            # Few entries left may be compared more freely: never more pairs than DIRECT times all entries.
+            led = scratch.stored(_led(live, direct and max(direct, entries // left)))
+            whole, long = led.where("_whole"), led.where(~F.col("_whole") & (F.col("_rep") != F.col("_lead")))
+            pairs = _pairs_with(long, "_lead").union(_pairs_with(long, "_centre"))
+            if direct:
+                pairs = pairs.union(_pairs_between(whole))
+            found = scratch.stored(_linked(pairs.distinct(), ordered))
+            direct = DIRECT
+            lists = led.where(~F.col("_whole")).select(*_ENTRY)
+            if found.isEmpty():
+                break
+            edges = scratch.stored(edges.union(found))
+            comps = connected(edges, scratch)
+        if long.isEmpty():
+            return edges
+        members = long.select(
+            F.xxhash64("_scope", "_band", "_lead").alias("_next"), "_rep", "_lead", "_band"
+        ).distinct()
+        lists = scratch.stored(_outside(members, ordered))
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -479,16 +533,19 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     result.
 
     Sets are hashed to 64 bits a shingle. Texts are read three times and only the texts of
-    documents that share most of their shingles with others are shuffled.
+    documents that share most of their shingles with others are shuffled. Very long texts are
+    sliced; Python tasks get batches of bounded bytes.
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_text"))
     alike = ["_p1", "_p2", "_n"]
-    with small_batches(docs.sparkSession):
-        measured = stored(_measure(rows))
+    with small_batches(docs.sparkSession), Scratch(docs.sparkSession) as scratch:
+        measured = scratch.kept(_measure(rows))
         sized = measured.where(F.col("_n") > 0).where(F.col("_id").isNotNull())
-        classes = stored(sized.groupBy(*alike).agg(F.min("_id").alias("_rep")))
+        # Classes are told apart by their prints. Their names are numbers, fixed once stored.
+        grouped = sized.groupBy(*alike).agg(F.min("_id").alias("_first"))
+        classes = scratch.stored(grouped.withColumn("_rep", F.monotonically_increasing_id()))
         total = measured.agg(F.sum("_n").alias("n")).first()["n"] or 0
-        links = _class_links(rows, classes, int(total))
+        links = _class_links(rows, classes, int(total), scratch)
         twice = (
             sized.join(classes, alike)
             .groupBy("_id")
@@ -500,39 +557,39 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             .where(F.col("_low") != F.col("_high"))
             .select(F.col("_low").alias("_a"), F.explode("_all").alias("_b"))
         )
-        comps = connected(links.union(twice))
-    placed = (
-        measured.join(classes, alike, "left")
-        .join(comps, F.col("_rep") == F.col("_node"), "left")
-        .withColumn("_own", F.when(F.col("_n") > 0, F.coalesce("_comp", "_rep")))
-    )
-    return placed.select(
+        comps = connected(links.union(twice), scratch)
+        named = classes.join(comps, F.col("_rep") == F.col("_node"), "left").withColumn(
+            "_comp", F.coalesce("_comp", "_rep")
+        )
+        least = named.groupBy("_comp").agg(F.min("_first").alias("_least"))
+        answered = scratch.kept(named.join(least, "_comp").select(*alike, "_least"))
+    own = F.when(F.col("_n") > 0, F.col("_least"))
+    return measured.join(answered, alike, "left").select(
         F.col("_id").alias("doc_id"),
         F.col("_n").alias("n_shingles"),
-        F.when(F.col("_id").isNotNull(), F.coalesce("_own", "_id")).alias("component_id"),
+        F.when(F.col("_id").isNotNull(), F.coalesce(own, "_id")).alias("component_id"),
     )
 
 
-def _class_links(rows: DataFrame, classes: DataFrame, total: int) -> DataFrame:
-    sharing = stored(_sharing_sets(rows, -(-total // BUCKET_TOKENS) or 1))
-    chosen = stored(classes.join(sharing, "_p1").select("_rep", "_p1", "_n"))
+def _class_links(rows: DataFrame, classes: DataFrame, total: int, scratch: Scratch) -> DataFrame:
+    sharing = scratch.stored(_sharing_sets(rows, -(-total // BUCKET_TOKENS) or 1))
+    chosen = scratch.stored(classes.join(sharing, "_p1").select("_rep", "_first", "_p1", "_p2", "_n"))
     kept = chosen.agg(F.sum("_n").alias("n")).first()["n"] or 0
 
     def gathered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sets = list(shingle_sets(packed.encoded(batch["_text"])))
-            right = [len(one) > 0 and _prints(one)[0] == p for one, p in zip(sets, batch["_p1"])]
-            yield pd.DataFrame(
-                {
-                    "_rep": batch["_id"][right],
-                    "_tokens": [one.tobytes() for one, same in zip(sets, right) if same],
-                }
-            )
-
-    texts = rows.join(chosen.select(F.col("_rep").alias("_id"), "_p1"), "_id")
+            sets = shingle_sets(packed.encoded(batch["_text"]))
+            reps, tokens = [], []
+            for one, rep, p1, p2 in zip(sets, batch["_rep"], batch["_p1"], batch["_p2"]):
+                if len(one) and _prints(one) == (p1, p2):
+                    reps.append(rep)
+                    tokens.append(one.tobytes())
+            yield pd.DataFrame({"_rep": reps, "_tokens": tokens})
+
+    texts = rows.join(chosen.select(F.col("_first").alias("_id"), "_rep", "_p1", "_p2"), "_id")
     sets = texts.mapInPandas(gathered, "_rep bigint, _tokens binary")
-    ordered = stored(_ordered_sets(sets, -(-int(kept) // BUCKET_TOKENS) or 1))
-    return _links(ordered)
+    ordered = scratch.stored(_ordered_sets(sets, -(-int(kept) // BUCKET_TOKENS) or 1))
+    return _links(ordered, scratch)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -47,13 +47,15 @@ class Scratch:
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int = 1_000) -> Iterator[None]:
-    """Within the block, Python tasks get fewer rows at once, for rows that hold whole texts or
-    sets. Only for jobs that run inside the block; the session's own setting comes back after it."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
+def small_batches(spark: SparkSession, rows: int = 1_000, size: str = "8m") -> Iterator[None]:
+    """Within the block, Python tasks get fewer rows and bytes at once, for rows that hold whole texts
+    or sets. Only for jobs that run inside the block; the session's own settings come back after it."""
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    before = [spark.conf.get(name) for name in names]
+    for name, value in zip(names, (str(rows), size), strict=True):
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in zip(names, before, strict=True):
+            spark.conf.set(name, value)

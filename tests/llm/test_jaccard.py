@@ -2,6 +2,8 @@ import random
 from itertools import combinations
 
 from starwake.llm.jaccard import keep_one, similar_documents
+from starwake.session import shared_dir
+from starwake.sources.files import child_names
 from tests.llm.corpus import blank_words, documents, words
 
 
@@ -89,6 +91,33 @@ def test_same_id_with_two_texts(spark):
     check(spark, [(5, a), (5, b), (3, a), (2, b)])
 
 
+def test_same_id_with_two_texts_that_have_near_copies(spark):
+    a, b = words(1, 60), words(2, 60)
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (7, " ".join([*a, "more"])), (8, " ".join([*b, "more"]))]
+    assert set(check(spark, rows).values()) == {5}
+    check(spark, [*rows, (2, " ".join([*b, "more", "still"])), (5, " ".join(a)), (8, " ".join(a[:58]))])
+
+
+def test_copies_around_several_texts_with_a_common_part(spark):
+    """Groups whose members share half of their words with members of other groups, and single texts
+    that share much with all copies of a group but link with few of them."""
+    rng = random.Random(8)
+    common, rows = words(400, 70), []
+    for group in range(5):
+        base = [*common, *words(410 + group, 75)]
+        rows += [(100 * group + at, edited(base, rng, rng.randrange(4))) for at in range(25)]
+        rows += [(100 * group + 50 + at, edited(base, rng, rng.randrange(4, 9))) for at in range(15)]
+    expected = check(spark, rows)
+    assert 5 < len(set(expected.values())) < 150
+
+
+def test_stored_tables_go(spark):
+    folder = f"{shared_dir(spark)}/starwake"
+    before = len(child_names(spark, folder))
+    similar_documents(documents(spark, [(1, " ".join(words(1, 30))), (2, " ".join(words(1, 29)))])).collect()
+    assert len(child_names(spark, folder)) == before + 2  # the two that the result reads
+
+
 def test_empty(spark):
     assert similar_documents(documents(spark, [])).count() == 0
     assert similar_documents(documents(spark, [(1, None)])).collect()[0].component_id == 1
