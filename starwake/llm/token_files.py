@@ -2,8 +2,9 @@
 
 A file set is a Parquet folder with one row per shard: documents in ascending order of their ids,
 their token ids as raw little-endian integers, and a minimal perfect hash index from document keys
-to offsets with stored fingerprints. Spark's writer commits whole tasks, so a lost executor leaves
-no half-written shard, and any store that Spark reaches will do.
+to offsets with stored fingerprints. Each shard states its smallest and largest id and is a row
+group of its own, so that a reader opens the one it needs. Spark's writer commits whole tasks, so a
+lost executor leaves no half-written shard, and any store that Spark reaches will do.
 """
 
 from __future__ import annotations
@@ -14,21 +15,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from starwake.llm.packed import U64, mixed
+from starwake.llm.stored import small_batches
 from starwake.session import fresh_path
 
 END_ID = 1
-#: Code points of text that a shard holds, about.
-SHARD_CHARS = 8_000_000
-#: Encoded words that a Python worker remembers before it starts anew.
-REMEMBERED = 500_000
+#: Bytes of text in a range of documents, about, and of token ids in a shard.
+SHARD_BYTES = 8_000_000
+#: Encoded words that a Python worker remembers in each of two generations.
+REMEMBERED = 250_000
+#: Ranges whose sizes are summed up together.
+BLOCK = 4_096
 
 SHARD_SCHEMA = (
-    "shard bigint, part bigint, n_docs bigint, n_tokens bigint, width int, ids binary, "
-    "keys binary, pilots binary, offsets binary, prints binary"
+    "range bigint, part bigint, n_docs bigint, n_null bigint, low bigint, low_run bigint, high bigint, "
+    "high_run bigint, n_tokens bigint, width int, ids binary, keys binary, pilots binary, offsets binary, "
+    "prints binary"
 )
 
 
@@ -37,8 +43,10 @@ class WordEncoder:
 
     White space separates tokens of this kind of vocabulary and is dropped, so a text's ids are
     those of its words in order. A word that is new is split once more where letters are followed by
-    full stops or commas only, which is where its pre-tokenizer splits too. Words of letters are
-    encoded many at a time: each ends with the one token that carries the end mark.
+    full stops or commas only, which is where its pre-tokenizer splits too, if it has nothing but
+    letters after the tokenizer's own normalisation. Words of letters are encoded many at a time:
+    each ends with the one token that carries the end mark. Words are kept in two generations: when
+    the young one is full, it becomes the old one, and words met again move back.
     """
 
     def __init__(self, path: str, width: str) -> None:
@@ -53,6 +61,12 @@ class WordEncoder:
         if mark:
             self.last[[at for token, at in vocabulary.items() if token.endswith(mark)]] = True
         self.known: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
+
+    def _letters(self, core: str) -> bool:
+        """Whether normalisation leaves letters only: a capital may become a letter and a mark."""
+        normalizer = self.tokenizer.normalizer
+        return normalizer is None or normalizer.normalize_str(core).isalpha()
 
     def _encode(self, words: list[str]) -> None:
         found = self.tokenizer.encode_batch(words, add_special_tokens=False)
@@ -75,13 +89,16 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > REMEMBERED:
-            self.known = {"": b""}
-        known = self.known
+            self.old, self.known = self.known, {"": b""}
+        known, old = self.known, self.old
         parts = [text.replace("\n", " ").split(" ") for text in texts]
         split, letters, others = {}, set(), set()
         for word in set().union(*parts).difference(known):
+            if word in old:
+                known[word] = old[word]
+                continue
             core = word.rstrip(".,")
-            if not core.isalpha():
+            if not core.isalpha() or not (core.isascii() or self._letters(core)):
                 others.add(word)
                 continue
             tail = word[len(core) :]
@@ -158,9 +175,10 @@ def build_index(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return pilots, slots
 
 
-def index_keys(ids: np.ndarray, nth: np.ndarray) -> np.ndarray:
-    """64-bit keys of (document id, how many documents with the id came before)."""
-    return mixed(mixed(ids.astype(np.int64).view(U64)) + nth.astype(U64) * U64(0xD6E8FEB86659FD93))
+def index_keys(ids: np.ndarray, nth: np.ndarray, null: np.ndarray | bool = False) -> np.ndarray:
+    """64-bit keys of (document id, how many documents with the id came before in the shard)."""
+    keys = mixed(mixed(ids.astype(np.int64).view(U64)) + nth.astype(U64) * U64(0xD6E8FEB86659FD93))
+    return np.where(null, mixed(keys ^ U64(0x2545F4914F6CDD1D)), keys)
 
 
 class ShardReader:
@@ -173,11 +191,11 @@ class ShardReader:
         self.prints = np.frombuffer(row.prints, dtype=np.uint32)
         self.size = len(self.prints)
 
-    def find(self, ids: np.ndarray, nth: np.ndarray) -> np.ndarray:
+    def find(self, ids: np.ndarray, nth: np.ndarray, null: np.ndarray | bool = False) -> np.ndarray:
         """Slots of keys, -1 for keys that the shard does not hold (but for 1 of 2^32)."""
         if not self.size or not len(ids):
             return np.full(len(ids), -1, dtype=np.int64)
-        keys = index_keys(ids, nth)
+        keys = index_keys(ids, nth, null)
         slot = _slots(keys, self.pilots[_buckets(keys, len(self.pilots))], self.size)
         return np.where(self.prints[slot] == (keys >> U64(32)).astype(np.uint32), slot, -1)
 
@@ -185,76 +203,59 @@ class ShardReader:
         return self.ids[self.offsets[2 * slot] : self.offsets[2 * slot + 1]]
 
 
-def _pack(shard: int, part: int, ids: list[int], nth: list[int], tokens: list[bytes], width: int) -> dict:
-    keys = index_keys(np.array(ids, dtype=np.int64), np.array(nth, dtype=np.int64))
-    pilots, slots = build_index(keys)
-    ends = np.cumsum([len(one) // width for one in tokens], dtype=np.int64)
-    offsets = np.zeros((len(ids), 2), dtype=np.int64)
-    offsets[slots, 0] = np.concatenate([[0], ends[:-1]])
-    offsets[slots, 1] = ends
-    prints = np.zeros(len(ids), dtype=np.uint32)
-    prints[slots] = (keys >> U64(32)).astype(np.uint32)
-    return {
-        "shard": shard,
-        "part": part,
-        "n_docs": len(ids),
-        "n_tokens": int(ends[-1]),
-        "width": width,
-        "ids": b"".join(tokens),
-        "keys": np.stack([np.array(ids, dtype=np.int64), np.array(nth, dtype=np.int64)], 1).tobytes(),
-        "pilots": pilots.tobytes(),
-        "offsets": offsets.tobytes(),
-        "prints": prints.tobytes(),
-    }
+class _Shard:
+    """Documents gathered for one shard, in order."""
+
+    def __init__(self) -> None:
+        self.ids: list[int | None] = []
+        self.nth: list[int] = []
+        self.tokens: list[bytes] = []
+        self.held = 0
+
+    def add(self, doc: int | None, raw: bytes) -> None:
+        again = bool(self.ids) and self.ids[-1] == doc
+        self.nth.append(self.nth[-1] + 1 if again else 0)
+        self.ids.append(doc)
+        self.tokens.append(raw)
+        self.held += len(raw)
+
+    def row(self, number: int, part: int, width: int) -> pd.DataFrame:
+        null = np.array([doc is None for doc in self.ids])
+        ids = np.array([doc or 0 for doc in self.ids], dtype=np.int64)
+        nth = np.array(self.nth, dtype=np.int64)
+        keys = index_keys(ids, nth, null)
+        pilots, slots = build_index(keys)
+        ends = np.cumsum([len(one) // width for one in self.tokens], dtype=np.int64)
+        offsets = np.zeros((len(ids), 2), dtype=np.int64)
+        offsets[slots, 0] = np.concatenate([[0], ends[:-1]])
+        offsets[slots, 1] = ends
+        prints = np.zeros(len(ids), dtype=np.uint32)
+        prints[slots] = (keys >> U64(32)).astype(np.uint32)
+        named = ids[~null]
+        low, high = (int(named[0]), int(named[-1])) if len(named) else (None, None)
+        row = {
+            "range": number,
+            "part": part,
+            "n_docs": len(ids),
+            "n_null": int(null.sum()),
+            "low": low,
+            "low_run": int((named == low).sum()) if len(named) else 0,
+            "high": high,
+            "high_run": int((named == high).sum()) if len(named) else 0,
+            "n_tokens": int(ends[-1]),
+            "width": width,
+            "ids": b"".join(self.tokens),
+            "keys": np.stack([ids, nth], 1).tobytes(),
+            "pilots": pilots.tobytes(),
+            "offsets": offsets.tobytes(),
+            "prints": prints.tobytes(),
+        }
+        return pd.DataFrame([row]).astype({"low": "Int64", "high": "Int64"})
 
 
 # Writing and reading ---------------------------------------------------------------------------
 
 
-def encode_documents(
-    docs: DataFrame,
-    tokenizer_path: str,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    end_id: int = END_ID,
-    width: int = 2,
-) -> DataFrame:
-    """``_id`` and the raw ids of every text, the end id included."""
-
-    @F.pandas_udf("binary")
-    def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = _encoder(tokenizer_path, f"<u{width}")
-        end = np.array([end_id], dtype=f"<u{width}").tobytes()
-        for texts in batches:
-            ids: list[bytes] = []
-            for low in range(0, len(texts), 500):
-                part = [text or "" for text in texts.iloc[low : low + 500]]
-                ids.extend(one + end for one in encoder.encode(part))
-            yield pd.Series(ids, dtype=object)
-
-    return docs.select(
-        F.col(id_col).cast("bigint").alias("_id"), encoded(F.col(text_col)).alias("_ids")
-    )
-
-
-def shard_bounds(docs: DataFrame, id_col: str, text_col: str, shard_chars: int) -> list[int]:
-    """Ids at which shards begin: quantiles of the ids, as many as the length of all texts asks for.
-
-    The length comes from the same pass; one number per shard is held on the driver.
-    """
-    total = docs.agg(
-        F.sum(F.char_length(text_col)).alias("chars"), F.count(F.lit(1)).alias("rows")
-    ).first()
-    shards = int((total["chars"] or 0) // shard_chars) + 1
-    if shards == 1:
-        return []
-    cuts = [at / shards for at in range(1, shards)]
-    found = docs.agg(
-        F.percentile_approx(F.col(id_col).cast("bigint"), cuts, 20 * shards).alias("cuts")
-    ).first()["cuts"]
-    return sorted(set(found or []))
-
-
 def write_token_files(
     docs: DataFrame,
     path: str,
@@ -263,75 +264,99 @@ def write_token_files(
     text_col: str = "text",
     end_id: int = END_ID,
     width: int = 2,
-    shard_chars: int = SHARD_CHARS,
+    shard_bytes: int = SHARD_BYTES,
 ) -> None:
     """Encode all documents and write them below ``path`` in ascending order of their ids.
 
     Null texts count as empty and have the end id only. Null ids come first. Rows that share an id
-    are ordered by their ids' bytes and told apart by how many came before. ``width`` is the bytes
-    of one token id. Texts are encoded where they are read; only ids are shuffled, to shards whose
-    bounds are quantiles of the document ids. A shard is written in parts of about ``shard_chars``
-    ids, so that a hot id or an uneven shard does not gather in memory. Without rows no shard is
-    written.
+    are ordered by the hashes of their texts and told apart by how many came before. ``width`` is the
+    bytes of one token id. Without rows no shard is written. Other columns are not read.
+
+    Texts are range-partitioned by (id, hash), so rows of a hot id spread too; each task encodes its
+    range in order and cuts it into shards of about ``shard_bytes``, whatever the lengths of texts. A
+    very long text is encoded whole and is a shard of its own. The driver holds nothing per shard.
     """
-    bounds = shard_bounds(docs, id_col, text_col, shard_chars)
-    shard = F.lit(0)
-    if bounds:
-        cuts = F.array(*[F.lit(bound).cast("bigint") for bound in bounds])
-        shard = F.coalesce(F.size(F.filter(cuts, lambda cut: cut <= F.col("_id"))), F.lit(0))
-    encoded = encode_documents(docs, tokenizer_path, id_col, text_col, end_id, width)
+    spark = docs.sparkSession
+    rows = docs.select(
+        F.col(id_col).cast("bigint").alias("_id"),
+        F.col(text_col).cast("string").alias("_text"),
+    )
+    total = rows.agg(F.sum(F.octet_length("_text")).alias("n")).first()["n"] or 0
+    order = [F.col("_id").asc_nulls_first(), F.xxhash64("_text").asc()]
+    ranged = rows.repartitionByRange(int(total // shard_bytes) + 1, *order).sortWithinPartitions(*order)
+    end = np.array([end_id], dtype=f"<u{width}").tobytes()
 
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids: list[int] = []
-        nth: list[int] = []
-        tokens: list[bytes] = []
-        held, now, part, last, count = 0, None, 0, None, 0
-
-        def row() -> pd.DataFrame:
-            return pd.DataFrame([_pack(now, part, ids, nth, tokens, width)])
-
+        encoder = _encoder(tokenizer_path, f"<u{width}")
+        number, part, shard = TaskContext.get().partitionId(), 0, _Shard()
         for batch in batches:
-            for one, of, raw in zip(batch["_id"], batch["_shard"], batch["_ids"]):
-                key = _NULL if pd.isna(one) else int(one)
-                if of != now or held >= shard_chars * width:
-                    if ids:
-                        yield row()
-                    part = part + 1 if of == now else 0
-                    now, ids, nth, tokens, held = of, [], [], [], 0
-                count = count + 1 if key == last else 0
-                last = key
-                ids.append(key)
-                nth.append(count)
-                tokens.append(raw)
-                held += len(raw)
-        if ids:
-            yield row()
-
-    (
-        encoded.withColumn("_shard", shard.cast("bigint"))
-        .repartition(max(1, len(bounds) + 1), "_shard")
-        .sortWithinPartitions("_shard", F.col("_id").asc_nulls_first(), "_ids")
-        .mapInPandas(packed, SHARD_SCHEMA)
-        .write.mode("overwrite")
-        .option("compression", "none")
-        .parquet(path)
-    )
-
-
-_NULL = -(1 << 63)
+            for low in range(0, len(batch), 500):
+                rows = batch.iloc[low : low + 500]
+                docs = [None if pd.isna(doc) else int(doc) for doc in rows["_id"].astype(object)]
+                for doc, raw in zip(docs, encoder.encode([text or "" for text in rows["_text"]])):
+                    shard.add(doc, raw + end)
+                    if shard.held >= shard_bytes:
+                        yield shard.row(number, part, width)
+                        part, shard = part + 1, _Shard()
+        if shard.ids:
+            yield shard.row(number, part, width)
+
+    with small_batches(spark, rows=10_000):
+        (
+            ranged.select(F.col("_id").cast("string").alias("_id"), "_text")
+            .mapInPandas(packed, SHARD_SCHEMA)
+            .write.mode("overwrite")
+            .option("compression", "none")
+            # Each shard is a row group, so that statistics of its ids spare its payload.
+            .option("parquet.block.size", 1 << 16)
+            .option("parquet.page.size.row.check.min", 1)
+            .option("parquet.page.size.row.check.max", 1)
+            .option("parquet.block.size.row.check.min", 1)
+            .option("parquet.block.size.row.check.max", 1)
+            .parquet(path)
+        )
 
 
 def shard_starts(spark: SparkSession, path: str) -> DataFrame:
-    """Token ids before each shard part; one row per part, so the window over them is small."""
-    rows = spark.read.schema(SHARD_SCHEMA).parquet(path).select("shard", "part", "n_tokens")
-    before = Window.orderBy("shard", "part").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.select(
-        "shard", "part", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("start")
+    """Of each shard, what came before: ``start`` (token ids), ``before_low`` and ``before_null``
+    (documents of its smallest id, and of the null id).
+
+    Sums run within blocks of ranges and over blocks, so that no window holds all shards.
+    """
+    rows = spark.read.schema(SHARD_SCHEMA).parquet(path).drop("ids", "keys", "pilots", "offsets", "prints")
+    shards = rows.withColumn("_block", F.floor(F.col("range") / BLOCK))
+    before = (Window.unboundedPreceding, -1)
+    blocks = shards.groupBy("_block").agg(F.sum("n_tokens").alias("_of"))
+    blocks = blocks.select(
+        "_block", F.coalesce(F.sum("_of").over(Window.orderBy("_block").rowsBetween(*before)), F.lit(0)).alias("_base")
     )
+    inside = Window.partitionBy("_block").orderBy("range", "part").rowsBetween(*before)
+    placed = shards.withColumn("_in", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(blocks, "_block")
+    starts = placed.select("range", "part", (F.col("_base") + F.col("_in")).alias("start"))
+    # The documents of one id lie in a row of shards: each but the last ends with them.
+    null = shards.where(F.col("n_null") > 0).withColumn("_id", F.lit(None).cast("bigint"))
+    named = shards.where(F.col("low").isNotNull())
+    own = ["range", "part", "_id"]
+    ends = named.withColumn("_id", F.col("high")).select(*own, F.col("high_run").alias("_add"), F.lit(1).alias("_last"))
+    ends = ends.union(null.select(*own, "n_null", F.lit(1)))
+    asks = named.withColumn("_id", F.col("low")).select(*own, F.lit(0).cast("bigint"), F.lit(0))
+    asks = asks.union(null.select(*own, F.lit(0).cast("bigint"), F.lit(0)))
+    earlier = Window.partitionBy("_id").orderBy("range", "part", "_last").rowsBetween(*before)
+    runs = (
+        ends.union(asks)
+        .withColumn("_before", F.coalesce(F.sum("_add").over(earlier), F.lit(0)))
+        .where(F.col("_last") == 0)
+        .groupBy("range", "part")
+        .agg(
+            F.coalesce(F.max(F.when(F.col("_id").isNotNull(), F.col("_before"))), F.lit(0)).alias("before_low"),
+            F.coalesce(F.max(F.when(F.col("_id").isNull(), F.col("_before"))), F.lit(0)).alias("before_null"),
+        )
+    )
+    return starts.join(runs, ["range", "part"])
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """Every document of a file set, looked up by key through the index of its shard part.
+    """Every document of a file set, looked up by key through the index of its shard.
 
     ``doc_id``, ``nth`` (documents with the same id before it), ``start`` (ids of all documents
     before it), ``n_tokens`` and ``ids_crc32`` (of the ids as little-endian unsigned 32-bit
@@ -343,17 +368,19 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
             for row in batch.itertuples():
                 reader = ShardReader(row)
                 keys = np.frombuffer(row.keys, dtype=np.int64).reshape(-1, 2)
-                slots = reader.find(keys[:, 0], keys[:, 1])
+                null = np.arange(len(keys)) < row.n_null
+                slots = reader.find(keys[:, 0], keys[:, 1], null)
                 if (slots < 0).any():
-                    raise ValueError(f"shard {row.shard}: a key is not in the index")
+                    raise ValueError(f"shard {row.range}.{row.part}: a key is not in the index")
                 begin = reader.offsets[2 * slots]
                 sums = [zlib.crc32(reader.get(slot).astype("<u4").tobytes()) for slot in slots]
                 yield pd.DataFrame(
                     {
-                        "doc_id": pd.Series(keys[:, 0], dtype="Int64").mask(keys[:, 0] == _NULL),
+                        "doc_id": pd.Series(keys[:, 0], dtype="Int64").mask(null),
                         "nth": keys[:, 1],
-                        "shard": row.shard,
+                        "range": row.range,
                         "part": row.part,
+                        "first": np.arange(len(keys)) < row.n_null + row.low_run,
                         "begin": begin,
                         "n_tokens": reader.offsets[2 * slots + 1] - begin,
                         "ids_crc32": np.array(sums, dtype=np.int64),
@@ -361,16 +388,33 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                 )
 
     schema = (
-        "doc_id bigint, nth bigint, shard bigint, part bigint, begin bigint, n_tokens bigint, ids_crc32 bigint"
+        "doc_id bigint, nth bigint, range bigint, part bigint, first boolean, begin bigint, "
+        "n_tokens bigint, ids_crc32 bigint"
     )
-    found = spark.read.schema(SHARD_SCHEMA).parquet(path).mapInPandas(looked_up, schema)
-    return found.join(shard_starts(spark, path), ["shard", "part"]).select(
-        "doc_id", "nth", (F.col("start") + F.col("begin")).alias("start"), "n_tokens", "ids_crc32"
+    shards = spark.read.schema(SHARD_SCHEMA).parquet(path).drop("low", "high")
+    found = shards.mapInPandas(looked_up, schema)
+    earlier = F.when(F.col("doc_id").isNull(), F.col("before_null")).when(F.col("first"), F.col("before_low"))
+    return found.join(shard_starts(spark, path), ["range", "part"]).select(
+        "doc_id",
+        (F.col("nth") + F.coalesce(earlier, F.lit(0))).alias("nth"),
+        (F.col("start") + F.col("begin")).alias("start"),
+        "n_tokens",
+        "ids_crc32",
     )
 
 
+def shards_of(spark: SparkSession, path: str, wanted: list[int]) -> DataFrame:
+    """The shards that may hold documents of these ids: others are skipped by their statistics."""
+    shards = spark.read.schema(SHARD_SCHEMA).parquet(path)
+    near = F.lit(False)
+    for one in wanted:
+        near = near | ((F.col("low") <= one) & (F.col("high") >= one))
+    return shards.where(near)
+
+
 def lookup(spark: SparkSession, path: str, wanted: list[int]) -> dict[int, np.ndarray]:
-    """Token ids of a few documents, by key: a task opens a shard's index and takes what it holds.
+    """Token ids of a few documents, by key: only shards whose ids span a key are opened, and their
+    index gives the place.
 
     For use from a program that needs single documents; ``wanted`` is a short list, and documents
     that share an id give the first one's ids.
@@ -381,14 +425,18 @@ def lookup(spark: SparkSession, path: str, wanted: list[int]) -> dict[int, np.nd
         for batch in batches:
             for row in batch.itertuples():
                 reader = ShardReader(row)
-                for key, slot in zip(keys, reader.find(keys, np.zeros(len(keys), dtype=np.int64))):
+                near = keys[(keys >= row.low) & (keys <= row.high)]
+                for key, slot in zip(near, reader.find(near, np.zeros(len(near), dtype=np.int64))):
                     if slot >= 0:
-                        yield pd.DataFrame({"doc_id": [key], "ids": [reader.get(slot).tobytes()]})
-
-    rows = spark.read.schema(SHARD_SCHEMA).parquet(path)
-    width = f"<u{rows.select('width').first()['width']}" if rows.take(1) else "<u2"
-    found = rows.mapInPandas(taken, "doc_id bigint, ids binary").collect()
-    return {row["doc_id"]: np.frombuffer(row["ids"], dtype=width) for row in found}
+                        ids = reader.get(slot).astype("<u4").tobytes()
+                        yield pd.DataFrame({"doc_id": [key], "range": row.range, "part": row.part, "ids": [ids]})
+
+    schema = "doc_id bigint, range bigint, part bigint, ids binary"
+    found = shards_of(spark, path, wanted).mapInPandas(taken, schema)
+    first: dict[int, np.ndarray] = {}
+    for row in sorted(found.collect(), key=lambda row: (row["range"], row["part"])):
+        first.setdefault(row["doc_id"], np.frombuffer(row["ids"], dtype="<u4"))
+    return first
 
 
 def token_digest(docs: DataFrame, tokenizer_path: str, **options) -> DataFrame:
