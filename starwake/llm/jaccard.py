@@ -184,25 +184,40 @@ def _sharing_sets(docs: DataFrame, buckets: int) -> DataFrame:
     """First prints of the sets with enough tokens that some other set has too.
 
     Tokens are dealt to buckets by their hashes; 32 further bits stand for them there, which can
-    only find too many tokens shared. Each bucket sends back counts per set.
+    only find too many tokens shared. Buckets send back counts of the sets that share any in them, at
+    most one for each shared token; they are packed as the tokens are and summed up in as many parts
+    as there are buckets, so a part holds no more of them than a bucket holds tokens.
     """
 
     def counted(frame: pd.DataFrame) -> pd.DataFrame:
         bucket = _Bucket(frame, np.uint32)
         shared = np.bincount(bucket.owner[bucket.frequencies() > 1], minlength=len(bucket.names))
-        some = shared > 0
-        return pd.DataFrame(
-            {"_p1": bucket.names[some], "_n": bucket.sizes[some].astype(np.int64), "_k": shared[some]}
-        )
+        some = np.flatnonzero(shared)
+        part = (bucket.names[some].view(U64) % U64(buckets)).astype(np.int64)
+        some, part = some[np.argsort(part, kind="stable")], np.sort(part)
+        rows = []
+        for low, high in zip(first := np.flatnonzero(np.diff(part, prepend=-1)), [*first[1:], len(part)]):
+            chosen = some[low:high]
+            row = (bucket.names[chosen], bucket.sizes[chosen], shared[chosen].astype(np.int32))
+            rows.append((int(part[low]), *(one.tobytes() for one in row)))
+        return pd.DataFrame(rows, columns=["_part", "_names", "_sizes", "_counts"])
+
+    def summed(frame: pd.DataFrame) -> pd.DataFrame:
+        names = np.frombuffer(b"".join(frame["_names"]), dtype=np.int64)
+        sizes = np.frombuffer(b"".join(frame["_sizes"]), dtype=np.int32)
+        counts = np.frombuffer(b"".join(frame["_counts"]), dtype=np.int32)
+        order = np.argsort(names, kind="stable")
+        first = np.flatnonzero(np.diff(names[order], prepend=~names[order][:1]))
+        size = np.minimum.reduceat(sizes[order], first).astype(np.int64)
+        enough = np.add.reduceat(counts[order].astype(np.int64), first) >= -(-size * PERCENT // 100)
+        return pd.DataFrame({"_p1": names[order][first][enough]})
 
     return (
         _send(docs, buckets)
         .groupBy("_bucket")
-        .applyInPandas(counted, "_p1 bigint, _n bigint, _k bigint")
-        .groupBy("_p1", "_n")
-        .agg(F.sum("_k").alias("_k"))
-        .where(F.col("_k") >= _need(F.col("_n")))
-        .select("_p1")
+        .applyInPandas(counted, "_part bigint, _names binary, _sizes binary, _counts binary")
+        .groupBy("_part")
+        .applyInPandas(summed, "_p1 bigint")
     )
 
 
