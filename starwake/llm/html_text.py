@@ -45,15 +45,19 @@ WRAPPED = frozenset("header wrap wrapper container layout".split())
 #: Share of the page's unlinked text from which an element with a mark is a wrapper of the page.
 SHARE = 0.5
 
-_ATTRIBUTES = r"(?:\"[^\"]*\"|'[^']*'|[^'\">])*"
+# The inside of a tag ends at the next < or > outside of quotes. A quote counts as one only if what
+# follows its end can stand behind an attribute; else it was never closed and is a character as any other.
+_INSIDE = r"(?:\"[^\"]*\"(?=[\s/>])|'[^']*'(?=[\s/>])|[^<>])*+"
 # From left to right, so that a comment in a script and a script in a comment are only what they are in.
+# Every part takes what it has looked at, so no place of a page is looked at again and again.
 _CUT = re.compile(
-    rf"(?P<raw><(script|style|textarea)(?=[\s/>]){_ATTRIBUTES}>(?:.*?</\2(?=[\s/>])[^>]*>|.*\Z))"
-    rf"|<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[|\]\]>|<[!?][^>]*>"
-    rf"|(?P<tag></?[A-Za-z]{_ATTRIBUTES}>)",
+    rf"(?P<raw><(script|style|textarea)(?=[\s/>]){_INSIDE}>(?:.*?</\2(?=[\s/>])[^<>]*>?|.*\Z))"
+    rf"|<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[|\]\]>|<[!?][^<>]*>?"
+    rf"|(?P<tag></?[A-Za-z]{_INSIDE}>?)",
     re.S | re.I,
 )
-_TAG = re.compile(rf"<(/?)([A-Za-z][^\s/>]*)({_ATTRIBUTES})>")
+_TAG = re.compile(r"<(/?)([A-Za-z][^\s/<>\"']*)((?:\"[^\"]*\"|'[^']*'|[^'\"<>])*+)>")
+_QUOTES = str.maketrans("", "", "\"'<")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
 _NONE = re.compile(r"display\s*:\s*none", re.I)
 _WORD = re.compile(r"[a-z]+")
@@ -149,9 +153,17 @@ def _furniture(tag: re.Match, at: int, end: int, articles: int, nested: int, out
     return outline.share(at, end) <= SHARE
 
 
+def _closed(tag: str) -> str:
+    """A tag that ends and whose quotes do, as it was or without its quotes."""
+    whole = tag if tag.endswith(">") else f"{tag}>"
+    return whole if _TAG.fullmatch(whole) else f"<{whole[1:].translate(_QUOTES)}"
+
+
 def find_blocks(page: str) -> list[Block]:
     """The page's blocks of text in order, without markup and without page furniture."""
-    page = _CUT.sub(lambda found: found["tag"] or (" " if found["raw"] else ""), page)
+    page = _CUT.sub(
+        lambda found: _closed(found["tag"]) if found["tag"] else " " if found["raw"] else "", page
+    )
     tags = list(_TAG.finditer(page))
     closes: dict[int, int] = {}
     waiting: dict[str, list[int]] = {}
@@ -260,7 +272,9 @@ def extract_main_text(
     in it. Elements hidden by hidden, aria-hidden or style go.
     What is left goes through :func:`main_blocks`.
 
-    A null or empty page has an empty text. Repeated rows are extracted each; other columns are not
+    A null or empty page has an empty text. A tag that is not closed ends before the next one, and a
+    quote in it that is not closed counts for nothing. Very long pages are read whole, in time in
+    proportion to their length. Repeated rows are extracted each; other columns are not
     returned. An empty table gives an empty result. Pages are handled one by one, nothing is
     shuffled.
     """

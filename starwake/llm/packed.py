@@ -108,6 +108,10 @@ def encoded(texts: Sequence[str | None]) -> list[bytes]:
     return [text.encode() if isinstance(text, str) else b"" for text in texts]
 
 
-def code_point(text: bytes, at: int) -> int:
-    """The position in code points of a position in bytes."""
-    return len(text[:at].decode(errors="replace"))
+def code_points(text: bytes, at: Sequence[int]) -> list[int]:
+    """The positions in code points of positions in bytes; one pass over the text for all of them."""
+    if not at or text.isascii():
+        return list(at)
+    starts = (np.frombuffer(text, dtype=np.uint8) & 0xC0) != 0x80
+    before = np.concatenate([[0], np.cumsum(starts)])
+    return before[np.asarray(at, dtype=np.int64)].tolist()

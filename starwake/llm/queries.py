@@ -130,7 +130,7 @@ def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op6_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     found = licenses.scan_licenses(table(spark, folder, "documents"))
-    return found.drop("places", "choices")
+    return found.drop("places", "expressions")
 
 
 @query

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 
 import pandas as pd
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from starwake.llm.packed import code_point, encoded
+from starwake.llm.packed import code_points, encoded
 
 # Base patterns, over bytes; letters of "assign" in either case.
 ASSIGN = re.compile(
@@ -108,8 +109,24 @@ def base_spans(text: bytes) -> list[tuple[int, int, str]]:
 
 
 def novel_spans(text: bytes, base: list[tuple[int, int, str]], novelty: Novelty) -> list[tuple[int, int, str]]:
-    """Strings near sensitive words that the dictionary and the text around do not explain."""
+    """Strings near sensitive words that the dictionary and the text around do not explain.
+
+    Candidates come from left to right and each is looked at once; those that a base span overlaps
+    are found by bisection in the joined base spans.
+    """
     spans, seen = [], 0
+    joined: list[list[int]] = []
+    for start, end, _ in sorted(base):
+        if joined and start <= joined[-1][1]:
+            joined[-1][1] = max(joined[-1][1], end)
+        else:
+            joined.append([start, end])
+    begins = [start for start, _ in joined]
+
+    def covered(start: int, end: int) -> bool:
+        at = bisect_right(begins, end - 1) - 1
+        return at >= 0 and joined[at][1] > start
+
     for word in SENSITIVE.finditer(text):
         low, high = max(seen, word.start() - REACH), word.end() + REACH
         while low > seen and CANDIDATE_BYTE.match(text, low):
@@ -119,7 +136,7 @@ def novel_spans(text: bytes, base: list[tuple[int, int, str]], novelty: Novelty)
             if found.end() == high:  # goes on beyond the reach
                 end = CANDIDATE.match(text, start).end()
             seen = max(seen, end)
-            if any(start < b and a < end for a, b, _ in base):
+            if covered(start, end):
                 continue
             context = text[max(0, start - REACH) : start] + text[end : end + REACH]
             if novelty.rate(text[start:end], context) >= _limit(text[start:end]):
@@ -134,7 +151,8 @@ def scan(text: bytes, novelty: Novelty) -> dict:
 
     def listed(spans: list[tuple[int, int, str]]) -> str:
         ordered = sorted(spans, key=lambda span: (span[0], KINDS.index(span[2])))
-        return ",".join(f"{k}:{code_point(text, a)}:{code_point(text, b)}" for a, b, k in ordered)
+        places = code_points(text, [place for a, b, _ in ordered for place in (a, b)])
+        return ",".join(f"{k}:{places[2 * at]}:{places[2 * at + 1]}" for at, (_, _, k) in enumerate(ordered))
 
     return counts | {
         "base_sha256": hashlib.sha256(listed(base).encode()).hexdigest(),
@@ -167,7 +185,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     words given to the compressor. Random strings of letters of one case cost little more than words,
     so most of them are not told apart.
 
-    A null or empty text has no findings. Repeated rows are scanned each; other columns are not
+    A null or empty text has no findings. A very long text is scanned whole, in time in proportion to
+    its length and number of candidates. Repeated rows are scanned each; other columns are not
     returned. An empty table gives an empty result.
     """
     found = docs.select(F.col(id_col).alias("doc_id"), secret_findings(F.col(text_col)).alias("_found"))

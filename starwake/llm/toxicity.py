@@ -267,17 +267,17 @@ def toxicity(model: ToxicityModel, text: Column, limit: float = 0.5) -> Column:
             amount = amounts[found.text[1:]] - amounts[found.text[:-1]]
             scores.append(np.clip(-np.expm1(-amount), 0, 1))
             chance = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-            marked = [[] for _ in range(high - low)]
+            marked: list[list[dict]] = [[] for _ in range(high - low)]
             hits = np.flatnonzero(chance >= limit)
-            for at, of in zip(hits, np.searchsorted(found.text, hits, side="right") - 1):
-                text, begin = texts[low + of], found.offset[of]
-                marked[of].append(
-                    {
-                        "start": packed.code_point(text, found.start[at] - begin),
-                        "end": packed.code_point(text, found.end[at] - begin),
-                        "score": float(chance[at]),
-                    }
-                )
+            of = np.searchsorted(found.text, hits, side="right") - 1
+            for mine in np.unique(of).tolist():
+                own = hits[slice(*np.searchsorted(of, [mine, mine + 1]))]
+                edges = np.stack([found.start[own], found.end[own]], axis=1) - found.offset[mine]
+                places = packed.code_points(texts[low + mine], edges.ravel().tolist())
+                marked[mine] = [
+                    {"start": start, "end": end, "score": score}
+                    for start, end, score in zip(places[::2], places[1::2], chance[own].tolist())
+                ]
             spans.extend(marked)
         return pd.DataFrame({"score": np.concatenate(scores), "sentences": spans})
 
@@ -291,7 +291,8 @@ def score_documents(
 
     ``score`` is 0 for null or empty texts and texts without words. ``sentences`` holds (start,
     end, score) of every sentence that is more likely toxic than not, in code points, end
-    exclusive. Repeated rows are scored each; other columns are not returned. An empty table gives
+    exclusive. A very long text is scored whole, in time in proportion to its length. Repeated rows
+    are scored each; other columns are not returned. An empty table gives
     an empty result.
     """
     found = docs.select(F.col(id_col).alias("doc_id"), toxicity(model, F.col(text_col)).alias("_found"))

@@ -1,4 +1,6 @@
+import math
 import random
+import time
 import zlib
 
 import numpy as np
@@ -6,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from starwake.llm import toxicity
-from tests.llm.corpus import documents, words
+from tests.llm.corpus import documents, low, words
 
 BAD = ["vileword", "nastything", "horridname"]
 
@@ -66,6 +68,84 @@ def test_score_is_the_noisy_or(spark, trained):
     assert got[9] == pytest.approx(1 - np.prod([1 - got[at] for at in range(3)]), rel=1e-6)
 
 
+MASK = (1 << 64) - 1
+BASE = 0x9E3779B97F4A7C15
+
+
+def mix(x):
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & MASK
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & MASK
+    return x ^ x >> 31
+
+
+def hashed(word):
+    """Sum of the bytes' codes times powers of the base."""
+    return sum(mix((byte + 1) * BASE & MASK) * pow(BASE, at, 1 << 64) for at, byte in enumerate(word)) & MASK
+
+
+def brute(text, weights, bias):
+    """Score and spans, sentence by sentence and word by word."""
+    data = (text or "").encode()
+    score, spans, sentence = 1.0, [], []
+
+    def close():
+        nonlocal score
+        if sentence:
+            logit = bias
+            for start, end in sentence:
+                word = low(data[start:end].decode()).encode()
+                logit += float(weights[mix((hashed(word) + len(word)) & MASK) >> 46])
+                for size in (5, 6):
+                    if len(word) > size:
+                        logit += float(weights[mix(hashed(word[:size]) ^ size << 56) >> 46])
+            chance = 1 / (1 + math.exp(-logit))
+            score *= 1 - chance
+            if chance >= 0.5:
+                edges = [len(data[:at].decode(errors="replace")) for at in (sentence[0][0], sentence[-1][1])]
+                spans.append((*edges, chance))
+            sentence.clear()
+
+    at = 0
+    while at < len(data):
+        if data[at] >= 128 or chr(data[at]).isalnum():
+            end = at
+            while end < len(data) and (data[end] >= 128 or chr(data[end]).isalnum()):
+                end += 1
+            sentence.append((at, end))
+            at = end
+        else:
+            if chr(data[at]) in ".!?\n":
+                close()
+            at += 1
+    close()
+    return 1 - score, spans
+
+
+def test_scores_and_spans_like_plain_python(spark):
+    """A model with large random weights, so that every word tells."""
+    rng = random.Random(4)
+    weights = np.random.default_rng(4).normal(0, 1.5, 1 << toxicity.BITS).astype(np.float32)
+    weights[0] = 0
+    model = toxicity.ToxicityModel(weights, -3.0)
+    parts = ["Été", "vile", "Ärger", "longerword", "abcdef", "abcde", "日本", "😀x", "a1", "-", ", ", ". ", "!", "?\n", "\n", " "]
+    texts = ["".join(rng.choice(parts) + rng.choice(["", " "]) for _ in range(rng.randint(0, 40))) for _ in range(300)]
+    rows = list(enumerate([*texts, None, "", "...", " \n"]))
+    for r in toxicity.score_documents(documents(spark, rows), model).collect():
+        score, spans = brute(rows[r.doc_id][1], weights, -3.0)
+        assert r.score == pytest.approx(score, rel=1e-6, abs=1e-9)
+        assert [(s.start, s.end) for s in r.sentences] == [(a, b) for a, b, _ in spans]
+        assert [s.score for s in r.sentences] == pytest.approx([c for _, _, c in spans], rel=1e-6)
+
+
+def test_many_offending_sentences_in_one_text(spark):
+    weights = np.full(1 << toxicity.BITS, 3.0, dtype=np.float32)
+    text = "é vile. " * 120_000
+    begun = time.perf_counter()
+    row = toxicity.score_documents(documents(spark, [(1, text)]), toxicity.ToxicityModel(weights, -1.0)).collect()[0]
+    assert time.perf_counter() - begun < 15
+    assert len(row.sentences) == 120_000 and (row.sentences[-1].start, row.sentences[-1].end) == (959_992, 959_998)
+
+
 def test_no_labels_and_no_rows(spark):
     none = spark.createDataFrame([], "doc_id bigint, toxic int")
     model = toxicity.fit(documents(spark, [(1, "text")]), none)
