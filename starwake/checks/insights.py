@@ -307,10 +307,7 @@ def trend_verdict(t: Testbed) -> DataFrame:
     return ins.with_trend_verdict(context).select("repo_full_name", "trend_verdict")
 
 
-@check(
-    "repo_brief",
-    CONTEXT
-    + """SELECT repo_full_name, 30::BIGINT AS window_days, 'template' AS retrieval_mode,
+REPO_BRIEF = """SELECT repo_full_name, 30::BIGINT AS window_days, 'template' AS retrieval_mode,
       trend_verdict,
       repo_full_name || ' is ' || trend_verdict || ' in ' || lower(category) || ' with +'
         || format('{:,}', star_count_in_window) || ' stars over 30d.' AS headline,
@@ -352,8 +349,10 @@ def trend_verdict(t: Testbed) -> DataFrame:
              'No recent tracked events were observed in the selected window.'
            ELSE 'Current signal is mostly event-driven; deeper README and issue analysis is still '
              || 'pending.' END AS watchouts
-    FROM judged""",
-)
+    FROM judged"""
+
+
+@check("repo_brief", CONTEXT + REPO_BRIEF)
 def repo_brief(t: Testbed) -> DataFrame:
     return ins.repo_brief(ins.repo_brief_context(t.metadata(), t.events(), AS_OF), AS_OF)
 

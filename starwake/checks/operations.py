@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 from starwake.checks import check
 from starwake.checks.rolling import HISTORY
 from starwake.checks.sql import NOW, STAR, dates, window
+from starwake.functions.times import in_date_window
 from starwake.operators import catalog as ca
 from starwake.operators import panels as pa
 from starwake.operators import rollups as ru
 from starwake.plans import jobs
+from starwake.session import fresh_path
+from starwake.sources import archive as ar
 from starwake.testbed import AS_OF, Testbed
 
 
@@ -67,9 +70,28 @@ def unique_repos(t: Testbed) -> DataFrame:
     return pa.unique_repos(t.events())
 
 
-@check("unique_repos_approx")
+@check(
+    "unique_repos_approx",
+    """SELECT days, count(DISTINCT repo_name) AS unique_repos, true AS within_bound
+       FROM gh, (VALUES (1::BIGINT), (7), (60)) AS windows(days)
+       WHERE event_date BETWEEN DATE '2024-01-31' - CAST(days AS INTEGER) AND DATE '2024-01-31' GROUP BY days""",
+)
 def unique_repos_approx(t: Testbed) -> DataFrame:
-    return pa.unique_repos_approx(t.events())
+    """Windows of days from the sketches that the nightly job stores, each beside the exact number."""
+    archive, out = fresh_path(t.spark, "archive"), fresh_path(t.spark, "nightly")
+    ar.append_archive(t.events(), archive)
+    for on in ("2024-01-08", "2024-01-16", "2024-01-24", "2024-01-31"):
+        jobs.nightly_batch(t.spark, archive, out, AS_OF, on)
+    sketches = t.spark.read.parquet(f"{out}/repo_sketches")
+    whole = None
+    for days in (1, 7, 60):
+        recent = t.events().where(in_date_window(F.col("event_date"), AS_OF, days))
+        exact = pa.unique_repos(recent).select(F.lit(days).cast("bigint").alias("days"), "unique_repos")
+        guess = pa.unique_repos_approx(sketches, AS_OF, days).scalar()
+        near = F.abs(guess - F.col("unique_repos")) <= F.greatest(0.05 * F.col("unique_repos"), F.lit(1.0))
+        row = exact.withColumn("within_bound", near)
+        whole = row if whole is None else whole.unionByName(row)
+    return whole
 
 
 @check(

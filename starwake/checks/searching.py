@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from starwake.checks import check
+from starwake.checks.insights import BREAKOUTS, CATEGORIES, CONTEXT, REPO_BRIEF, TOPICS
 from starwake.checks.sql import EFFECTIVE, STAR, dates, meta_row, rollup, window
 from starwake.functions import scores
 from starwake.functions import text as tx
@@ -16,7 +19,10 @@ from starwake.operators import rollups as ru
 from starwake.operators import search as se
 from starwake.testbed import AS_OF, Testbed
 from starwake.vocab import (
+    ANSWER_TEXTS,
     CATEGORY_QUESTION,
+    EVIDENCE_TEXTS,
+    FOLLOW_UPS,
     KNOWLEDGE_QUESTION,
     REPO_MENTION,
     SEARCH_QUESTION,
@@ -353,35 +359,137 @@ def extract_repo_mention(t: Testbed) -> DataFrame:
     return qs.extract_repo_mentions(_linked_turns(t))
 
 
-def _market(t: Testbed):
-    return mk.market_brief_context(t.metadata(), t.events(), AS_OF)
+#: Questions made of the conversations: by the length of the text, an opening before it.
+OPENINGS = ["hot topic? ", "best category? ", "what is trending? ", "how is %s doing? ", "find something: ", ""]
+
+
+def _asked(t: Testbed) -> DataFrame:
+    names = ru.latest_metadata(t.metadata(), ["repo_id", "repo_full_name"]).select(
+        (F.col("repo_id") - 1).alias("_at"), F.col("repo_full_name").alias("_name")
+    )
+    turns = t.table("conversations").withColumn("_at", F.pmod("conv_id", F.lit(60)))
+    kind = F.pmod(F.length("text"), F.lit(len(OPENINGS)))
+    openings = F.array(*[F.lit(one) for one in OPENINGS])
+    opening = F.replace(F.get(openings, kind), F.lit("%s"), F.coalesce("_name", F.lit("it")))
+    return (
+        turns.join(names, "_at", "left")
+        .withColumn("text", F.concat(opening, "text"))
+        .select("conv_id", "turn", "role", "text")
+    )
+
+
+def _sql_list(texts) -> str:
+    return "[" + ", ".join(f"'{one}'" for one in texts) + "]"
+
+
+def _sql_format(pattern: str, *values: str) -> str:
+    parts = re.split("%[a-z]", pattern)
+    joined = [f"'{parts[0]}'"]
+    for value, part in zip(values, parts[1:], strict=True):
+        joined += [value, f"'{part}'"]
+    return " || ".join(joined)
+
+
+def _lines(section: int, kind: str, table: str, order: str, keep: int, label: str, *values: str) -> str:
+    pattern, source = EVIDENCE_TEXTS[kind]
+    return f"""SELECT {section} AS section, row_number() OVER (ORDER BY {order}) AS place, {label} AS label,
+        {_sql_format(pattern, *values)} AS value, '{source}' AS source FROM {table} QUALIFY place <= {keep}"""
+
+
+_BREAKOUT_ORDER = "star_count_in_window DESC, total_events_in_window DESC, stargazers_count DESC, repo_full_name"
+_CATEGORY_ORDER = "total_stars_in_window DESC, total_events_in_window DESC, category"
+_TOPIC_ORDER = "star_count_in_window DESC, repo_count DESC, topic"
+_ASKED = f"""
+, asked AS (
+    SELECT conv_id, turn, role, replace({_sql_list(OPENINGS)}[len(text) % {len(OPENINGS)} + 1], '%s',
+        coalesce(repo_full_name, 'it')) || text AS text
+    FROM conversations LEFT JOIN meta ON repo_id - 1 = conv_id % 60),
+said AS (SELECT *, nullif(regexp_extract(text, '{REPO_MENTION}'), '') AS mention FROM asked),
+turns AS (
+    SELECT u.conv_id, u.turn,
+      CASE WHEN len(trim(text)) < 2 THEN NULL
+           WHEN regexp_matches(text, '{REPO_MENTION}') THEN 'knowledge'
+           WHEN regexp_matches(text, '{_re2(SEARCH_QUESTION)}') THEN 'search'
+           WHEN regexp_matches(text, '{_re2(KNOWLEDGE_QUESTION)}') THEN 'knowledge'
+           ELSE 'instant' END AS sort,
+      regexp_matches(text, '{_re2(CATEGORY_QUESTION)}') AS wants_categories,
+      regexp_matches(text, '{_re2(TOPIC_QUESTION)}') AS wants_topics,
+      coalesce(u.mention, (SELECT arg_max(h.mention, h.turn) FROM said h
+        WHERE h.conv_id = u.conv_id AND h.turn BETWEEN u.turn - 6 AND u.turn - 1
+          AND h.mention IS NOT NULL)) AS repo_name
+    FROM said u WHERE role = 'user'),
+briefs AS ({REPO_BRIEF}),
+routed AS (
+    SELECT turns.*, b.*, CASE WHEN sort = 'knowledge' AND repo_name IS NOT NULL THEN 'repo' ELSE sort END AS intent,
+        CASE WHEN sort <> 'knowledge' OR sort IS NULL THEN ''
+             WHEN b.repo_full_name IS NULL THEN 'market-brief' ELSE 'market-brief,repo-brief' END AS tools_used
+    FROM turns LEFT JOIN briefs b ON sort = 'knowledge' AND lower(repo_name) = lower(b.repo_full_name)),
+lines AS (
+    {_lines(1, "breakout", "breakouts", _BREAKOUT_ORDER, 5, "repo_full_name", "star_count_in_window",
+            "total_events_in_window", "unique_actors_in_window")}
+    UNION ALL {_lines(2, "category", "categories", _CATEGORY_ORDER, 4, "category", "active_repo_count",
+                      "total_stars_in_window", "leader_repo_name")}
+    UNION ALL {_lines(3, "topic", "topics", _TOPIC_ORDER, 5, "topic", "star_count_in_window", "repo_count")}),
+evidence AS (
+    SELECT conv_id, turn, intent, tools_used, l.* FROM routed JOIN lines l ON sort = 'knowledge' AND CASE l.section
+        WHEN 1 THEN NOT wants_categories AND NOT wants_topics
+        WHEN 2 THEN wants_categories OR NOT wants_topics ELSE wants_topics OR NOT wants_categories END
+    UNION ALL
+    SELECT conv_id, turn, intent, tools_used, 5, 1, repo_full_name,
+        {_sql_format(EVIDENCE_TEXTS["repo"][0], "trend_verdict", "star_count_in_window", "total_events_in_window",
+                     "unique_actors_in_window")}, '{EVIDENCE_TEXTS["repo"][1]}'
+    FROM routed WHERE repo_full_name IS NOT NULL
+    UNION ALL
+    SELECT conv_id, turn, intent, tools_used, 5, 2, 'why_trending', why_trending, '{EVIDENCE_TEXTS["repo"][1]}'
+    FROM routed WHERE repo_full_name IS NOT NULL),
+kept AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY section, place) AS n FROM evidence
+    QUALIFY n <= 12)
+"""
+QUESTIONS = CONTEXT + BREAKOUTS.replace(", m AS (", ", m1 AS (", 1).replace("JOIN m USING", "JOIN m1 USING") + CATEGORIES + TOPICS + _ASKED
 
 
-@check("question_evidence")
+def _answers(t: Testbed) -> DataFrame:
+    market = mk.market_brief_context(t.metadata(), t.events(), AS_OF)
+    briefs = ins.repo_brief(ins.repo_brief_context(t.metadata(), t.events(), AS_OF), AS_OF)
+    return qs.answer_questions(_asked(t), *market, briefs)
+
+
+@check(
+    "question_evidence",
+    QUESTIONS
+    + """SELECT conv_id, turn, intent, tools_used, CAST(section AS BIGINT) AS section, CAST(place AS BIGINT) AS place,
+            label, value, source FROM kept""",
+)
 def question_evidence(t: Testbed) -> DataFrame:
-    market = qs.market_evidence("which repos are trending", *_market(t))
-    found = se.search_repos(_pool(t, min_stars=500), "red widget toolkit", limit=5)
-    context = ins.repo_brief_context(t.metadata(), t.events(), AS_OF)
-    brief = ins.repo_brief(ins.of_repo(context, t.lookup_name(43)), AS_OF)
-    return qs.question_evidence(market, found, brief)
+    return qs.question_evidence(_answers(t))
 
 
-@check("answer_template")
+@check(
+    "answer_template",
+    QUESTIONS
+    + f"""SELECT p.conv_id, p.turn, p.intent, tools_used,
+      CASE WHEN p.intent = 'instant' THEN '{ANSWER_TEXTS["instant"]}'
+           WHEN repo_full_name IS NOT NULL THEN {_sql_format(ANSWER_TEXTS["repo_verdict"], "repo_full_name", "trend_verdict")}
+             || chr(10) || summary || chr(10)
+             || {_sql_format(ANSWER_TEXTS["repo_window"], "window_days", "star_count_in_window",
+                             "total_events_in_window", "unique_actors_in_window")}
+             || chr(10) || {_sql_format(ANSWER_TEXTS["repo_reason"], "why_trending")}
+           WHEN sort = 'knowledge' AND wants_topics THEN '{ANSWER_TEXTS["topics_title"]}' || (
+             SELECT string_agg(chr(10) || {_sql_format(ANSWER_TEXTS["topics_line"], "n", "topic", "star_count_in_window", "repo_count")}, '' ORDER BY n)
+             FROM (SELECT *, row_number() OVER (ORDER BY {_TOPIC_ORDER}) AS n FROM topics) WHERE n <= 6)
+           WHEN sort = 'knowledge' AND wants_categories THEN '{ANSWER_TEXTS["categories_title"]}' || (
+             SELECT string_agg(chr(10) || {_sql_format(ANSWER_TEXTS["categories_line"], "n", "category", "active_repo_count",
+                                                       "total_stars_in_window", "leader_repo_name")}, '' ORDER BY n)
+             FROM (SELECT *, row_number() OVER (ORDER BY {_CATEGORY_ORDER}) AS n FROM categories) WHERE n <= 5)
+           WHEN sort = 'knowledge' THEN '{ANSWER_TEXTS["evidence_title"]}' || chr(10) || shown END AS answer,
+      CASE p.intent WHEN 'repo' THEN array_to_string([{", ".join(_sql_format(one, "repo_name") for one in FOLLOW_UPS["repo"])}], ',')
+           WHEN 'search' THEN array_to_string({_sql_list(FOLLOW_UPS["search"])}, ',')
+           WHEN 'knowledge' THEN array_to_string({_sql_list(FOLLOW_UPS["knowledge"])}, ',')
+           WHEN 'instant' THEN array_to_string({_sql_list(FOLLOW_UPS["instant"])}, ',') END AS follow_up_questions
+    FROM routed p LEFT JOIN (
+      SELECT conv_id, turn, string_agg({_sql_format(ANSWER_TEXTS["evidence_line"], "label", "value", "source")}, chr(10) ORDER BY n) AS shown
+      FROM kept WHERE n <= 8 GROUP BY ALL) k USING (conv_id, turn)""",
+)
 def answer_template(t: Testbed) -> DataFrame:
-    """The four kinds of answers."""
-    parts = _market(t)
-    found = se.search_repos(_pool(t, min_stars=500), "red widget toolkit", limit=5)
-    context = ins.repo_brief_context(t.metadata(), t.events(), AS_OF)
-    brief = ins.repo_brief(ins.of_repo(context, t.lookup_name(43)), AS_OF)
-    answers = {
-        "topics": qs.answer_template("hot topics?", *parts),
-        "categories": qs.answer_template("best category?", *parts),
-        "evidence": qs.answer_template("what is trending?", *parts, search=found),
-        "repo": qs.answer_template("this repo?", *parts, brief=brief),
-        "search": qs.search_answer(found),
-    }
-    result = None
-    for name, answer in answers.items():
-        row = answer.select(F.lit(name).alias("kind"), "answer")
-        result = row if result is None else result.unionByName(row)
-    return result
+    """An answer for every user turn."""
+    return _answers(t).drop("repo_name", "evidence")

@@ -30,10 +30,19 @@ def _archive(t: Testbed) -> str:
 
 @check(
     "append_archive_partition",
-    "SELECT event_date, event_type, count(*) AS rows FROM gh GROUP BY ALL",
+    """SELECT event_date, event_type, count(*) AS rows FROM gh
+       WHERE event_type IN ('ForkEvent', 'PushEvent') AND event_date BETWEEN DATE '2024-01-03' AND DATE '2024-01-05'
+       GROUP BY ALL""",
 )
 def append_archive_partition(t: Testbed) -> DataFrame:
-    rows = ar.read_archive(t.spark, _archive(t))
+    """A few partitions, each given its records and, again, none."""
+    path, events = fresh_path(t.spark, "archive"), t.events()
+    for on in ("2024-01-03", "2024-01-04", "2024-01-05"):
+        for kind in ("ForkEvent", "PushEvent"):
+            mine = events.where((F.col("event_date") == on) & (F.col("event_type") == kind))
+            ar.append_archive_partition(mine.drop("event_date", "event_type"), path, on, kind)
+            ar.append_archive_partition(mine.limit(0), path, on, kind)
+    rows = ar.read_archive(t.spark, path)
     return rows.groupBy("event_date", "event_type").agg(F.count(F.lit(1)).alias("rows"))
 
 
@@ -100,19 +109,33 @@ def backfill_events(t: Testbed) -> DataFrame:
     return t.spark.read.parquet(table).select(*EVENT_COLUMNS[:12])
 
 
+_WEEK = "event_date BETWEEN DATE '2024-01-23' AND DATE '2024-01-30'"
+
+
 @check(
     "nightly_batch",
-    f"""SELECT event_date, repo_name, count(*) AS star_count FROM gh
-        WHERE {STAR} AND event_date BETWEEN DATE '2024-01-23' AND DATE '2024-01-30' GROUP BY ALL""",
+    f"""SELECT *, count(*) OVER (PARTITION BY part) AS reported FROM (
+          SELECT 'star_counts' AS part, repo_name, CAST(event_date AS VARCHAR) AS of, count(*) AS amount
+          FROM gh WHERE {STAR} AND {_WEEK} GROUP BY ALL
+          UNION ALL
+          SELECT 'activity', repo_name, event_type, count(*) FROM gh WHERE {_WEEK} GROUP BY ALL)""",
 )
 def nightly_batch(t: Testbed) -> DataFrame:
-    """Run twice: the second run replaces the first."""
+    """Run twice: the second run replaces the first. Both tables, with the reported numbers of rows."""
     archive, out = _archive(t), fresh_path(t.spark, "nightly")
     for _ in range(2):
-        jobs.nightly_batch(t.spark, archive, out, AS_OF, "2024-01-30")
-    return t.spark.read.parquet(f"{out}/repo_star_counts").select(
-        F.col("event_date").cast("date").alias("event_date"), "repo_name", "star_count"
+        counts = jobs.nightly_batch(t.spark, archive, out, AS_OF, "2024-01-30")
+    stars = t.spark.read.parquet(f"{out}/repo_star_counts").select(
+        F.lit("star_counts").alias("part"),
+        "repo_name",
+        F.col("event_date").cast("string").alias("of"),
+        F.col("star_count").alias("amount"),
+        F.lit(counts["star_counts"]).cast("bigint").alias("reported"),
     )
+    activity = t.spark.read.parquet(f"{out}/repo_activity_summary").select(
+        F.lit("activity"), "repo_name", "event_type", "event_count", F.lit(counts["activity"]).cast("bigint")
+    )
+    return stars.union(activity)
 
 
 @check(
@@ -167,12 +190,16 @@ def bootstrap_observations(t: Testbed) -> DataFrame:
 @check(
     "retention_plan",
     """SELECT CAST(event_date AS VARCHAR) AS partition,
-              CASE WHEN event_date < DATE '2024-01-11' THEN 'drop' ELSE 'keep' END AS action
-       FROM gh GROUP BY ALL""",
+              CASE WHEN event_date < DATE '2024-01-11' THEN 'drop' ELSE 'keep' END AS action,
+              count(DISTINCT event_type) AS files, 8 * count(*) AS bytes
+       FROM gh GROUP BY event_date""",
 )
 def retention_plan(t: Testbed) -> DataFrame:
-    plan = jobs.retention_plan(t.spark, _archive(t), AS_OF, keep_days=20)
-    return plan.select("partition", "action")
+    """Over an archive of text files, one a partition, whose sizes are eight bytes an event."""
+    path = fresh_path(t.spark, "archive")
+    rows = t.events().select(F.lit("1234567").alias("value"), "event_date", "event_type")
+    rows.repartition("event_date", "event_type").write.partitionBy("event_date", "event_type").text(path)
+    return jobs.retention_plan(t.spark, path, AS_OF, keep_days=20, pattern="*.txt")
 
 
 @check(
@@ -268,24 +295,35 @@ def map_repo_metadata(t: Testbed) -> DataFrame:
     )
 
 
-@check("stream_progress")
+@check(
+    "stream_progress",
+    """SELECT 'ingest' AS query, 2 * count(*) AS rows, 2::BIGINT AS batches, false AS lag_warning,
+              false AS is_stale FROM gh""",
+)
 def stream_progress(t: Testbed) -> DataFrame:
-    """Rows, seconds and lag of the ingest, as a table."""
+    """Reports of an ingest that is stopped and started again with more input, from their table."""
     import time
 
-    log = supervise.ProgressLog()
-    t.spark.streams.addListener(log)
-    try:
-        _ingest(t)
-        for _ in range(50):
-            if not log.table(t.spark).where("rows > 0").isEmpty():
-                break
-            time.sleep(0.1)
-        return log.table(t.spark).groupBy("query").agg(
-            F.sum("rows").alias("rows"), F.max("lag_warning").alias("lag_warning")
-        )
-    finally:
-        t.spark.streams.removeListener(log)
+    base, reports, landed = fresh_path(t.spark, "stream"), fresh_path(t.spark, "progress"), fresh_path(t.spark, "landed")
+    records = cl.to_wire_event(t.events()).select("value")
+    for batches in (1, 2):
+        records.write.mode("append").text(landed)
+        log = supervise.ProgressLog(t.spark, reports)
+        t.spark.streams.addListener(log)
+        try:
+            supervise.finish(ingest.start_ingest(ingest.text_source(t.spark, landed), base, once=True))
+            for _ in range(100):  # reports come a little after their batch
+                if supervise.read_progress(t.spark, reports).where("rows > 0").count() >= batches:
+                    break
+                time.sleep(0.1)
+        finally:
+            t.spark.streams.removeListener(log)
+    progress = supervise.read_progress(t.spark, reports).where("rows > 0")
+    totals = progress.groupBy("query").agg(
+        F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("batches"), F.max("lag_warning").alias("lag_warning")
+    )
+    fresh = supervise.stream_freshness(progress, AS_OF)
+    return totals.join(fresh.select("query", "is_stale"), "query")
 
 
 # --------------------------------------------------------------------------- streams
@@ -321,7 +359,7 @@ def sink_archive_stream(t: Testbed) -> DataFrame:
 
 @check("sink_events_foreach_batch", f"SELECT {SOME_EVENT_COLUMNS} FROM gh")
 def sink_events_foreach_batch(t: Testbed) -> DataFrame:
-    return t.spark.read.parquet(f"{_ingest(t)}/events").select(*EVENT_COLUMNS[:12])
+    return ingest.read_table(t.spark, _ingest(t), "events").select(*EVENT_COLUMNS[:12])
 
 
 @check(
@@ -330,7 +368,7 @@ def sink_events_foreach_batch(t: Testbed) -> DataFrame:
     "AS stargazers_count, created_at AS snapshot_at FROM gh",
 )
 def stream_history_view(t: Testbed) -> DataFrame:
-    history = t.spark.read.parquet(f"{_ingest(t)}/history")
+    history = ingest.read_table(t.spark, _ingest(t), "history")
     return history.select("snapshot_key", "repo_full_name", "stargazers_count", "snapshot_at")
 
 
@@ -344,7 +382,7 @@ def stream_dual_sink(t: Testbed) -> DataFrame:
     base = _ingest(t)
     report = None
     for sink in ("archive", "events", "history"):
-        row = t.spark.read.parquet(f"{base}/{sink}").agg(
+        row = ingest.read_table(t.spark, base, sink).agg(
             F.lit(sink).alias("sink"), F.count(F.lit(1)).alias("rows")
         )
         report = row if report is None else report.unionByName(row)
@@ -356,7 +394,7 @@ def stream_dual_sink(t: Testbed) -> DataFrame:
     "SELECT event_id, 1::BIGINT AS copies FROM gh",
 )
 def stream_dedup_events(t: Testbed) -> DataFrame:
-    rows = t.spark.read.parquet(f"{_ingest(t)}/events")
+    rows = ingest.read_table(t.spark, _ingest(t), "events")
     return rows.groupBy("event_id").agg(F.count(F.lit(1)).alias("copies"))
 
 
@@ -375,6 +413,7 @@ def _out_of_order(t: Testbed) -> str:
     broken.write.mode("append").text(landed)
     records = ingest.text_source(t.spark, landed, max_files=1)
     supervise.finish(ingest.start_ingest(records, base, once=True))
+    ingest.close_ingest_days(t.spark, base, "2024-01-21")
     return base
 
 
@@ -383,11 +422,12 @@ def _out_of_order(t: Testbed) -> str:
     """SELECT sink, event_id FROM gh, (VALUES ('archive'), ('events'), ('history')) AS sinks(sink)""",
 )
 def stream_late_events(t: Testbed) -> DataFrame:
-    """Every event once in every table, though most days come after later ones."""
+    """Every event once in every table, though most days come after later ones and the earlier ones
+    have been merged."""
     base = _out_of_order(t)
     report = None
     for sink, key in (("archive", "event_id"), ("events", "event_id"), ("history", "snapshot_key")):
-        rows = t.spark.read.parquet(f"{base}/{sink}").select(
+        rows = ingest.read_table(t.spark, base, sink).select(
             F.lit(sink).alias("sink"), F.col(key).alias("event_id")
         )
         report = rows if report is None else report.unionByName(rows)
@@ -396,7 +436,7 @@ def stream_late_events(t: Testbed) -> DataFrame:
 
 @check("stream_quarantine", "SELECT 'undecodable' AS reason, 2::BIGINT AS rows")
 def stream_quarantine(t: Testbed) -> DataFrame:
-    rows = t.spark.read.parquet(f"{_out_of_order(t)}/quarantine")
+    rows = ingest.read_table(t.spark, _out_of_order(t), "quarantine")
     return rows.groupBy("reason").agg(F.count(F.lit(1)).alias("rows"))
 
 

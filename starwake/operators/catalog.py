@@ -128,18 +128,20 @@ def assign_catalog_shards(
 def plan_catalog_shards(
     repos: DataFrame, min_stars: int, max_shard_size: int, start_date: date, today: date
 ) -> DataFrame:
-    """The leaf shards. ``too_large`` marks one that cannot be split any further."""
+    """The leaf shards. A shard that is too large and cannot be split any further fails the query.
+
+    The failure is part of the plan, so no caller can forget to ask for it; ``too_large`` is false
+    in every row that comes out.
+    """
     keys = ["min_stars", "max_stars", "created_after", "created_before", "matched_count"]
     assigned = assign_catalog_shards(repos, min_stars, max_shard_size, start_date, today)
-    return assigned.select(*keys, "too_large").distinct()
+    return require_complete_split(assigned.select(*keys, "too_large").distinct())
 
 
 def require_complete_split(shards: DataFrame) -> DataFrame:
-    """Raise if a shard is too large and cannot be split."""
-    worst = shards.where("too_large").limit(1).collect()
-    if worst:
-        raise ValueError(f"shard cannot be split any further: {worst[0].asDict()}")
-    return shards
+    """The same shards; reading one that is too large raises an error that names it."""
+    said = F.concat(F.lit("shard cannot be split any further: "), shard_label(), F.lit(" has "), F.col("matched_count"))
+    return shards.where(F.when(~F.col("too_large"), True).otherwise(F.raise_error(said).cast("boolean")))
 
 
 def shard_label() -> Column:

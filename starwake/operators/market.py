@@ -126,7 +126,7 @@ def breakout_concentration(breakouts: DataFrame) -> DataFrame:
     )
 
 
-def _listed(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+def listed(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
     """A top-k report as one row with an ordered list. Its length is the report's limit."""
     columns = rows.columns
     ranked = rows.withColumn("_place", F.row_number().over(Window.orderBy(*order)))
@@ -169,9 +169,9 @@ def market_brief(
         "stargazers_count",
     )
     # Scalar subqueries of one-row lists; there is nothing to join.
-    b = _listed(lists, _breakout_order(), "items").scalar()
-    c = _listed(categories, category_order, "items").scalar()
-    t = _listed(topics, topic_order, "items").scalar()
+    b = listed(lists, _breakout_order(), "items").scalar()
+    c = listed(categories, category_order, "items").scalar()
+    t = listed(topics, topic_order, "items").scalar()
     session = breakouts.sparkSession
     one = session.range(1).select(b.alias("b"), c.alias("c"), t.alias("t"))
 

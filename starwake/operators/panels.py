@@ -9,6 +9,9 @@ from starwake.functions.times import Moment, day, hours_before, in_date_window,
 from starwake.operators import rollups as ru
 from starwake.operators.ranking import top_k
 
+#: Sketches of distinct repositories have 2^bits slots: a standard error of 1.6 %.
+SKETCH_BITS = 12
+
 
 def top_repo_days(archive: DataFrame, as_of: Moment, days: int = 7, limit: int = 20) -> DataFrame:
     """Days with the most stars, per repository and date; only the star partitions are read."""
@@ -54,41 +57,59 @@ def unique_repos(events: DataFrame) -> DataFrame:
     return events.agg(F.count_distinct("repo_name").alias("unique_repos"))
 
 
-def unique_repos_approx(events: DataFrame) -> DataFrame:
-    return events.agg(F.approx_count_distinct("repo_name").alias("unique_repos"))
+def repo_sketches(events: DataFrame) -> DataFrame:
+    """Per day, a mergeable sketch of the repositories with events: ``event_date``, ``repos``."""
+    return events.groupBy(F.to_date("created_at").alias("event_date")).agg(
+        F.hll_sketch_agg("repo_name", F.lit(SKETCH_BITS)).alias("repos")
+    )
 
 
-def top_starred_snapshot(events: DataFrame, limit: int = 20) -> DataFrame:
-    """Greatest star number and most frequent texts per repository.
+def unique_repos_approx(sketches: DataFrame, as_of: Moment | None = None, days: int | None = None) -> DataFrame:
+    """Distinct repositories of any window of days, from the stored sketches alone.
 
-    The texts are only counted for the repositories of the report, and counts per (repository,
-    text) come first, so the busiest repository is reduced on the map side.
+    Without ``days`` all sketches are united. The standard error is about 1.04 / sqrt(2^bits).
     """
-    stars = top_k(
-        events.groupBy("repo_name").agg(F.max("repo_stargazers_count").alias("stars")),
-        [F.desc("stars"), F.asc("repo_name")],
-        limit,
-    )
-    listed = events.join(stars.select("repo_name"), "repo_name", "left_semi")
+    rows = sketches if days is None else sketches.where(in_date_window(F.col("event_date"), as_of, days))
+    united = F.hll_union_agg("repos")
+    return rows.agg(F.coalesce(F.hll_sketch_estimate(united), F.lit(0)).alias("unique_repos"))
 
-    def frequent(column: str, name: str) -> DataFrame:
-        counts = listed.where(F.col(column).isNotNull()).groupBy("repo_name", column)
-        best = F.min_by(column, F.struct(-F.col("_n"), F.col(column)))
-        return counts.agg(ru.count_rows().alias("_n")).groupBy("repo_name").agg(best.alias(name))
 
+def top_starred_snapshot(events: DataFrame, limit: int = 20) -> DataFrame:
+    """Greatest star number and most frequent texts per repository, in one pass over the events.
+
+    Counts per (repository, language, description) combine on the map side. Their few rows are
+    stacked as (repository, column, value), counted once more, and reduced to the most frequent value
+    of each column, the smallest among equals.
+    """
+    columns = {"language": "repo_primary_language", "description": "repo_description"}
+    versions = events.groupBy("repo_name", *columns.values()).agg(
+        ru.count_rows().alias("_n"), F.max("repo_stargazers_count").alias("_stars")
+    )
+    stack = F.array(
+        *[
+            F.struct(F.lit(name).alias("_column"), F.col(column).alias("_value"))
+            for name, column in columns.items()
+        ]
+    )
+    counted = (
+        versions.select("repo_name", "_n", "_stars", F.inline(stack))
+        .groupBy("repo_name", "_column", "_value")
+        .agg(F.sum("_n").alias("_n"), F.max("_stars").alias("_stars"))
+    )
+    known = F.col("_value").isNotNull()
+    order = F.struct(-F.col("_n"), F.col("_value"))
+    best = [
+        F.min_by("_value", F.when(known & (F.col("_column") == name), order)).alias(name) for name in columns
+    ]
     zero = F.lit(0).cast("bigint")
-    return (
-        stars.join(frequent("repo_primary_language", "language"), "repo_name", "left")
-        .join(frequent("repo_description", "description"), "repo_name", "left")
-        .select(
-            "repo_name",
-            "stars",
-            zero.alias("forks"),
-            "language",
-            F.lit("Other").alias("category"),
-            "description",
-        )
-        .orderBy(F.desc("stars"), "repo_name")
+    rows = counted.groupBy("repo_name").agg(F.max("_stars").alias("stars"), *best)
+    return top_k(rows, [F.desc("stars"), F.asc("repo_name")], limit).select(
+        "repo_name",
+        "stars",
+        zero.alias("forks"),
+        "language",
+        F.lit("Other").alias("category"),
+        "description",
     )
 
 

@@ -261,36 +261,39 @@ def repo_rollup_raw(
 def repo_rollup_archive(events: DataFrame, count_stars: bool = True) -> DataFrame:
     """Repository rows of the archive: greatest texts and the union of all topics.
 
-    Every event is turned into one row per topic; only the first of them carries the star, so one
-    pass and one shuffle give both the counts and the set of topics. The set is merged on the map
-    side and never holds more than the distinct topics of a repository.
+    Counts and texts combine on the map side by (repository, texts), whose numbers have a fixed
+    width, so events are hashed and not sorted; the few versions of a repository's texts follow.
+    Topics are a union of two levels beside them: distinct (repository, topic) pairs, then the set of
+    each repository. Only keys and topics are exploded, and no set holds more than the distinct topics.
     """
-    topics = F.filter(tx.list_or_empty(F.col("repo_topics")), lambda topic: topic != "")
+    key = ["repo_id", "repo_name"]
     starred = is_star() if count_stars else F.lit(False)
-    rows = events.select(
-        "repo_id",
-        "repo_name",
-        "repo_description",
-        "repo_primary_language",
-        "repo_stargazers_count",
-        "created_at",
-        starred.alias("_star"),
-        F.posexplode_outer(topics).alias("_pos", "_topic"),
+    versions = events.groupBy(*key, "repo_description", "repo_primary_language").agg(
+        F.max("repo_stargazers_count").alias("_stars"),
+        F.min("created_at").alias("_first"),
+        F.max("created_at").alias("_last"),
+        F.count_if(starred).alias("_starred"),
+    )
+    numbers = versions.groupBy(*key).agg(
+        F.max("repo_description").alias("description"),
+        F.max("repo_primary_language").alias("primary_language"),
+        F.max("_stars").alias("stargazers_count"),
+        F.min("_first").alias("github_created_at"),
+        F.max("_last").alias("github_pushed_at"),
+        F.sum("_starred").alias("star_count_in_window"),
     )
+    pairs = events.select(*key, F.explode(tx.list_or_empty(F.col("repo_topics"))).alias("_topic"))
+    topics = (
+        pairs.where(F.col("_topic") != "")
+        .distinct()
+        .groupBy(*key)
+        .agg(F.array_sort(F.collect_set("_topic")).alias("topics"))
+        .select(F.col("repo_id").alias("_id"), F.col("repo_name").alias("_name"), "topics")
+    )
+    same = F.col("repo_id").eqNullSafe(F.col("_id")) & F.col("repo_name").eqNullSafe(F.col("_name"))
     zero = F.lit(0).cast("bigint")
     return (
-        rows.groupBy("repo_id", "repo_name")
-        .agg(
-            F.max("repo_description").alias("description"),
-            F.max("repo_primary_language").alias("primary_language"),
-            F.array_sort(F.collect_set("_topic")).alias("topics"),
-            F.max("repo_stargazers_count").alias("stargazers_count"),
-            F.min("created_at").alias("github_created_at"),
-            F.max("created_at").alias("github_pushed_at"),
-            F.count_if(F.col("_star") & (F.coalesce("_pos", F.lit(0)) == 0)).alias(
-                "star_count_in_window"
-            ),
-        )
+        numbers.join(topics, same, "left")
         .select(
             "repo_id",
             F.col("repo_name").alias("repo_full_name"),
@@ -298,7 +301,7 @@ def repo_rollup_archive(events: DataFrame, count_stars: bool = True) -> DataFram
             tx.page_url(F.col("repo_name")).alias("html_url"),
             "description",
             "primary_language",
-            "topics",
+            tx.list_or_empty(F.col("topics")).alias("topics"),
             F.lit("Other").alias("category"),
             "stargazers_count",
             F.col("stargazers_count").alias("watchers_count"),

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from starwake.functions.times import Moment, day
+from starwake.operators import panels
 from starwake.operators import rollups as ru
 from starwake.operators.catalog import repo_summary_report
 from starwake.operators.clean import (
@@ -41,7 +42,8 @@ def nightly_batch(
     on: date | str,
     lookback_days: int = 7,
 ) -> dict[str, int] | None:
-    """Daily star counts and the activity summary from the last days of the archive.
+    """Daily star counts, sketches of the repositories, and the activity summary from the last days
+    of the archive.
 
     Skipped when the day before ``on`` has no partition yet. Row counts are observed while
     writing, so nothing is computed twice; running it again replaces what it wrote.
@@ -50,15 +52,12 @@ def nightly_batch(
     recent = ar.read_archive_range(spark, archive_path, on, lookback_days)
     if recent.where(F.col("event_date") == yesterday).isEmpty():
         return None
-    seen_stars, seen_summary = Observation(), Observation()
-    rows = F.count(F.lit(1)).alias("rows")
-    tables.write_star_counts(
-        ru.daily_star_counts(recent).observe(seen_stars, rows), f"{out}/repo_star_counts"
-    )
-    ru.activity_summary(recent, as_of).observe(seen_summary, rows).write.mode("overwrite").parquet(
-        f"{out}/repo_activity_summary"
-    )
-    return {"star_counts": seen_stars.get["rows"], "activity": seen_summary.get["rows"]}
+    stars = tables.write_star_counts(ru.daily_star_counts(recent), f"{out}/repo_star_counts")
+    seen = Observation()
+    summary = ru.activity_summary(recent, as_of).observe(seen, F.count(F.lit(1)).alias("rows"))
+    summary.write.mode("overwrite").parquet(f"{out}/repo_activity_summary")
+    tables.write_daily(panels.repo_sketches(recent), f"{out}/repo_sketches")
+    return {"star_counts": stars, "activity": seen.get["rows"]}
 
 
 # --------------------------------------------------------------------------- backfill
@@ -79,20 +78,20 @@ def backfill_events(
     end: str | None = None,
     force: bool = False,
 ) -> Backfill:
-    """Load the events table from the archive. A filled table is only replaced by ``force``."""
+    """Load the events table from the archive. A filled table is only replaced by ``force``.
+
+    The range of dates goes to the listing: other days are neither listed nor opened, and the rows
+    are read once.
+    """
     if start is not None and end is not None and start > end:
         raise JobError("the start date must not be after the end date")
     if not ar.has_partitions(spark, archive_path):
         raise JobError(f"no partitions below {archive_path}")
     if exists(spark, table) and not force and not spark.read.parquet(table).isEmpty():
         raise JobError("the events table already has rows; force replaces them")
-    rows = ar.read_archive_evolved(spark, archive_path)
-    if start is not None:
-        rows = rows.where(F.col("event_date") >= day(start))
-    if end is not None:
-        rows = rows.where(F.col("event_date") <= day(end))
-    if rows.isEmpty():
+    if not ar.days_between(spark, archive_path, start, end):
         raise JobError("no partition lies in the given range of dates")
+    rows = ar.read_archive_evolved(spark, archive_path, start, end)
     seen = Observation()
     month = F.date_format("created_at", "yyyyMM")
     sorting = ["event_month", "repo_id", "created_at"]
@@ -132,11 +131,16 @@ def bootstrap_observations(
 
 
 def retention_plan(
-    spark: SparkSession, archive_path: str, as_of: Moment, keep_days: int = RETENTION_DAYS
+    spark: SparkSession,
+    archive_path: str,
+    as_of: Moment,
+    keep_days: int = RETENTION_DAYS,
+    pattern: str = "*.parquet",
 ) -> DataFrame:
     """What to do with every date directory: keep, drop, or skip for an unreadable name.
 
-    The listing holds paths and sizes only; the last two days are never dropped.
+    The listing is a distributed scan of paths and sizes only, added up per directory; the last two
+    days are never dropped.
     """
     text = F.regexp_extract("path", "/event_date=([^/]*)/", 1)
     valid = F.rlike(text, F.lit(r"^\d{4}-\d{2}-\d{2}$"))
@@ -148,7 +152,7 @@ def retention_plan(
         .otherwise("keep")
     )
     return (
-        file_listing(spark, archive_path)
+        file_listing(spark, archive_path, pattern)
         .withColumns({"partition": text, "date": event_date})
         .where(F.col("partition") != "")
         .groupBy("partition", "date")

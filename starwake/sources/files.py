@@ -1,4 +1,4 @@
-"""Small helpers around the Hadoop file system: existence, listing, deleting a directory."""
+"""Small helpers around the Hadoop file system: existence, listing, deleting, small files."""
 
 from __future__ import annotations
 
@@ -30,6 +30,33 @@ def delete_directory(spark: SparkSession, path: str) -> bool:
     return fs.delete(location, True)
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, written whole; one that is there is replaced."""
+    fs, location = _fs(spark, path)
+    stream = fs.create(location, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file."""
+    fs, location = _fs(spark, path)
+    stream = fs.open(location)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def content_size(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Number and bytes of all files below a directory."""
+    fs, location = _fs(spark, path)
+    summary = fs.getContentSummary(location)
+    return summary.getFileCount(), summary.getLength()
+
+
 def file_listing(spark: SparkSession, base: str, pattern: str = "*.parquet") -> DataFrame:
     """Path and size of all files below ``base``. Contents are not read."""
     return (

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from starwake.operators.clean import metadata_to_history, normalise_event_defaults, with_repo_key
@@ -50,15 +50,31 @@ def save_event_batch(events: DataFrame, path: str) -> None:
     arranged.write.mode("append").partitionBy("event_month").parquet(path)
 
 
-def write_star_counts(counts: DataFrame, path: str) -> None:
-    """Replace the dates that are in ``counts``: running a day again does not count it twice."""
+def write_star_counts(counts: DataFrame, path: str) -> int:
+    """Replace the dates that are in ``counts``: running a day again does not count it twice.
+
+    Returns the rows written, counted behind the shuffle: finding the ranges reads them once more.
+    """
+    seen = Observation()
     (
         counts.repartitionByRange("event_date", "repo_name")
+        .observe(seen, F.count(F.lit(1)).alias("rows"))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("event_date")
         .parquet(path)
     )
+    return seen.get["rows"]
+
+
+def write_daily(rows: DataFrame, path: str) -> None:
+    """Replace the dates that are in ``rows``, which has a row or few per ``event_date``."""
+    (
+        rows.write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("event_date")
+        .parquet(path)
+    )
 
 
 # --------------------------------------------------------------------------- metadata

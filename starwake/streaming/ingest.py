@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,11 +18,13 @@ from starwake.operators.clean import (
 )
 from starwake.operators.reports import enrich_events
 from starwake.schemas import WIRE_EVENT
-from starwake.sources.archive import has_partitions, in_archive_form
+from starwake.sources.archive import in_archive_form
+from starwake.sources.segments import FAN, close_days, merge_segments, read_segments, write_segment
 
 TRIGGER = "60 seconds"
 MAX_OFFSETS = 50_000
 FETCH_BYTES = 52_428_800
+HOURLY = "window_start timestamp, window_end timestamp, repo_name string, event_type string, event_count bigint"
 
 
 # --------------------------------------------------------------------------- sources
@@ -127,7 +129,9 @@ def hourly_counts(events: DataFrame) -> DataFrame:
 def read_hourly_counts(spark: SparkSession, base: str) -> DataFrame:
     """The counts of an ingest so far: every batch has stored its part, open hours and late rows
     included."""
-    parts = spark.read.parquet(f"{base}/hours")
+    parts = read_table(spark, base, "hours")
+    if parts is None:
+        return spark.createDataFrame([], HOURLY)
     return parts.groupBy("window_start", "window_end", "repo_name", "event_type").agg(
         F.sum("event_count").alias("event_count")
     )
@@ -168,56 +172,93 @@ def start_parquet_sink(
     return _trigger(writer, once).start()
 
 
-def _known_events(spark: SparkSession, path: str, dates: list, own: str) -> DataFrame | None:
-    """Ids already stored under the given dates, by other batches than the one at hand."""
-    if not has_partitions(spark, path):
+#: Of each table of an ingest: whether it has dates, inner directories, and the order of its rows.
+TABLES = {
+    "archive": (True, ["event_type"], ["repo_id", "created_at"]),
+    "history": (True, [], ["repo_full_name", "snapshot_at"]),
+    "hours": (True, [], ["window_start", "repo_name"]),
+    "quarantine": (False, [], ["reason"]),
+    "events": (True, [], ["event_id"]),
+}
+
+
+def read_table(
+    spark: SparkSession, base: str, table: str, days: Iterable[str] | None = None
+) -> DataFrame | None:
+    """One of the ``TABLES`` of an ingest, or the given ISO days of it; None before its first row."""
+    return read_segments(spark, f"{base}/{table}", days)
+
+
+def _known_events(spark: SparkSession, path: str, ranges: dict[str, tuple[str, str]], own: str) -> DataFrame | None:
+    """Ids already stored under the given dates, by other batches than the one at hand.
+
+    Only the folders of these dates are listed. Segments are sorted by id, so the range of the ids
+    at hand lets the reader skip most of them: new events have larger ids than stored ones.
+    """
+    stored = read_segments(spark, path, sorted(ranges))
+    if stored is None:
         return None
-    stored = spark.read.parquet(path).where(F.col("event_date").isin(dates) & (F.col("batch") != own))
-    return stored.select("event_id", "event_date")
+    low, high = min(low for low, _ in ranges.values()), max(high for _, high in ranges.values())
+    return stored.where(F.col("event_id").between(low, high) & (F.col("batch") != own)).select(
+        "event_id", F.col("event_date").cast("date").alias("event_date")
+    )
 
 
-def write_event_batch(base: str) -> Callable[[DataFrame, int], None]:
+def write_event_batch(base: str, fan: int = FAN) -> Callable[[DataFrame, int], None]:
     """A micro-batch of records into events, archive, history, hourly counts and quarantine.
 
     An event is new if its id is neither twice in the batch nor stored under its date, however late
-    it comes; only the dates of the batch are looked at. All rows of a batch carry a ``batch``
-    directory named by the query's id, which a checkpoint keeps, and the batch's number: a batch that
-    is repeated replaces itself, and a new checkpoint never replaces older rows. The dates of one
-    batch are the only values that reach the driver.
+    it comes; only the dates of the batch are listed. What a batch writes of a day is one segment
+    named by the query's id, which a checkpoint keeps, and the batch's number: a batch that is
+    repeated replaces itself, and a new checkpoint never replaces older rows. Events are written
+    last. Days with ``fan`` segments of one tier are then merged, without the batch at hand. The
+    dates of one batch and their ranges of ids are the only values that reach the driver.
     """
 
-    def put(rows: DataFrame, table: str, own: str, *directories: str) -> None:
-        (
-            rows.withColumn("batch", F.lit(own))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(*directories, "batch")
-            .parquet(f"{base}/{table}")
-        )
-
     def write(records: DataFrame, batch_id: int) -> None:
         spark = records.sparkSession
         run = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "batch"
         own = f"{run}-{batch_id}"
+
+        def put(rows: DataFrame, table: str) -> None:
+            dated, inner, sorting = TABLES[table]
+            keys = [*(["event_date"] if dated else []), *inner, *sorting]
+            write_segment(rows.sortWithinPartitions(*keys), f"{base}/{table}", own, dated, inner)
+
         records = records.persist()
-        valid = clean_stream(records)
-        dates = [row["event_date"] for row in valid.select("event_date").distinct().collect()]
-        fresh = dedup_events(valid, _known_events(spark, f"{base}/events", dates, own)).persist()
+        valid = clean_stream(records).persist()
+        per_day = valid.groupBy(F.col("event_date").cast("string").alias("day")).agg(
+            F.min("event_id").alias("low"), F.max("event_id").alias("high")
+        )
+        ranges = {row["day"]: (row["low"], row["high"]) for row in per_day.collect()}
+        known = _known_events(spark, f"{base}/events", ranges, own) if ranges else None
+        fresh = dedup_events(valid, known).persist()
         try:
-            put(in_archive_form(fresh), "archive", own, "event_date", "event_type")
-            rows = with_repo_key(normalise_event_defaults(fresh))
-            put(event_to_history(rows), "history", own)
-            put(hourly_counts(fresh), "hours", own)
-            put(quarantine(records), "quarantine", own)
-            dated = rows.withColumn("event_date", F.to_date("created_at"))
-            put(dated, "events", own, "event_date")
+            put(in_archive_form(fresh), "archive")
+            rows = with_repo_key(normalise_event_defaults(fresh)).withColumn("event_date", F.to_date("created_at"))
+            put(event_to_history(rows).withColumn("event_date", F.to_date("snapshot_at")), "history")
+            put(hourly_counts(fresh).withColumn("event_date", F.to_date("window_start")), "hours")
+            put(quarantine(records), "quarantine")
+            put(rows, "events")
         finally:
-            fresh.unpersist()
-            records.unpersist()
+            for one in (fresh, valid, records):
+                one.unpersist()
+        for table, (dated, inner, sorting) in TABLES.items():
+            for folder in [f"{base}/{table}/event_date={day}" for day in ranges] if dated else [f"{base}/{table}"]:
+                merge_segments(spark, folder, fan, inner, sorting, but=[own])
 
     return write
 
 
+def close_ingest_days(spark: SparkSession, base: str, before: str) -> dict[str, list[str]]:
+    """One segment for each day before ``before`` in every dated table; returns the merged days."""
+    return {
+        table: close_days(spark, f"{base}/{table}", before, inner, sorting)
+        for table, (dated, inner, sorting) in TABLES.items()
+        if dated
+    }
+
+
 def start_ingest(records: DataFrame, base: str, once: bool = False) -> list[StreamingQuery]:
     """One stream of records into all tables below ``base``."""
     writer = (

@@ -91,6 +91,7 @@ QUERY_TERM = "[a-z0-9][a-z0-9+.#/-]*"
 
 # Texts of the answers given without a model (printf patterns).
 ANSWER_TEXTS = {
+    "instant": "Xin loi, minh chua the tra loi cau hoi nay ngay luc nay.",
     "repo_verdict": "%s dang duoc xep la %s.",
     "repo_window": "Trong %d ngay: +%d stars, %d events, %d actors.",
     "repo_reason": "Ly do chinh: %s",

@@ -110,6 +110,61 @@ def test_mentions_are_remembered_for_six_turns(spark):
     assert got == {1: "acme/new", 3: "acme/new", 5: "acme/new", 7: "acme/new", 9: None}
 
 
+def test_all_questions_are_answered_at_once(spark):
+    turns = [
+        (1, 0, "user", "which topic is hot"), (1, 1, "assistant", "see acme/tool"), (1, 2, "user", "is it trending?"),
+        (2, 0, "user", "best category by star"), (2, 1, "user", "find agents"), (2, 2, "user", "find nothing"),
+        (3, 0, "user", "x"), (3, 1, "user", "hello there"), (4, 0, "user", "what is trending"),
+        (5, 0, "user", "about no/body"), (6, 0, "user", None),
+    ]
+    df = spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string")
+    breakouts = spark.createDataFrame(
+        [(f"b/{at}", 100 - at, 200, 30, 5) for at in range(6)],
+        "repo_full_name string, star_count_in_window bigint, total_events_in_window bigint, "
+        "unique_actors_in_window bigint, stargazers_count bigint",
+    )
+    categories = spark.createDataFrame(
+        [(f"c{at}", 3, 50 - at, 70, f"l/{at}") for at in range(6)],
+        "category string, active_repo_count bigint, total_stars_in_window bigint, "
+        "total_events_in_window bigint, leader_repo_name string",
+    )
+    topics = spark.createDataFrame(
+        [(f"t{at}", 4, 40 - at) for at in range(8)], "topic string, repo_count bigint, star_count_in_window bigint"
+    )
+    briefs = spark.createDataFrame(
+        [("Acme/Tool", "steady", "A summary.", 30, 9, 8, 7, "Because.")],
+        "repo_full_name string, trend_verdict string, summary string, window_days bigint, star_count_in_window bigint, "
+        "total_events_in_window bigint, unique_actors_in_window bigint, why_trending string",
+    )
+    searches = spark.createDataFrame(
+        [(2, 1, [("a/b", 0.345, 12, ["one", "two", "three"])]), (2, 2, [])],
+        "conv_id bigint, turn bigint, results array<struct<repo_full_name: string, score: double, "
+        "star_count_in_window: bigint, why_matched: array<string>>>",
+    )
+    rows = qs.answer_questions(df, breakouts, categories, topics, briefs, searches).collect()
+    got = {(r.conv_id, r.turn): r for r in rows}
+    assert len(got) == len([one for one in turns if one[2] == "user"])
+    shown = {key: [(e.section, e.place) for e in r.evidence] for key, r in got.items()}
+    assert shown[1, 0] == [(3, at) for at in range(1, 6)]
+    assert got[1, 0].answer.split("\n")[1:] == [f"{at + 1}. t{at}: +{40 - at} stars tren 4 repos." for at in range(6)]
+    assert (got[1, 2].intent, got[1, 2].repo_name, got[1, 2].tools_used) == ("repo", "acme/tool", ["market-brief", "repo-brief"])
+    assert shown[1, 2] == [(1, at) for at in range(1, 6)] + [(2, at) for at in range(1, 5)] + [(3, at) for at in range(1, 4)]
+    assert got[1, 2].answer.split("\n") == [
+        "Acme/Tool dang duoc xep la steady.", "A summary.", "Trong 30 ngay: +9 stars, 8 events, 7 actors.", "Ly do chinh: Because.",
+    ]
+    assert got[1, 2].follow_up_questions[1] == "Tim cac repo lien quan den acme/tool"
+    assert shown[2, 0] == [(2, at) for at in range(1, 5)] and got[2, 0].answer.count("\n") == 5
+    assert got[2, 1].tools_used == ["search"] and got[2, 1].evidence[0].value == "score 0.34, +12 stars, one; two"
+    assert got[2, 1].answer.endswith("1. a/b: score 0.34, +12 stars.")
+    assert got[2, 2].answer is None and got[2, 2].tools_used == ["search"] and got[2, 2].evidence == []
+    assert [got[3, 0].intent, got[3, 0].answer, got[6, 0].intent, got[6, 0].answer] == [None] * 4
+    assert got[3, 1].intent == "instant" and got[3, 1].tools_used == [] and len(got[3, 1].follow_up_questions) == 3
+    assert got[4, 0].answer.count("\n- ") == 8 and len(got[4, 0].evidence) == 12
+    # A mentioned repository without a report: the market answers, follow-ups are about it.
+    assert (got[5, 0].intent, got[5, 0].tools_used) == ("repo", ["market-brief"])
+    assert "no/body" in got[5, 0].follow_up_questions[0] and got[5, 0].answer.count("\n- ") == 8
+
+
 def split(cells, lo, hi, dlo, dhi, size, out):
     """The rule, step by step."""
     inside = [c for c in cells if lo <= c[0] <= hi and dlo <= c[1] <= dhi]
@@ -156,7 +211,6 @@ def test_shards_match_the_step_by_step_rule(spark):
         for r in shards.collect()
     }
     assert got == expected
-    assert ca.require_complete_split(shards) is shards
 
 
 def test_a_shard_that_cannot_be_split_is_reported(spark):
@@ -168,8 +222,10 @@ def test_a_shard_that_cannot_be_split_is_reported(spark):
         "repo_full_name string, stargazers_count bigint, github_created_at date",
     )
     shards = ca.plan_catalog_shards(repos, 10, 3, date(2020, 1, 1), date(2021, 1, 1))
-    with pytest.raises(ValueError):
-        ca.require_complete_split(shards)
+    for read in (shards, shards.select("min_stars"), shards.groupBy().count()):
+        with pytest.raises(Exception, match="shard cannot be split any further: stars:100..100"):
+            read.collect()
+    assert ca.plan_catalog_shards(repos, 10, 5, date(2020, 1, 1), date(2021, 1, 1)).count() == 1
 
 
 def test_candidates_list_each_shard_once_in_order(spark):

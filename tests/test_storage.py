@@ -9,6 +9,7 @@ from starwake.operators import clean as cl
 from starwake.operators import rollups as ru
 from starwake.plans import jobs
 from starwake.sources import archive as ar
+from starwake.sources import segments
 from starwake.sources import tables
 from starwake.sources.repo_files import good_files, parse_report, read_repo_json
 from starwake.streaming import ingest, supervise
@@ -202,6 +203,48 @@ def test_compaction_drops_copies(spark):
     assert ru.compact_star_counts(counts.unionByName(counts)).first()["star_count"] == 2
 
 
+def old_writer(rows, path):
+    """Files of an older writer: text times and no repository columns."""
+    old = rows.withColumn("created_at", F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    old = old.select("event_id", "actor_id", "actor_login", "repo_id", "repo_name", "created_at",
+                     "payload_json", "event_date", "event_type")
+    old.write.mode("append").partitionBy("event_date", "event_type").parquet(path)
+
+
+def test_a_backfill_of_one_day_opens_that_day_only(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "archive")
+    days = [f"2024-01-{day:02}" for day in range(1, 9)]
+    ar.append_archive(events(spark, [{"created_at": f"{day}T01:00:00"} for day in days[:4]]), path)
+    old_writer(events(spark, [{"created_at": f"{day}T02:00:00"} for day in days[3:]]), path)
+    opened = []
+    real = ar._kind_below
+    monkeypatch.setattr(ar, "_kind_below", lambda s, where: opened.append(where) or real(s, where))
+    for number, day in enumerate(("2024-01-02", "2024-01-07", "2024-01-07")):
+        done = jobs.backfill_events(spark, path, str(tmp_path / f"t{number}"), day, day)
+        assert done.inserted_rows == 1
+    # The writer's own day is in the manifest, and the other one from its first reading on.
+    assert opened == [f"{path}/event_date=2024-01-07"]
+    mixed = ar.read_archive_evolved(spark, path, days[3], days[3])
+    assert mixed.count() == 2 and mixed.where("created_at is null").count() == 0
+    assert ar.time_kinds(spark, path, days[3]) != [("time", ".")]  # files that came since count
+    assert ar.read_archive_evolved(spark, path).count() == 9
+    files = mixed.inputFiles()
+    assert files and all(f"event_date={days[3]}" in name for name in files)
+
+
+def test_an_archive_of_a_stream_and_of_jobs(spark, tmp_path):
+    base = str(tmp_path / "out")
+    write = ingest.write_event_batch(base)
+    write(records_of(spark, [{"event_id": "s", "created_at": "2024-01-30T01:00:00"}]), 1)
+    ar.append_archive(events(spark, [{"event_id": "j"}, {"event_id": "k", "created_at": "2024-01-29T01:00:00"}]),
+                      f"{base}/archive")
+    old_writer(events(spark, [{"event_id": "o", "event_type": "ForkEvent"}]), f"{base}/archive")
+    rows = ar.read_archive_evolved(spark, f"{base}/archive")
+    assert sorted(r["event_id"] for r in rows.select("event_id").collect()) == ["j", "k", "o", "s"]
+    assert rows.where("created_at is null").count() == 0
+    assert ar.read_archive_range(spark, f"{base}/archive", "2024-01-29", 3).count() == 1
+
+
 # --------------------------------------------------------------------------- streams
 
 
@@ -226,10 +269,10 @@ def test_ingest_restarts_and_keeps_each_event_once(spark, tmp_path):
     run_ingest(spark, folder, base)
     wire(spark, [{"event_id": "b"}, {"event_id": "c"}], folder, "2.txt")
     run_ingest(spark, folder, base)
-    kept = spark.read.parquet(f"{base}/events")
+    kept = ingest.read_table(spark, base, "events")
     assert sorted(r["event_id"] for r in kept.select("event_id").collect()) == ["a", "b", "c"]
     assert ar.read_archive(spark, f"{base}/archive").count() == 3
-    observed = spark.read.parquet(f"{base}/history").select("snapshot_key")
+    observed = ingest.read_table(spark, base, "history").select("snapshot_key")
     assert sorted(r[0] for r in observed.collect()) == ["a", "b", "c"]
 
 
@@ -242,7 +285,7 @@ def test_a_repeated_batch_replaces_itself(spark, tmp_path):
     for _ in range(2):
         write(records, 7)
     for table, rows in (("events", 2), ("archive", 2), ("history", 2), ("quarantine", 1)):
-        assert spark.read.parquet(f"{base}/{table}").count() == rows, table
+        assert ingest.read_table(spark, base, table).count() == rows, table
 
 
 def test_a_new_checkpoint_keeps_old_batches(spark, tmp_path):
@@ -259,7 +302,7 @@ def test_a_new_checkpoint_keeps_old_batches(spark, tmp_path):
             .start()
         )
         supervise.finish([query])
-    kept = spark.read.parquet(f"{base}/events").select("event_id").collect()
+    kept = ingest.read_table(spark, base, "events").select("event_id").collect()
     assert sorted(row[0] for row in kept) == ["both", "e1", "e2"]
 
 
@@ -276,10 +319,80 @@ def test_late_rows_are_stored_and_counted(spark, tmp_path):
     )
     assert sorted(map(tuple, got.collect())) == [("2024-01-30 10:00:00", 2), ("2024-01-30 13:00:00", 2)]
     assert ar.read_archive(spark, f"{base}/archive").count() == 4
-    reasons = spark.read.parquet(f"{base}/quarantine").select("reason").collect()
+    reasons = ingest.read_table(spark, base, "quarantine").select("reason").collect()
     assert [row[0] for row in reasons] == ["actor_id"]
 
 
+def records_of(spark, rows, *more):
+    lines = cl.to_wire_event(events(spark, rows)).select("value")
+    if more:
+        lines = lines.union(spark.createDataFrame([(one,) for one in more], "value string"))
+    return lines.selectExpr("CAST(NULL AS STRING) AS key", "value")
+
+
+def test_many_batches_list_only_their_days_and_few_segments(spark, tmp_path, monkeypatch):
+    """24 batches over 2 days beside old ones: no old day is listed, segments stay few, and every
+    event is there once, those sent again included."""
+    base = str(tmp_path / "out")
+    write = ingest.write_event_batch(base, fan=4)
+    for day in range(1, 4):
+        write(records_of(spark, [{"event_id": f"old{day}", "created_at": f"2023-12-{day:02}T00:00:00"}]), day)
+    listed = []
+    real = segments.child_names
+    monkeypatch.setattr(segments, "child_names", lambda s, path: listed.append(path) or real(s, path))
+    days = ("2024-01-29", "2024-01-30")
+    for at in range(24):
+        rows = [
+            {"event_id": f"e{at:04}", "created_at": f"{days[at % 2]}T10:{at % 60:02}:00"},
+            {"event_id": f"e{at // 3 * 2 % 24:04}", "created_at": f"{days[0]}T10:{at // 3 * 2 % 24:02}:00"},
+        ]
+        write(records_of(spark, rows if at % 3 == 0 else rows[:1], *(["{"] if at % 10 == 0 else [])), 100 + at)
+    assert listed and not [path for path in listed if "2023-12" in path or path.endswith(("events", "archive"))]
+    for table in ("events", "archive", "history"):
+        for day in days:
+            live = segments.live_segments(spark, f"{base}/{table}/event_date={day}")
+            assert 0 < len(live) <= 2 * 4, (table, live)
+    got = ingest.read_table(spark, base, "events", days)
+    assert sorted(r["event_id"] for r in got.select("event_id").collect()) == [f"e{at:04}" for at in range(24)]
+    assert ar.read_archive(spark, f"{base}/archive").count() == 27
+    assert ingest.read_hourly_counts(spark, base).agg(F.sum("event_count")).first()[0] == 27
+    assert ingest.read_table(spark, base, "quarantine").count() == 3
+    # A job merges closed days; an event that comes again after that is still known.
+    done = ingest.close_ingest_days(spark, base, "2024-01-30")
+    assert "event_date=2024-01-29" in done["events"]
+    assert len(segments.live_segments(spark, f"{base}/events/event_date=2024-01-29")) == 1
+    write(records_of(spark, [{"event_id": "e0000", "created_at": "2024-01-29T10:00:00"}]), 900)
+    assert ingest.read_table(spark, base, "events").count() == 27
+    assert ar.read_archive(spark, f"{base}/archive").count() == 27
+
+
+def test_an_interrupted_merge_counts_nothing_twice(spark, tmp_path, monkeypatch):
+    base = str(tmp_path / "out")
+    write = ingest.write_event_batch(base)
+    for at in range(3):
+        write(records_of(spark, [{"event_id": f"e{at}"}]), at)
+    folder = f"{base}/events/event_date=2024-01-30"
+
+    def broken(*_):
+        raise RuntimeError("lost before the marker was written")
+
+    with monkeypatch.context() as patched:
+        patched.setattr(segments, "write_text", broken)
+        with pytest.raises(RuntimeError):
+            segments.merge_segments(spark, folder, 2)
+    assert ingest.read_table(spark, base, "events").count() == 3
+    assert len(segments.merge_segments(spark, folder, 2)) == 1
+    assert ingest.read_table(spark, base, "events").count() == 3  # covered ones still lie there
+    assert len(segments.live_segments(spark, folder)) == 1
+    segments.drop_covered(spark, folder)
+    names = [name for name in segments.child_names(spark, folder) if name.startswith("batch=batch")]
+    assert names == [] and ingest.read_table(spark, base, "events").count() == 3
+    # The batch at hand is never merged: it may be written again.
+    write(records_of(spark, [{"event_id": "x"}]), 7)
+    assert segments.merge_segments(spark, folder, 1, but=["batch-7"]) != []
+    assert "batch-7" in segments.live_segments(spark, folder)
+
+
 def test_a_failing_sink_ends_the_ingest(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
@@ -300,6 +413,36 @@ def test_a_failing_sink_ends_the_ingest(spark, tmp_path):
         supervise.finish([query])
 
 
+def test_progress_survives_restarts_and_repeats(spark, tmp_path):
+    base = str(tmp_path / "progress")
+    assert supervise.read_progress(spark, base).count() == 0
+
+    def report(batch, at, rows=5, lag=0):
+        return {"query": "ingest", "id": "q1", "batch_id": batch, "rows": rows, "batch_seconds": 2.5,
+                "started_at": at, "lag": lag}
+
+    log = supervise.ProgressLog(spark, base)
+    log.write(report(0, "2024-01-30T23:59:00.000Z"))
+    log.write(report(1, "2024-01-30T23:59:58.000Z", rows=1))
+    again = supervise.ProgressLog(spark, base)  # after a restart the last batch is repeated, a day later
+    again.write(report(1, "2024-01-31T00:00:10.000Z", rows=7, lag=60_000))
+    for at in range(2, 40):
+        again.write(report(at, f"2024-01-31T00:{at:02}:00.000Z", rows=0 if at == 39 else 1))
+    expected = {(0, 5), (1, 7), (39, 0), *((at, 1) for at in range(2, 39))}
+
+    def reports():
+        return supervise.read_progress(spark, base)
+
+    assert {(r["batch_id"], r["rows"]) for r in reports().collect()} == expected and reports().count() == 40
+    assert [r["batch_id"] for r in reports().where("lag_warning").collect()] == [1]
+    fresh = supervise.stream_freshness(reports(), "2024-01-31 00:40:00").first()
+    assert (fresh["rows"], fresh["last_batch"], fresh["freshness_seconds"], fresh["is_stale"]) == (49, 39, 117, False)
+    assert supervise.stream_freshness(reports(), "2024-01-31 01:40:00").first()["is_stale"]
+    assert supervise.roll_up_progress(spark, base, "2024-01-31") == ["2024-01-30"]
+    assert supervise.roll_up_progress(spark, base, "2024-02-01") == ["2024-01-31"]
+    assert {(r["batch_id"], r["rows"]) for r in reports().collect()} == expected and reports().count() == 40
+
+
 def test_lag_is_summed_over_partitions():
     class Source:
         def __init__(self, latest, end):
