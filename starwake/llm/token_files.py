@@ -12,9 +12,12 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,7 +30,7 @@ END_ID = 1
 #: Bytes of text in a range of documents, about, and of token ids in a shard.
 SHARD_BYTES = 8_000_000
 #: Encoded words that a Python worker remembers in each of two generations.
-REMEMBERED = 250_000
+REMEMBERED = 350_000
 #: Ranges whose sizes are summed up together.
 BLOCK = 4_096
 
@@ -69,9 +72,12 @@ class WordEncoder:
         return normalizer is None or normalizer.normalize_str(core).isalpha()
 
     def _encode(self, words: list[str]) -> None:
-        found = self.tokenizer.encode_batch(words, add_special_tokens=False)
-        for word, one in zip(words, found):
-            self.known[word] = np.array(one.ids, dtype=self.width).tobytes()
+        found = [one.ids for one in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        raw, size = np.array(list(chain.from_iterable(found)), dtype=self.width).tobytes(), self.width.itemsize
+        end = 0
+        for word, ids in zip(words, found):
+            begin, end = end, end + len(ids) * size
+            self.known[word] = raw[begin:end]
 
     def _encode_letters(self, words: list[str]) -> None:
         parts = [words[low : low + 100] for low in range(0, len(words), 100)]
@@ -87,13 +93,15 @@ class WordEncoder:
             for word, begin, end in zip(part, bounds, bounds[1:]):
                 self.known[word] = raw[begin:end]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def _ids_of(self, words: list[str]) -> list[bytes]:
+        """Raw ids of different words."""
         if len(self.known) > REMEMBERED:
             self.old, self.known = self.known, {"": b""}
         known, old = self.known, self.old
-        parts = [text.replace("\n", " ").split(" ") for text in texts]
         split, letters, others = {}, set(), set()
-        for word in set().union(*parts).difference(known):
+        for word in words:
+            if word in known:
+                continue
             if word in old:
                 known[word] = old[word]
                 continue
@@ -104,7 +112,9 @@ class WordEncoder:
             tail = word[len(core) :]
             core = core.lower() if core.isascii() else core
             split[word] = (core, tail)
-            if core not in known:
+            if core in old:
+                known[core] = old[core]
+            elif core not in known:
                 letters.add(core)
             if tail not in known:
                 others.add(tail)
@@ -112,7 +122,24 @@ class WordEncoder:
         self._encode_letters(list(letters))
         for word, (core, tail) in split.items():
             known[word] = known[core] + known[tail]
-        return [b"".join(map(known.__getitem__, words)) for words in parts]
+        return [known[word] for word in words]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Raw ids of texts. Their words are numbered at once; each different one is looked up once,
+        and the ids are gathered by number."""
+        spaced = pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " ")
+        parts = pc.split_pattern(spaced, " ")
+        numbered = parts.flatten().dictionary_encode()
+        found = self._ids_of(numbered.dictionary.to_numpy(zero_copy_only=False).tolist())
+        sizes = np.array([len(one) for one in found], dtype=np.int64) // self.width.itemsize
+        pool = np.frombuffer(b"".join(found), dtype=self.width)
+        of = numbered.indices.to_numpy(zero_copy_only=False)
+        count = sizes[of]
+        ends = np.cumsum(count)
+        shift = (np.cumsum(sizes) - sizes)[of] - (ends - count)
+        ids = pool[np.arange(len(shift) and ends[-1]) + np.repeat(shift, count)]
+        bounds = np.concatenate([[0], ends])[parts.offsets.to_numpy()]
+        return [ids[begin:end].tobytes() for begin, end in zip(bounds, bounds[1:])]
 
 
 def _encoder(path: str, width: str) -> WordEncoder:
@@ -290,14 +317,12 @@ def write_token_files(
         encoder = _encoder(tokenizer_path, f"<u{width}")
         number, part, shard = TaskContext.get().partitionId(), 0, _Shard()
         for batch in batches:
-            for low in range(0, len(batch), 500):
-                rows = batch.iloc[low : low + 500]
-                docs = [None if pd.isna(doc) else int(doc) for doc in rows["_id"].astype(object)]
-                for doc, raw in zip(docs, encoder.encode([text or "" for text in rows["_text"]])):
-                    shard.add(doc, raw + end)
-                    if shard.held >= shard_bytes:
-                        yield shard.row(number, part, width)
-                        part, shard = part + 1, _Shard()
+            docs = [None if pd.isna(doc) else int(doc) for doc in batch["_id"].astype(object)]
+            for doc, raw in zip(docs, encoder.encode([text or "" for text in batch["_text"]])):
+                shard.add(doc, raw + end)
+                if shard.held >= shard_bytes:
+                    yield shard.row(number, part, width)
+                    part, shard = part + 1, _Shard()
         if shard.ids:
             yield shard.row(number, part, width)
 
