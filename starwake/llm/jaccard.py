@@ -34,7 +34,7 @@ SHINGLE = 5
 #: Links need 100 * shared >= PERCENT * united.
 PERCENT = 80
 #: Tokens that a bucket of token hashes holds, about.
-BUCKET_TOKENS = 2_000_000
+BUCKET_TOKENS = 1_000_000
 #: Entries of lists that a task holds before it hands them on.
 FRAME_ENTRIES = 200_000
 #: Pairs between components per entry up to which a list's pairs are all compared.
@@ -42,7 +42,7 @@ DIRECT = 8
 #: Times that the sets of a round's lists are compared with leaders, at most.
 STEPS = 4
 #: Tokens that a task gathers before it sends them to their buckets.
-CHUNK_TOKENS = 1_000_000
+CHUNK_TOKENS = 500_000
 
 _FACTORS = mixed(np.arange(1, 2 * SHINGLE + 1, dtype=np.uint64)) | U64(1)
 
