@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -10,13 +11,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from starwake.llm.packed import U64, mixed
+from starwake.session import cut_lineage
 
 TABLES = 4
-HASHES = 6
 #: Width of a hash's cells, as a multiple of the largest norm of a range.
 WIDTH = 2.0
-#: Buckets that a query visits in each table, its own included.
-PROBES = 75
+#: Numbers of functions a table may have, and the most buckets a query visits in it, its own included.
+HASHES = (4, 6, 8, 10, 12, 16, 20)
+MOST_PROBES = 300
+#: Vectors and queries of the sample that functions and probes are chosen on, and the share of its
+#: neighbours that they have to find.
+SAMPLE_ROWS, SAMPLE_QUERIES = 4_096, 128
+TARGET = 0.96
 #: Vectors that a group of buckets holds, about; a fuller one is split.
 GROUP_ROWS = 32_000
 #: Groups of buckets in each table at most, the bound of the broadcast of their counts.
@@ -24,8 +30,6 @@ GROUPS = 4_096
 #: Norms are counted in so many bins an octave, and a range of norms has RANGE_BINS of them.
 BINS = 16
 RANGE_BINS = 8
-#: Vectors of ranges with fewer rows than this are compared with every query.
-SCAN_ROWS = 1_000
 SEED = 20_240_229
 #: Scores that a task holds at once.
 _CELLS = 4_000_000
@@ -167,11 +171,47 @@ def _search_group(base: pd.DataFrame, asked: pd.DataFrame, k: int) -> pd.DataFra
     return pd.DataFrame({"query_id": names[query[kept]], "vec_id": ids[row[kept]], "score": score[kept]})
 
 
+def chosen(
+    sample: np.ndarray, rows: int, k: int, tables: int, width: float, options: tuple[int, ...] = HASHES
+) -> tuple[int, int]:
+    """Functions a table and probes with which queries of a sample find their neighbours at least cost.
+
+    The ``k`` nearest of ``rows`` vectors are as near as the ``k * len(sample) / rows`` nearest of the
+    sample. For each number of functions, the probe at which a neighbour's bucket is first visited
+    tells how many probes find ``TARGET`` of them; of the numbers that can, the one whose probes meet
+    the fewest vectors of the sample is taken. With more rows neighbours are nearer, so the share
+    that a query visits falls.
+    """
+    asks = np.arange(min(SAMPLE_QUERIES, len(sample)))
+    near = max(1, -(-k * len(sample) // rows))
+    if len(sample) <= near + 1:
+        return options[0], MOST_PROBES
+    scores = sample[asks] @ sample.T
+    scores[asks, asks] = -np.inf
+    best = np.argpartition(-scores, near, axis=1)[:, :near]
+    norm = float(np.sqrt((sample**2).sum(axis=1)).max())
+    found = []
+    for hashes in options:
+        hashing = Hashing(sample.shape[1], norm, tables, hashes, width, MOST_PROBES)
+        held, visits = hashing.buckets(sample), hashing.probes(sample[asks])
+        first = np.full(best.shape, MOST_PROBES, dtype=np.int64)
+        for table in range(tables):
+            same = visits[:, table, None, :] == held[best, table][:, :, None]
+            first = np.where(same.any(axis=2), np.minimum(first, same.argmax(axis=2)), first)
+        probes = int(np.sort(first, axis=None)[int(np.ceil(TARGET * first.size)) - 1]) + 1
+        met = sum(
+            np.isin(held[:, table], visits[at, table, :probes]).sum() for table in range(tables) for at in asks
+        )
+        found.append((probes > MOST_PROBES, met, hashes, min(probes, MOST_PROBES)))
+    _, _, hashes, probes = min(found)
+    return hashes, probes
+
+
 class Ranges:
-    """Ranges of norms from the largest down, each with hashing of its own; vectors of small ranges
-    and of norms out of reach are class 0, which is scanned."""
+    """Ranges of norms of the vectors of one size, from the largest down, each with hashing of its
+    own. Class 0 is for vectors whose norm is no double, which every query meets."""
 
-    def __init__(self, size: int, bins: list, tables: int, hashes: int, width: float, probes: int) -> None:
+    def __init__(self, first: int, size: int, bins: list, tables: int, hashes: int, width: float, probes: int) -> None:
         ranges: list[list] = []  # lowest bin, rows, largest norm
         for one in sorted((one for one in bins if one["bin"] is not None), key=lambda one: -one["bin"]):
             if not ranges or one["bin"] < ranges[-1][0]:
@@ -179,14 +219,13 @@ class Ranges:
             ranges[-1][1] += one["n"]
             ranges[-1][2] = max(ranges[-1][2], one["norm"])
         ranges.reverse()
-        large = [n >= SCAN_ROWS for _, n, _ in ranges]
+        self.first = first  # number of the table of class 0; those of hashing follow
         self.lowest = np.array([low for low, _, _ in ranges])
-        self.named = np.where(large, np.cumsum(large), 0).astype(np.int64)
         self.hashed = [
             (Hashing(size, norm, tables, hashes, width, probes), min(GROUPS, -(-n // GROUP_ROWS)))
-            for (_, n, norm), is_large in zip(ranges, large)
-            if is_large
+            for _, n, norm in ranges
         ]
+        self.end = first + 1 + tables * len(ranges)
 
     def classes(self, rows: np.ndarray) -> np.ndarray:
         with np.errstate(divide="ignore", over="ignore"):
@@ -194,11 +233,18 @@ class Ranges:
         out = np.zeros(len(rows), dtype=np.int64)
         real = np.isfinite(bins)
         if len(self.lowest):
-            at = np.searchsorted(self.lowest, bins[real], side="right") - 1
-            out[real] = self.named[np.maximum(at, 0)]
+            out[real] = 1 + np.maximum(np.searchsorted(self.lowest, bins[real], side="right") - 1, 0)
         return out
 
 
+def by_size(batch: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Size, ids and vectors of the rows of each size in a batch."""
+    sizes = np.array([len(one) for one in batch["_vector"]])
+    for size in np.unique(sizes).tolist():
+        part = batch[sizes == size]
+        yield size, part["vec_id"].to_numpy(), np.stack(part["_vector"].to_numpy()).astype(np.float64)
+
+
 def usable(vector: Column) -> Column:
     """Vectors that are not null or zero and hold finite components only."""
     component = F.transform(vector, lambda one: one.cast("double"))
@@ -213,23 +259,27 @@ def search(
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     tables: int = TABLES,
-    hashes: int = HASHES,
+    hashes: int | None = None,
     width: float = WIDTH,
-    probes: int = PROBES,
+    probes: int | None = None,
 ) -> DataFrame:
     """The ``k`` rows with the largest inner products found for each query row.
 
     ``query_id``, ``rank`` (from 1), ``vec_id``, ``score`` (the inner product of the original
     vectors in double precision). Queries are the rows for which ``is_query`` holds; a row is never
     its own neighbour. Ties go to the smaller id; copies of a row count once. Vectors that are null
-    or zero, hold null or non-finite components, have a null id, or whose number of components is
-    not the most frequent one (the larger on ties) take no part. A query with fewer candidates
-    found is compared with every vector; an empty table gives an empty result.
+    or zero, hold null or non-finite components, or have a null id take no part. Vectors of
+    different sizes have no inner product: those of each size are searched by themselves. A query
+    with fewer candidates found is compared with every vector of its size; an empty table gives an
+    empty result.
 
     Vectors are split into ranges of norms, as hashing needs norms that are about equal: each range
-    has its own largest norm, cell width and tables; small ranges are scanned. Each table's buckets are dealt to groups; counts say into how many parts a group is split, so
-    that a bucket of many copies of a vector is shared out. A query goes to the groups of the
-    buckets it visits, which are scored exactly in blocks; results of all tables are merged.
+    has its own largest norm, cell width and tables. How many functions a table has and how many
+    buckets a query visits is chosen on a sample of ``SAMPLE_ROWS`` vectors of the size, unless given
+    (:func:`chosen`); every row is indexed. Each table's buckets are dealt to groups; counts say into
+    how many parts a group is split, so that a bucket of many copies of a vector is shared out. A
+    query goes to the groups of the buckets it visits, which are scored exactly in blocks; results of
+    all tables are merged.
     """
     valid = vectors.where(usable(F.col(vector_col)) & F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("bigint").alias("vec_id"),
@@ -243,81 +293,86 @@ def search(
         .agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("norm"))
         .groupBy("size")  # the bins of doubles are at most BINS * 2 098
         .agg(F.sum("n").alias("n"), F.collect_list(F.struct("bin", "n", "norm")).alias("bins"))
-        .orderBy(F.desc("n"), F.desc("size"))
-        .first()
+        .orderBy("size")
+        .collect()
     )
-    if sizes is None:
-        return valid.select(
-            F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")
-        ).limit(0)
-    rows = valid.where(F.size("_vector") == sizes["size"])
-    ranges = Ranges(sizes["size"], sizes["bins"], tables, hashes, width, probes)
-
-    def scanned(data, names):
+    plans: dict[int, Ranges] = {}
+    first = 0
+    for one in sizes:
+        of_size = valid.where(F.size("_vector") == one["size"])
+        functions, visits = hashes, probes
+        if functions is None or visits is None:
+            most = max((bin_ for bin_ in one["bins"] if bin_["bin"] is not None), key=lambda bin_: bin_["n"], default=None)
+            near = of_size if most is None else of_size.where(F.abs(bin_of - most["bin"]) < RANGE_BINS)
+            picked = near.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).select("_vector").collect()
+            data = np.array([row["_vector"] for row in picked], dtype=np.float64)
+            options = HASHES if functions is None else (functions,)
+            functions, calibrated = chosen(data, one["n"], k, tables, width, options)
+            visits = calibrated if visits is None else visits
+        plans[one["size"]] = Ranges(first, one["size"], one["bins"], tables, functions, width, visits)
+        first = plans[one["size"]].end
+
+    def scanned(table, data, names):
         vectors = np.array([one.tobytes() for one in data], dtype=object)
-        return pd.DataFrame({"table": 0, "slice": 0, "vec_id": names, "bucket": 0, "vector": vectors})
+        return pd.DataFrame({"table": table, "slice": 0, "vec_id": names, "bucket": 0, "vector": vectors})
 
     def placed(batches):
         for batch in batches:
-            if batch.empty:
-                continue
-            every = np.stack(batch["_vector"].to_numpy()).astype(np.float64)
-            names, of = batch["vec_id"].to_numpy(), ranges.classes(every)
-            yield scanned(every[of == 0], names[of == 0])
-            for at, (hashing, groups) in enumerate(ranges.hashed):
-                data = every[of == at + 1]
-                found = hashing.buckets(data)
-                yield pd.DataFrame(
-                    {
-                        "table": np.tile(np.arange(1, tables + 1) + at * tables, len(data)),
-                        "slice": (found.view(U64) % U64(groups)).astype(np.int64).ravel(),
-                        "vec_id": np.repeat(names[of == at + 1], tables),
-                        "bucket": found.ravel(),
-                        "vector": np.repeat(np.array([one.tobytes() for one in data], dtype=object), tables),
-                    }
-                )
+            for size, names, every in by_size(batch):
+                ranges = plans[size]
+                of = ranges.classes(every)
+                yield scanned(ranges.first, every[of == 0], names[of == 0])
+                for at, (hashing, groups) in enumerate(ranges.hashed):
+                    data = every[of == at + 1]
+                    found = hashing.buckets(data)
+                    yield pd.DataFrame(
+                        {
+                            "table": np.tile(np.arange(1, tables + 1) + ranges.first + at * tables, len(data)),
+                            "slice": (found.view(U64) % U64(groups)).astype(np.int64).ravel(),
+                            "vec_id": np.repeat(names[of == at + 1], tables),
+                            "bucket": found.ravel(),
+                            "vector": np.repeat(np.array([one.tobytes() for one in data], dtype=object), tables),
+                        }
+                    )
 
     def placed_once(batches):
         for batch in batches:
-            if not batch.empty:
-                yield scanned(np.stack(batch["_vector"].to_numpy()).astype(np.float64), batch["vec_id"].to_numpy())
+            for size, names, every in by_size(batch):
+                yield scanned(plans[size].first, every, names)
+
+    zero = np.zeros(1, dtype=np.int64).tobytes()
+    columns = ["table", "slice", "query_id", "buckets", "vector"]
 
     def sent(batches):
         for batch in batches:
-            if batch.empty:
-                continue
-            data = np.stack(batch["_vector"].to_numpy()).astype(np.float64)
-            zero = np.zeros(1, dtype=np.int64).tobytes()
-            out = [(0, 0, name, zero, vector.tobytes()) for name, vector in zip(batch["vec_id"], data)]
-            for at, (hashing, groups) in enumerate(ranges.hashed):
-                visited = hashing.probes(data)
-                for name, vector, by_table in zip(batch["vec_id"], data, visited):
-                    for table, buckets in enumerate(by_table, 1 + at * tables):
-                        part = (buckets.view(U64) % U64(groups)).astype(np.int64)
-                        for one in np.unique(part):
-                            out.append((table, int(one), name, buckets[part == one].tobytes(), vector.tobytes()))
-            yield pd.DataFrame(out, columns=["table", "slice", "query_id", "buckets", "vector"])
+            for size, names, data in by_size(batch):
+                ranges = plans[size]
+                out = [(ranges.first, 0, name, zero, vector.tobytes()) for name, vector in zip(names, data)]
+                for at, (hashing, groups) in enumerate(ranges.hashed):
+                    visited = hashing.probes(data)
+                    for name, vector, by_table in zip(names, data, visited):
+                        for table, buckets in enumerate(by_table, ranges.first + 1 + at * tables):
+                            part = (buckets.view(U64) % U64(groups)).astype(np.int64)
+                            for one in np.unique(part):
+                                out.append((table, int(one), name, buckets[part == one].tobytes(), vector.tobytes()))
+                yield pd.DataFrame(out, columns=columns)
 
     def sent_once(batches):
         for batch in batches:
-            data = [np.asarray(one, dtype=np.float64).tobytes() for one in batch["_vector"]]
-            zero = np.zeros(1, dtype=np.int64).tobytes()
-            yield pd.DataFrame({"table": 0, "slice": 0, "query_id": batch["vec_id"], "buckets": zero, "vector": data})
+            for size, names, data in by_size(batch):
+                out = [(plans[size].first, 0, name, zero, vector.tobytes()) for name, vector in zip(names, data)]
+                yield pd.DataFrame(out, columns=columns)
 
     place = "table int, slice bigint, vec_id bigint, bucket bigint, vector binary"
     ask = "table int, slice bigint, query_id bigint, buckets binary, vector binary"
-    queries = rows.where("_asks").select("vec_id", "_vector")
-    base = rows.select("vec_id", "_vector").mapInPandas(placed, place)
-    result = _ranked_rows(_met(base, queries.mapInPandas(sent, ask), k), k)
-    if not ranges.hashed:
-        return result
-    result = result.checkpoint()
+    rows = valid.select("vec_id", "_vector")
+    queries = valid.where("_asks").select("vec_id", "_vector")
+    result = cut_lineage(_ranked_rows(_met(rows.mapInPandas(placed, place), queries.mapInPandas(sent, ask), k), k))
     full = result.where(F.col("rank") == k).select(F.col("query_id").alias("_full"))
     short = queries.join(full, F.col("vec_id") == F.col("_full"), "left_anti")
-    if sizes["n"] <= k or short.isEmpty():
+    if short.isEmpty():
         return result
-    base = rows.select("vec_id", "_vector").mapInPandas(placed_once, place)
-    filled = _ranked_rows(_met(base, short.mapInPandas(sent_once, ask), k), k)
+    filled = _ranked_rows(_met(rows.mapInPandas(placed_once, place), short.mapInPandas(sent_once, ask), k), k)
     return result.join(full, F.col("query_id") == F.col("_full"), "left_semi").union(filled)
 
 

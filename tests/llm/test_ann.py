@@ -51,6 +51,48 @@ def test_recall_and_scores(spark):
     assert [name for name, _ in got[40]][:19] == list(range(3000, 3019))
 
 
+def test_vectors_of_several_sizes(spark):
+    rng = np.random.default_rng(9)
+    rows = [(at, rng.standard_normal((3, 16, 5)[at % 3]).tolist()) for at in range(240)] + [(300, [2.0]), (301, [1.0])]
+    got = search(spark, rows)
+    data = {name: np.array(vector, dtype=np.float32).astype(np.float64) for name, vector in rows}
+    for query in [name for name in data if name % 20 == 0]:
+        others = [name for name in data if name != query and len(data[name]) == len(data[query])]
+        best = sorted(others, key=lambda name: (-data[query] @ data[name], name))[:20]
+        found = [name for name, _ in got.get(query, [])]
+        assert len(found) == len(best) and len(set(found) & set(best)) >= 0.8 * len(best)
+
+
+def test_fewer_than_a_thousand_vectors_are_hashed(spark):
+    rng = np.random.default_rng(2)
+    rows = [(at, one.tolist()) for at, one in enumerate(rng.standard_normal((700, 16)))]
+    expected, got = brute(rows), search(spark, rows)
+    hits = sum(len({n for n, _ in expected[q]} & {n for n, _ in got[q]}) for q in expected)
+    assert 0.9 <= hits / sum(map(len, expected.values())) < 1  # not a scan
+
+
+def share(data, k=20):
+    """Share of the vectors that a query visits with the functions and probes that are chosen."""
+    hashes, probes = ann.chosen(data[: ann.SAMPLE_ROWS], len(data), k, ann.TABLES, ann.WIDTH)
+    norm = np.sqrt((data**2).sum(axis=1)).max()
+    hashing = ann.Hashing(data.shape[1], norm, ann.TABLES, hashes, ann.WIDTH, probes)
+    held, visits = hashing.buckets(data), hashing.probes(data[:50])
+    seen = [np.isin(held[:, t], visits[at, t]) for at in range(50) for t in range(ann.TABLES)]
+    return np.mean([np.any(seen[at * ann.TABLES : (at + 1) * ann.TABLES], axis=0).mean() for at in range(50)])
+
+
+def clustered(count, clusters):
+    rng = np.random.default_rng(7)
+    centres = rng.standard_normal((clusters, 64))
+    data = centres[rng.integers(0, clusters, count)] + 0.25 * rng.standard_normal((count, 64))
+    return data / np.linalg.norm(data, axis=1)[:, None]
+
+
+def test_share_visited_falls_on_clustered_data():
+    shares = [share(clustered(count, count // 40)) for count in (2_000, 16_000)]
+    assert shares[1] < shares[0] < 0.5, shares
+
+
 def test_few_rows(spark):
     rows = [(20, [1.0] * 16), (21, [0.5] * 16), (22, [1.0] * 16)]
     assert [name for name, _ in search(spark, rows)[20]] == [22, 21]
