@@ -14,8 +14,8 @@ SIMILARITY = 0.8
 BITS = 64
 BLOCKS = 8
 RADIUS = 23
-#: Rows up to which tables made from the benchmark are broadcast; beyond, Spark joins by shuffling.
-BROADCAST_ROWS = 2_000_000
+#: Bytes of a table made from the benchmark up to which it is sent to every task.
+BROADCAST_BYTES = 64_000_000
 
 _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _BLOCK_BITS = BITS // BLOCKS
@@ -77,8 +77,9 @@ def _blocks(fingerprint: Column) -> Column:
 
 
 def _small(table: DataFrame) -> DataFrame:
-    """A hint to broadcast, given only after the rows have been counted."""
-    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+    """A hint to broadcast, given only after the bytes of all rows have been added up."""
+    held = table.agg(F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("n")).first()["n"] or 0
+    return F.broadcast(table) if held <= BROADCAST_BYTES else table
 
 
 def weighted_similarity(left: Column, right: Column) -> Column:
@@ -120,7 +121,7 @@ def find_leaks(
     nothing; a null id is kept. Rows that agree in id and text give one result per item. Without
     items or documents the result is empty.
 
-    Tables made from the benchmark are broadcast only below ``BROADCAST_ROWS`` counted rows.
+    Tables made from the benchmark are broadcast only up to ``BROADCAST_BYTES``, added up beforehand.
     """
     targets = (
         items.select(F.col(item_col).alias("item_id"), _words(item_text_col).alias("_words"))
