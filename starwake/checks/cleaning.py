@@ -353,8 +353,7 @@ def filter_window(t: Testbed) -> DataFrame:
 )
 def gmt7_week_bounds(t: Testbed) -> DataFrame:
     """The week of every event, by the rule that gives the current week for ``as_of``."""
-    local = F.from_utc_timestamp("created_at", "+07:00")
-    week = F.to_utc_timestamp(F.date_trunc("week", local), "+07:00")
+    week = tm.week_start(F.col("created_at"))
     return t.events().groupBy(week.alias("week_start")).agg(F.count(F.lit(1)).alias("events"))
 
 

@@ -24,8 +24,10 @@ from starwake.vocab import (
     EVIDENCE_TEXTS,
     FOLLOW_UPS,
     KNOWLEDGE_QUESTION,
+    RELATED_REASONS,
     REPO_MENTION,
     SEARCH_QUESTION,
+    SEARCH_REASONS,
     TOPIC_QUESTION,
 )
 
@@ -33,6 +35,18 @@ QUERY = "  Red Widget   llm toolkit economy "
 TERMS = ["red", "widget", "llm", "toolkit", "economy"]
 PHRASE = "red widget llm toolkit economy"
 
+def _sql_list(texts) -> str:
+    return "[" + ", ".join(f"'{one}'" for one in texts) + "]"
+
+
+def _sql_format(pattern: str, *values: str) -> str:
+    parts = re.split("%[a-z]", pattern)
+    joined = [f"'{parts[0]}'"]
+    for value, part in zip(values, parts[1:], strict=True):
+        joined += [value, f"'{part}'"]
+    return " || ".join(joined)
+
+
 POOL = f"""
 , sums AS (SELECT lower(repo_name) AS repo_key, CAST(sum(star_count) AS BIGINT) AS n
            FROM star_counts WHERE {dates(30)} GROUP BY 1),
@@ -202,7 +216,49 @@ def search_repos_hybrid(t: Testbed) -> DataFrame:
     return found.select(*FOUND.split(", "), "semantic_score", "retrieval_mode", "score")
 
 
-@check("search_reasons")
+def _sql_kind(term: str) -> str:
+    """Where a term is found first."""
+    return f"""CASE
+      WHEN strpos(lower(repo_full_name), '{term}') > 0 OR strpos(lower(owner_login), '{term}') > 0 THEN 'name'
+      WHEN len(list_filter(topic_list, lambda x: strpos(lower(x), '{term}') > 0)) > 0 THEN 'topic'
+      WHEN strpos(lower(primary_language), '{term}') > 0 THEN 'language'
+      WHEN strpos(lower(category), '{term}') > 0 THEN 'category'
+      WHEN strpos(lower(description), '{term}') > 0 THEN 'description' END"""
+
+
+def _sql_terms(kind: str) -> str:
+    chosen = "x[2] IS NOT NULL" if kind == "" else f"x[2] = '{kind}'"
+    return f"list_sort(list_transform(list_filter(list_zip({_sql_list(TERMS)}, kinds), lambda x: {chosen}), lambda x: x[1]))"
+
+
+def _sql_listing(kind: str) -> str:
+    text = _sql_format(SEARCH_REASONS[kind], f"array_to_string({_sql_terms(kind)}, ', ')")
+    return f"CASE WHEN len({_sql_terms(kind)}) > 0 THEN {text} END"
+
+
+def _sql_naming(kind: str, column: str) -> str:
+    return f"CASE WHEN len({_sql_terms(kind)}) > 0 THEN {_sql_format(SEARCH_REASONS[kind], column)} END"
+
+
+@check(
+    "search_reasons",
+    SCORED
+    + f""", shown AS (SELECT *, [{", ".join(map(_sql_kind, TERMS))}] AS kinds,
+          CAST(round_even(CAST(lexical_score * 0.75::DOUBLE + popularity_score * 0.25::DOUBLE AS DECIMAL(38, 18)), 4) AS DOUBLE)
+            AS score
+        FROM scored WHERE lexical_score > 0
+        ORDER BY score DESC, lexical_score DESC, star_count_in_window DESC, stargazers_count DESC, repo_full_name LIMIT 20)
+    SELECT repo_full_name, array_to_string({_sql_terms("")}, ',') AS matched_terms, array_to_string(list_filter([
+        {_sql_listing("name")}, {_sql_listing("topic")}, {_sql_naming("language", "primary_language")},
+        {_sql_naming("category", "category")}, {_sql_listing("description")},
+        CASE WHEN len({_sql_terms("")}) = 0 AND strpos(lower(search_document), '{PHRASE}') > 0
+             THEN '{SEARCH_REASONS["phrase"]}' END,
+        CASE WHEN star_count_in_window > 0
+             THEN {_sql_format(SEARCH_REASONS["momentum"], "format('{:,}', star_count_in_window)", "'30'")}
+             WHEN stargazers_count >= 20000
+             THEN {_sql_format(SEARCH_REASONS["established"], "format('{:,}', stargazers_count)")} END],
+        lambda x: x IS NOT NULL)[1:4], ',') AS why_matched FROM shown""",
+)
 def search_reasons(t: Testbed) -> DataFrame:
     found = se.search_repos(_pool(t), QUERY, limit=20)
     return found.select("repo_full_name", "matched_terms", "why_matched")
@@ -249,8 +305,7 @@ def _related(t: Testbed, limit: int = 20) -> DataFrame:
     )
 
 
-@check(
-    "related_repos",
+RANKED_RELATED = (
     RELATED
     + """, s AS (SELECT *, CAST(round_even(CAST(
              CASE WHEN len(st) = 0 THEN 0.0::DOUBLE
@@ -260,12 +315,20 @@ def _related(t: Testbed, limit: int = 20) -> DataFrame:
                     THEN 1.0::DOUBLE ELSE 0::DOUBLE END * 0.1::DOUBLE
              + scale * 0.15::DOUBLE + pace * 0.1::DOUBLE + overlap * 0.05::DOUBLE AS DECIMAL(38, 18)), 4) AS DOUBLE)
              AS similarity_score FROM parts)
-    SELECT repo_id, repo_full_name, category, stargazers_count, star_count_in_window,
-           array_to_string(shared_topics, ',') AS shared_topics, similarity_score FROM s
+    , related AS (SELECT * FROM s
     WHERE similarity_score >= 0.25 AND category = source_category AND repo_full_name <> source_name
       AND stargazers_count >= greatest(least(source_stars // 20, 10000), 1000)
     ORDER BY similarity_score DESC, star_count_in_window DESC, stargazers_count DESC, repo_full_name
-    LIMIT 20""",
+    LIMIT 20)
+    """
+)
+
+
+@check(
+    "related_repos",
+    RANKED_RELATED
+    + """SELECT repo_id, repo_full_name, category, stargazers_count, star_count_in_window,
+           array_to_string(shared_topics, ',') AS shared_topics, similarity_score FROM related""",
 )
 def related_repos(t: Testbed) -> DataFrame:
     return _related(t).select(
@@ -300,7 +363,18 @@ def description_jaccard(t: Testbed) -> DataFrame:
     )
 
 
-@check("why_related")
+@check(
+    "why_related",
+    RANKED_RELATED
+    + f"""SELECT repo_full_name, array_to_string(list_filter([
+        CASE WHEN len(shared_topics) > 0 THEN {_sql_format(RELATED_REASONS["topics"], "array_to_string(shared_topics[1:3], ', ')")} END,
+        CASE WHEN category = source_category THEN {_sql_format(RELATED_REASONS["category"], "category")} END,
+        CASE WHEN primary_language <> '' AND primary_language = source_language
+             THEN {_sql_format(RELATED_REASONS["language"], "primary_language")} END,
+        CASE WHEN scale >= 0.5 THEN '{RELATED_REASONS["scale"]}' END,
+        CASE WHEN pace >= 0.5 THEN '{RELATED_REASONS["momentum"]}' END], lambda x: x IS NOT NULL)[1:4], ',')
+        AS why_related FROM related""",
+)
 def why_related(t: Testbed) -> DataFrame:
     return _related(t).select("repo_full_name", "why_related")
 
@@ -378,18 +452,6 @@ def _asked(t: Testbed) -> DataFrame:
     )
 
 
-def _sql_list(texts) -> str:
-    return "[" + ", ".join(f"'{one}'" for one in texts) + "]"
-
-
-def _sql_format(pattern: str, *values: str) -> str:
-    parts = re.split("%[a-z]", pattern)
-    joined = [f"'{parts[0]}'"]
-    for value, part in zip(values, parts[1:], strict=True):
-        joined += [value, f"'{part}'"]
-    return " || ".join(joined)
-
-
 def _lines(section: int, kind: str, table: str, order: str, keep: int, label: str, *values: str) -> str:
     pattern, source = EVIDENCE_TEXTS[kind]
     return f"""SELECT {section} AS section, row_number() OVER (ORDER BY {order}) AS place, {label} AS label,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from starwake.checks import check
@@ -10,12 +10,16 @@ from starwake.checks.cleaning import HISTORY_NAMES, HISTORY_SQL, SOME_EVENT_COLU
 from starwake.checks.sql import STAR
 from starwake.operators import clean as cl
 from starwake.operators import rollups as ru
+from starwake.operators.catalog import repo_summary_report, summary_header
 from starwake.plans import jobs
 from starwake.schemas import EVENT_COLUMNS, METADATA_COLUMNS, REPO_FILE
 from starwake.session import fresh_path
 from starwake.sources import archive as ar
 from starwake.sources import tables
-from starwake.sources.repo_files import good_files, parse_repo_files
+from starwake.sources.files import write_text
+from starwake.sources.repo_files import good_files, parse_repo_files, parse_report
+from starwake.sources.repo_files import read_repo_json as read_files
+from starwake.sources.segments import read_segments
 from starwake.streaming import ingest, supervise
 from starwake.testbed import AS_OF, Testbed, sql_classify
 
@@ -208,8 +212,6 @@ def retention_plan(t: Testbed) -> DataFrame:
               row_number() OVER (ORDER BY stargazers_count DESC, repo_full_name) AS rank FROM meta""",
 )
 def write_catalog_snapshot(t: Testbed) -> DataFrame:
-    from starwake.operators.catalog import repo_summary_report
-
     base = fresh_path(t.spark, "catalogue")
     report = repo_summary_report(t.metadata())
     shards = report.select(F.lit("all").alias("shard")).distinct()
@@ -220,8 +222,8 @@ def write_catalog_snapshot(t: Testbed) -> DataFrame:
     return t.spark.read.schema(schema).json(f"{latest}/repos")
 
 
-def _landed_repos(t: Testbed) -> DataFrame:
-    """The newest metadata as landed JSON texts; the rows of one small size are cut short."""
+def _repo_fields(columns: list[str]) -> list[Column]:
+    """The fields of a landed file from a metadata row."""
     iso = "yyyy-MM-dd'T'HH:mm:ss'Z'"
     names = {
         "id": F.col("repo_id"),
@@ -235,15 +237,20 @@ def _landed_repos(t: Testbed) -> DataFrame:
         "fetched_at": F.date_format("fetched_at", iso),
         "refreshed_at": F.date_format("refreshed_at", iso),
         "owner": F.struct(F.col("owner_login").alias("login"), F.col("owner_id").alias("id")),
-        "license": F.struct(F.col("license_key").alias("key"), F.col("license_name").alias("name")),
+        "license": F.struct(
+            F.col("license_key").alias("key"), F.col("license_name").alias("name"), F.col("license_spdx_id").alias("spdx_id")
+        ),
     }
-    plain = [name for name in REPO_FILE.fieldNames() if name in METADATA_COLUMNS]
-    text = F.to_json(
-        F.struct(
-            *[value.alias(name) for name, value in names.items()],
-            *[F.col(name) for name in plain if name not in names],
-        )
-    )
+    plain = [name for name in REPO_FILE.fieldNames() if name in columns]
+    return [
+        *[value.alias(name) for name, value in names.items()],
+        *[F.col(name) for name in plain if name not in names],
+    ]
+
+
+def _landed_repos(t: Testbed) -> DataFrame:
+    """The newest metadata as landed JSON texts; the rows of one small size are cut short."""
+    text = F.to_json(F.struct(*_repo_fields(METADATA_COLUMNS)))
     latest = ru.latest_full_metadata(t.metadata())
     # Open issues carry the part's size in the test tables.
     broken = F.when(F.col("open_issues_count") == 7, F.substring_index(text, ",", 3)).otherwise(text)
@@ -252,13 +259,74 @@ def _landed_repos(t: Testbed) -> DataFrame:
     )
 
 
+def _landed_files(t: Testbed, rows: DataFrame, again: bool = False) -> str:
+    """A folder with one JSON file a repository, one that is cut short, and a summary of all."""
+    folder = fresh_path(t.spark, "repos")
+    records = rows.select(*_repo_fields(rows.columns))
+    records.write.option("maxRecordsPerFile", 1).json(f"{folder}/first")
+    if again:
+        # A second file for some repositories, with an older refresh.
+        older = records.where(F.col("id") % 5 == 0).withColumn("refreshed_at", F.lit("2024-01-02T00:00:00Z"))
+        older.write.option("maxRecordsPerFile", 1).json(f"{folder}/second")
+    write_text(t.spark, f"{folder}/first/broken.json", '{"id": 1, "full_name": "a/')
+    write_text(t.spark, f"{folder}/first/repo_summary.json", '{"total_repos": 7}')
+    return f"{folder}/*"
+
+
 @check(
     "read_repo_json",
-    """SELECT CAST(repo_id AS VARCHAR) AS file_name,
-              CASE WHEN open_issues_count = 7 THEN 'not JSON' END AS parse_error FROM meta""",
+    """SELECT repo_full_name AS full_name, stargazers_count, NULL AS parse_error FROM meta
+       UNION ALL SELECT NULL, NULL, 'not JSON'""",
 )
 def read_repo_json(t: Testbed) -> DataFrame:
-    return _landed_repos(t).select("file_name", "parse_error")
+    files = read_files(t.spark, _landed_files(t, ru.latest_full_metadata(t.metadata())))
+    return files.select(
+        F.when(F.col("parse_error").isNull(), F.col("full_name")).alias("full_name"),
+        F.when(F.col("parse_error").isNull(), F.col("stargazers_count").cast("bigint")).alias("stargazers_count"),
+        "parse_error",
+    )
+
+
+@check(
+    "repo_files_report",
+    """SELECT count(*) AS parsed, 1::BIGINT AS skipped, count(*) AS total_repos, max(refreshed_at) AS updated_at
+       FROM meta""",
+)
+def repo_files_report(t: Testbed) -> DataFrame:
+    """How many files were read and skipped, and the header of the summary made of them."""
+    files = read_files(t.spark, _landed_files(t, ru.latest_full_metadata(t.metadata())))
+    header = summary_header(repo_summary_report(cl.map_repo_metadata(good_files(files), AS_OF)))
+    one = header.select(F.lit(1).alias("_one"), "*")
+    return parse_report(files).withColumn("_one", F.lit(1)).join(one, "_one").drop("_one")
+
+
+@check(
+    "metadata_refresh",
+    """SELECT repo_full_name, stargazers_count, row_number() OVER (ORDER BY stargazers_count DESC, repo_full_name) AS rank,
+         CASE WHEN repo_id % 2 = 0 THEN TIMESTAMP '2024-01-10 00:00:00' ELSE TIMESTAMP '2024-01-25 00:00:00' END
+           AS fetched_at, refreshed_at, 2::BIGINT AS snapshots FROM meta""",
+)
+def metadata_refresh(t: Testbed) -> DataFrame:
+    """A table of older versions is refreshed from files, twice; half of the files lack the time of
+    their fetch, and some repositories have two files."""
+    base, history = fresh_path(t.spark, "metadata"), fresh_path(t.spark, "history")
+    old = t.metadata().where(F.col("refreshed_at") < "2024-01-25")
+    tables.upsert_repo_metadata(old, base)
+    tables.append_repo_history(old, history, "sync_repo_metadata")
+    latest = ru.latest_full_metadata(t.metadata())
+    fetched = F.when(F.col("repo_id") % 2 == 1, F.col("fetched_at"))
+    folder = _landed_files(t, latest.withColumn("fetched_at", fetched), again=True)
+    for _ in range(2):
+        report = jobs.metadata_refresh(t.spark, folder, base, history, AS_OF)
+    current = tables.read_current(t.spark, base).select("repo_full_name", "fetched_at")
+    snapshots = tables.read_history(t.spark, history).groupBy("repo_full_name").agg(
+        F.count(F.lit(1)).alias("snapshots")
+    )
+    return (
+        report.select("repo_full_name", "stargazers_count", "rank", "refreshed_at")
+        .join(current, "repo_full_name")
+        .join(snapshots, "repo_full_name")
+    )
 
 
 @check(
@@ -398,6 +466,19 @@ def stream_dedup_events(t: Testbed) -> DataFrame:
     return rows.groupBy("event_id").agg(F.count(F.lit(1)).alias("copies"))
 
 
+#: A value for each field with which an event is rejected for that field.
+SPOILED = {
+    "event_id": " ",
+    "event_type": "UnknownEvent",
+    "actor_id": 0,
+    "actor_login": "",
+    "repo_id": 0,
+    "repo_name": "noslash",
+    "repo_stargazers_count": -1,
+    "created_at": None,
+}
+
+
 def _out_of_order(t: Testbed) -> str:
     """An ingest in micro-batches of one file: the latest third of the days first, each file with
     copies of rows from another one, and lines that are no events."""
@@ -409,8 +490,12 @@ def _out_of_order(t: Testbed) -> str:
         again = events.where((third == (part + 1) % 3) & (F.hour("created_at") == 3))
         lines = cl.to_wire_event(mine.unionByName(again)).select("value").coalesce(1)
         lines.write.mode("append").text(landed)
-    broken = t.spark.createDataFrame([("{broken",), ("",)], "value string").coalesce(1)
-    broken.write.mode("append").text(landed)
+    broken = t.spark.createDataFrame([("{broken",), ("",)], "value string")
+    one = events.orderBy("event_id").limit(1)
+    for name, value in SPOILED.items():
+        spoiled = one.withColumn(name, F.lit(value).cast(one.schema[name].dataType))
+        broken = broken.unionByName(cl.to_wire_event(spoiled).select("value"))
+    broken.coalesce(1).write.mode("append").text(landed)
     records = ingest.text_source(t.spark, landed, max_files=1)
     supervise.finish(ingest.start_ingest(records, base, once=True))
     ingest.close_ingest_days(t.spark, base, "2024-01-21")
@@ -434,7 +519,11 @@ def stream_late_events(t: Testbed) -> DataFrame:
     return report
 
 
-@check("stream_quarantine", "SELECT 'undecodable' AS reason, 2::BIGINT AS rows")
+@check(
+    "stream_quarantine",
+    f"""SELECT 'undecodable' AS reason, 2::BIGINT AS rows
+        UNION ALL SELECT * FROM (VALUES {", ".join(f"('{'stargazers_count' if name == 'repo_stargazers_count' else name}', 1)" for name in SPOILED)})""",
+)
 def stream_quarantine(t: Testbed) -> DataFrame:
     rows = ingest.read_table(t.spark, _out_of_order(t), "quarantine")
     return rows.groupBy("reason").agg(F.count(F.lit(1)).alias("rows"))
@@ -458,17 +547,15 @@ def stream_hourly_counts(t: Testbed) -> DataFrame:
        FROM gh LEFT JOIN meta ON gh.repo_key = meta.repo_key""",
 )
 def stream_enrich(t: Testbed) -> DataFrame:
-    base, once = fresh_path(t.spark, "enrich"), fresh_path(t.spark, "metadata")
+    """In two micro-batches: the second one starts from the summary of the first."""
+    base, once, landed = fresh_path(t.spark, "enrich"), fresh_path(t.spark, "metadata"), fresh_path(t.spark, "landed")
     tables.upsert_repo_metadata(t.metadata(), once)
-    landed = fresh_path(t.spark, "landed")
-    cl.to_wire_event(t.events()).select("value").write.text(landed)
-    events = ingest.clean_stream(ingest.text_source(t.spark, landed))
-    enriched = ingest.enrich_stream(events, tables.read_current(t.spark, once))
-    query = ingest.start_parquet_sink(
-        enriched, f"{base}/out", f"{base}/checkpoint", "enrich", once=True
-    )
+    for half in (0, 1):
+        part = t.events().where(F.pmod(F.xxhash64("event_id"), F.lit(2)) == half)
+        cl.to_wire_event(part).select("value").coalesce(1).write.mode("append").text(landed)
+    events = ingest.clean_stream(ingest.text_source(t.spark, landed, max_files=1))
+    query = ingest.start_enrichment(events, base, lambda: tables.read_current(t.spark, once), once=True)
     supervise.finish([query])
-    return t.spark.read.parquet(f"{base}/out").select(
+    return read_segments(t.spark, f"{base}/enriched").select(
         "event_id", "repo_name", "repo_stargazers_count", "metadata_missing"
     )
-

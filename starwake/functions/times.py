@@ -53,9 +53,9 @@ def in_date_window(event_date: Column, as_of: Moment, days: int) -> Column:
     return (event_date >= F.date_sub(day(as_of), days)) & (event_date <= day(as_of))
 
 
-def week_start(as_of: Moment) -> Column:
-    """Monday 00:00 at UTC+7 of the current week, as a UTC instant."""
-    local = F.from_utc_timestamp(moment(as_of), "+07:00")
+def week_start(as_of: Moment | Column) -> Column:
+    """Monday 00:00 at UTC+7 of the week of a moment, as a UTC instant."""
+    local = F.from_utc_timestamp(as_of if isinstance(as_of, Column) else moment(as_of), "+07:00")
     return F.to_utc_timestamp(F.date_trunc("week", local), "+07:00")
 
 

@@ -186,12 +186,17 @@ def _instant(text: Column, fallback: Column) -> Column:
 
 
 def map_repo_metadata(
-    files: DataFrame, as_of: Moment, missing_time: Moment | None = None, loose: bool = False
+    files: DataFrame,
+    as_of: Moment,
+    missing_time: Moment | None = None,
+    loose: bool = False,
+    fetched_flag: str | None = None,
 ) -> DataFrame:
     """Landed repository files (``REPO_FILE``) to metadata rows.
 
     Missing times become ``missing_time`` (default ``as_of``). ``loose`` uses the substring
     classifier and epoch times, as the enrichment of event-discovered repositories does.
+    ``fetched_flag`` names a further column that tells whether a file has a ``fetched_at``.
     """
     late = moment(as_of)
     absent = moment(missing_time) if missing_time is not None else late
@@ -254,7 +259,8 @@ def map_repo_metadata(
         "subscribers_count",
     ):
         values[count] = tx.whole_number(F.col(count))
-    return files.select(*[values[name].alias(name) for name in METADATA_COLUMNS])
+    flags = [] if fetched_flag is None else [(tx.text_or_empty(F.col("fetched_at")) != "").alias(fetched_flag)]
+    return files.select(*[values[name].alias(name) for name in METADATA_COLUMNS], *flags)
 
 
 def _snapshot_constants() -> dict[str, Column]:

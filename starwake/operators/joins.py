@@ -6,23 +6,37 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Copies of a hot key's dimension row for each even share of rows that it has.
+SPREAD = 4
+
+
+def hot_keys(counts: DataFrame, key: str, parts: int) -> DataFrame:
+    """Keys with more rows than an even share of one of ``parts`` tasks, and into how many copies each is
+    shared out. There are fewer of them than ``parts``."""
+    share = counts.agg((F.sum("_n") / parts).alias("share")).scalar()
+    copies = F.least(F.ceil(F.col("_n") / share * SPREAD), F.lit(SPREAD * parts))
+    return counts.where(F.col("_n") > share).select(key, copies.cast("int").alias("_copies"))
+
+
 def spread_left_join(
-    facts: DataFrame, dimension: DataFrame, key: str, spread_by: str, parts: int | None = None
+    facts: DataFrame,
+    dimension: DataFrame,
+    key: str,
+    spread_by: str,
+    parts: int | None = None,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Left join in which a hot key is shared out over several tasks.
 
-    A key is hot when it has more rows than an even share of one shuffle partition, so there are
-    fewer hot keys than partitions; that is the bound of the two broadcasts. A hot key gets one
-    copy of its dimension row per even share, and ``spread_by`` decides which copy a fact row
-    meets. Other keys are joined as usual. The extra pass only counts keys.
+    A hot key gets several copies of its dimension row, and ``spread_by`` decides which copy a fact
+    row meets. Other keys are joined as usual. ``hot`` has the hot keys and their ``_copies``, few
+    enough to be sent to every task; without it one extra pass counts the keys of the facts.
     """
-    if parts is None:
-        parts = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counts = facts.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    share = counts.agg((F.sum("_n") / parts).alias("share")).scalar()
-    hot = counts.where(F.col("_n") > share).select(
-        key, F.least(F.ceil(F.col("_n") / share), F.lit(parts)).cast("int").alias("_copies")
-    )
+    if hot is None:
+        if parts is None:
+            parts = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        counts = facts.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+        hot = hot_keys(counts, key, parts)
     copies = F.coalesce("_copies", F.lit(1))
 
     def marked(table: DataFrame, salt: Column) -> DataFrame:

@@ -55,7 +55,11 @@ def rank_all(df: DataFrame, order: list[Column], rank: str = "rank") -> DataFram
 def first_non_empty(*sources: DataFrame) -> DataFrame:
     """The first source that has a row, in the order given.
 
-    Sources are top-k reports; whether one has a row is asked once, and later sources are not read at
-    all when an earlier one answers. Nothing is kept in memory.
+    Sources are top-k reports. Each is computed once, into the shared folder, until one has a row;
+    later ones are not read at all. The last one is returned as it is.
     """
-    return next((source for source in sources[:-1] if not source.isEmpty()), sources[-1])
+    for source in sources[:-1]:
+        report = cut_lineage(source)
+        if not report.isEmpty():
+            return report
+    return sources[-1]

@@ -524,22 +524,22 @@ def repos_to_enrich(
     return top_k(unknown, [F.desc("event_count"), F.asc("repo_key")], limit)
 
 
-def enrich_events(events: DataFrame, metadata: DataFrame, spread: bool = True) -> DataFrame:
+def lookup_key() -> Column:
+    """The key under which an event's repository is looked up; names without a slash have none."""
+    return F.when(F.contains("repo_name", F.lit("/")), tx.repo_key(F.col("repo_name")))
+
+
+def enrich_events(events: DataFrame, metadata: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """Give every event the current metadata of its repository.
 
     ``metadata_missing`` marks events whose repository is unknown; they are kept. Names without a
-    slash are not looked up. ``spread`` shares a busy repository out over several tasks; a stream,
-    whose micro-batches are small, joins directly.
+    slash are not looked up. Busy repositories are shared out over several tasks: those that ``hot``
+    names (``repo_key``, ``_copies``), or else those that a count of the events finds.
     """
     fields = ["stargazers_count", "primary_language", "topics", "description"]
     known = ru.latest_metadata(metadata, fields).withColumn("_known", F.lit(True))
-    lookup = F.when(F.contains("repo_name", F.lit("/")), tx.repo_key(F.col("repo_name")))
-    looked_up = events.drop("repo_key").withColumn("repo_key", lookup)
-    joined = (
-        spread_left_join(looked_up, known, "repo_key", "event_id")
-        if spread
-        else looked_up.join(known, "repo_key", "left")
-    )
+    looked_up = events.drop("repo_key").withColumn("repo_key", lookup_key())
+    joined = spread_left_join(looked_up, known, "repo_key", "event_id", hot=hot)
     return joined.select(
         *[
             name

@@ -8,6 +8,7 @@ from datetime import date
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from starwake.functions import text as tx
 from starwake.functions.times import Moment, day
 from starwake.operators import panels
 from starwake.operators import rollups as ru
@@ -18,6 +19,8 @@ from starwake.operators.clean import (
     normalise_event_defaults,
     with_repo_key,
 )
+from starwake.schemas import METADATA_COLUMNS
+from starwake.session import fresh_path
 from starwake.sources import archive as ar
 from starwake.sources import tables
 from starwake.sources.files import delete_directory, exists, file_listing
@@ -201,30 +204,26 @@ def metadata_refresh(
 ) -> DataFrame:
     """Landed files to metadata, history and the ranked summary; bad files are left out.
 
-    A repository that was fetched before keeps its first ``fetched_at`` when a file has none.
+    Files are parsed once and stored. Of several files for one repository the newest counts. One
+    that was fetched before keeps its first ``fetched_at`` when its file has none.
     """
     files = good_files(read_repo_json(spark, repo_files))
-    fresh = map_repo_metadata(files, as_of)
+    landed = map_repo_metadata(files, as_of, fetched_flag="_fetched")
+    order = ["refreshed_at", "fetched_at", "stargazers_count", "repo_full_name"]
+    fresh = ru.newest_per_key(landed, [tx.repo_key(F.col("repo_full_name"))], order)
     previous = tables.read_current(spark, metadata_base)
     if previous is not None:
-        first_seen = previous.select(
-            F.lower("repo_full_name").alias("_key"), F.col("fetched_at").alias("_first")
+        first = previous.select(
+            tx.repo_key(F.col("repo_full_name")).alias("_key"), F.col("fetched_at").alias("_first")
         )
-        without = files.where(F.coalesce("fetched_at", F.lit("")) == "").select(
-            F.lower("full_name").alias("_key"), F.lit(True).alias("_missing")
+        fresh = fresh.join(first, tx.repo_key(F.col("repo_full_name")) == F.col("_key"), "left").withColumn(
+            "fetched_at",
+            F.when(F.col("_fetched"), F.col("fetched_at")).otherwise(F.coalesce("_first", "fetched_at")),
         )
-        fresh = (
-            fresh.withColumn("_key", F.lower("repo_full_name"))
-            .join(first_seen, "_key", "left")
-            .join(without, "_key", "left")
-            .withColumn(
-                "fetched_at",
-                F.when(
-                    F.coalesce("_missing", F.lit(False)), F.coalesce("_first", "fetched_at")
-                ).otherwise(F.col("fetched_at")),
-            )
-            .drop("_key", "_first", "_missing")
-        )
-    current = tables.upsert_repo_metadata(fresh, metadata_base)
-    tables.append_repo_history(fresh, history_path, "sync_repo_metadata")
+    staged = fresh_path(spark, "refresh")
+    fresh.select(*METADATA_COLUMNS).write.parquet(staged)
+    stored = spark.read.parquet(staged)
+    current = tables.upsert_repo_metadata(stored, metadata_base)
+    tables.append_repo_history(stored, history_path, "sync_repo_metadata")
+    delete_directory(spark, staged)
     return repo_summary_report(current)

@@ -30,10 +30,10 @@ def delete_directory(spark: SparkSession, path: str) -> bool:
     return fs.delete(location, True)
 
 
-def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """A small file, written whole; one that is there is replaced."""
+def write_text(spark: SparkSession, path: str, text: str, replace: bool = True) -> None:
+    """A small file, written whole; one that is there is replaced, or an error."""
     fs, location = _fs(spark, path)
-    stream = fs.create(location, True)
+    stream = fs.create(location, replace)
     try:
         stream.write(bytearray(text.encode()))
     finally:

@@ -2,41 +2,91 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from starwake.operators.clean import metadata_to_history, normalise_event_defaults, with_repo_key
 from starwake.operators.rollups import compact_history, newest_per_key
 from starwake.functions.text import repo_key
-from starwake.sources.files import child_names, exists
+from starwake.sources.files import child_names, delete_directory, read_text, write_text
 
 SNAPSHOT_KEY = ["repo_full_name", "snapshot_source", "snapshot_at", "snapshot_key"]
 
 
-# --------------------------------------------------------------------------- versioned tables
+# --------------------------------------------------------------------------- the metadata table
+
+#: Buckets of a metadata table, by the hash of the repository's key.
+BUCKETS = 64
+#: Versions whose files are kept for readers that have begun; older ones are deleted.
+KEPT_VERSIONS = 2
+_MANIFESTS = "_manifest"
+
+
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64(repo_key(F.col("repo_full_name"))), F.lit(BUCKETS)).cast("int")
+
 
+def _versions(spark: SparkSession, base: str) -> list[str]:
+    """Names of the manifests, oldest first."""
+    return sorted(name for name in child_names(spark, f"{base}/{_MANIFESTS}") if name.isdigit())
 
-def _versions(spark: SparkSession, base: str) -> list[int]:
-    """Complete versions, oldest first. An interrupted write has no success marker."""
-    numbers = [
-        int(name.removeprefix("v="))
-        for name in child_names(spark, base)
-        if name.startswith("v=") and exists(spark, f"{base}/{name}/_SUCCESS")
-    ]
-    return sorted(numbers)
 
+def _folders(spark: SparkSession, base: str, version: str) -> dict[int, str]:
+    """Of each bucket, the folder that a version reads."""
+    lines = read_text(spark, f"{base}/{_MANIFESTS}/{version}").splitlines()
+    return {int(bucket): folder for bucket, folder in (line.split(" ", 1) for line in lines)}
 
-def read_current(spark: SparkSession, base: str) -> DataFrame | None:
+
+def read_current(spark: SparkSession, base: str, buckets: list[int] | None = None) -> DataFrame | None:
+    """The current version, or some buckets of it; None if there is nothing."""
     versions = _versions(spark, base)
-    return spark.read.parquet(f"{base}/v={versions[-1]}") if versions else None
+    if not versions:
+        return None
+    folders = _folders(spark, base, versions[-1])
+    paths = [f"{base}/{folder}" for bucket, folder in folders.items() if buckets is None or bucket in buckets]
+    return spark.read.parquet(*paths) if paths else None
+
+
+def _replace_buckets(rows: DataFrame, base: str, whole: bool) -> str:
+    """Write buckets beside the current ones and swap the manifest; returns the new version's name.
+
+    Buckets that ``rows`` does not touch keep their files, or go if ``rows`` is the ``whole`` table. The
+    manifest is created last and only if it is not there yet, so a reader sees a version or the one
+    before it, and two writers cannot both win. Folders that no kept version reads are deleted.
+    """
+    spark = rows.sparkSession
+    versions = _versions(spark, base)
+    folders = _folders(spark, base, versions[-1]) if versions else {}
+    data = f"data/{uuid.uuid4().hex}"
+    bucketed = rows.withColumn("_bucket", _bucket()).repartition("_bucket")
+    bucketed.write.partitionBy("_bucket").parquet(f"{base}/{data}")
+    written = {
+        int(name.removeprefix("_bucket=")): f"{data}/{name}"
+        for name in child_names(spark, f"{base}/{data}")
+        if name.startswith("_bucket=")
+    }
+    merged = written if whole else folders | written
+    version = f"{int(versions[-1]) + 1 if versions else 1:010d}"
+    lines = "\n".join(f"{bucket} {folder}" for bucket, folder in sorted(merged.items()))
+    write_text(spark, f"{base}/{_MANIFESTS}/{version}", lines, replace=False)
+    _drop_old(spark, base, [*versions, version])
+    return version
+
+
+def _drop_old(spark: SparkSession, base: str, versions: list[str]) -> None:
+    kept = versions[-KEPT_VERSIONS:]
+    needed = {folder for version in kept for folder in _folders(spark, base, version).values()}
+    for version in versions[:-KEPT_VERSIONS]:
+        for folder in set(_folders(spark, base, version).values()) - needed:
+            delete_directory(spark, f"{base}/{folder}")
+        delete_directory(spark, f"{base}/{_MANIFESTS}/{version}")
 
 
 def write_next(df: DataFrame, base: str) -> str:
-    """Write a new version beside the current one; readers switch when it is complete."""
-    versions = _versions(df.sparkSession, base)
-    target = f"{base}/v={versions[-1] + 1 if versions else 1}"
-    df.write.mode("overwrite").parquet(target)
-    return target
+    """Replace the whole table by a new version; readers switch when it is complete."""
+    return _replace_buckets(df, base, whole=True)
 
 
 # --------------------------------------------------------------------------- events
@@ -87,10 +137,17 @@ def merge_metadata(current: DataFrame | None, fresh: DataFrame) -> DataFrame:
 
 
 def upsert_repo_metadata(fresh: DataFrame, base: str) -> DataFrame:
-    """Add or replace repositories by name; the newest refresh wins."""
+    """Add or replace repositories by name; the newest refresh wins.
+
+    Only the buckets that ``fresh`` touches are read, merged and written. The driver gets their
+    numbers.
+    """
     spark = fresh.sparkSession
-    write_next(merge_metadata(read_current(spark, base), fresh), base)
-    return read_current(spark, base)
+    touched = [row["_bucket"] for row in fresh.select(_bucket().alias("_bucket")).distinct().collect()]
+    if touched:
+        _replace_buckets(merge_metadata(read_current(spark, base, touched), fresh), base, whole=False)
+    current = read_current(spark, base)
+    return fresh.limit(0) if current is None else current
 
 
 def append_repo_history(metadata: DataFrame, path: str, source: str) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import math
 from collections.abc import Callable, Iterable
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,14 +19,25 @@ from starwake.operators.clean import (
     valid_events,
     with_repo_key,
 )
-from starwake.operators.reports import enrich_events
+from starwake.operators.joins import SPREAD
+from starwake.operators.reports import enrich_events, lookup_key
 from starwake.schemas import WIRE_EVENT
 from starwake.sources.archive import in_archive_form
-from starwake.sources.segments import FAN, close_days, merge_segments, read_segments, write_segment
+from starwake.sources.files import exists, read_text, write_text
+from starwake.sources.segments import (
+    FAN,
+    close_days,
+    day_folders,
+    merge_segments,
+    read_segments,
+    write_segment,
+)
 
 TRIGGER = "60 seconds"
 MAX_OFFSETS = 50_000
 FETCH_BYTES = 52_428_800
+#: Counters of the summary of busy repositories.
+BUSY_REPOS = 256
 HOURLY = "window_start timestamp, window_end timestamp, repo_name string, event_type string, event_count bigint"
 
 
@@ -137,9 +151,101 @@ def read_hourly_counts(spark: SparkSession, base: str) -> DataFrame:
     )
 
 
-def enrich_stream(events: DataFrame, metadata: DataFrame) -> DataFrame:
+# --------------------------------------------------------------------------- enrichment
+
+
+@dataclass
+class BusyRepos:
+    """A Misra-Gries summary of the repositories of a stream, carried from batch to batch.
+
+    At most ``keep`` counters. Adding a batch sums counters and takes the largest count beyond the
+    first ``keep`` from all of them, so a repository with more than 1 / (keep + 1) of the rows always
+    has one. Earlier batches count half, so the summary follows the stream.
+    """
+
+    total: float = 0.0
+    counts: dict[str, float] = field(default_factory=dict)
+    keep: int = BUSY_REPOS
+
+    def add(self, batch: list[tuple[str, int]], rows: int) -> BusyRepos:
+        """``batch``: the ``keep + 1`` largest counts of a batch of so many rows."""
+        sums: dict[str, float] = {name: count / 2 for name, count in self.counts.items()}
+        for name, count in self._reduced(dict(batch)).items():
+            sums[name] = sums.get(name, 0.0) + count
+        return BusyRepos(self.total / 2 + rows, self._reduced(sums), self.keep)
+
+    def _reduced(self, counts: dict) -> dict[str, float]:
+        largest = sorted(counts.items(), key=lambda one: (-one[1], one[0]))
+        over = largest[self.keep][1] if len(largest) > self.keep else 0
+        return {name: float(count - over) for name, count in largest[: self.keep] if count > over}
+
+    def hot(self, spark: SparkSession, parts: int) -> DataFrame:
+        """``repo_key`` and ``_copies`` of those with more than an even share of the rows."""
+        share = self.total / parts
+        rows = [
+            (name, min(SPREAD * parts, math.ceil(count / share * SPREAD)))
+            for name, count in self.counts.items()
+            if count > share
+        ]
+        return spark.createDataFrame(rows, "repo_key string, _copies int")
+
+    def stored(self) -> str:
+        return json.dumps({"total": self.total, "counts": self.counts})
+
+    @staticmethod
+    def read(text: str, keep: int = BUSY_REPOS) -> BusyRepos:
+        return BusyRepos(keep=keep, **json.loads(text))
+
+
+def busiest(events: DataFrame, keep: int = BUSY_REPOS) -> list[tuple[str, int]]:
+    """The ``keep + 1`` largest counts of repositories; combined on the map side."""
+    counts = events.select(lookup_key().alias("repo_key")).where("repo_key is not null")
+    top = counts.groupBy("repo_key").count().orderBy(F.desc("count"), "repo_key").limit(keep + 1)
+    return [(row["repo_key"], row["count"]) for row in top.collect()]
+
+
+def enrich_batch(
+    base: str, metadata: Callable[[], DataFrame], parts: int | None = None
+) -> Callable[[DataFrame, int], None]:
+    """A micro-batch of events, enriched, as a segment of ``base/enriched``.
+
+    ``metadata`` is read again for every batch. The summary of the batches before tells the salted
+    join which repositories to spread, without a pass over the events; the first batch, which has
+    none, is counted. The batch's own counts come from what it has written and are stored under its
+    number, so a batch that is repeated starts from the same summary.
+    """
+
+    def write(events: DataFrame, batch_id: int) -> None:
+        spark = events.sparkSession
+        run = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "batch"
+        own, tasks = f"{run}-{batch_id}", parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        before = f"{base}/_busy/{run}-{batch_id - 1}"
+        summary = BusyRepos.read(read_text(spark, before)) if exists(spark, before) else None
+        first = BusyRepos().add(busiest(events), events.count()) if summary is None else summary
+        enriched = enrich_events(events, metadata(), first.hot(spark, tasks))
+        write_segment(enriched, f"{base}/enriched", own)
+        done = spark.read.parquet(*_own_paths(spark, f"{base}/enriched", own))
+        then = (summary or BusyRepos()).add(busiest(done), done.count())
+        write_text(spark, f"{base}/_busy/{own}", then.stored())
+
+    return write
+
+
+def _own_paths(spark: SparkSession, table: str, own: str) -> list[str]:
+    paths = [f"{table}/{day}/batch={own}" for day in day_folders(spark, table)]
+    return [path for path in paths if exists(spark, path)]
+
+
+def start_enrichment(
+    events: DataFrame, base: str, metadata: Callable[[], DataFrame], once: bool = False
+) -> StreamingQuery:
     """Stream-static join: the metadata is read again in every micro-batch."""
-    return enrich_events(events, metadata, spread=False)
+    writer = (
+        events.writeStream.queryName("enrich")
+        .option("checkpointLocation", f"{base}/_checkpoints/enrich")
+        .foreachBatch(enrich_batch(base, metadata))
+    )
+    return _trigger(writer, once).start()
 
 
 # --------------------------------------------------------------------------- sinks

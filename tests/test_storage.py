@@ -1,5 +1,7 @@
 import json
 import os
+import random
+from collections import Counter
 
 import pytest
 from frames import events, metadata
@@ -11,6 +13,7 @@ from starwake.plans import jobs
 from starwake.sources import archive as ar
 from starwake.sources import segments
 from starwake.sources import tables
+from starwake.sources.files import write_text
 from starwake.sources.repo_files import good_files, parse_report, read_repo_json
 from starwake.streaming import ingest, supervise
 
@@ -110,10 +113,36 @@ def test_upsert_and_versions(spark, tmp_path):
         ("acme/tool", 2),
         ("x/y", 0),
     }
-    (tmp_path / "v=9").mkdir()
+    (tmp_path / "data" / "unfinished" / "_bucket=0").mkdir(parents=True)
     assert tables.read_current(spark, base).count() == 2, "an unfinished version is not read"
 
 
+def test_an_upsert_writes_only_the_buckets_it_touches(spark, tmp_path):
+    base = str(tmp_path)
+    many = [{"repo_full_name": f"a/{at}", "repo_id": at} for at in range(300)]
+    tables.upsert_repo_metadata(metadata(spark, many), base)
+
+    def files():
+        return {path.relative_to(tmp_path): path.stat().st_mtime_ns for path in tmp_path.glob("data/*/*/*.parquet")}
+
+    before = files()
+    versions = [tables._versions(spark, base)[-1]]
+    for at in range(5):
+        row = {"repo_full_name": "A/7", "repo_id": 7, "stargazers_count": at + 1, "refreshed_at": f"2024-03-0{at + 1}T00:00:00"}
+        now = tables.upsert_repo_metadata(metadata(spark, [row]), base)
+        versions.append(tables._versions(spark, base)[-1])
+    assert now.count() == 300 and now.where("repo_full_name = 'A/7'").first()["stargazers_count"] == 5
+    after = files()
+    kept = {path: when for path, when in after.items() if path in before}
+    assert len(before) - len(kept) == 1, "one bucket was written anew, all others keep their files"
+    assert all(before[path] == when for path, when in kept.items())
+    assert len(after) == len(kept) + tables.KEPT_VERSIONS, "old versions of the bucket are gone"
+    assert tables._versions(spark, base) == versions[-tables.KEPT_VERSIONS :]
+    assert tables.upsert_repo_metadata(metadata(spark, []), base).count() == 300
+    with pytest.raises(Exception, match="exist"):
+        write_text(spark, f"{base}/_manifest/{versions[-1]}", "", replace=False)
+
+
 def test_history_replay_is_seen_once(spark, tmp_path):
     path = str(tmp_path / "history")
     rows = metadata(spark, [{}])
@@ -393,6 +422,53 @@ def test_an_interrupted_merge_counts_nothing_twice(spark, tmp_path, monkeypatch)
     assert "batch-7" in segments.live_segments(spark, folder)
 
 
+def test_a_summary_holds_every_busy_repository():
+    rng = random.Random(1)
+    summary, exact, total = ingest.BusyRepos(keep=20), Counter(), 0.0
+    for _ in range(30):
+        batch = Counter(rng.choice([f"r{rng.randrange(5)}", f"x{rng.randrange(3_000)}"]) for _ in range(2_000))
+        exact = Counter({name: count / 2 for name, count in exact.items()}) + Counter(batch)
+        total = total / 2 + 2_000
+        summary = ingest.BusyRepos.read(summary.add(batch.most_common(21), 2_000).stored(), keep=20)
+        assert len(summary.counts) <= 20 and summary.total == total
+        for name, count in exact.items():
+            held = summary.counts.get(name, 0)
+            assert held <= count + 1e-6 and count - held <= 2 * total / 21 + 1e-6
+    assert all(f"r{at}" in summary.counts for at in range(5))
+
+
+def test_a_busy_repository_is_spread_by_the_summary_of_earlier_batches(spark, tmp_path):
+    """Three fifths of the rows are of one repository: no task gets more than twice the median."""
+    base = str(tmp_path)
+    rows = spark.range(40_000).select(
+        F.concat(F.lit("e"), F.col("id")).alias("event_id"),
+        F.when(F.col("id") % 5 < 3, "Big/one").otherwise(F.concat(F.lit("o/"), F.col("id") % 997)).alias("repo_name"),
+        F.lit(1).cast("bigint").alias("repo_id"),
+        F.lit("2024-01-30").cast("date").alias("event_date"),
+    )
+    known = metadata(spark, [{"repo_full_name": "big/one", "stargazers_count": 9}, {"repo_full_name": "o/3"}])
+    write = ingest.enrich_batch(base, lambda: known)
+    write(rows, 0)
+    write(rows.withColumn("event_id", F.concat("event_id", F.lit("x"))), 1)
+    out = segments.read_segments(spark, f"{base}/enriched")
+    assert out.count() == 80_000 and out.where("not metadata_missing").agg(F.sum("repo_stargazers_count")).first()[0] == 9 * 48_000
+    summary = ingest.BusyRepos.read((tmp_path / "_busy" / "batch-1").read_text())
+    assert summary.total == 60_000 and max(summary.counts, key=summary.counts.get) == "big/one"
+    for name, value in (("spark.sql.adaptive.enabled", "false"), ("spark.sql.autoBroadcastJoinThreshold", "-1")):
+        spark.conf.set(name, value)
+    try:
+        hot = summary.hot(spark, 8)
+        assert [row["repo_key"] for row in hot.collect()] == ["big/one"]
+        from starwake.operators.reports import enrich_events
+
+        joined = enrich_events(rows, known, hot)
+        sizes = sorted(r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect())
+    finally:
+        for name in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold"):
+            spark.conf.unset(name)
+    assert sum(sizes) == 40_000 and sizes[-1] <= 2 * sizes[len(sizes) // 2], sizes
+
+
 def test_a_failing_sink_ends_the_ingest(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
