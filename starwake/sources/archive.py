@@ -88,13 +88,15 @@ def read_archive_range(
 ) -> DataFrame:
     """The ``lookback_days + 1`` dates up to ``end``; dates without files are simply absent."""
     last = date.fromisoformat(_iso(end))
-    return read_archive(spark, base, _iso(last - timedelta(days=lookback_days)), _iso(last))
+    first = last - timedelta(days=lookback_days)
+    rows = read_archive(spark, base, _iso(first), _iso(last))
+    return rows.where(F.col("event_date").between(day(first), day(last)))
 
 
 def read_archive_partition(
     spark: SparkSession, base: str, on: date | str, event_type: str | None = None
 ) -> DataFrame:
-    rows = read_archive(spark, base, _iso(on), _iso(on))
+    rows = read_archive(spark, base, _iso(on), _iso(on)).where(F.col("event_date") == day(on))
     return rows if event_type is None else rows.where(F.col("event_type") == event_type)
 
 
