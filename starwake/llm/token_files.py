@@ -30,7 +30,11 @@ END_ID = 1
 #: Bytes of text in a range of documents, about, and of token ids in a shard.
 SHARD_BYTES = 8_000_000
 #: Encoded words that a Python worker remembers in each of two generations.
-REMEMBERED = 350_000
+REMEMBERED = 200_000
+#: Words that the tokenizer gets at once.
+AT_ONCE = 5_000
+#: Characters of text that are split into words at once.
+SLICE_CHARS = 2_000_000
 #: Ranges whose sizes are summed up together.
 BLOCK = 4_096
 
@@ -72,26 +76,32 @@ class WordEncoder:
         return normalizer is None or normalizer.normalize_str(core).isalpha()
 
     def _encode(self, words: list[str]) -> None:
-        found = [one.ids for one in self.tokenizer.encode_batch(words, add_special_tokens=False)]
-        raw, size = np.array(list(chain.from_iterable(found)), dtype=self.width).tobytes(), self.width.itemsize
-        end = 0
-        for word, ids in zip(words, found):
-            begin, end = end, end + len(ids) * size
-            self.known[word] = raw[begin:end]
+        size = self.width.itemsize
+        for low in range(0, len(words), AT_ONCE):
+            part = words[low : low + AT_ONCE]
+            found = [one.ids for one in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            raw = np.array(list(chain.from_iterable(found)), dtype=self.width).tobytes()
+            end = 0
+            for word, ids in zip(part, found):
+                begin, end = end, end + len(ids) * size
+                self.known[word] = raw[begin:end]
 
     def _encode_letters(self, words: list[str]) -> None:
+        size = self.width.itemsize
         parts = [words[low : low + 100] for low in range(0, len(words), 100)]
-        lines = [" ".join(part) for part in parts]
-        for part, found in zip(parts, self.tokenizer.encode_batch(lines, add_special_tokens=False)):
-            ids = np.array(found.ids, dtype=np.int64)
-            ends = np.flatnonzero(self.last[ids]) + 1 if len(ids) else ids
-            if len(ends) != len(part) or ends[-1] != len(ids):
-                self._encode(part)
-                continue
-            raw, size = ids.astype(self.width).tobytes(), self.width.itemsize
-            bounds = [0, *(ends * size).tolist()]
-            for word, begin, end in zip(part, bounds, bounds[1:]):
-                self.known[word] = raw[begin:end]
+        for low in range(0, len(parts), AT_ONCE // 100):
+            some = parts[low : low + AT_ONCE // 100]
+            lines = [" ".join(part) for part in some]
+            for part, found in zip(some, self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)):
+                ids = np.array(found.ids, dtype=np.int64)
+                ends = np.flatnonzero(self.last[ids]) + 1 if len(ids) else ids
+                if len(ends) != len(part) or ends[-1] != len(ids):
+                    self._encode(part)
+                    continue
+                raw = ids.astype(self.width).tobytes()
+                bounds = [0, *(ends * size).tolist()]
+                for word, begin, end in zip(part, bounds, bounds[1:]):
+                    self.known[word] = raw[begin:end]
 
     def _ids_of(self, words: list[str]) -> list[bytes]:
         """Raw ids of different words."""
@@ -124,9 +134,21 @@ class WordEncoder:
             known[word] = known[core] + known[tail]
         return [known[word] for word in words]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Raw ids of texts. Their words are numbered at once; each different one is looked up once,
-        and the ids are gathered by number."""
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        """Raw ids of texts, some megabytes of them at once."""
+        begin, held = 0, 0
+        for at, text in enumerate(texts):
+            if held and held + len(text) > SLICE_CHARS:
+                yield from self._encode_slice(texts[begin:at])
+                begin, held = at, 0
+            held += len(text) + 1
+        if begin < len(texts):
+            yield from self._encode_slice(texts[begin:])
+        pa.default_memory_pool().release_unused()
+
+    def _encode_slice(self, texts: list[str]) -> list[bytes]:
+        """Words are numbered at once; each different one is looked up once, and the ids are gathered
+        by number."""
         spaced = pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " ")
         parts = pc.split_pattern(spaced, " ")
         numbered = parts.flatten().dictionary_encode()

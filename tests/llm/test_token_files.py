@@ -76,7 +76,7 @@ def test_words_are_kept_over_generations(monkeypatch):
     encoder, tokenizer = token_files.WordEncoder(PATH, "<u2"), Tokenizer.from_file(PATH)
     for at in range(40):
         text = " ".join(["the", "of", *words(at % 13, 20)])
-        raw = encoder.encode([text])[0]
+        raw = next(encoder.encode([text]))
         assert np.frombuffer(raw, "<u2").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
         assert len(encoder.known) + len(encoder.old) <= 2 * (50 + 24)
 
