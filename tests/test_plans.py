@@ -4,7 +4,7 @@ import pytest
 
 from starwake.checks import load
 from starwake.functions.times import in_window
-from starwake.operators import reports, rollups
+from starwake.operators import panels, reports, rollups
 from starwake.sources import archive
 from starwake import testbed as tb
 from starwake.testbed import AS_OF
@@ -59,6 +59,25 @@ def test_metadata_and_metrics_meet_without_another_shuffle(spark):
     assert joined.count("Exchange hashpartitioning") == 4
 
 
+def test_the_snapshot_reads_the_events_once(spark, tmp_path):
+    path = str(tmp_path / "archive")
+    archive.append_archive(tb.testbed(spark, FOLDER).events(), path)
+    events = archive.read_archive(spark, path)
+    plan = plan_of(panels.top_starred_snapshot(events))
+    assert plan.count("FileScan parquet") == 1
+    lists = plan_of(rollups.repo_rollup_archive(events))
+    assert lists.count("FileScan parquet") == 2
+    exploded = [line for line in lists.splitlines() if "Generate explode" in line]
+    assert exploded and not any("repo_description" in line or "language" in line for line in exploded)
+    # Events are hashed; only the few versions of a repository's texts are sorted.
+    assert lists.index("SortAggregate") < lists.index("HashAggregate") < lists.index("FileScan parquet")
+
+
+def test_questions_meet_the_market_without_joins(spark):
+    plan = plan_of(CHECKS["question_evidence"].run(spark, FOLDER))
+    assert "scalar-subquery" in plan or "Subquery" in plan
+
+
 def test_archive_filters_prune_directories(spark, tmp_path):
     bed = tb.testbed(spark, FOLDER)
     path = str(tmp_path / "archive")
