@@ -221,21 +221,25 @@ def _sharing_sets(docs: DataFrame, buckets: int) -> DataFrame:
     )
 
 
-def _ordered_sets(sets: DataFrame, buckets: int) -> DataFrame:
+def _ordered_sets(texts: DataFrame, buckets: int) -> DataFrame:
     """``_rep``, ``_n``, ``_k`` and ``_shared``: the k tokens that another of these sets has, the
-    rarest first."""
+    rarest first. ``texts`` has rows of the classes' first ids, with the prints of their classes; a row
+    whose set has other prints shares the id only."""
 
     def sent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        runs: list[tuple[int, np.ndarray]] = []
+        held = 0
         for batch in batches:
-            runs, held = [], 0
-            for rep, tokens in zip(batch["_rep"], batch["_tokens"]):
-                runs.append((rep, np.frombuffer(tokens, dtype=U64)))
-                held += len(tokens) // 8
+            sets = shingle_sets(packed.encoded(batch["_text"]))
+            for tokens, rep, p1, p2 in zip(sets, batch["_rep"], batch["_p1"], batch["_p2"]):
+                if len(tokens) and _prints(tokens) == (p1, p2):
+                    runs.append((rep, tokens))
+                    held += len(tokens)
                 if held >= CHUNK_TOKENS:
                     yield pd.DataFrame(list(_by_bucket(runs, buckets, low_bits=False)))
                     runs, held = [], 0
-            if runs:
-                yield pd.DataFrame(list(_by_bucket(runs, buckets, low_bits=False)))
+        if runs:
+            yield pd.DataFrame(list(_by_bucket(runs, buckets, low_bits=False)))
 
     def ranked(frame: pd.DataFrame) -> pd.DataFrame:
         bucket = _Bucket(frame, U64)
@@ -270,7 +274,7 @@ def _ordered_sets(sets: DataFrame, buckets: int) -> DataFrame:
             )
 
     parts = (
-        sets.mapInPandas(sent, _BUCKET_SCHEMA)
+        texts.mapInPandas(sent, _BUCKET_SCHEMA)
         .groupBy("_bucket")
         .applyInPandas(ranked, "_rep bigint, _n bigint, _t binary, _f binary")
         .groupBy("_rep", "_n")
@@ -590,20 +594,8 @@ def _class_links(rows: DataFrame, classes: DataFrame, total: int, scratch: Scrat
     sharing = scratch.stored(_sharing_sets(rows, -(-total // BUCKET_TOKENS) or 1))
     chosen = scratch.stored(classes.join(sharing, "_p1").select("_rep", "_first", "_p1", "_p2", "_n"))
     kept = chosen.agg(F.sum("_n").alias("n")).first()["n"] or 0
-
-    def gathered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sets = shingle_sets(packed.encoded(batch["_text"]))
-            reps, tokens = [], []
-            for one, rep, p1, p2 in zip(sets, batch["_rep"], batch["_p1"], batch["_p2"]):
-                if len(one) and _prints(one) == (p1, p2):
-                    reps.append(rep)
-                    tokens.append(one.tobytes())
-            yield pd.DataFrame({"_rep": reps, "_tokens": tokens})
-
     texts = rows.join(chosen.select(F.col("_first").alias("_id"), "_rep", "_p1", "_p2"), "_id")
-    sets = texts.mapInPandas(gathered, "_rep bigint, _tokens binary")
-    ordered = scratch.stored(_ordered_sets(sets, -(-int(kept) // BUCKET_TOKENS) or 1))
+    ordered = scratch.stored(_ordered_sets(texts, -(-int(kept) // BUCKET_TOKENS) or 1))
     return _links(ordered, scratch)
 
 
