@@ -259,15 +259,26 @@ def _landed_repos(t: Testbed) -> DataFrame:
     )
 
 
+#: Objects in a landed file, one a line; every so many repositories, one has a file of its own.
+FILE_OBJECTS = 1000
+
+
 def _landed_files(t: Testbed, rows: DataFrame, again: bool = False) -> str:
-    """A folder with one JSON file a repository, one that is cut short, and a summary of all."""
+    """A folder with JSON files of one and of many repositories, one that is cut short, and a summary
+    of all."""
     folder = fresh_path(t.spark, "repos")
+
+    def land(records: DataFrame, name: str) -> None:
+        alone = F.coalesce(F.pmod("id", F.lit(FILE_OBJECTS)) == 0, F.lit(False))
+        records.where(~alone).write.option("maxRecordsPerFile", FILE_OBJECTS).json(f"{folder}/{name}")
+        records.where(alone).write.mode("append").option("maxRecordsPerFile", 1).json(f"{folder}/{name}")
+
     records = rows.select(*_repo_fields(rows.columns))
-    records.write.option("maxRecordsPerFile", 1).json(f"{folder}/first")
+    land(records, "first")
     if again:
-        # A second file for some repositories, with an older refresh.
+        # A second object for some repositories, with an older refresh.
         older = records.where(F.col("id") % 5 == 0).withColumn("refreshed_at", F.lit("2024-01-02T00:00:00Z"))
-        older.write.option("maxRecordsPerFile", 1).json(f"{folder}/second")
+        land(older, "second")
     write_text(t.spark, f"{folder}/first/broken.json", '{"id": 1, "full_name": "a/')
     write_text(t.spark, f"{folder}/first/repo_summary.json", '{"total_repos": 7}')
     return f"{folder}/*"
@@ -293,7 +304,7 @@ def read_repo_json(t: Testbed) -> DataFrame:
        FROM meta""",
 )
 def repo_files_report(t: Testbed) -> DataFrame:
-    """How many files were read and skipped, and the header of the summary made of them."""
+    """How many objects were read and skipped, and the header of the summary made of them."""
     files = read_files(t.spark, _landed_files(t, ru.latest_full_metadata(t.metadata())))
     header = summary_header(repo_summary_report(cl.map_repo_metadata(good_files(files), AS_OF)))
     one = header.select(F.lit(1).alias("_one"), "*")

@@ -1,4 +1,4 @@
-"""Landed repository files: one JSON object per file."""
+"""Landed repository files: JSON objects, one or several per file."""
 
 from __future__ import annotations
 
@@ -9,19 +9,26 @@ from starwake.functions.text import strip, text_or_empty
 from starwake.functions.times import parse_iso
 from starwake.schemas import REPO_FILE
 
+#: Between two objects of a file: inside one, no brace is closed at the end of a line and the next
+#: thing an opened one.
+_NEXT_OBJECT = r"(?<=\})[ \t\r]*\n\s*(?=\{)"
 TIMES = ["created_at", "updated_at", "pushed_at", "fetched_at", "refreshed_at"]
 
 
 def read_repo_json(spark: SparkSession, path: str) -> DataFrame:
-    """Every file once, with ``parse_error`` telling why it is unusable (NULL when it is fine).
+    """Every object once, with ``parse_error`` telling why it is unusable (NULL when it is fine).
 
-    Summary files lie in the same folder and are left out.
+    A file holds one object, over any number of lines, or several that start on lines of their own; it
+    is read whole, so a crawler with many repositories lands some thousands in each file, not all in
+    one. A file that is no object is one unusable row. Summary files lie in the same folder and are
+    left out.
     """
     files = (
         spark.read.option("pathGlobFilter", "*.json")
         .text(path, wholetext=True)
         .withColumn("file_name", F.col("_metadata.file_name"))
         .where(~F.contains("file_name", F.lit("summary")))
+        .select("file_name", F.explode(F.split("value", _NEXT_OBJECT)).alias("value"))
     )
     return parse_repo_files(files)
 
