@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from starwake.checks import load
 from starwake.sources.repo_files import parse_report, read_repo_json
 
 
@@ -25,3 +26,8 @@ def test_files_of_several_objects(spark, tmp_path):
         "indented.json": ["c/three", "d/four"],
         "nested.json": ["a/one"],
     }
+
+
+def test_every_partition_is_appended():
+    sql = load()["append_archive_partition"].sql
+    assert sql.endswith("SELECT event_date, event_type, count(*) AS rows FROM gh GROUP BY ALL")
