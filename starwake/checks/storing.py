@@ -499,24 +499,26 @@ SPOILED = {
 
 
 def _out_of_order(t: Testbed) -> str:
-    """An ingest in micro-batches of one file: the latest third of the days first, each file with
-    copies of rows from another one, and lines that are no events."""
+    """An ingest that runs after each of four loads, a micro-batch each: the latest third of the days
+    first, each load with copies of rows from another one, and lines that are no events."""
     base, landed = fresh_path(t.spark, "late"), fresh_path(t.spark, "landed")
+
+    def load(lines: DataFrame) -> None:
+        lines.write.mode("append").text(landed)
+        supervise.finish(ingest.start_ingest(ingest.text_source(t.spark, landed), base, once=True))
+
     events = t.events()
     third = F.pmod(F.dayofyear("created_at"), F.lit(3))
     for part in (2, 0, 1):
         mine = events.where(third == part)
         again = events.where((third == (part + 1) % 3) & (F.hour("created_at") == 3))
-        lines = cl.to_wire_event(mine.unionByName(again)).select("value").coalesce(1)
-        lines.write.mode("append").text(landed)
+        load(cl.to_wire_event(mine.unionByName(again)).select("value"))
     broken = t.spark.createDataFrame([("{broken",), ("",)], "value string")
     one = events.orderBy("event_id").limit(1)
     for name, value in SPOILED.items():
         spoiled = one.withColumn(name, F.lit(value).cast(one.schema[name].dataType))
         broken = broken.unionByName(cl.to_wire_event(spoiled).select("value"))
-    broken.coalesce(1).write.mode("append").text(landed)
-    records = ingest.text_source(t.spark, landed, max_files=1)
-    supervise.finish(ingest.start_ingest(records, base, once=True))
+    load(broken)
     ingest.close_ingest_days(t.spark, base, "2024-01-21")
     return base
 

@@ -2,11 +2,15 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
-from starwake.checks import load
+from starwake import testbed as tb
+from starwake.checks import load, storing
 from starwake.sources.repo_files import parse_report, read_repo_json
 
+FOLDER = "/root/testdata/sf0.001"
+
 
 def objects(*names):
     return [{"id": number, "full_name": name, "description": "a } {"} for number, name in enumerate(names, 1)]
@@ -31,3 +35,25 @@ def test_files_of_several_objects(spark, tmp_path):
 def test_every_partition_is_appended():
     sql = load()["append_archive_partition"].sql
     assert sql.endswith("SELECT event_date, event_type, count(*) AS rows FROM gh GROUP BY ALL")
+
+
+@pytest.fixture
+def no_single_task(spark, monkeypatch):
+    """Nothing is landed by one task, and no stream runs."""
+
+    def refuse(*_):
+        raise AssertionError("one task would land everything")
+
+    monkeypatch.setattr(type(spark.range(1)), "coalesce", refuse)
+    monkeypatch.setattr(storing.supervise, "finish", lambda queries: None)
+    return monkeypatch
+
+
+def test_loads_out_of_order_are_landed_by_all_tasks(spark, no_single_task):
+    landed = []
+    no_single_task.setattr(storing.ingest, "text_source", lambda spark, path: path)
+    no_single_task.setattr(storing.ingest, "start_ingest", lambda path, base, once: landed.append(spark.read.text(path).count()))
+    no_single_task.setattr(storing.ingest, "close_ingest_days", lambda *_: None)
+    bed = tb.testbed(spark, FOLDER)
+    storing._out_of_order(bed)
+    assert len(landed) == 4 and landed == sorted(set(landed)) and landed[-1] > bed.events().count()
