@@ -568,15 +568,15 @@ def stream_hourly_counts(t: Testbed) -> DataFrame:
        FROM gh LEFT JOIN meta ON gh.repo_key = meta.repo_key""",
 )
 def stream_enrich(t: Testbed) -> DataFrame:
-    """In two micro-batches: the second one starts from the summary of the first."""
+    """In two loads, a micro-batch each: the second one starts from the summary of the first."""
     base, once, landed = fresh_path(t.spark, "enrich"), fresh_path(t.spark, "metadata"), fresh_path(t.spark, "landed")
     tables.upsert_repo_metadata(t.metadata(), once)
     for half in (0, 1):
         part = t.events().where(F.pmod(F.xxhash64("event_id"), F.lit(2)) == half)
-        cl.to_wire_event(part).select("value").coalesce(1).write.mode("append").text(landed)
-    events = ingest.clean_stream(ingest.text_source(t.spark, landed, max_files=1))
-    query = ingest.start_enrichment(events, base, lambda: tables.read_current(t.spark, once), once=True)
-    supervise.finish([query])
+        cl.to_wire_event(part).select("value").write.mode("append").text(landed)
+        events = ingest.clean_stream(ingest.text_source(t.spark, landed))
+        query = ingest.start_enrichment(events, base, lambda: tables.read_current(t.spark, once), once=True)
+        supervise.finish([query])
     return read_segments(t.spark, f"{base}/enriched").select(
         "event_id", "repo_name", "repo_stargazers_count", "metadata_missing"
     )

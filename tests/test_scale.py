@@ -57,3 +57,11 @@ def test_loads_out_of_order_are_landed_by_all_tasks(spark, no_single_task):
     bed = tb.testbed(spark, FOLDER)
     storing._out_of_order(bed)
     assert len(landed) == 4 and landed == sorted(set(landed)) and landed[-1] > bed.events().count()
+
+
+def test_metadata_rows_are_dealt_before_they_become_wide(spark):
+    plan = tb.testbed(spark, FOLDER).metadata()._jdf.queryExecution().optimizedPlan().toString()
+    lines = plan.splitlines()
+    dealt = next(i for i, line in enumerate(lines) if "RepartitionByExpression" in line)
+    wide = next(i for i, line in enumerate(lines) if "Generate" in line)
+    assert wide < dealt  # the plan is printed from its last step
