@@ -65,3 +65,13 @@ def test_metadata_rows_are_dealt_before_they_become_wide(spark):
     dealt = next(i for i, line in enumerate(lines) if "RepartitionByExpression" in line)
     wide = next(i for i, line in enumerate(lines) if "Generate" in line)
     assert wide < dealt  # the plan is printed from its last step
+
+
+def test_no_task_widens_more_metadata_than_another(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tb, "ROWS_A_TASK", 100, raising=False)
+    names = ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]
+    rows = [(key, "red widget", "Brand#1", "SMALL", 7, 1.0) for key in range(2000)]
+    spark.createDataFrame(rows, tb.PART_SCHEMA).select(*names).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    metadata = tb.Testbed(spark, str(tmp_path)).metadata()
+    per_task = [row["count"] for row in metadata.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(per_task) == 4000 and max(per_task) <= 2 * 2 * 100
