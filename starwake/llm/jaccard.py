@@ -28,7 +28,7 @@ from starwake.llm import packed
 from starwake.llm.columns import plain, plain_name, restored
 from starwake.llm.components import connected
 from starwake.llm.packed import U64, mixed
-from starwake.llm.stored import Scratch, small_batches
+from starwake.llm.stored import Scratch, filtered_joins, small_batches
 
 SHINGLE = 5
 #: Links need 100 * shared >= PERCENT * united.
@@ -99,7 +99,11 @@ def _measure(docs: DataFrame) -> DataFrame:
 def _by_bucket(
     runs: list[tuple[int, np.ndarray]], buckets: int, low_bits: bool
 ) -> Iterator[dict]:
-    """Rows (bucket, names, sizes and tokens of a part of each set) for sets with their names."""
+    """Rows (bucket, names, sizes and tokens of a part of each set) for sets with their names.
+
+    With many buckets a part is one token, so what stands beside it decides how much is shuffled: counts
+    take as few bytes as the largest of a row needs, and low bits go without the sizes of their sets.
+    """
     names = np.array([name for name, _ in runs], dtype=np.int64)
     sizes = np.array([len(tokens) for _, tokens in runs], dtype=np.int32)
     flat = np.concatenate([tokens for _, tokens in runs])
@@ -115,11 +119,12 @@ def _by_bucket(
         first = np.flatnonzero(np.diff(owner[a:b], prepend=-1))
         of = owner[a:b][first]
         part = flat[a:b]
+        counts = np.diff(np.append(first, b - a))
         yield {
             "_bucket": at,
             "_names": names[of].tobytes(),
-            "_sizes": sizes[of].tobytes(),
-            "_counts": np.diff(np.append(first, b - a)).astype(np.int32).tobytes(),
+            "_sizes": b"" if low_bits else sizes[of].tobytes(),
+            "_counts": counts.astype(np.min_scalar_type(counts.max())).tobytes(),
             "_tokens": (part.astype(np.uint32) if low_bits else part).tobytes(),
         }
 
@@ -133,10 +138,14 @@ class _Bucket:
     def __init__(self, frame: pd.DataFrame, kind: type) -> None:
         names = np.frombuffer(b"".join(frame["_names"]), dtype=np.int64)
         sizes = np.frombuffer(b"".join(frame["_sizes"]), dtype=np.int32)
-        counts = np.frombuffer(b"".join(frame["_counts"]), dtype=np.int32)
+        counts = [
+            np.frombuffer(raw, dtype=f"u{8 * len(raw) // len(of)}").astype(np.int32)
+            for raw, of in zip(frame["_counts"], frame["_names"])
+        ]
+        counts = np.concatenate(counts)
         tokens = np.frombuffer(b"".join(frame["_tokens"]), dtype=kind)
         self.names, first = np.unique(names, return_index=True)
-        self.sizes = sizes[first]
+        self.sizes = sizes[first] if len(sizes) else sizes
         self.owner = np.full(len(names), -1, dtype=np.int32)
         self.owner[first] = np.arange(len(first), dtype=np.int32)
         owner = np.repeat(self.owner, counts)
@@ -181,7 +190,7 @@ def _need(size: Column) -> Column:
 
 
 def _sharing_sets(docs: DataFrame, buckets: int) -> DataFrame:
-    """First prints of the sets with enough tokens that some other set has too.
+    """First prints of sets and how many of their tokens (``_often``) some other set has too.
 
     Tokens are dealt to buckets by their hashes; 32 further bits stand for them there, which can
     only find too many tokens shared. Buckets send back counts of the sets that share any in them, at
@@ -198,26 +207,24 @@ def _sharing_sets(docs: DataFrame, buckets: int) -> DataFrame:
         rows = []
         for low, high in zip(first := np.flatnonzero(np.diff(part, prepend=-1)), [*first[1:], len(part)]):
             chosen = some[low:high]
-            row = (bucket.names[chosen], bucket.sizes[chosen], shared[chosen].astype(np.int32))
+            row = (bucket.names[chosen], shared[chosen].astype(np.int32))
             rows.append((int(part[low]), *(one.tobytes() for one in row)))
-        return pd.DataFrame(rows, columns=["_part", "_names", "_sizes", "_counts"])
+        return pd.DataFrame(rows, columns=["_part", "_names", "_counts"])
 
     def summed(frame: pd.DataFrame) -> pd.DataFrame:
         names = np.frombuffer(b"".join(frame["_names"]), dtype=np.int64)
-        sizes = np.frombuffer(b"".join(frame["_sizes"]), dtype=np.int32)
         counts = np.frombuffer(b"".join(frame["_counts"]), dtype=np.int32)
         order = np.argsort(names, kind="stable")
         first = np.flatnonzero(np.diff(names[order], prepend=~names[order][:1]))
-        size = np.minimum.reduceat(sizes[order], first).astype(np.int64)
-        enough = np.add.reduceat(counts[order].astype(np.int64), first) >= -(-size * PERCENT // 100)
-        return pd.DataFrame({"_p1": names[order][first][enough]})
+        often = np.add.reduceat(counts[order].astype(np.int64), first)
+        return pd.DataFrame({"_p1": names[order][first], "_often": often})
 
     return (
         _send(docs, buckets)
         .groupBy("_bucket")
-        .applyInPandas(counted, "_part bigint, _names binary, _sizes binary, _counts binary")
+        .applyInPandas(counted, "_part bigint, _names binary, _counts binary")
         .groupBy("_part")
-        .applyInPandas(summed, "_p1 bigint")
+        .applyInPandas(summed, "_p1 bigint, _often bigint")
     )
 
 
@@ -592,13 +599,21 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 def _class_links(rows: DataFrame, classes: DataFrame, total: int, scratch: Scratch) -> DataFrame:
     sharing = scratch.stored(_sharing_sets(rows, -(-total // BUCKET_TOKENS) or 1))
-    chosen = scratch.stored(classes.join(sharing, "_p1").select("_rep", "_first", "_p1", "_p2", "_n"))
-    kept = chosen.agg(F.sum("_n").alias("n")).first()["n"] or 0
-    texts = rows.join(chosen.select(F.col("_first").alias("_id"), "_rep", "_p1", "_p2"), "_id")
-    ordered = scratch.stored(_ordered_sets(texts, -(-int(kept) // BUCKET_TOKENS) or 1))
+    enough = classes.join(sharing, "_p1").where(F.col("_often") >= _need(F.col("_n")))
+    chosen = scratch.stored(enough.select("_rep", "_first", "_p1", "_p2", "_n"))
+    kept = chosen.agg(F.count(F.lit(1)).alias("sets"), F.sum("_n").alias("tokens")).first()
+    buckets = -(-int(kept["tokens"] or 0) // BUCKET_TOKENS) or 1
+    with filtered_joins(rows.sparkSession, kept["sets"]):
+        ordered = scratch.stored(_ordered_sets(_texts_of(rows, chosen), buckets))
     return _links(ordered, scratch)
 
 
+def _texts_of(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Rows of the first ids of these classes, with the names and prints of the classes."""
+    named = chosen.where(F.col("_n") > 0).select(F.col("_first").alias("_id"), "_rep", "_p1", "_p2")
+    return rows.join(named, "_id")
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each group of linked ones, the one of the smallest id; all others stay.
 

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 from starwake.session import fresh_path
 from starwake.sources.files import delete_directory
 
+#: Bits of a Bloom filter for each key; about 1 of 50 other rows gets through.
+BLOOM_BITS = 8
+
 
 def stored(df: DataFrame) -> DataFrame:
     """The same rows, written below the shared folder and read again.
@@ -47,15 +50,39 @@ class Scratch:
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int = 1_000, size: str = "8m") -> Iterator[None]:
-    """Within the block, Python tasks get fewer rows and bytes at once, for rows that hold whole texts
-    or sets. Only for jobs that run inside the block; the session's own settings come back after it."""
-    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
-    before = [spark.conf.get(name) for name in names]
-    for name, value in zip(names, (str(rows), size), strict=True):
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Settings for jobs that run inside the block; the session's own come back after it."""
+    before = {name: spark.conf.get(name) for name in values}
+    for name, value in values.items():
         spark.conf.set(name, value)
     try:
         yield
     finally:
-        for name, value in zip(names, before, strict=True):
+        for name, value in before.items():
             spark.conf.set(name, value)
+
+
+def small_batches(spark: SparkSession, rows: int = 1_000, size: str = "8m") -> AbstractContextManager[None]:
+    """Within the block, Python tasks get fewer rows and bytes at once, for rows that hold whole texts
+    or sets."""
+    arrow = "spark.sql.execution.arrow"
+    return settings(spark, {f"{arrow}.maxRecordsPerBatch": str(rows), f"{arrow}.maxBytesPerBatch": size})
+
+
+def filtered_joins(spark: SparkSession, keys: int) -> AbstractContextManager[None]:
+    """Within the block, Spark filters the large side of a shuffled join by a Bloom filter of the keys of
+    the small side, before it shuffles it, whatever the sizes of both. The small side needs a condition
+    for this. The filter has at most 8 MB: more keys than it holds well only let more rows through.
+    """
+    bloom = "spark.sql.optimizer.runtime.bloomFilter"
+    items = max(1_000, keys)
+    values = {
+        "enabled": "true",
+        "applicationSideScanSizeThreshold": "0",
+        "creationSideThreshold": "100g",
+        "expectedNumItems": str(items),
+        "maxNumItems": str(items),
+        "numBits": str(BLOOM_BITS * items),
+        "maxNumBits": str(8 << 23),
+    }
+    return settings(spark, {f"{bloom}.{name}": value for name, value in values.items()})

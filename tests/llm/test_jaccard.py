@@ -1,6 +1,9 @@
 import random
 from itertools import combinations
 
+import numpy as np
+
+from starwake.llm import jaccard
 from starwake.llm.jaccard import keep_one, similar_documents
 from starwake.session import shared_dir
 from starwake.sources.files import child_names
@@ -131,3 +134,44 @@ def test_one_stays(spark):
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in got.collect()) == [
         (False, 2), (False, 7), (False, 9), (True, 0),
     ]
+
+
+def test_texts_of_documents_without_copies_are_filtered_before_the_shuffle(spark, tmp_path, monkeypatch):
+    """Also where the ids of the others are too many to be sent to every task."""
+    plans, ordered = [], jaccard._ordered_sets
+
+    def planned(texts, buckets):
+        plans.append(texts._jdf.queryExecution().optimizedPlan().toString())
+        return ordered(texts, buckets)
+
+    monkeypatch.setattr(jaccard, "_ordered_sets", planned)
+    base = [f"w{at}" for at in range(60)]
+    rows = [(at, " ".join(f"{at}x{one}" for one in range(8))) for at in range(100)]
+    rows += [(200, " ".join(base)), (201, " ".join([*base, "more"]))]
+    documents(spark, rows).write.parquet(f"{tmp_path}/documents")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = similar_documents(spark.read.parquet(f"{tmp_path}/documents")).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert {r.doc_id: r.component_id for r in found} == {doc: 200 if doc == 201 else doc for doc, _ in rows}
+    assert len(plans) == 1 and "might_contain" in plans[0]
+
+
+def test_parts_of_one_token_are_small():
+    rng = np.random.default_rng(3)
+    runs = [(int(name), np.unique(rng.integers(0, 1 << 63, 300, dtype=np.uint64))) for name in rng.integers(0, 1 << 62, 50)]
+    rows = list(jaccard._by_bucket(runs, 100_000, low_bits=True))
+    sent = sum(len(value) for row in rows for name, value in row.items() if name != "_bucket")
+    assert sent <= 13 * sum(len(tokens) for _, tokens in runs)
+
+
+def test_parts_of_any_number_of_tokens_are_counted():
+    runs = [(7, np.arange(1, 70_000, dtype=np.uint64)), (8, np.arange(2, 302, dtype=np.uint64)), (9, np.arange(5, 7, dtype=np.uint64))]
+    for low_bits, kind in ((True, np.uint32), (False, np.uint64)):
+        for chosen in (runs, runs[1:], runs[2:]):
+            (row,) = jaccard._by_bucket(chosen, 1, low_bits)
+            bucket = jaccard._Bucket(jaccard.pd.DataFrame([row]), kind)
+            got = {int(name): sorted(bucket.tokens[bucket.owner == at].tolist()) for at, name in enumerate(bucket.names)}
+            assert got == {name: tokens.tolist() for name, tokens in chosen}
