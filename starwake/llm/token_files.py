@@ -10,6 +10,7 @@ lost executor leaves no half-written shard, and any store that Spark reaches wil
 from __future__ import annotations
 
 import os
+import string
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -30,11 +31,13 @@ END_ID = 1
 #: Bytes of text in a range of documents, about, and of token ids in a shard.
 SHARD_BYTES = 8_000_000
 #: Encoded words that a Python worker remembers in each of two generations.
-REMEMBERED = 200_000
+REMEMBERED = 300_000
 #: Words that the tokenizer gets at once.
 AT_ONCE = 5_000
 #: Characters of text that are split into words at once.
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 8_000_000
+#: What is split off the end of words of letters.
+TAIL = string.punctuation
 #: Ranges whose sizes are summed up together.
 BLOCK = 4_096
 
@@ -45,15 +48,20 @@ SHARD_SCHEMA = (
 )
 
 
+def _strings(column: pa.Array) -> list[str]:
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 class WordEncoder:
     """Encodes texts word by word and remembers words.
 
     White space separates tokens of this kind of vocabulary and is dropped, so a text's ids are
-    those of its words in order. A word that is new is split once more where letters are followed by
-    full stops or commas only, which is where its pre-tokenizer splits too, if it has nothing but
-    letters after the tokenizer's own normalisation. Words of letters are encoded many at a time:
-    each ends with the one token that carries the end mark. Words are kept in two generations: when
-    the young one is full, it becomes the old one, and words met again move back.
+    those of its words in order. A word is split once more where letters are followed by punctuation
+    only, which is where its pre-tokenizer splits too, if it has nothing but letters after the
+    tokenizer's own normalisation. Words of letters are encoded many at a time: each ends with
+    the one token that carries the end mark. Arrow numbers words, splits them and gathers their ids;
+    each different word or part is looked up once. They are kept in two generations: when the young
+    one is full, it becomes the old one, and words met again move back.
     """
 
     def __init__(self, path: str, width: str) -> None:
@@ -67,13 +75,30 @@ class WordEncoder:
         mark = self.tokenizer.model.end_of_word_suffix
         if mark:
             self.last[[at for token, at in vocabulary.items() if token.endswith(mark)]] = True
-        self.known: dict[str, bytes] = {"": b""}
+        self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def _letters(self, core: str) -> bool:
+    def _missing(self, words: list[str]) -> list[str]:
+        """Those of different words that are not remembered; all others are known then."""
+        known, old = self.known, self.old
+        new = [word for word in words if word not in known]
+        if old:
+            known.update((word, old[word]) for word in new if word in old)
+            new = [word for word in new if word not in known]
+        return new
+
+    def _all_letters(self, cores: list[str]) -> list[bool]:
         """Whether normalisation leaves letters only: a capital may become a letter and a mark."""
-        normalizer = self.tokenizer.normalizer
-        return normalizer is None or normalizer.normalize_str(core).isalpha()
+        known, old = self.known, self.old
+        new = [core for core in dict.fromkeys(cores) if core not in known and core not in old and core.isalpha()]
+        found = new
+        if self.tokenizer.normalizer is not None:
+            normal = self.tokenizer.normalizer.normalize_str
+            found = normal(" ".join(new)).split(" ")
+            if len(found) != len(new):
+                found = [normal(core) for core in new]
+        good = {core for core, one in zip(new, found) if one.isalpha()}
+        return [core.isalpha() and (core in good or core in known or core in old) for core in cores]
 
     def _encode(self, words: list[str]) -> None:
         size = self.width.itemsize
@@ -103,36 +128,38 @@ class WordEncoder:
                 for word, begin, end in zip(part, bounds, bounds[1:]):
                     self.known[word] = raw[begin:end]
 
-    def _ids_of(self, words: list[str]) -> list[bytes]:
+    def _ids_of(self, words: pa.Array) -> pa.Array:
         """Raw ids of different words."""
         if len(self.known) > REMEMBERED:
-            self.old, self.known = self.known, {"": b""}
-        known, old = self.known, self.old
-        split, letters, others = {}, set(), set()
-        for word in words:
-            if word in known:
-                continue
-            if word in old:
-                known[word] = old[word]
-                continue
-            core = word.rstrip(".,")
-            if not core.isalpha() or not (core.isascii() or self._letters(core)):
-                others.add(word)
-                continue
-            tail = word[len(core) :]
-            core = core.lower() if core.isascii() else core
-            split[word] = (core, tail)
-            if core in old:
-                known[core] = old[core]
-            elif core not in known:
-                letters.add(core)
-            if tail not in known:
-                others.add(tail)
-        self._encode(list(others))
-        self._encode_letters(list(letters))
-        for word, (core, tail) in split.items():
-            known[word] = known[core] + known[tail]
-        return [known[word] for word in words]
+            self.old, self.known = self.known, {}
+        cores = pc.ascii_rtrim(words, TAIL)
+        narrow = pc.string_is_ascii(cores)
+        letters = pc.and_(narrow, pc.ascii_is_alpha(cores)).to_numpy(zero_copy_only=False).copy()
+        keys = pc.if_else(narrow, pc.ascii_lower(cores), cores)
+        wide = np.flatnonzero(~narrow.to_numpy(zero_copy_only=False))
+        letters[wide] = self._all_letters(_strings(cores.take(pa.array(wide))))
+        split = letters & pc.not_equal(cores, words).to_numpy(zero_copy_only=False)
+        numbered = keys.filter(pa.array(letters)).dictionary_encode()
+        found = _strings(numbered.dictionary)
+        self._encode_letters(self._missing(found))
+        tailed = words.filter(pa.array(split))
+        kept = pc.utf8_length(cores.filter(pa.array(split))).to_numpy().tolist()
+        tails = [word[length:] for word, length in zip(_strings(tailed), kept)]
+        # A space before it tells such a word from the letters of others.
+        rest = [f" {word}" if word.isalpha() else word for word in _strings(words.filter(pa.array(~letters)))]
+        place = {word: at for at, word in enumerate(dict.fromkeys(chain(["", *rest], tails)))}
+        self._encode(self._missing(list(place)))
+
+        # The others' ids, the empty word's first, and those of letters after them.
+        ids = [self.known[word] for word in chain(place, found)]
+        first, second = np.zeros(len(words), dtype=np.int64), np.zeros(len(words), dtype=np.int64)
+        first[letters] = numbered.indices.to_numpy(zero_copy_only=False).astype(np.int64) + len(place)
+        first[~letters] = [place[word] for word in rest]
+        second[split] = [place[tail] for tail in tails]
+        pool = pa.array(ids, pa.large_binary())
+        return pc.binary_join_element_wise(
+            pool.take(pa.array(first)), pool.take(pa.array(second)), pa.scalar(b"", pa.large_binary())
+        )
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Raw ids of texts, some megabytes of them at once."""
@@ -152,16 +179,12 @@ class WordEncoder:
         spaced = pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " ")
         parts = pc.split_pattern(spaced, " ")
         numbered = parts.flatten().dictionary_encode()
-        found = self._ids_of(numbered.dictionary.to_numpy(zero_copy_only=False).tolist())
-        sizes = np.array([len(one) for one in found], dtype=np.int64) // self.width.itemsize
-        pool = np.frombuffer(b"".join(found), dtype=self.width)
-        of = numbered.indices.to_numpy(zero_copy_only=False)
-        count = sizes[of]
-        ends = np.cumsum(count)
-        shift = (np.cumsum(sizes) - sizes)[of] - (ends - count)
-        ids = pool[np.arange(len(shift) and ends[-1]) + np.repeat(shift, count)]
-        bounds = np.concatenate([[0], ends])[parts.offsets.to_numpy()]
-        return [ids[begin:end].tobytes() for begin, end in zip(bounds, bounds[1:])]
+        raw = self._ids_of(numbered.dictionary).take(numbered.indices)
+        _, offsets, data = raw.buffers()
+        ends = np.frombuffer(offsets, dtype=np.int64)[raw.offset : raw.offset + len(raw) + 1]
+        bounds = ends[parts.offsets.to_numpy()].tolist()
+        held = memoryview(data or b"")
+        return [held[begin:end].tobytes() for begin, end in zip(bounds, bounds[1:])]
 
 
 def _encoder(path: str, width: str) -> WordEncoder:

@@ -118,3 +118,24 @@ def test_index_is_minimal_and_perfect(size):
     assert sorted(slots) == list(range(size))
     again = token_files._slots(keys, pilots[token_files._buckets(keys, len(pilots))], size)
     assert (again == slots).all()
+
+
+class Counted:
+    """A tokenizer that notes what it is asked to encode."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.normalizer, self.asked = tokenizer, tokenizer.normalizer, []
+
+    def encode_batch_fast(self, texts, **options):
+        self.asked += [word for text in texts for word in text.split()]
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+def test_words_are_encoded_once_whatever_follows_them():
+    encoder, some = token_files.WordEncoder(PATH, "<u2"), sorted({*words(3, 40), "éa", "straße"})
+    encoder.tokenizer = Counted(encoder.tokenizer)
+    text = " ".join(word + end for end in ("", "!", "???", ").", "$$$", ";") for word in (*some, *map(str.title, some)))
+    raw = next(encoder.encode([text]))
+    assert np.frombuffer(raw, "<u2").tolist() == Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
+    asked = encoder.tokenizer.asked
+    assert len(asked) == len(set(asked)) <= 2 * len(some) + 5
