@@ -67,6 +67,12 @@ def test_metadata_rows_are_dealt_before_they_become_wide(spark):
     assert wide < dealt  # the plan is printed from its last step
 
 
+def test_metadata_rows_are_dealt_as_they_are_stored(spark):
+    plan = tb.testbed(spark, FOLDER).metadata()._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("RepartitionByExpression") :].partition("\n")[2]
+    assert "p_brand" in below and " AS " not in below
+
+
 def test_no_task_widens_more_metadata_than_another(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(tb, "ROWS_A_TASK", 100, raising=False)
     names = ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]
